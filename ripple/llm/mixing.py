@@ -111,8 +111,10 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     order = Window.partitionBy(*source, "range").orderBy("h", "id", "h2", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = narrow.join(ranges, [*source, "range"]).withColumn("until", F.col("before") + F.sum("size").over(order))
     finish = [F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("until") + p * F.col("source_size")) / F.col("target")) for p in range(passes)]
-    queue = common.written(queue.select("row", "size", "source_size", "target", F.array(*finish).alias("finish")), "queue")
-    cut = budget_cut(queue.select("size", F.explode("finish").alias("f")).where("f is not null"), budget)
+    queue = queue.select("row", "size", "source_size", "target", F.array(*finish).alias("finish"))
+    # only sizes and times are written for the cut: the rows themselves may hold texts
+    times = common.written(queue.select("size", "finish"), "times")
+    cut = budget_cut(times.select("size", F.explode("finish").alias("f")).where("f is not null"), budget)
     taken = F.aggregate("finish", F.lit(0).cast("long"), lambda n, f: n + F.when(f <= cut, F.col("size")).otherwise(0))
     out = queue.select("row.*", "size", "source_size", "target", taken.alias("taken"), "finish")
     return Mix(out, budget, cut)

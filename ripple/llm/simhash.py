@@ -292,17 +292,33 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     Null and empty texts have fingerprint 0 and are linked like others. A null doc_id is never a component's id unless all
     of its component's are null. Repeated rows stay repeated. An empty table gives an empty one.
     """
+    return _near_duplicates(docs, words, radius, keep).select("row.*", "fp", F.col("least.doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that come first (by doc_id, null last, then the text's hash) in their component, one row each."""
+    key = docs.withColumn("_hash", F.xxhash64("text"))
+    # representatives are joined by id and hash of the text, so that a text with a repeated id is not taken for another
+    kept = _near_duplicates(key, words, radius, ("doc_id", "_hash")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h")).distinct()
+    rows = key.join(kept, key["doc_id"].eqNullSafe(kept["_id"]) & (key["_hash"] == kept["_h"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+
+
+def _near_duplicates(docs: DataFrame, words: int, radius: int, keep: tuple[str, ...]) -> DataFrame:
+    """row, fp, least (struct of null_id, doc_id, h): the first row of the component."""
     keep = tuple(dict.fromkeys(("doc_id", *keep)))
     printed = common.written(fingerprints(docs, words, keep), "fingerprints")
-    distinct = common.written(printed.groupBy("fp").agg(F.min("row.doc_id").alias("first")), "distinct")
+    h = F.col("row._hash") if "_hash" in keep else F.lit(0).cast("long")
+    first = F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), h.alias("h"))
+    distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
     edges = common.written(links(distinct.select("fp"), distinct.count(), radius), "links")
     label = components(edges)
     joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("label").agg(F.min("first").alias("least"))
     linked = joined.join(least, "label").select("fp", "least")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
     # a large group of copies shares one fingerprint: its rows are many on one side of this join only, which adaptive execution splits
-    return printed.join(ids, "fp").select("row.*", "fp", "component_id")
+    return printed.join(ids, "fp")
 
 
 def hexadecimal(fp: Column) -> Column:
