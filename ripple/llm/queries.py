@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_mil, simhash, toxicity
+from . import mixing, pieces, quality_mil, quality_rules, simhash, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op5_pieces": pieces.op5_pieces,
+        "op6_urls": url_filter.op6_urls,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": warc.ORACLE_SQL}
