@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_mil, quality_rules, simhash, toxicity, url_filter, warc
+from . import media, mixing, pieces, quality_mil, quality_rules, simhash, token_file, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pieces": pieces.op5_pieces,
         "op6_urls": url_filter.op6_urls,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_tokens": token_file.op8_tokens,
+        "op9_media": media.op9_media,
         "op10_warc": warc.op10_warc,
     }
 
