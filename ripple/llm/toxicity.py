@@ -27,7 +27,7 @@ BITS = 18
 #: Words of a sentence; what is longer is cut into several.
 SENTENCE_WORDS = 40
 #: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
-BOUND, MAX_BYTES = 3000, 40_000
+BOUND, MAX_BYTES = 2000, 20_000
 #: Distinct words whose weights a task remembers.
 MEMO = 400_000
 
@@ -65,26 +65,28 @@ def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Mode
     1 % of the toxic bags (and fewer than 3) have no weight: they could only learn single documents by heart.
     No rows, or one label only: a model that scores every sentence by that label's share.
     """
-    bags = [(sentences(text), label) for text, label in rows]
-    labels = np.array([y for _, y in bags], np.float64)
+    labels = np.array([y for _, y in rows], np.float64)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(1 << BITS, np.float32), 10.0 if share else -30.0)
-    # words once a sentence; sentences in order of their bags
-    cols, sent, bag_of = [], [], []
-    for k, (sents, _) in enumerate(bags):
-        for words in sents:
-            ids = {k for w in words for k in features(w)}
-            cols += ids
-            sent += [len(bag_of)] * len(ids)
-            bag_of.append(k)
-    cols, sent, bag_of = np.array(cols, np.int64), np.array(sent, np.int64), np.array(bag_of, np.int64)
-    pairs = np.unique(bag_of[sent] << BITS | cols)
+    # features once a sentence; sentences in order of their bags; 4 bytes each, and no text is kept in pieces
+    parts, per_sentence, per_bag = [], [], []
+    for text, _ in rows:
+        sents = [{k for w in set(words) for k in features(w)} for words in sentences(text)]
+        parts.append(np.fromiter((k for ids in sents for k in ids), np.int32))
+        per_sentence.append(np.array([len(ids) for ids in sents], np.int32))
+        per_bag.append(len(sents))
+    cols = np.concatenate(parts)
+    bag_of = np.repeat(np.arange(len(rows)), per_bag)
+    sent = np.repeat(np.arange(len(bag_of), dtype=np.int32), np.concatenate(per_sentence))
+    pairs = np.unique(bag_of[sent] << BITS | cols)  # (bag, feature)
     seen = np.bincount(pairs & ((1 << BITS) - 1), labels[pairs >> BITS], 1 << BITS)
     least = max(3, 0.01 * labels.sum())
-    used, inverse = np.unique(cols[seen[cols] >= least], return_inverse=True)
-    sent = sent[seen[cols] >= least]
-    n_sent, n_bag, n = len(bag_of), len(bags), len(used)
+    kept = seen[cols] >= least
+    used, inverse = np.unique(cols[kept], return_inverse=True)
+    sent = sent[kept]
+    del pairs, cols, parts
+    n_sent, n_bag, n = len(bag_of), len(rows), len(used)
     w, b = np.zeros(n), -4.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, rounds + 1):
