@@ -30,7 +30,7 @@ SEED = 17
 
 @dataclass(frozen=True)
 class Mix:
-    """docs: the input's columns and size, source_size, target, taken, finish (a double for each pass)."""
+    """docs: row (the kept columns), size, source_size, target, taken, finish (a double for each pass)."""
 
     docs: DataFrame
     budget: float
@@ -84,7 +84,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     The mix of ``docs`` (doc_id, text, source): sources by code point (null last) take ``weights`` in turn and
     share ``share`` (a fraction) of all words; no document is taken more than ``passes`` times.
 
-    keep: columns of ``docs`` in the result (doc_id only, if not given). Null texts have no words, null sources are one
+    keep: columns of ``docs`` in ``row`` (doc_id only, if not given); they may have any names. Null texts have no words, null sources are one
     source. Repeated rows and equal ids are ordered by id, then text hash; rows that agree in both are alike,
     so which of them comes first does not matter. An empty table gives an empty mix.
     """
@@ -116,7 +116,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     times = common.written(queue.select("size", "finish"), "times")
     cut = budget_cut(times.select("size", F.explode("finish").alias("f")).where("f is not null"), budget)
     taken = F.aggregate("finish", F.lit(0).cast("long"), lambda n, f: n + F.when(f <= cut, F.col("size")).otherwise(0))
-    out = queue.select("row.*", "size", "source_size", "target", taken.alias("taken"), "finish")
+    out = queue.select("row", "size", "source_size", "target", taken.alias("taken"), "finish")
     return Mix(out, budget, cut)
 
 
@@ -152,10 +152,10 @@ def budget_cut(events: DataFrame, budget: float) -> float:
 
 def in_order(mix: Mix, columns: list[str]) -> DataFrame:
     """The mix itself: a row for each time that a document is taken, range-partitioned and sorted by finish time."""
-    events = mix.docs.select(*columns, F.posexplode("finish").alias("pass", "finish_time")).where(F.col("finish_time") <= mix.cut)
-    return events.repartitionByRange("finish_time").sortWithinPartitions("finish_time", "pass")
+    events = mix.docs.select("row", F.posexplode("finish").alias("pass", "at")).where(F.col("at") <= mix.cut)
+    return events.repartitionByRange("at").sortWithinPartitions("at", "pass").select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return fair_mix(docs).docs.select("doc_id", "size", "source_size", "target", "taken")
+    return fair_mix(docs).docs.select("row.doc_id", "size", "source_size", "target", "taken")

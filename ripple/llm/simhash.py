@@ -286,22 +286,22 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """
-    ``keep`` of every row of ``docs``, with fp (a signed long) and component_id: the smallest doc_id that is reached over
+    ``keep`` of every row of ``docs`` as row, with fp (a signed long) and component_id: the smallest doc_id that is reached over
     links of at most ``radius`` differing bits, its own included.
 
     Null and empty texts have fingerprint 0 and are linked like others. A null doc_id is never a component's id unless all
     of its component's are null. Repeated rows stay repeated. An empty table gives an empty one.
     """
-    return _near_duplicates(docs, words, radius, keep).select("row.*", "fp", F.col("least.doc_id").alias("component_id"))
+    return _near_duplicates(docs, words, radius, keep).select("row", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that come first (by doc_id, null last, then the text's hash) in their component, one row each."""
-    key = docs.withColumn("_hash", F.xxhash64("text"))
+    key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     # representatives are joined by id and hash of the text, so that a text with a repeated id is not taken for another
     kept = _near_duplicates(key, words, radius, ("doc_id", "_hash")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h")).distinct()
     rows = key.join(kept, key["doc_id"].eqNullSafe(kept["_id"]) & (key["_hash"] == kept["_h"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", "_hash"]).select("row.*")
 
 
 def _near_duplicates(docs: DataFrame, words: int, radius: int, keep: tuple[str, ...]) -> DataFrame:
@@ -327,4 +327,4 @@ def hexadecimal(fp: Column) -> Column:
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return got.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return got.select("row.doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
