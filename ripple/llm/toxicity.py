@@ -28,6 +28,8 @@ BITS = 18
 SENTENCE_WORDS = 40
 #: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
 BOUND, MAX_BYTES = 2000, 20_000
+#: Log-odds of a sentence without offending words, at most: thousands of them must not add up to a toxic document.
+HARMLESS = -9.0
 #: Distinct words whose weights a task remembers.
 MEMO = 400_000
 
@@ -87,7 +89,7 @@ def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Mode
     sent = sent[kept]
     del pairs, cols, parts
     n_sent, n_bag, n = len(bag_of), len(rows), len(used)
-    w, b = np.zeros(n), -4.0
+    w, b = np.zeros(n), HARMLESS
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = np.clip(np.bincount(sent, w[inverse], n_sent) + b, -40, 40)
@@ -102,6 +104,7 @@ def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Mode
         lr, c1, c2 = rate / (1 + step / 100), 1 - 0.9**step, 1 - 0.99**step
         w -= lr * (m / c1) / (np.sqrt(v / c2) + 1e-7)
         b -= lr * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
+        b = min(b, HARMLESS)
         w = np.maximum(0, w - decay * lr) if step < rounds // 2 else np.where(w > 0, np.maximum(w, 1e-6), 0)
     full = np.zeros(1 << BITS, np.float32)
     full[used] = w
