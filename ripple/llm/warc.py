@@ -115,13 +115,14 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     page_id is the response (the first by url, of repeated rows); null ids come last. Smaller ones are all responses.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("key", F.sha1("payload"))
-    narrow = rows.groupBy("key", "page_id").agg(F.max(F.octet_length("payload")).alias("bytes"))
+    # pk: the id without nulls, so that the join and the numbering below share one exchange of the payloads
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("pk")).withColumn("key", F.sha1("payload"))
+    narrow = rows.groupBy("key", "pk", "page_id").agg(F.max(F.octet_length("payload")).alias("bytes"))
     heads = narrow.groupBy("key").agg(F.max("page_id").alias("head"))
-    roles = common.written(narrow.join(heads, "key"), "roles").select(F.col("key").alias("k"), F.col("page_id").alias("p"), "head", "bytes")
+    roles = common.written(narrow.join(heads, "key"), "roles").select("key", "pk", "head", "bytes")
     # joined by (payload, page): a payload that a third of all pages share is many keys here
-    joined = rows.join(roles, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")))
-    nth = F.row_number().over(Window.partitionBy("key", "page_id").orderBy(F.col("url").asc_nulls_last()))
+    joined = rows.join(roles, ["key", "pk"])
+    nth = F.row_number().over(Window.partitionBy("key", "pk").orderBy(F.col("url").asc_nulls_last()))
     first = F.col("page_id").eqNullSafe(F.col("head")) & (F.col("occurrence") == 1)
     return joined.withColumn("occurrence", nth).withColumn("is_response", first | (F.col("bytes") < least_bytes)).select("page_id", "url", "payload", "occurrence", "head", "is_response")
 
@@ -172,15 +173,16 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return manifest.select("archive").repartition(max(1, files)).mapInArrow(run, RECORD)
 
 
-def transactions(records: DataFrame) -> DataFrame:
+def transactions(records: DataFrame, payloads: bool = True) -> DataFrame:
     """
     One row for each response or revisit: capture (its own columns), request and metadata (structs of the records that are
     concurrent to it, null where missing), original (of a revisit: record_id and payload_bytes of the response).
-    Records of other types, and those concurrent to nothing that exists, are in no capture.
+    Records of other types, and those concurrent to nothing that exists, are in no capture. Without ``payloads`` the payload
+    itself, which would be moved by the joins, is left out; its size and digest stay.
     """
     light = ("record_id", "target_uri", "date", "fields")
     part = lambda kind: records.where(F.col("type") == kind).groupBy("concurrent_to").agg(F.min_by(F.struct(*light[:3], F.map_entries("fields").alias("fields")), "record_id").alias(kind))
-    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "payload", "payload_bytes", "found_digest", "archive").alias("capture"))
+    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "record_id", "refers_to", "target_uri", "date", "payload_digest", *["payload"][: payloads], "payload_bytes", "found_digest", "archive").alias("capture"))
     got = main
     for kind in ("request", "metadata"):
         got = got.join(part(kind).withColumnRenamed("concurrent_to", "record_id"), "record_id", "left")
@@ -194,7 +196,9 @@ def page_of(entries: Column) -> Column:
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     manifest = write_archives(with_roles(pages), common.new_path(spark, "archives"))
-    got = transactions(read_archives(spark, manifest)).select("record_id", "capture.type", "capture.refers_to", "capture.payload_digest", "capture.payload_bytes", page_of(F.col("metadata.fields")).alias("page_id"))
+    # archives are parsed once, not once for each kind of record
+    records = common.written(read_archives(spark, manifest).drop("payload"), "records")
+    got = transactions(records, payloads=False).select("record_id", "capture.type", "capture.refers_to", "capture.payload_digest", "capture.payload_bytes", page_of(F.col("metadata.fields")).alias("page_id"))
     got = common.written(got, "captures")
     # a revisit has no payload: its size and page come from the response that it refers to; only responses that are referred to matter
     asked = got.where("type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct()
