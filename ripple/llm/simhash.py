@@ -30,6 +30,10 @@ BITS = 64
 CHUNK = 2048
 #: Distinct fingerprints up to which blocks are of the least number (fewer, larger groups); then blocks are added.
 DENSE = 1 << 22
+#: Tables of random bits for wide radii, and the radius within which those that share one are looked at.
+SAMPLED, WIDE = 48, 12
+#: Bins of the sketch by which the similarity of two sets of shingles is told.
+BINS = 256
 #: (query, word) pairs compared at once.
 PAIRS = 1 << 14
 
@@ -53,6 +57,41 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def _hashes(text: str, words: int) -> np.ndarray:
+    w = text.encode().translate(_LOWER).split()
+    return np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The least value (16 bits, 1 at least) of the shingles in each bin, 0 for an empty bin."""
+    out = np.full(BINS, 65536, np.int64)
+    np.minimum.at(out, (h % np.uint64(BINS)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % 65535 + 1)
+    out[out == 65536] = 0
+    return out.astype(np.uint16)
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of sketches (rows): the share of bins in use by either that agree, an estimate of their sets' Jaccard similarity."""
+    used = ((x | y) != 0).sum(1)
+    return np.where(used > 0, ((x == y) & (x != 0)).sum(1) / np.maximum(used, 1), 1.0)
+
+
+def sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` as row, fp and sketch (bytes) over shingles of ``words`` words."""
+    inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
+    schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            h = [_hashes(t, words) for t in batch.column("text").to_pylist()]
+            fp = np.array([_majority(x) if len(x) else 0 for x in h], np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp.view(np.int64)), pa.array([sketch(x).tobytes() for x in h], pa.binary())], ["row", "fp", "sketch"])
+
+        return run
+
+    return common.map_texts(inner, make, f"{schema}, fp long, sketch binary")
+
+
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` (as row) and fp, the fingerprint as a signed long. Null texts have no words: fingerprint 0."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
@@ -152,11 +191,30 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a minimum spanning forest by ``d``: every component takes its least edge until none is left."""
+    order = np.lexsort((b, a, d))
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.arange(len(a))
+    root, taken = np.arange(n), np.zeros(len(a), bool)
+    on = np.arange(len(a))
+    while True:
+        on = on[root[a[on]] != root[b[on]]]
+        if not len(on):
+            return np.flatnonzero(taken)
+        best = np.full(n, len(a), np.int64)
+        np.minimum.at(best, root[a[on]], rank[on])
+        np.minimum.at(best, root[b[on]], rank[on])
+        chosen = order[np.unique(best[best < len(a)])]
+        taken[chosen] = True
+        root = _roots(n, root[a[chosen]], root[b[chosen]])[root]
+
+
+def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """
-    Links within each group of sorted ``group``: (fp, fp of its local component's smallest member), one for each that has
-    another. Rows with side 1 are queries only against rows with side 0 (pairs of chunks); with side 0 alone,
-    all are compared.
+    Links within each group of sorted ``group``, as places (a, b): for each row that has another in its local component
+    the component's first row, or, with ``nearest``, the edges of a minimum spanning forest by distance. Rows with side 1 are
+    queries only against rows with side 0 (pairs of chunks); with side 0 alone, all are compared.
     """
     n = len(fp)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -182,6 +240,7 @@ def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
     from_word = np.where(crossed[queries], 0, rank[queries] // BITS)
     n_words = words_of[which[queries]] - from_word
     roots = np.arange(n)
+    near_a, near_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(n_words)
     at = 0
     while at < len(queries):
@@ -196,13 +255,22 @@ def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
             p = pair[lo : lo + (1 << 14)][k]
             a, b = q[p], row_of[w[p] * BITS + ln]
             on = a != b
+            if nearest:
+                near_a, near_b = np.r_[near_a, a[on]], np.r_[near_b, b[on]]
+                if len(near_a) > n + (1 << 20):  # a forest of parts of the edges and the rest is one of all
+                    kept = _nearest_forest(n, near_a, near_b, np.bitwise_count(fp[near_a] ^ fp[near_b]))
+                    near_a, near_b = near_a[kept], near_b[kept]
+                continue
             a, b = roots[a[on]], roots[b[on]]
             if len(a):
                 more = _roots(n, a, b)
                 roots = more[roots]
         at = to
+    if nearest:
+        kept = _nearest_forest(n, near_a, near_b, np.bitwise_count(fp[near_a] ^ fp[near_b]))
+        return near_a[kept], near_b[kept]
     linked = np.flatnonzero(roots != np.arange(n))
-    return fp[linked], fp[roots[linked]]
+    return linked, roots[linked]
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -222,15 +290,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
-    """a, b: a spanning forest of the links in each group of each table, over distinct fingerprints ``fp``."""
-    masks = tables(n, radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+def sampled_tables(n: int, count: int = SAMPLED, seed: int = 11) -> list[int]:
+    """Masks of ``count`` random sets of bits, so many that random groups have about four of ``n`` fingerprints (12 to 24 bits)."""
+    size = int(np.clip(np.log2(max(n, 1)) - 2, 12, 24))
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(BITS, size, replace=False)) for _ in range(count)]
+
+
+def links(distinct: DataFrame, n: int, radius: int, masks: list[int] | None = None, nearest: bool = False) -> DataFrame:
+    """
+    a, b: ids of a spanning forest of the links in each group of each table, over ``distinct`` (id, fp). The tables of
+    ``tables`` lose no link; others may be given as ``masks``.
+    """
+    masks = masks or tables(n, radius)
+    keyed = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     large = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # a group's chunk is given by a hash, and a row goes to each pair of chunks that its own is in
     some = keyed.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    some = some.withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    some = some.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp")
+    some = some.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    some = some.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "id", "fp")
     group = ["t", "key", "c1", "c2"]
     dealt = some.repartition(*group).sortWithinPartitions(*group)
 
@@ -248,8 +326,9 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
             ids = np.cumsum(change)
             to = len(ids) if last else int(np.searchsorted(ids, ids[-1]))  # the last group may go on
             fp = np.asarray(table.column("fp")).astype(np.int64).view(np.uint64)[:to]
-            a, b = group_links(ids[:to], fp, np.asarray(table.column("side"))[:to], radius) if to else (fp, fp)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"]), table.slice(to)
+            own = np.asarray(table.column("id")).astype(np.int64)[:to]
+            a, b = group_links(ids[:to], fp, np.asarray(table.column("side"))[:to], radius, nearest) if to else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(own[x]) for x in (a, b)], ["a", "b"]), table.slice(to)
 
         for batch in batches:
             held.append(batch)
@@ -295,23 +374,45 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     return _near_duplicates(docs, words, radius, keep).select("row", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that come first (by doc_id, null last, then the text's hash) in their component, one row each."""
-    key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int = WIDE) -> DataFrame:
+    """
+    One row of each group of near-duplicates: texts whose sets of ``words``-word shingles have a similarity of ``least`` or more,
+    and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
+
+    Such texts differ in more bits than a table of whole blocks could find, so candidates share a table of random bits
+    and lie within ``wide`` bits; of each table's group the edges of a minimum spanning forest are candidates. Their sketches (256 bins, from
+    the same hashes) then decide. Equal texts are one node, so copies cost nothing.
+    """
+    key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
+    printed = common.written(sketched(key, words, ("doc_id", "_hash")), "sketches")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch")), "nodes")
+    n = nodes.count()
+    pairs = links(nodes.select("id", "fp"), n, wide, sampled_tables(n), nearest=True)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+
+    def alike(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a_sketch", "b_sketch"))
+            yield batch.select(["a", "b"]).filter(pa.array(similarity(x, y) >= least))
+
+    edges = common.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike")
+    label = components(edges).withColumnRenamed("node", "id")
+    joined = nodes.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    kept = joined.groupBy("label").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
     # representatives are joined by id and hash of the text, so that a text with a repeated id is not taken for another
-    kept = _near_duplicates(key, words, radius, ("doc_id", "_hash")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h")).distinct()
     rows = key.join(kept, key["doc_id"].eqNullSafe(kept["_id"]) & (key["_hash"] == kept["_h"]), "left_semi")
     return rows.dropDuplicates(["doc_id", "_hash"]).select("row.*")
 
 
 def _near_duplicates(docs: DataFrame, words: int, radius: int, keep: tuple[str, ...]) -> DataFrame:
-    """row, fp, least (struct of null_id, doc_id, h): the first row of the component."""
+    """row, fp, least (struct of null_id, doc_id): the first id of the component."""
     keep = tuple(dict.fromkeys(("doc_id", *keep)))
     printed = common.written(fingerprints(docs, words, keep), "fingerprints")
-    h = F.col("row._hash") if "_hash" in keep else F.lit(0).cast("long")
-    first = F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), h.alias("h"))
+    first = F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"))
     distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    edges = common.written(links(distinct.select("fp"), distinct.count(), radius), "links")
+    edges = common.written(links(distinct.select(F.col("fp").alias("id"), "fp"), distinct.count(), radius), "links")
     label = components(edges)
     joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("label").agg(F.min("first").alias("least"))
