@@ -443,3 +443,52 @@ def latest_wins(spark, sf_dir):
     """The best order of each day, as the newest version of each path is chosen: a combinable max_by, no window."""
     o = a.read(spark, sf_dir, "orders")
     return o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
+
+
+@query(f"""WITH {a.BODIES_SQL}, sy AS (SELECT path, line, 'symbol' AS kind, 'def_' || line AS text FROM d), o AS (SELECT path, line, 'line' AS kind, 'changed' AS text FROM s),
+  se AS (SELECT DISTINCT path, 1 AS line, 'seed' AS kind, 'You changed this file.' AS text FROM s), im AS (SELECT 'order/' || o_orderkey AS path, 1 AS line, CASE WHEN o_totalprice > 200000 THEN 'danger' ELSE 'downstream' END AS kind, o_orderpriority AS text FROM orders),
+  x AS (SELECT *, 0 AS r FROM sy UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM se UNION ALL SELECT *, CASE kind WHEN 'danger' THEN 3 ELSE 4 END FROM im)
+  SELECT path, line, kind, text FROM (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY r, text) AS n FROM x) WHERE n = 1""")
+def line_annotations(spark, sf_dir):
+    from .plans import lenses
+
+    symbols = a.order_definitions(spark, sf_dir).withColumn("detail", F.col("name"))
+    spans = a.order_spans(spark, sf_dir)
+    impact = a.read(spark, sf_dir, "orders").select(a.REPO.alias("repo"), a.node("order", "o_orderkey").alias("path"), (F.col("o_totalprice") > 200000).alias("is_danger"), F.col("o_orderpriority").alias("reason"))
+    orphans = spans.select("repo", "path", F.col("start").alias("line"), F.lit("changed").alias("detail"))
+    return lenses.annotations(symbols, orphans, spans.select("repo", "path").distinct(), impact).select("path", "line", "kind", "text")
+
+
+@query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE strlen(text) % 2 = 0), r AS (SELECT path, min(line) AS start FROM k GROUP BY path, i) SELECT path, CAST(start AS INT) AS start, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start) AS nth FROM r) WHERE nth <= 6")
+def run_anchors(spark, sf_dir):
+    from .plans import lenses
+
+    return lenses.anchors(a.document_lines(spark, sf_dir).where(F.octet_length("text") % 2 == 0)).select("path", "start", "nth")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '`([^`]+)`', 1)) AS INT) AS n_ticks, regexp_matches(lower(text), 'other code may call|see implementation|is defined here') AS weak FROM documents")
+def caption_flags(spark, sf_dir):
+    low = F.lower("text")
+    return a.read(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("`([^`]+)`"), 1)).alias("n_ticks"), p.contains_any(low, ("other code may call", "see implementation", "is defined here")).alias("weak"))
+
+
+@query("SELECT p_partkey, CASE WHEN len(l) = 3 AND ok THEN true ELSE false END AS balanced FROM (SELECT p_partkey, [1, 2, 3] AS l, p_partkey % 3 <> 1 AS ok FROM part)")
+def balanced_brackets(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    expr = F.when(k == 0, F.concat(F.lit("f("), F.col("p_brand"), F.lit(", [1, {2: 3}])"))).when(k == 1, F.concat(F.lit("f("), F.col("p_brand"), F.lit("])"))).otherwise(F.col("p_brand"))
+    return a.read(spark, sf_dir, "part").select("p_partkey", p.brackets_balanced(expr).alias("balanced"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '`get_part` reads or returns part.' WHEN 1 THEN '`PartRouter` maps incoming routes to part handlers.' WHEN 2 THEN '`part_client` talks to an external part API or service.' WHEN 3 THEN '`_part` — on the call path to other modules; check callers before merging.' ELSE '' END AS purpose FROM supplier")
+def symbol_purposes(spark, sf_dir):
+    from .plans import captions
+
+    k = F.col("s_suppkey") % 5
+    name = F.when(k == 0, "get_part").when(k == 1, "PartRouter").when(k == 2, "part_client").when(k == 3, "_part").otherwise("test_part")
+    rows = a.read(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"), F.when(k == 1, "class").otherwise("function").alias("kind"), F.lit("a/b.py").alias("path"), F.lit("").alias("docstring"))
+    return rows.select("s_suppkey", captions.purpose().alias("purpose"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(t) <= 40 THEN [t] ELSE NULL END IS NULL AS wrapped FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
+def word_wrap(spark, sf_dir):
+    return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(s.wrap("text", 40)) > 1).alias("wrapped"))

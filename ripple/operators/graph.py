@@ -1,8 +1,8 @@
 """
 Reachability over edges (repo, src, dst), where src imports dst.
 
-The fixpoint keeps three things small: each hop joins only the frontier with the edges; what was seen is dropped by an
-anti join; and every hop is checkpointed to the session's shared folder, so plans do not grow with the depth and a lost
+The fixpoint keeps three things small: each hop joins only the frontier with the edges, which were hashed once (a frontier of a
+few rows, which the last hop has counted, is broadcast instead); what was seen is dropped by an anti join; and every hop is checkpointed to the session's shared folder, so plans do not grow with the depth and a lost
 executor costs one hop at most.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 KEY = ["repo", "path"]
+#: Frontiers of at most so many rows are broadcast.
+SMALL = 100_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -31,16 +33,17 @@ def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hop
     if ``reverse`` (importers), along them otherwise. Seeds need not occur in ``edges``; cycles and self edges are harmless.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select("repo", F.col(near).alias("path"), F.col(far).alias("next")).where(F.col("path") != F.col("next")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    steps = edges.select("repo", F.col(near).alias("path"), F.col(far).alias("next")).where(F.col("path") != F.col("next")).repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seen = cut_lineage(seeds.select(*KEY).distinct().withColumn("hops", F.lit(0)))
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        new = frontier.select(*KEY).join(steps, KEY).select("repo", F.col("next").alias("path")).distinct()
-        frontier = cut_lineage(new.join(seen.select(*KEY), KEY, "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    n, total, hop = seen.count(), 0, 0
+    while n and (max_hops is None or hop < max_hops):
+        hop, total = hop + 1, total + n
+        small = lambda df, rows: F.broadcast(df) if rows <= SMALL else df
+        new = steps.join(small(frontier.select(*KEY), n), KEY).select("repo", F.col("next").alias("path")).distinct()
+        frontier = cut_lineage(new.join(small(seen.select(*KEY), total), KEY, "left_anti").withColumn("hops", F.lit(hop)))
+        n = frontier.count()
+        if n:
+            seen = seen.unionByName(frontier)
     steps.unpersist()
     return seen
 

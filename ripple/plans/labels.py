@@ -178,3 +178,31 @@ def label_table(packs: DataFrame, make_client: Callable[[], LabelClient | None],
     got = todo.select("fingerprint", F.to_json("pack").alias("pack")).repartition(tasks).mapInPandas(run, "fingerprint string, label string")
     got = got.unionByName(known.select("fingerprint", "label")) if known is not None else got
     return rows.join(got, "fingerprint", "left")
+
+
+def apply_labels(report: dict, client: LabelClient | None, texts: dict[str, str], paths: set[str] | None = None, model: str = "", cache: Cache | None = None, workers: int = 8) -> dict:
+    """
+    The report with labels in place of the first caption of each symbol and of each line caption, in the same order. Tests, and files outside of
+    ``paths`` (if given), keep theirs; so does everything whose label fails. texts: the changed files' contents.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def wanted(path: str) -> bool:
+        name = path.rpartition("/")[2]
+        return (paths is None or path in paths) and not name.startswith("test_") and "/tests/" not in f"/{path}"
+
+    def pack_of(x: dict, lines: list[int]) -> dict:
+        source = texts.get(x["path"], "").splitlines()
+        edit = capped_edit_lines([(n, source[n - 1]) for n in lines if 0 < n <= len(source)])
+        who, _, what = (x.get("implication") or "").partition(" — ")[2].partition(" — ")
+        return {"path": x["path"], "name": x.get("name", ""), "kind": x.get("kind", "line"), "risk_tier": report["risk_tier"], "who": who[:80], "what": what[:80], "edit_lines": edit, "caption": x["detail"], "purpose": (x.get("summary") or "")[:200], "readers": [], "importers": []}
+
+    def one(x: dict) -> dict:
+        text = label_one(pack_of(x, x["changed_lines"]), client, model, cache) if client is not None and x["detail"] and wanted(x["path"]) else None
+        if text is None:
+            return x
+        hunks = x.get("hunk_details")
+        return x | {"detail": text} | ({"hunk_details": [hunks[0] | {"detail": text}, *hunks[1:]], "evidence": x["evidence"][-2:]} if hunks else {})
+
+    with ThreadPoolExecutor(max(1, min(16, workers))) as pool:
+        return report | {k: list(pool.map(one, report[k])) for k in ("changed_symbols", "line_explanations")}

@@ -233,3 +233,29 @@ def test_stream(spark, tmp_path):
     assert {(r["path"], r["text"]) for r in overlays.newest(spark, state).collect()} == {("a", "2"), ("b", "x")} and seen == [0, 1]
     overlays.apply_batch(spark.createDataFrame([("r", "a", "9", 9)], overlays.SCHEMA), 1, state)
     assert {r["text"] for r in overlays.newest(spark, state).collect()} == {"2", "x"}
+
+
+def test_apply_labels(spark, repo):
+    from ripple.plans import clients, lenses
+
+    write(repo, {"auth_utils.py": FILES["auth_utils.py"].replace("return bool(token)", "return token is not None")})
+    got = audit(spark, repo)
+
+    class Client:
+        def label(self, p):
+            return "Callers see a missing `token` as refused, so that empty ones pass."
+
+    new = labels.apply_labels(got, Client(), {"auth_utils.py": (repo / "auth_utils.py").read_text()})
+    assert new["changed_symbols"][0]["hunk_details"][0]["detail"].startswith("Callers see") and got["changed_symbols"][0]["detail"].startswith("Returns")
+    assert labels.apply_labels(got, Client(), {}, paths={"other.py"}) == got and labels.apply_labels(got, None, {}) == got
+    assert "<code>api/routes.py</code>" in lenses.page(got) and "&lt;" in lenses.page(got | {"summary": "<b>"})
+    s = config.LabelSettings(provider="openai", api_key="k", model="m", base_url="http://x")
+    chat = clients.ChatClient(s, lambda *a: {"choices": [{"message": {"content": 'so: {"detail": "Fine."}'}}]})
+    assert chat.label({}) == "Fine." and clients.ChatClient(s, lambda *a: {}).label({}) is None and isinstance(clients.build_client(s), clients.ChatClient) and clients.build_client(config.LabelSettings()) is None
+    assert clients.MessagesClient(s, lambda *a: {"content": [{"text": '{"detail": "Good."}'}]}).label({}) == "Good."
+    sent = []
+    env = {"GITHUB_TOKEN": "t", "GITHUB_REPOSITORY": "o/r", "PR_NUMBER": "7"}
+    api = clients.PullRequestComments.from_env(env, lambda method, url, *a: sent.append((method, url)) or [])
+    assert report.upsert_comment(api, "x") == "created" and sent[-1][0] == "POST" and sent[-1][1].endswith("/repos/o/r/issues/7/comments")
+    with pytest.raises(ValueError):
+        clients.PullRequestComments.from_env({})
