@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = F.lit("r")
+def repo() -> Column:
+    """The one repository that the tables stand for."""
+    return F.lit("r").alias("repo")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def entity_edges(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | Non
         if tables is not None and table not in tables:
             continue
         src = node(kind, key) if key else F.concat(F.lit("line/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-        some = read(spark, sf_dir, table).select(REPO.alias("repo"), src.alias("src"), node(to, foreign).alias("dst"))
+        some = read(spark, sf_dir, table).select(repo(), src.alias("src"), node(to, foreign).alias("dst"))
         some = some.distinct() if key is None else some
         out = some if out is None else out.unionByName(some)
     return out
@@ -54,7 +56,7 @@ def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey")
     n = c.agg(F.count("*").alias("n"))
     rows = c.join(F.broadcast(n))  # one row
-    return rows.select(REPO.alias("repo"), node("c", "c_custkey").alias("src"), node("c", (F.col("c_custkey") * 7 + 3) % F.col("n")).alias("dst"))
+    return rows.select(repo(), node("c", "c_custkey").alias("src"), node("c", (F.col("c_custkey") * 7 + 3) % F.col("n")).alias("dst"))
 
 
 CYCLIC_SQL = "c AS (SELECT 'c/' || c_custkey AS src, 'c/' || ((c_custkey * 7 + 3) % (SELECT count(*) FROM customer)) AS dst FROM customer)"
@@ -63,7 +65,7 @@ CYCLIC_SQL = "c AS (SELECT 'c/' || c_custkey AS src, 'c/' || ((c_custkey * 7 + 3
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, ordinal, module, line): the hrefs of a page in order, as its imports."""
     p = read(spark, sf_dir, "pages").select(node("page", "page_id").alias("path"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("ordinal", "module"))
-    return p.select(REPO.alias("repo"), "path", "ordinal", "module", (F.col("ordinal") + 1).alias("line"))
+    return p.select(repo(), "path", "ordinal", "module", (F.col("ordinal") + 1).alias("line"))
 
 
 LINKS_SQL = """h AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS ordinal, unnest(l) AS module
@@ -73,7 +75,7 @@ LINKS_SQL = """h AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS ordinal, u
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, line, text): lines of documents, from 1."""
     d = read(spark, sf_dir, "documents").select(node("doc", "doc_id").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
-    return d.select(REPO.alias("repo"), "path", (F.col("n") + 1).alias("line"), "text")
+    return d.select(repo(), "path", (F.col("n") + 1).alias("line"), "text")
 
 
 LINES_SQL = "n AS (SELECT 'doc/' || doc_id AS path, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -82,7 +84,7 @@ LINES_SQL = "n AS (SELECT 'doc/' || doc_id AS path, generate_subscripts(l, 1) AS
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, start, stop): a user's events as spans of hours."""
     start = F.hour("ts") + 1
-    return read(spark, sf_dir, "events").select(REPO.alias("repo"), node("user", "user_id").alias("path"), start.alias("start"), (start + (F.floor("value") % 3).cast("int")).alias("stop"))
+    return read(spark, sf_dir, "events").select(repo(), node("user", "user_id").alias("path"), start.alias("start"), (start + (F.floor("value") % 3).cast("int")).alias("stop"))
 
 
 SPANS_SQL = "v AS (SELECT 'user/' || user_id AS path, CAST(hour(ts) + 1 AS INT) AS start, CAST(hour(ts) + 1 + CAST(floor(value) AS BIGINT) % 3 AS INT) AS stop FROM events)"
@@ -90,7 +92,7 @@ SPANS_SQL = "v AS (SELECT 'user/' || user_id AS path, CAST(hour(ts) + 1 AS INT)
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
-    return line.select(REPO.alias("repo"), node("order", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), "flag", "quantity")
+    return line.select(repo(), node("order", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), "flag", "quantity")
 
 
 def order_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:

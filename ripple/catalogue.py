@@ -110,7 +110,7 @@ def induced_edges(spark, sf_dir):
 @query(f"WITH {a.ENTITY_SQL} SELECT 'nation/' || n_nationkey AS origin, 'supplier/' || s_suppkey AS target FROM nation, supplier WHERE s_suppkey % 25 = n_nationkey EXCEPT SELECT dst, src FROM e")
 def edge_violations(spark, sf_dir):
     supplier = a.read(spark, sf_dir, "supplier")
-    drawn = supplier.join(a.read(spark, sf_dir, "nation"), F.col("s_suppkey") % 25 == F.col("n_nationkey")).select(a.REPO.alias("repo"), a.node("nation", "n_nationkey").alias("origin"), a.node("supplier", "s_suppkey").alias("target"))
+    drawn = supplier.join(a.read(spark, sf_dir, "nation"), F.col("s_suppkey") % 25 == F.col("n_nationkey")).select(a.repo(), a.node("nation", "n_nationkey").alias("origin"), a.node("supplier", "s_suppkey").alias("target"))
     return graph.edge_violations(drawn, a.entity_edges(spark, sf_dir)).select("origin", "target")
 
 
@@ -126,10 +126,10 @@ def edge_proofs(spark, sf_dir):
 
 def _customer_imports(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = a.read(spark, sf_dir, "customer")
-    imports = c.select(a.REPO.alias("repo"), F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit(0).alias("ordinal"), F.concat(F.lit("nation."), F.col("c_nationkey").cast("string")).alias("module"), F.array("c_mktsegment").alias("symbols"), F.lit(1).alias("line"))
+    imports = c.select(a.repo(), F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit(0).alias("ordinal"), F.concat(F.lit("nation."), F.col("c_nationkey").cast("string")).alias("module"), F.array("c_mktsegment").alias("symbols"), F.lit(1).alias("line"))
     nations = a.read(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"))
     rich = c.where("c_acctbal > 9000").select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_mktsegment"), F.lit(".py")).alias("path")).distinct()
-    return imports, nations.unionByName(rich).withColumn("repo", a.REPO)
+    return imports, nations.unionByName(rich).withColumn("repo", a.repo())
 
 
 @query("""WITH x AS (SELECT DISTINCT 'nation/' || c_nationkey || '/' || c_mktsegment AS f FROM customer WHERE c_acctbal > 9000)
@@ -144,7 +144,7 @@ def import_resolution(spark, sf_dir):
   SELECT key, arg_min(path, struct_pack(r := r, o := string_split(path, '/'))) AS target FROM k GROUP BY key""")
 def js_path_index(spark, sf_dir):
     pages = a.read(spark, sf_dir, "pages")
-    files = pages.select(a.REPO.alias("repo"), F.concat(F.regexp_extract("url", r"^[a-z]+://([^?#]*[^/?#])", 1), F.lit(".js")).alias("path")).distinct()
+    files = pages.select(a.repo(), F.concat(F.regexp_extract("url", r"^[a-z]+://([^?#]*[^/?#])", 1), F.lit(".js")).alias("path")).distinct()
     return resolve.script_index(files).select("key", "target")
 
 
@@ -161,14 +161,14 @@ def symbol_uses(spark, sf_dir):
     """Parts are the symbols of one module; suppliers import them by their lines and call them by their large ones."""
     line = a.read(spark, sf_dir, "lineitem")
     path, name = F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string"), F.lit(".py")), F.concat(F.lit("part"), F.col("l_partkey").cast("string"))
-    rows = line.select(a.REPO.alias("repo"), path.alias("path"), name.alias("name"), F.col("l_orderkey").cast("int").alias("ordinal"), F.col("l_linenumber").alias("line"), "l_quantity")
+    rows = line.select(a.repo(), path.alias("path"), name.alias("name"), F.col("l_orderkey").cast("int").alias("ordinal"), F.col("l_linenumber").alias("line"), "l_quantity")
     per_part = rows.select("repo", "path", "name").distinct()
     module = lambda: F.concat(F.lit("parts."), F.col("name"))  # noqa: E731  one module for each part: the edge then is the equi-key
     seed = F.concat(F.lit("parts/"), F.col("name"), F.lit(".py"))
     edges = per_part.select("repo", F.col("path").alias("src"), seed.alias("dst"))
     imports = rows.groupBy("repo", "path", "name").agg(F.min("ordinal").alias("ordinal"), F.min("line").alias("line")).select("repo", "path", "ordinal", module().alias("module"), F.array("name").alias("symbols"), "line")
     calls = rows.where("l_quantity > 40").groupBy("repo", "path", "name").agg(F.min("ordinal").alias("ordinal"), F.min("line").alias("line")).select("repo", "path", "ordinal", F.col("name").alias("callee"), "line")
-    symbols = a.read(spark, sf_dir, "part").select(a.REPO.alias("repo"), F.concat(F.lit("parts/part"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"))
+    symbols = a.read(spark, sf_dir, "part").select(a.repo(), F.concat(F.lit("parts/part"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"))
     return uses.symbol_users(symbols, edges, imports, calls).groupBy("name").agg(F.count("*").alias("n_users"))
 
 
@@ -454,7 +454,7 @@ def line_annotations(spark, sf_dir):
 
     symbols = a.order_definitions(spark, sf_dir).withColumn("detail", F.col("name"))
     spans = a.order_spans(spark, sf_dir)
-    impact = a.read(spark, sf_dir, "orders").select(a.REPO.alias("repo"), a.node("order", "o_orderkey").alias("path"), (F.col("o_totalprice") > 200000).alias("is_danger"), F.col("o_orderpriority").alias("reason"))
+    impact = a.read(spark, sf_dir, "orders").select(a.repo(), a.node("order", "o_orderkey").alias("path"), (F.col("o_totalprice") > 200000).alias("is_danger"), F.col("o_orderpriority").alias("reason"))
     orphans = spans.select("repo", "path", F.col("start").alias("line"), F.lit("changed").alias("detail"))
     return lenses.annotations(symbols, orphans, spans.select("repo", "path").distinct(), impact).select("path", "line", "kind", "text")
 
