@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,27 @@ def tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """imports, definitions, calls: a row for each fact, with its ordinal in the file."""
     part = lambda k: facts.select("repo", "path", F.posexplode(k).alias("ordinal", "x")).select("repo", "path", "ordinal", "x.*")
     return part("imports"), part("definitions"), part("calls")
+
+
+def assignments(files: DataFrame) -> DataFrame:
+    """(repo, path, name, rhs, start, stop, class_name) of Python files: assignments at module level and in top-level classes."""
+    names = ("repo", "path", "name", "rhs", "start", "stop", "class_name")
+
+    def run(batches):
+        for df in batches:
+            rows = [(r, p, *a) for r, p, c in zip(df["repo"], df["path"], df["content"], strict=True) for a in py_parser.assignments(c.decode("utf-8", "replace"))]
+            yield pd.DataFrame(rows, columns=list(names))
+
+    return files.where("language = 'python'").select("repo", "path", "content").mapInPandas(run, "repo string, path string, name string, rhs string, start int, stop int, class_name string")
+
+
+def readers(files: DataFrame, names: DataFrame) -> DataFrame:
+    """names: repo, path, name -> with reader (the innermost definition) and line of each read of the name in its own file."""
+
+    def run(batches):
+        for df in batches:
+            rows = [(r, p, n, *x) for r, p, n, c in zip(df["repo"], df["path"], df["name"], df["content"], strict=True) for x in py_parser.readers(c.decode("utf-8", "replace"), n)]
+            yield pd.DataFrame(rows, columns=["repo", "path", "name", "reader", "line"])
+
+    asked = files.where("language = 'python'").select("repo", "path", "content").join(names.select("repo", "path", "name").distinct(), ["repo", "path"])
+    return asked.select("repo", "path", "name", "content").mapInPandas(run, "repo string, path string, name string, reader string, line int")

@@ -158,6 +158,19 @@ def test_ladder(text, expected):
     assert blocks.caption(blocks.Block(text)) == expected
 
 
+def test_clip():
+    assert blocks.clip("a  b\nc", 10) == "a b c" and blocks.clip("alpha beta gamma delta", 16) == "alpha beta…" and blocks.clip("x" * 20, 10) == "x" * 9 + "…"
+    assert blocks.clip("aaaaaaaa(bbbbbbbbbb", 14) == "aaaaaaaa(…" and blocks.balanced("f([{}])") and not blocks.balanced("f(]") and not blocks.balanced("(")
+
+
+def test_clip_column(spark):
+    from ripple.functions import scalars
+
+    texts = ["a  b\nc", "alpha beta gamma delta", "x" * 20, "aaaaaaaa(bbbbbbbbbb", "one, two,three four", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.clip("t", 14), scalars.clip("t", 9)).collect()
+    assert [tuple(r) for r in df] == [(blocks.clip(t, 14), blocks.clip(t, 9)) for t in texts]
+
+
 def test_collapse():
     b = lambda line, detail, doc=False, n=1: {"line": line, "lines": list(range(line, line + n)), "detail": detail, "docstring": doc}
     assert [x["detail"] for x in blocks.collapse([b(2, "Added a blank line."), b(5, "Sets `a` to `1`."), b(9, "Returns `9`.")], 1)] == ["Returns `9`."]
@@ -259,3 +272,11 @@ def test_apply_labels(spark, repo):
     assert report.upsert_comment(api, "x") == "created" and sent[-1][0] == "POST" and sent[-1][1].endswith("/repos/o/r/issues/7/comments")
     with pytest.raises(ValueError):
         clients.PullRequestComments.from_env({})
+
+
+def test_ledger_tables(spark):
+    text = "LIMIT = 3\nclass C:\n    A = 1\n    def f(self):\n        return LIMIT + self.A\n"
+    files = facts.from_contents(spark.createDataFrame([("r", "a.py", bytearray(text.encode())), ("r", "b.ts", bytearray(b"const A = 1")), ("r", "bad.py", bytearray(b"def ("))], "repo string, path string, content binary"))
+    rows = facts.assignments(files)
+    assert sorted((r["name"], r["rhs"], r["start"], r["class_name"]) for r in rows.collect()) == [("A", "1", 3, "C"), ("LIMIT", "3", 1, None)]
+    assert sorted((r["name"], r["reader"], r["line"]) for r in facts.readers(files, rows).collect()) == [("A", "f", 5), ("LIMIT", "f", 5)]
