@@ -38,10 +38,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ripple/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage, and lost executors lose nothing."""
+#: Rows of a narrow table in one file.
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """
+    ``df`` written to the shared folder and read again: short lineage, and lost executors lose nothing. ``rows``: a bound on
+    a narrow table's rows; it is then written as few files, not as one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -95,14 +104,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     At most ``bound`` documents of each label value with a text of at most ``max_bytes`` bytes,
     as columns doc_id, text, label.
 
-    The labels come first: candidates are the ``2 * bound`` smallest of xxhash64(doc_id) for each value,
+    The labels come first: candidates are the ``1.25 * bound`` smallest of xxhash64(doc_id) for each value,
     so the sample is the same at every partitioning and its size never depends on the corpus.
     A doc_id with several labels takes the largest; null ids or labels are no examples.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.where("label = 1").orderBy(*order).limit(2 * bound).unionByName(known.where("label = 0").orderBy(*order).limit(2 * bound))
-    # at most 4 * bound ids: a proven size for the broadcast
+    some = known.where("label = 1").orderBy(*order).limit(bound + bound // 4).unionByName(known.where("label = 0").orderBy(*order).limit(bound + bound // 4))
+    # at most 2.5 * bound ids: a proven size for the broadcast
     texts = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= max_bytes)
     got = texts.join(F.broadcast(some), "doc_id")
     return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -95,16 +95,17 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
         F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), shuffle_key(seed).alias("h"), F.xxhash64("text").alias("h2"),
     )
     narrow = common.written(narrow, "mix")
-    bits = max(0, math.ceil(math.log2(max(1, narrow.count()) / RANGE_ROWS)))
+    n = narrow.count()
+    bits = max(0, math.ceil(math.log2(max(1, n) / RANGE_ROWS)))
     narrow = narrow.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
     source = ["no_source", "source_key"]
-    ranges = common.written(narrow.groupBy(*source, "range").agg(F.sum("size").alias("range_size")), "ranges")
+    ranges = common.written(narrow.groupBy(*source, "range").agg(F.sum("size").alias("range_size")), "ranges", n)
     sources = ranked(ranges.groupBy(*source).agg(F.sum("range_size").alias("source_size")))
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     sources = sources.withColumn("weight", turn.cast("long"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     budget = total * share[0] / share[1]
-    sources = common.written(with_targets(sources, budget, passes), "targets")
+    sources = common.written(with_targets(sources, budget, passes), "targets", n)
     # Joined by source and range: a hot source's rows are many small groups here, so no side is broadcast.
     before = Window.partitionBy(*source).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).join(sources.select(*source, "source_size", "target"), source).drop("range_size")
@@ -113,7 +114,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     finish = [F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("until") + p * F.col("source_size")) / F.col("target")) for p in range(passes)]
     queue = queue.select("row", "size", "source_size", "target", F.array(*finish).alias("finish"))
     # only sizes and times are written for the cut: the rows themselves may hold texts
-    times = common.written(queue.select("size", "finish"), "times")
+    times = common.written(queue.select("size", "finish"), "times", n)
     cut = budget_cut(times.select("size", F.explode("finish").alias("f")).where("f is not null"), budget)
     taken = F.aggregate("finish", F.lit(0).cast("long"), lambda n, f: n + F.when(f <= cut, F.col("size")).otherwise(0))
     out = queue.select("row", "size", "source_size", "target", taken.alias("taken"), "finish")

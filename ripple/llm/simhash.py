@@ -351,13 +351,14 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     node, label: the smallest node of its component, for every node of ``edges`` (a, b). Each round takes the least label
     among neighbours, then the label's label; it ends when nothing changes. Counts are all that the driver sees.
     """
-    both = common.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    now = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name)
+    n = 2 * edges.count()
+    both = common.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", n)
+    now = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name, n)
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = now.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = now.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        step = common.written(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) != F.col("label")).alias("changed")), name)
+        step = common.written(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) != F.col("label")).alias("changed")), name, n)
         now = step.select("node", "label")
         if step.where("changed").isEmpty():
             return now
@@ -386,7 +387,7 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
     printed = common.written(sketched(key, words, ("doc_id", "_hash")), "sketches")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
-    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
     n = nodes.count()
     pairs = links(nodes.select("id", "fp"), n, wide, sampled_tables(n), nearest=True)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -397,7 +398,7 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a_sketch", "b_sketch"))
             yield batch.select(["a", "b"]).filter(pa.array(similarity(x, y) >= least))
 
-    edges = common.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike")
+    edges = common.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
     joined = nodes.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     kept = joined.groupBy("label").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
@@ -411,8 +412,10 @@ def _near_duplicates(docs: DataFrame, words: int, radius: int, keep: tuple[str,
     keep = tuple(dict.fromkeys(("doc_id", *keep)))
     printed = common.written(fingerprints(docs, words, keep), "fingerprints")
     first = F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"))
-    distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    edges = common.written(links(distinct.select(F.col("fp").alias("id"), "fp"), distinct.count(), radius), "links")
+    distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first")), "distinct", printed.count())
+    n = distinct.count()
+    # the comparison keeps its own tasks; its few links are dealt out anew for few files
+    edges = common.written(links(distinct.select(F.col("fp").alias("id"), "fp"), n, radius).repartition(max(8, n // common.FILE_ROWS)), "links")
     label = components(edges)
     joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("label").agg(F.min("first").alias("least"))

@@ -119,7 +119,7 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("pk")).withColumn("key", F.sha1("payload"))
     narrow = rows.groupBy("key", "pk", "page_id").agg(F.max(F.octet_length("payload")).alias("bytes"))
     heads = narrow.groupBy("key").agg(F.max("page_id").alias("head"))
-    roles = common.written(narrow.join(heads, "key"), "roles").select("key", "pk", "head", "bytes")
+    roles = common.written(narrow.join(heads, "key"), "roles", pages.count()).select("key", "pk", "head", "bytes")
     # joined by (payload, page): a payload that a third of all pages share is many keys here
     joined = rows.join(roles, ["key", "pk"])
     nth = F.row_number().over(Window.partitionBy("key", "pk").orderBy(F.col("url").asc_nulls_last()))
