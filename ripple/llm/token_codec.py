@@ -24,6 +24,7 @@ BLOCK, LANES = 4096, 4096
 #: The order-0 list is first built after so many ids.
 FIRST = 32
 _N1, _N2 = 512, 1024
+_RATE, _ONE = np.int32(65000 - 536), np.int32(65536)
 _FULL, _LOW, _MASK = 1 << 48, np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 _HEAD = struct.Struct("<4sIII")
 MAGIC = b"IDB1"
@@ -34,49 +35,62 @@ class _Model:
 
     def __init__(self, n: int, length: int, used: np.ndarray | None = None):
         """used: when encoding, the ids that occur; where each is in its block's list is then kept."""
-        self.lane = np.arange(n)
+        self.lane, self.wide = np.arange(n, dtype=np.int32), n
         self.l1, self.l2, self.l16 = self.lane * _N1, self.lane * _N2, self.lane * 16
         self.known, self.place = 0, None
         if used is not None:
             self.lv = self.lane * len(used)
-            self.number = np.zeros(65536, np.int64)
+            self.number = np.zeros(65536, np.int32)
             self.number[used] = np.arange(len(used))
             self.place = np.full(n * len(used), 65535, np.uint16)
         self.t1, self.t2 = np.zeros(n * _N1, np.int32), np.zeros(n * _N2, np.int32)
         self.h1, self.h2 = np.full(n * 16, 8192, np.int32), np.full(n * 16, 16384, np.int32)
         self.e = np.full(n, 16384, np.int32)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.bounds = np.zeros((5, n), np.int32)  # where the parts of order 2, order 1, order 0 and new ids begin, and the end
+        self.bounds[4] = 65536
+        self.flat = self.bounds.reshape(-1)
         self.past = np.zeros((length, n), np.uint16)
 
     def predict(self, n: int):
-        i1 = self.l1[:n] + ((self.last[:n] * 40503 >> 4) & (_N1 - 1))
-        i2 = self.l2[:n] + ((self.last[:n] * 2654435761 ^ self.before[:n] * 2246822519) >> 13 & (_N2 - 1))
+        """(order 1's id, order 2's id); the ends of their parts of the code space, and of order 0's, are put in ``bounds``."""
+        last, before = self.last[:n], self.before[:n]
+        i1 = self.l1[:n] + (last * 40503 >> 4 & (_N1 - 1))
+        i2 = self.l2[:n] + ((last * 40507 ^ before * 30011) >> 5 & (_N2 - 1))
         v1, v2 = self.t1[i1], self.t2[i2]
         s1, s2 = v1 & 65535, v2 & 65535
         same = s1 == s2
         k2 = self.l16[:n] + ((v2 >> 16 << 1) + same)
         k1 = self.l16[:n] + (v1 >> 16)
-        a2 = self.h2[k2]
+        a2, p1 = self.h2[k2], self.h1[k1]
         rest = 65536 - a2
-        a1 = np.where(same, 0, ((rest >> 1) * (self.h1[k1] >> 1) >> 14) + 1)
-        rest = rest - a1
-        self._at = i1, i2, v1, v2, k1, k2, same
-        new = (rest * (self.e[:n] >> 4) >> 12) + 1 if self.known else rest - 1
-        return s1, s2, a2, a2 + a1, 65536 - new
+        a1 = ((rest >> 1) * (p1 >> 1) >> 14) + 1
+        a1 *= ~same
+        rest -= a1
+        self._at = i1, i2, v1, v2, k1, k2, same, a2, p1
+        b = self.bounds
+        b[1, :n] = a2
+        np.add(a2, a1, out=b[2, :n])
+        b[3, :n] = 65536 - ((rest * (self.e[:n] >> 4) >> 12) + 1 if self.known else rest - 1)
+        return s1, s2
+
+    def part(self, n: int, kind: np.ndarray):
+        """(start, size) of the part of the code space that each block's ``kind`` has, unsigned."""
+        at = kind * self.wide + self.lane[:n]
+        start = self.flat[at]
+        return start.astype(np.uint64), (self.flat[at + self.wide] - start).astype(np.uint64)
 
     def learn(self, n: int, t: int, ids: np.ndarray, kind: np.ndarray):
         """ids: the step's ids; kind: 0 order 2, 1 order 1, 2 order 0, 3 new."""
-        i1, i2, v1, v2, k1, k2, same = self._at
+        i1, i2, v1, v2, k1, k2, same, a2, p1 = self._at
         hit2, hit1 = kind == 0, (v1 & 65535) == ids
-        h = self.h2[k2]
-        self.h2[k2] = h + ((np.where(hit2, 65000, 536) - h) >> 5)
-        h = self.h1[k1]
-        self.h1[k1] = np.where(hit2 | same, h, h + ((np.where(hit1, 65000, 536) - h) >> 5))
+        self.h2[k2] = a2 + ((hit2 * _RATE + 536 - a2) >> 5)
+        self.h1[k1] = p1 + ((hit1 * _RATE + 536 - p1) * ~(hit2 | same) >> 5)
         e = self.e[:n]
-        self.e[:n] = np.where(kind >= 2, e + ((np.where(kind == 3, 64000, 256) - e) >> 5), e)
-        fresh = ids.astype(np.int32) + 65536
-        self.t2[i2] = np.where(hit2, np.where(v2 < 7 << 16, v2 + 65536, v2), fresh)
-        self.t1[i1] = np.where(hit1, np.where(v1 < 7 << 16, v1 + 65536, v1), fresh)
+        e += (np.where(kind == 3, 64000, 256).astype(np.int32) - e) * (kind >= 2) >> 5
+        fresh = ids + 65536
+        self.t2[i2] = np.where(hit2, v2 + (v2 < 7 << 16) * _ONE, fresh)
+        self.t1[i1] = np.where(hit1, v1 + (v1 < 7 << 16) * _ONE, fresh)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         self.past[t, :n] = ids
@@ -141,13 +155,11 @@ def _encode_group(ids: np.ndarray) -> bytes:
         n = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % 256 == 0 and (int(at.max()) + 520) * lanes > len(out):  # two digits an id at most
             out = np.concatenate([out, np.zeros((length // 2 + 1024) * lanes, np.uint32)])
-        x = ids[starts[:n] + t].astype(np.int64)
-        s1, s2, b1, b2, b3 = model.predict(n)
+        x = ids[starts[:n] + t].astype(np.int32)
+        s1, s2 = model.predict(n)
         place = model.place[model.lv[:n] + model.number[x]]
-        kind = np.where(x == s2, 0, np.where(x == s1, 1, np.where(place != 65535, 2, 3)))
-        start = np.where(kind == 0, 0, np.where(kind == 1, b1, np.where(kind == 2, b2, b3)))
-        stop = np.where(kind == 0, b1, np.where(kind == 1, b2, np.where(kind == 2, b3, 65536)))
-        put(slice(0, n), start.astype(np.uint64), (stop - start).astype(np.uint64), rng[:n] >> s16)
+        kind = np.where(x == s2, 0, np.where(x == s1, 1, np.where(place != 65535, 2, 3))).astype(np.int32)
+        put(slice(0, n), *model.part(n, kind), rng[:n] >> s16)
         more = np.flatnonzero(kind >= 2)
         if len(more):
             old = kind[more] == 2
@@ -218,14 +230,15 @@ def _decode_group(data: bytes, heads: list[tuple[int, int, int, int]]) -> np.nda
 
     for t in range(length):
         n = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
-        s1, s2, b1, b2, b3 = model.predict(n)
+        s1, s2 = model.predict(n)
+        b = model.bounds
         r = rng[:n] >> s16
-        v = np.minimum(off[:n] // r, np.uint64(65535)).astype(np.int64)
-        kind = (v >= b1).astype(np.int64) + (v >= b2) + (v >= b3)
-        start = np.where(kind == 0, 0, np.where(kind == 1, b1, np.where(kind == 2, b2, b3)))
-        stop = np.where(kind == 0, b1, np.where(kind == 1, b2, np.where(kind == 2, b3, 65536)))
-        take(slice(0, n), start.astype(np.uint64), (stop - start).astype(np.uint64), r)
-        x = np.where(kind == 0, s2, s1).astype(np.int64)
+        v = np.minimum(off[:n] // r, np.uint64(65535)).astype(np.int32)
+        kind = (v >= b[1, :n]).astype(np.int32)
+        kind += v >= b[2, :n]
+        kind += v >= b[3, :n]
+        take(slice(0, n), *model.part(n, kind), r)
+        x = np.where(kind == 0, s2, s1)
         more = np.flatnonzero(kind >= 2)
         if len(more):
             old = kind[more] == 2
