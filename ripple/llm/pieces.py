@@ -23,7 +23,7 @@ from . import common
 
 MARK = "▁"
 #: Chunks that a worker remembers; beyond that the table starts anew. Longer chunks are not kept.
-CHUNKS, CHUNK_CHARS = 400_000, 64
+CHUNKS, CHUNK_CHARS = 300_000, 64
 
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n[^ {MARK}\n]*")
 

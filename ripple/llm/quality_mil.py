@@ -133,7 +133,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 40, batc
 
 def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
     """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 4 * bound rows of max_bytes at most
+    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
     rows = common.take_bound(rows, bound)
     xs, cs = [np.zeros((0, FEATURES), np.float32)], [np.zeros(0, np.int64)]
     for lo in range(0, len(rows), 200):

@@ -122,7 +122,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
     """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0, which leaves rows to test it on."""
-    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 4 * bound rows of max_bytes at most
+    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
     rows = common.take_bound(rows, bound)
     parts = [vectors(*common.array_bytes(pa.array([r["text"] for r in rows[lo : lo + 200]], pa.large_string()))) for lo in range(0, len(rows), 200)]
     return fit(np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32), np.array([r["label"] for r in rows], np.float64))

@@ -31,7 +31,7 @@ BOUND, MAX_BYTES = 2000, 20_000
 #: Log-odds of a sentence without offending words, at most: thousands of them must not add up to a toxic document.
 HARMLESS = -9.0
 #: Distinct words whose weights a task remembers.
-MEMO = 400_000
+MEMO = 250_000
 
 # ASCII letters, digits and bytes of longer characters make words; these end a sentence; all else is space.
 _ENDS = b".!?\n"
@@ -171,7 +171,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, keep:
 
 def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
     """Fits on the labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
-    rows = common.labelled_sample(docs, labels, "toxic", bound, common.fold_of("doc_id", 3) != 1, max_bytes).collect()  # 4 * bound rows of max_bytes at most
+    rows = common.labelled_sample(docs, labels, "toxic", bound, common.fold_of("doc_id", 3) != 1, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
     return fit([(r["text"], r["label"]) for r in common.take_bound(rows, bound)])
 
 
