@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..shipping import ship
 
 REVISION = "1"
 MEMORY = 512
@@ -175,7 +176,7 @@ def label_table(packs: DataFrame, make_client: Callable[[], LabelClient | None],
             packs_ = [json.loads(x) for x in df["pack"]]
             yield pd.DataFrame({"fingerprint": df["fingerprint"], "label": [label_one(x, client, model) for x in packs_]})
 
-    got = todo.select("fingerprint", F.to_json("pack").alias("pack")).repartition(tasks).mapInPandas(run, "fingerprint string, label string")
+    got = ship(todo).select("fingerprint", F.to_json("pack").alias("pack")).repartition(tasks).mapInPandas(run, "fingerprint string, label string")
     got = got.unionByName(known.select("fingerprint", "label")) if known is not None else got
     return rows.join(got, "fingerprint", "left")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import language_of
 from ..functions.rules import SOURCE_SUFFIXES
+from ..shipping import ship
 from . import js_parser, py_parser
 
 VERSION = 1
@@ -52,7 +53,7 @@ def parse_contents(contents: DataFrame) -> DataFrame:
 
     kinds = {"line": pa.int32(), "symbols": pa.list_(pa.string())}
     schema = pa.schema([("digest", pa.string()), ("language", pa.string()), ("parse_ok", pa.bool_()), *((k, pa.list_(pa.struct([(n, kinds.get(n, pa.string())) for n in names]))) for k, names in _PARTS.items())])
-    return contents.mapInArrow(run, FACTS)
+    return ship(contents).mapInArrow(run, FACTS)
 
 
 def facts_of(files: DataFrame, cache: str | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def assignments(files: DataFrame) -> DataFrame:
             rows = [(r, p, *a) for r, p, c in zip(df["repo"], df["path"], df["content"], strict=True) for a in py_parser.assignments(c.decode("utf-8", "replace"))]
             yield pd.DataFrame(rows, columns=list(names))
 
-    return files.where("language = 'python'").select("repo", "path", "content").mapInPandas(run, "repo string, path string, name string, rhs string, start int, stop int, class_name string")
+    return ship(files).where("language = 'python'").select("repo", "path", "content").mapInPandas(run, "repo string, path string, name string, rhs string, start int, stop int, class_name string")
 
 
 def readers(files: DataFrame, names: DataFrame) -> DataFrame:
@@ -106,4 +107,4 @@ def readers(files: DataFrame, names: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["repo", "path", "name", "reader", "line"])
 
     asked = files.where("language = 'python'").select("repo", "path", "content").join(names.select("repo", "path", "name").distinct(), ["repo", "path"])
-    return asked.select("repo", "path", "name", "content").mapInPandas(run, "repo string, path string, name string, reader string, line int")
+    return ship(asked).select("repo", "path", "name", "content").mapInPandas(run, "repo string, path string, name string, reader string, line int")

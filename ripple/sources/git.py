@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.rules import SOURCE_SUFFIXES
+from ..shipping import ship
 from .overlay import changed_spans
 
 SCHEMAS = {
@@ -153,6 +154,7 @@ class GitSource(DataSource):
 
 
 def read(spark: SparkSession, root: str, table: str = "files", base: str = "main", mode: str = "local"):
+    ship(spark.range(0))
     spark.dataSource.register(GitSource)
     return spark.read.format("ripple_git").option("path", root).option("table", table).option("base", base).option("mode", mode).load()
 

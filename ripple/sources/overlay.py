@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def parse_overlays(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """keep..., path, text: the entries of a JSON object of strings."""
@@ -52,4 +54,4 @@ def text_spans(pairs: DataFrame) -> DataFrame:
             rows = [(r, p, x, y) for r, p, b, t in zip(df["repo"], df["path"], df["base"], df["text"], strict=True) for x, y in changed_spans(b or "", t or "")]
             yield pd.DataFrame(rows, columns=["repo", "path", "start", "stop"])
 
-    return pairs.select("repo", "path", "base", "text").mapInPandas(run, "repo string, path string, start int, stop int")
+    return ship(pairs).select("repo", "path", "base", "text").mapInPandas(run, "repo string, path string, start int, stop int")
