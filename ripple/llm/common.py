@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of a Python operator looks at together (a longer text is a step of its own).
@@ -86,7 +88,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in steps(batch, column):
                 yield f(part)
 
-    return df.mapInArrow(run, schema)
+    return ship(df).mapInArrow(run, schema)
 
 
 def array_bytes(column: pa.Array):

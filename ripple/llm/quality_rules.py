@@ -23,7 +23,7 @@ FEATURES = CHARS + WORDS
 #: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
 BOUND, MAX_BYTES = 2500, 30_000
 #: Probability of good quality from which a row that passes the base rules is kept.
-KEEP = 0.1
+KEEP = 0.05
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 BITS = 64
@@ -343,7 +344,7 @@ def links(distinct: DataFrame, n: int, radius: int, masks: list[int] | None = No
             if out is not None:
                 yield out
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return ship(dealt).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -398,7 +399,7 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a_sketch", "b_sketch"))
             yield batch.select(["a", "b"]).filter(pa.array(similarity(x, y) >= least))
 
-    edges = common.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike", n)
+    edges = common.written(ship(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
     joined = nodes.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     kept = joined.groupBy("label").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))

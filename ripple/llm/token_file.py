@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common, token_codec
 from .warc import open_file
 
@@ -151,7 +152,7 @@ def write_tokens(docs: DataFrame, directory: str, files: int, path=tokenizer_pat
             size, ids = writer.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "part": TaskContext.get().partitionId(), "docs": len(writer.ids), "ids": ids, "bytes": size}])
 
-    return common.written(rows.mapInArrow(run, "file string, part long, docs long, ids long, bytes long"), "token-manifest")
+    return common.written(ship(rows).mapInArrow(run, "file string, part long, docs long, ids long, bytes long"), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -176,7 +177,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False
                     yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return files.repartition(max(1, manifest.count())).mapInArrow(run, schema)
+    return ship(files).repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
 def n_files(docs: DataFrame) -> int:

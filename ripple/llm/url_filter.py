@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 #: Segments that have levels of their own; what follows is one more segment.
@@ -149,7 +150,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
         return merge_siblings(group.sort_values("template")).assign(host=key[0])
 
-    judged = common.written(sums.groupBy("host").applyInPandas(merge, "template string, merged string, share double, host string"), "judged")
+    judged = common.written(ship(sums).groupBy("host").applyInPandas(merge, "template string, merged string, share double, host string"), "judged")
     of_path = named.join(judged, ["host", "template"]).select("host", "path", "template", "merged", F.col("share").alias("bad_share"))
     verdict = F.coalesce("_decided", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow"))
     out = rows.drop("template", "merged", "bad_share", "verdict").join(of_path, ["host", "path"])

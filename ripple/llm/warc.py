@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 DATE = "2024-01-01T00:00:00Z"
@@ -144,7 +145,7 @@ def write_archives(roles: DataFrame, directory: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["archive", "captures", "bytes"])
 
-    return common.written(roles.mapInArrow(run, "archive string, captures long, bytes long"), "manifest")
+    return common.written(ship(roles).mapInArrow(run, "archive string, captures long, bytes long"), "manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("archive").repartition(max(1, files)).mapInArrow(run, RECORD)
+    return ship(manifest).select("archive").repartition(max(1, files)).mapInArrow(run, RECORD)
 
 
 def transactions(records: DataFrame, payloads: bool = True) -> DataFrame:
