@@ -72,7 +72,7 @@ def rings_cyclic(spark, sf_dir):
 
 def _kept_sql() -> str:
     """Level by level: kept files of a ring are those from which a path of any length leads to a kept file of the ring before."""
-    out = _closure_sql(a.ENTITY_SQL, "e", "SELECT 'region/0' AS path") + ", k1 AS (SELECT path FROM m WHERE hops = 1 AND CAST(split_part(path, '/', 2) AS INT) % 2 = 0)"
+    out = _closure_sql(a.ENTITY_SQL, "e", "SELECT 'region/0' AS path") + ", k1 AS (SELECT path FROM m WHERE hops = 1 AND path IN (SELECT 'nation/' || c_nationkey FROM customer WHERE c_acctbal > 9900))"
     for n in (2, 3, 4):
         out += f", u{n}(path) AS (SELECT e.src FROM e JOIN k{n - 1} k ON e.dst = k.path UNION SELECT e.src FROM e JOIN u{n} u ON e.dst = u.path), k{n} AS (SELECT m.path FROM m WHERE hops = {n} AND path IN (SELECT path FROM u{n}))"
     return out + "".join(f"{' UNION ALL' * (n > 1)} SELECT path, CAST({n} AS INT) AS hops FROM k{n}" for n in (1, 2, 3, 4))
@@ -82,7 +82,8 @@ def _kept_sql() -> str:
 def rings_minus_seeds_filtered(spark, sf_dir):
     edges = a.entity_edges(spark, sf_dir)
     rings = graph.rings(edges, _seeds(spark, "region/0"))
-    proven = rings.where((F.col("hops") == 1) & (F.substring_index("path", "/", -1).cast("int") % 2 == 0))
+    rich = a.read(spark, sf_dir, "customer").where("c_acctbal > 9900").select(a.repo(), a.node("nation", "c_nationkey").alias("path"))
+    proven = rings.where("hops = 1").join(rich, ["repo", "path"], "left_semi")
     return graph.filter_rings(rings, edges, proven).select("path", "hops")
 
 
@@ -267,9 +268,9 @@ def coalesce_spans(spark, sf_dir):
     return intervals.coalesce_spans(a.event_spans(spark, sf_dir)).select("path", "start", "stop")
 
 
-@query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE strlen(text) % 2 = 0) SELECT path, CAST(min(line) AS INT) AS start, CAST(max(line) AS INT) AS stop, count(*) AS n_lines FROM k GROUP BY path, i")
+@query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE contains(text, ',')) SELECT path, CAST(min(line) AS INT) AS start, CAST(max(line) AS INT) AS stop, count(*) AS n_lines FROM k GROUP BY path, i")
 def line_runs(spark, sf_dir):
-    lines = a.document_lines(spark, sf_dir).where(F.octet_length("text") % 2 == 0)
+    lines = a.document_lines(spark, sf_dir).where(F.contains("text", F.lit(",")))
     return intervals.line_runs(lines).select("path", "start", "stop", "n_lines")
 
 
@@ -295,12 +296,12 @@ def comment_only(spark, sf_dir):
     return a.document_lines(spark, sf_dir).groupBy("path").agg(F.bool_and(p.is_comment_or_blank("text")).alias("comment_only"))
 
 
-@query(f"""WITH {a.LINES_SQL}, f AS (SELECT path, line AS at_line FROM n WHERE trim(text, ' ') <> ''), w AS (SELECT path, line FROM n WHERE line % 3 = 1),
+@query(f"""WITH {a.LINES_SQL}, f AS (SELECT path, line AS at_line FROM n WHERE trim(text, ' ') <> ''), w AS (SELECT path, line FROM n),
   j AS (SELECT w.path, w.line, at_line, CASE WHEN at_line >= w.line THEN at_line - w.line ELSE 12 + w.line - at_line END AS r FROM w JOIN f ON f.path = w.path AND abs(at_line - w.line) <= 12),
   b AS (SELECT path, line, arg_min(at_line, r) AS c FROM j GROUP BY ALL) SELECT w.path, CAST(w.line AS INT) AS line, CAST(coalesce(c, w.line) AS INT) AS code_line FROM w LEFT JOIN b ON b.path = w.path AND b.line = w.line""")
 def code_lines(spark, sf_dir):
     lines = a.document_lines(spark, sf_dir)
-    return intervals.next_to(lines, lines.where("line % 3 = 1").select("repo", "path", "line")).select("path", "line", "code_line")
+    return intervals.next_to(lines, lines.select("repo", "path", "line")).select("path", "line", "code_line")
 
 
 # Top k, caps
@@ -395,10 +396,17 @@ def sentence_counts(spark, sf_dir):
     return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", s.sentence_count("text").cast("int").alias("n_sentences"))
 
 
-@query("SELECT doc_id, CASE WHEN strpos(text, 'AST (Abstract Syntax Tree)') = 0 THEN regexp_replace(text, '\\bAST\\b', 'AST (Abstract Syntax Tree)') ELSE text END AS text FROM (SELECT doc_id, replace(text, 'the', 'AST') AS text FROM documents WHERE text NOT LIKE '%BFS%' AND text NOT LIKE '%DFS%' AND text NOT LIKE '%HUD%' AND text NOT LIKE '%CLI%' AND text NOT LIKE '%(%')")
+def _acronym_sql() -> str:
+    t = "replace(replace(text, 'the', 'AST'), '(', '[')"
+    for short, full in rules.ACRONYMS:
+        t = f"(SELECT CASE WHEN strpos(x, '{short} ({full})') = 0 THEN regexp_replace(x, '\\b{short}\\b', '{short} ({full})') ELSE x END FROM (SELECT {t} AS x))"
+    return f"SELECT doc_id, {t} AS text FROM documents"
+
+
+@query(_acronym_sql())
 def acronym_first(spark, sf_dir):
-    d = a.read(spark, sf_dir, "documents").where(~p.contains_any("text", ("BFS", "DFS", "HUD", "CLI", "(")))
-    return d.select("doc_id", s.expand_acronyms(F.replace("text", F.lit("the"), F.lit("AST"))).alias("text"))
+    text = F.replace(F.replace("text", F.lit("the"), F.lit("AST")), F.lit("("), F.lit("["))
+    return a.read(spark, sf_dir, "documents").select("doc_id", s.expand_acronyms(text).alias("text"))
 
 
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 110 THEN t ELSE rtrim(substr(t, 1, 109)) || '…' END AS bullet FROM c""")
@@ -459,11 +467,11 @@ def line_annotations(spark, sf_dir):
     return lenses.annotations(symbols, orphans, spans.select("repo", "path").distinct(), impact).select("path", "line", "kind", "text")
 
 
-@query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE strlen(text) % 2 = 0), r AS (SELECT path, min(line) AS start FROM k GROUP BY path, i) SELECT path, CAST(start AS INT) AS start, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start) AS nth FROM r) WHERE nth <= 6")
+@query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE contains(text, ',')), r AS (SELECT path, min(line) AS start FROM k GROUP BY path, i) SELECT path, CAST(start AS INT) AS start, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start) AS nth FROM r) WHERE nth <= 6")
 def run_anchors(spark, sf_dir):
     from .plans import lenses
 
-    return lenses.anchors(a.document_lines(spark, sf_dir).where(F.octet_length("text") % 2 == 0)).select("path", "start", "nth")
+    return lenses.anchors(a.document_lines(spark, sf_dir).where(F.contains("text", F.lit(",")))).select("path", "start", "nth")
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '`([^`]+)`', 1)) AS INT) AS n_ticks, regexp_matches(lower(text), 'other code may call|see implementation|is defined here') AS weak FROM documents")

@@ -61,9 +61,12 @@ def orphan_runs(definitions: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def next_to(lines: DataFrame, wanted: DataFrame, reach: int = 12) -> DataFrame:
-    """For each wanted line the nearest that is not blank: itself, else up to ``reach`` lines after, else before. lines: repo, path, line, text."""
-    full = lines.where(F.trim("text") != "").select(*KEY, F.col("line").alias("at"))
-    near = wanted.join(full, KEY).where(F.abs(F.col("at") - F.col("line")) <= reach)
-    rank = F.when(F.col("at") >= F.col("line"), F.col("at") - F.col("line")).otherwise(reach + F.col("line") - F.col("at"))
-    best = near.groupBy(*KEY, "line").agg(F.min_by("at", rank).alias("code_line"))
-    return wanted.join(best, [*KEY, "line"], "left").withColumn("code_line", F.coalesce("code_line", "line"))
+    """
+    For each wanted line the nearest that is not blank: itself, else up to ``reach`` lines after, else before, else itself. lines: repo,
+    path, line, text. Two range frames over each file's lines find both neighbours in one pass.
+    """
+    order = Window.partitionBy(*KEY).orderBy("line")
+    full = F.when(F.trim("text") != "", F.col("line"))
+    after, before = F.min(full).over(order.rangeBetween(0, reach)), F.max(full).over(order.rangeBetween(-reach, -1))
+    near = lines.select(*KEY, "line", F.coalesce(after, before).alias("code_line"))
+    return wanted.join(near, [*KEY, "line"], "left").withColumn("code_line", F.coalesce("code_line", "line"))
