@@ -9,6 +9,7 @@ executor costs one hop at most.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hops: int | None = None) -> DataFrame:
+def prepared(edges: DataFrame, reverse: bool = True) -> DataFrame:
+    """(repo, path, next): the steps of a fixpoint, hashed by their start and kept for all hops; several fixpoints may share them."""
+    near, far = ("dst", "src") if reverse else ("src", "dst")
+    steps = edges.select("repo", F.col(near).alias("path"), F.col(far).alias("next")).where(F.col("path") != F.col("next"))
+    return steps.repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hops: int | None = None, steps: DataFrame | None = None) -> DataFrame:
     """
     (repo, path, hops) of every node reached from ``seeds`` (repo, path), seeds at hop 0: the shortest distance. Against the edges
     if ``reverse`` (importers), along them otherwise. Seeds need not occur in ``edges``; cycles and self edges are harmless.
     """
-    near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select("repo", F.col(near).alias("path"), F.col(far).alias("next")).where(F.col("path") != F.col("next")).repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    own = steps is None
+    steps = prepared(edges, reverse) if own else steps
     frontier = seen = cut_lineage(seeds.select(*KEY).distinct().withColumn("hops", F.lit(0)))
     n, total, hop = seen.count(), 0, 0
     while n and (max_hops is None or hop < max_hops):
@@ -44,7 +52,8 @@ def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hop
         n = frontier.count()
         if n:
             seen = seen.unionByName(frontier)
-    steps.unpersist()
+    if own:
+        steps.unpersist()
     return seen
 
 
@@ -53,12 +62,17 @@ def rings(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     return closure(edges, seeds, max_hops=max_hops).where(F.col("hops") > 0)
 
 
-def reaches_any(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+def reaches_any(edges: DataFrame, sources: DataFrame, targets: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """The ``sources`` (repo, path) from which at least one import path of one or more steps leads to a target: one fixpoint for all."""
-    up = closure(edges, targets)
+    own = steps is None
+    steps = prepared(edges) if own else steps
+    up = closure(edges, targets, steps=steps)
     # a target counts as a source only over a path that leads back to a target
-    first = edges.join(up.select("repo", F.col("path").alias("dst")), ["repo", "dst"], "left_semi").where(F.col("src") != F.col("dst")).select("repo", F.col("src").alias("path"))
-    return sources.join(first.distinct(), KEY, "left_semi")
+    first = steps.join(up.select(*KEY), KEY, "left_semi").select("repo", F.col("next").alias("path"))
+    out = cut_lineage(sources.join(first, KEY, "left_semi"))
+    if own:
+        steps.unpersist()
+    return out
 
 
 def filter_rings(ring_rows: DataFrame, edges: DataFrame, proven: DataFrame, any_symbols: bool = True) -> DataFrame:
@@ -70,17 +84,16 @@ def filter_rings(ring_rows: DataFrame, edges: DataFrame, proven: DataFrame, any_
         return ring_rows
     ring_rows = cut_lineage(ring_rows)
     deepest = ring_rows.agg(F.max("hops")).first()[0] or 0
-    kept = ring_rows.where("hops = 1").join(proven.select(*KEY).distinct(), KEY, "left_semi")
+    steps = prepared(edges)
+    kept = cut_lineage(ring_rows.where("hops = 1").join(proven.select(*KEY).distinct(), KEY, "left_semi"))
     levels = [kept]
     for hop in range(2, deepest + 1):
-        kept = cut_lineage(reaches_any(edges, ring_rows.where(F.col("hops") == hop), kept.select(*KEY)))
+        kept = reaches_any(edges, ring_rows.where(F.col("hops") == hop), kept.select(*KEY), steps)
         if kept.isEmpty():
             break
         levels.append(kept)
-    out = levels[0]
-    for k in levels[1:]:
-        out = out.unionByName(k)
-    return out
+    steps.unpersist()
+    return reduce(DataFrame.unionByName, levels)
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
