@@ -31,8 +31,10 @@ BITS = 64
 CHUNK = 2048
 #: Distinct fingerprints up to which blocks are of the least number (fewer, larger groups); then blocks are added.
 DENSE = 1 << 22
-#: Tables of random bits for wide radii, and the radius within which those that share one are looked at.
-SAMPLED, WIDE = 48, 12
+#: MinHash bands and the least values in each: of pairs with similarity 0.8, all but (1 - 0.8**7)**48 = 1.3e-5 share a band, whatever the number of texts.
+BANDS, BAND_ROWS = 48, 7
+#: Bits within which those that share a band are looked at.
+WIDE = 12
 #: Bins of the sketch by which the similarity of two sets of shingles is told.
 BINS = 256
 #: (query, word) pairs compared at once.
@@ -71,6 +73,21 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.astype(np.uint16)
 
 
+_RNG = np.random.default_rng(11)
+_MULTIPLY = (_RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1))[:, None]
+_ADD = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)[:, None]
+_MIX = _RNG.integers(0, 1 << 64, BAND_ROWS, np.uint64) | np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band: its least values over the shingles, mixed. The order of shingles and their repeats do not count."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, len(x), 1 << 11):
+        least = np.minimum(least, (x[None, lo : lo + (1 << 11)] * _MULTIPLY + _ADD).min(1))
+    return (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of pairs of sketches (rows): the share of bins in use by either that agree, an estimate of their sets' Jaccard similarity."""
     used = ((x | y) != 0).sum(1)
@@ -78,7 +95,7 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` as row, fp and sketch (bytes) over shingles of ``words`` words."""
+    """``keep`` as row, fp, sketch (bytes) and bands over shingles of ``words`` words."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 
@@ -86,11 +103,12 @@ def sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             h = [_hashes(t, words) for t in batch.column("text").to_pylist()]
             fp = np.array([_majority(x) if len(x) else 0 for x in h], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp.view(np.int64)), pa.array([sketch(x).tobytes() for x in h], pa.binary())], ["row", "fp", "sketch"])
+            keys = pa.array([bands(x) for x in h], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp.view(np.int64)), pa.array([sketch(x).tobytes() for x in h], pa.binary()), keys], ["row", "fp", "sketch", "bands"])
 
         return run
 
-    return common.map_texts(inner, make, f"{schema}, fp long, sketch binary")
+    return common.map_texts(inner, make, f"{schema}, fp long, sketch binary, bands array<long>")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -291,20 +309,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sampled_tables(n: int, count: int = SAMPLED, seed: int = 11) -> list[int]:
-    """Masks of ``count`` random sets of bits, so many that random groups have about four of ``n`` fingerprints (12 to 24 bits)."""
-    size = int(np.clip(np.log2(max(n, 1)) - 2, 12, 24))
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(BITS, size, replace=False)) for _ in range(count)]
-
-
-def links(distinct: DataFrame, n: int, radius: int, masks: list[int] | None = None, nearest: bool = False) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int, keyed: DataFrame | None = None, nearest: bool = False) -> DataFrame:
     """
     a, b: ids of a spanning forest of the links in each group of each table, over ``distinct`` (id, fp). The tables of
-    ``tables`` lose no link; others may be given as ``masks``.
+    ``tables`` lose no link; other groups may be given as ``keyed`` (id, fp, t, key).
     """
-    masks = masks or tables(n, radius)
-    keyed = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    if keyed is None:
+        masks = tables(n, radius)
+        keyed = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     large = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # a group's chunk is given by a hash, and a row goes to each pair of chunks that its own is in
     some = keyed.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -381,16 +393,16 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int
     One row of each group of near-duplicates: texts whose sets of ``words``-word shingles have a similarity of ``least`` or more,
     and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
 
-    Such texts differ in more bits than a table of whole blocks could find, so candidates share a table of random bits
-    and lie within ``wide`` bits; of each table's group the edges of a minimum spanning forest are candidates. Their sketches (256 bins, from
+    Such texts differ in more bits than a table of whole blocks could find, so candidates share a MinHash band
+    and lie within ``wide`` bits; of each band's group the edges of a minimum spanning forest are candidates. Their sketches (256 bins, from
     the same hashes) then decide. Equal texts are one node, so copies cost nothing.
     """
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
     printed = common.written(sketched(key, words, ("doc_id", "_hash")), "sketches")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
-    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
     n = nodes.count()
-    pairs = links(nodes.select("id", "fp"), n, wide, sampled_tables(n), nearest=True)
+    pairs = links(nodes.select("id", "fp"), n, wide, nodes.select("id", "fp", F.posexplode("bands").alias("t", "key")), nearest=True)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
 

@@ -267,6 +267,18 @@ def test_first_of_each_recall(spark):
     assert len(left) - len(groups) <= 0.1 * extra
 
 
+@pytest.mark.parametrize("size", [40, 300, 3000])
+def test_bands_recall(size):
+    """Sets of similarity 0.8 share a band, however many there are; those of 0.1 do not."""
+    rng = np.random.default_rng(size)
+    same = lambda x, y: bool((simhash.bands(x) == simhash.bands(y)).any())
+    for _ in range(200):
+        h = rng.integers(0, 1 << 64, 12 * size // 10, np.uint64)
+        k = size // 10  # 8 of 10 parts are common
+        assert same(h[: 9 * k], np.r_[rng.permutation(h[: 8 * k]), h[:k], h[9 * k : 10 * k]])
+        assert not same(h[: 4 * k], np.r_[h[:k], h[5 * k : 11 * k]])
+
+
 def test_simhash_odd(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["fp"] == 0} == {1}
