@@ -33,8 +33,6 @@ CHUNK = 2048
 DENSE = 1 << 22
 #: MinHash bands and the least values in each: of pairs with similarity 0.8, all but (1 - 0.8**7)**48 = 1.3e-5 share a band, whatever the number of texts.
 BANDS, BAND_ROWS = 48, 7
-#: Bits within which those that share a band are looked at.
-WIDE = 12
 #: Bins of the sketch by which the similarity of two sets of shingles is told.
 BINS = 256
 #: (query, word) pairs compared at once.
@@ -95,20 +93,19 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` as row, fp, sketch (bytes) and bands over shingles of ``words`` words."""
+    """``keep`` as row, sketch (bytes) and bands over shingles of ``words`` words."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             h = [_hashes(t, words) for t in batch.column("text").to_pylist()]
-            fp = np.array([_majority(x) if len(x) else 0 for x in h], np.uint64)
             keys = pa.array([bands(x) for x in h], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp.view(np.int64)), pa.array([sketch(x).tobytes() for x in h], pa.binary()), keys], ["row", "fp", "sketch", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([sketch(x).tobytes() for x in h], pa.binary()), keys], ["row", "sketch", "bands"])
 
         return run
 
-    return common.map_texts(inner, make, f"{schema}, fp long, sketch binary, bands array<long>")
+    return common.map_texts(inner, make, f"{schema}, sketch binary, bands array<long>")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -309,14 +306,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, n: int, radius: int, keyed: DataFrame | None = None, nearest: bool = False) -> DataFrame:
-    """
-    a, b: ids of a spanning forest of the links in each group of each table, over ``distinct`` (id, fp). The tables of
-    ``tables`` lose no link; other groups may be given as ``keyed`` (id, fp, t, key).
-    """
-    if keyed is None:
-        masks = tables(n, radius)
-        keyed = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
+    """a, b: ids of a spanning forest of the links in each group of each table, over ``distinct`` (id, fp). No link is lost."""
+    masks = tables(n, radius)
+    keyed = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     large = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # a group's chunk is given by a hash, and a row goes to each pair of chunks that its own is in
     some = keyed.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -340,7 +333,7 @@ def links(distinct: DataFrame, n: int, radius: int, keyed: DataFrame | None = No
             to = len(ids) if last else int(np.searchsorted(ids, ids[-1]))  # the last group may go on
             fp = np.asarray(table.column("fp")).astype(np.int64).view(np.uint64)[:to]
             own = np.asarray(table.column("id")).astype(np.int64)[:to]
-            a, b = group_links(ids[:to], fp, np.asarray(table.column("side"))[:to], radius, nearest) if to else (np.zeros(0, np.int64),) * 2
+            a, b = group_links(ids[:to], fp, np.asarray(table.column("side"))[:to], radius) if to else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(own[x]) for x in (a, b)], ["a", "b"]), table.slice(to)
 
         for batch in batches:
@@ -388,22 +381,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     return _near_duplicates(docs, words, radius, keep).select("row", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, wide: int = WIDE) -> DataFrame:
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """
+    t, key, id, centre (the least id) and n for every group of two or more that share a band, over ``nodes`` (id, bands). Groups of
+    the same members in several bands are one.
+    """
+    keyed = nodes.select("id", F.posexplode("bands").alias("t", "key"))
+    mark = F.xxhash64("id", F.lit(3))
+    groups = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.max("id").alias("last"), F.bit_xor(mark).alias("mark")).where("n > 1")
+    once = groups.groupBy("n", "centre", "last", "mark").agg(F.min(F.struct("t", "key")).alias("at")).select("at.*", "n", "centre")
+    return keyed.join(once, ["t", "key"])
+
+
+def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """
     One row of each group of near-duplicates: texts whose sets of ``words``-word shingles have a similarity of ``least`` or more,
     and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
 
-    Such texts differ in more bits than a table of whole blocks could find, so candidates share a MinHash band
-    and lie within ``wide`` bits; of each band's group the edges of a minimum spanning forest are candidates. Their sketches (256 bins, from
-    the same hashes) then decide. Equal texts are one node, so copies cost nothing.
+    Such texts differ in more bits of a SimHash than a table of whole blocks could find, so candidates share a MinHash band, with no bound
+    on bits: each text and the first of its band's group. Their sketches (256 bins, from the same hashes) then decide. Equal texts are one
+    node, so copies cost nothing.
     """
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
     printed = common.written(sketched(key, words, ("doc_id", "_hash")), "sketches")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
-    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
     n = nodes.count()
-    pairs = links(nodes.select("id", "fp"), n, wide, nodes.select("id", "fp", F.posexplode("bands").alias("t", "key")), nearest=True)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = common.written(band_groups(nodes), "bands")
+    pairs = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
 
     def alike(batches):

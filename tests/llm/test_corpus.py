@@ -279,6 +279,19 @@ def test_bands_recall(size):
         assert not same(h[: 4 * k], np.r_[h[:k], h[5 * k : 11 * k]])
 
 
+def test_first_of_each_repeats(spark):
+    """A text and itself with one line many times over have nearly the same shingles, however many bits of a count of all differ."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for k in range(20):
+        lines = [" ".join(word() for _ in range(8)) for _ in range(40)]
+        for text in (lines, lines[:20] + lines[20:21] * 200 + lines[21:]):
+            rows.append((len(rows), "\n".join(text), "en", "s", k))
+    left = simhash.first_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["n_chars"] for r in left) == list(range(20))
+
+
 def test_simhash_odd(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["fp"] == 0} == {1}
