@@ -92,20 +92,39 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(used > 0, ((x == y) & (x != 0)).sum(1) / np.maximum(used, 1), 1.0)
 
 
-def sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` as row, sketch (bytes) and bands over shingles of ``words`` words."""
+def banded(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` as row and bands over shingles of ``words`` words."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            h = [_hashes(t, words) for t in batch.column("text").to_pylist()]
-            keys = pa.array([bands(x) for x in h], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([sketch(x).tobytes() for x in h], pa.binary()), keys], ["row", "sketch", "bands"])
+            keys = pa.array([bands(_hashes(t, words)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column("row"), keys], ["row", "bands"])
 
         return run
 
-    return common.map_texts(inner, make, f"{schema}, sketch binary, bands array<long>")
+    return common.map_texts(inner, make, f"{schema}, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """id, sketch (bytes) and shingles (their hashes, each once) of ``texts`` (id, text)."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            h = [np.unique(_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sketch(x).tobytes() for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["id", "sketch", "shingles"])
+
+        return run
+
+    return common.map_texts(texts, make, "id long, sketch binary, shingles array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more, counted in full; two empty sets are alike."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(least) * (total - both)).select("a", "b")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -399,24 +418,18 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
     and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
 
     Such texts differ in more bits of a SimHash than a table of whole blocks could find, so candidates share a MinHash band, with no bound
-    on bits: each text and the first of its band's group. Their sketches (256 bins, from the same hashes) then decide. Equal texts are one
-    node, so copies cost nothing.
+    on bits: each text and the first of its band's group. Their whole sets of shingles decide. Equal texts are one node, so copies cost nothing.
     """
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
-    printed = common.written(sketched(key, words, ("doc_id", "_hash")), "sketches")
+    printed = common.written(banded(key, words, ("doc_id", "_hash")), "printed")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
-    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # a sketch is as wide as some rows
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # the bands are as wide as some rows
     n = nodes.count()
     held = common.written(band_groups(nodes), "bands")
     pairs = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
-
-    def alike(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a_sketch", "b_sketch"))
-            yield batch.select(["a", "b"]).filter(pa.array(similarity(x, y) >= least))
-
-    edges = common.written(ship(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(alike, "a long, b long"), "alike", n)
+    texts = key.select(F.col("_hash").alias("id"), common.text_of().alias("text")).join(held.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = common.written(shingle_sets(texts, words), "sets")
+    edges = common.written(alike(pairs, sets, least), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
     joined = nodes.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     kept = joined.groupBy("label").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))

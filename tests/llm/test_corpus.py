@@ -292,6 +292,34 @@ def test_first_of_each_repeats(spark):
     assert sorted(r["n_chars"] for r in left) == list(range(20))
 
 
+def brute_first(texts, least=0.8):
+    """Places of the first text of each component of pairs with similarity ``least`` or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and both >= least * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return sorted(set(root))
+
+
+def test_first_of_each_threshold(spark):
+    """Pairs of similarity 0.75 to 0.85: those of 0.8 or more, and no others, become one row."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for k in range(150):
+        w = [word() for _ in range(300)]
+        cut = 22 + k % 20  # words replaced at the end: similarity 0.76 to 0.86
+        texts += [" ".join(w), " ".join(w[:-cut] + [word() for _ in range(cut)])]
+    left = simhash.first_of_each(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)).collect()
+    want = brute_first(texts)
+    assert 0 < len(texts) - len(want) < 150
+    assert sorted(r["doc_id"] for r in left) == want
+
+
 def test_simhash_odd(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["fp"] == 0} == {1}
