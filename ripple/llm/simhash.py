@@ -35,6 +35,8 @@ DENSE = 1 << 22
 BANDS, BAND_ROWS = 48, 7
 #: Bins of the sketch by which the similarity of two sets of shingles is told.
 BINS = 256
+#: Estimated similarity below which a pair is not counted in full: six standard errors under 0.8.
+SCREEN = 0.65
 #: (query, word) pairs compared at once.
 PAIRS = 1 << 14
 
@@ -108,16 +110,16 @@ def banded(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """id, sketch (bytes) and shingles (their hashes, each once) of ``texts`` (id, text)."""
+    """id and shingles (their hashes, each once, in order) of ``texts`` (id, text)."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             h = [np.unique(_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sketch(x).tobytes() for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["id", "sketch", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["id", "shingles"])
 
         return run
 
-    return common.map_texts(texts, make, "id long, sketch binary, shingles array<long>")
+    return common.map_texts(texts, make, "id long, shingles array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -412,13 +414,76 @@ def band_groups(nodes: DataFrame) -> DataFrame:
     return keyed.join(once, ["t", "key"])
 
 
+def unjoined(held: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """
+    a, b: links that join the labels within each group of ``held`` (see ``band_groups``). Each pair of a group whose texts are not yet
+    joined is compared (by sketches, and in full from ``SCREEN`` on); those of ``least`` or more that join something are given, so a
+    group gives fewer links than rows. Groups of two were compared already. Large groups are compared as pairs of chunks.
+    """
+    group = ["t", "key", "c1", "c2"]
+    named = held.where("n > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = named.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("t", "key")
+    some = named.join(mixed, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    some = some.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    some = some.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "id", "label")
+    dealt = some.join(sets, "id").repartition(*group).sortWithinPartitions(*group)
+
+    def joins(ids, side, label, sets):
+        label, sketches, sizes = label.copy(), np.stack([sketch(x) for x in sets]), np.array([len(x) for x in sets])
+        crossed = side.any()
+        for k in range(len(ids)):
+            on = np.flatnonzero((label != label[k]) & (side != side[k] if crossed else ids > ids[k]))
+            if (crossed and side[k]) or not len(on):
+                continue
+            on = on[(similarity(sketches[k : k + 1], sketches[on]) >= SCREEN) & (np.minimum(sizes[on], sizes[k]) > 0)]
+            for lo in range(0, len(on), 256):
+                some = on[lo : lo + 256]
+                shared = np.isin(np.concatenate([sets[x] for x in some]), sets[k])
+                both = np.add.reduceat(shared, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+                for x in some[both >= least * (sizes[some] + sizes[k] - both)]:
+                    if label[x] != label[k]:
+                        yield ids[k], ids[x]
+                        label[label == label[x]] = label[k]
+
+    def run(batches):
+        held = None
+
+        def compare(table: pa.Table, last: bool):
+            cols = [np.asarray(table.column(c)) for c in group]
+            change = np.zeros(len(table), bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.r_[0, np.flatnonzero(change), len(table)]
+            if not last:
+                starts = starts[:-1]  # the last group may go on
+            ids, side, label = (np.asarray(table.column(c)) for c in ("id", "side", "label"))
+            found = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                sets = [np.asarray(x.values).view(np.uint64) for x in table.column("shingles").slice(lo, hi - lo)]
+                found += joins(ids[lo:hi], side[lo:hi], label[lo:hi], sets)
+            a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), table.slice(int(starts[-1]))
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.nbytes >= 1 << 25:
+                out, held = compare(held, False)
+                yield out
+        if held is not None and len(held):
+            yield compare(held, True)[0]
+
+    return ship(dealt).mapInArrow(run, "a long, b long")
+
+
 def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """
     One row of each group of near-duplicates: texts whose sets of ``words``-word shingles have a similarity of ``least`` or more,
     and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
 
     Such texts differ in more bits of a SimHash than a table of whole blocks could find, so candidates share a MinHash band, with no bound
-    on bits: each text and the first of its band's group. Their whole sets of shingles decide. Equal texts are one node, so copies cost nothing.
+    on bits: their whole sets of shingles decide. First come each text and the first of its band's group; then all pairs of a group
+    that links have not joined, so none is left out but those within a component. Equal texts are one node, so copies cost nothing.
     """
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
     printed = common.written(banded(key, words, ("doc_id", "_hash")), "printed")
@@ -431,6 +496,8 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
     sets = common.written(shingle_sets(texts, words), "sets")
     edges = common.written(alike(pairs, sets, least), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
+    more = common.written(unjoined(held, label, sets, least), "joins", n)
+    label = components(edges.unionByName(more)).withColumnRenamed("node", "id")
     joined = nodes.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     kept = joined.groupBy("label").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
     # representatives are joined by id and hash of the text, so that a text with a repeated id is not taken for another

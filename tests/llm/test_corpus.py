@@ -320,6 +320,25 @@ def test_first_of_each_threshold(spark):
     assert sorted(r["doc_id"] for r in left) == want
 
 
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_first_of_each_families(spark, monkeypatch, chunk):
+    """Families of many edited copies: every pair of 0.8 or more links, whatever lies between."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(300)]
+        for _ in range(40):
+            w, at = list(base), int(rng.integers(0, 240))
+            w[at : at + 20] = [word() for _ in range(20)]
+            texts.append(" ".join(w))
+    left = simhash.first_of_each(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)).collect()
+    want = brute_first(texts)
+    assert 6 < len(want) < len(texts)
+    assert sorted(r["doc_id"] for r in left) == want
+
+
 def test_simhash_odd(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["fp"] == 0} == {1}
