@@ -1,15 +1,17 @@
 """
 An adaptive context-mixing range coder for token ids (0 to 65535), in independently reset, checksummed blocks.
 
-Three predictions drive the coder. Order 2 and order 1 each name one id, the one last seen after the same two (one)
-ids, with a confidence; order 0 is the distribution of the block's ids so far. They are mixed by adaptive weights: the
-share of the code space that order 2's id gets is the hit rate of its confidence and of whether order 1 agrees, order 1's is that of
-its own confidence, and what is left goes to order 0 and, for new ids, to a uniform code. All weights are learned within the block.
+Three predictions are mixed into one distribution for every id:
 
-Order 0 needs no search tree: it is the sorted list of the ids so far, rebuilt each time the block has doubled. An id's
-range is its run in that list, so decoding reads the id at the coded place.
+* order 0: the shares of the ids in the block's group, which the group's header states (65536 parts in all);
+* order 1 and order 2: the id that the last id (the last two ids) named most lately in this block, with a confidence.
 
-A block knows nothing of others, so many are coded in lockstep: each numpy operation handles one id of each block.
+P(id) = w0 * order0(id) + w1 * [id is order 1's] + w2 * [id is order 2's]. The weights depend on both confidences and on whether
+both orders name the same id; every coded id moves the weights of its case by the part that each prediction had in it
+(a step of online expectation maximisation). An id is coded by one narrowing of the range, an id's own part being the sum of what all three give it.
+
+A block starts from empty contexts and from given weights and can be decoded with its group's header alone. Blocks of a group are
+coded in lockstep: each numpy operation handles one id of each block.
 """
 
 from __future__ import annotations
@@ -20,95 +22,121 @@ import zlib
 import numpy as np
 
 #: Ids of a block at most, and blocks coded in lockstep.
-BLOCK, LANES = 4096, 4096
-#: The order-0 list is first built after so many ids.
-FIRST = 32
-_N1, _N2 = 512, 1024
-_RATE, _ONE = np.int32(65000 - 536), np.int32(65536)
-_FULL, _LOW, _MASK = 1 << 48, np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-_HEAD = struct.Struct("<4sIII")
-MAGIC = b"IDB1"
+BLOCK, LANES = 1 << 16, 2048
+#: Ids of a block from which more lanes are worth their empty contexts.
+LEAST = 4096
+#: Cells of the tables of order 1 and order 2 in a block.
+_N1, _N2 = 1024, 2048
+#: Order 0's parts, the steps of its weight, and the parts of the code space.
+_PARTS, _STEPS = 1 << 16, 256
+_SPACE = _PARTS * _STEPS
+#: Speed at which weights are learnt, and the least and most of the code space that order 1 and order 2 can have.
+_RATE, _FLOOR, _CEILING = np.float32(1 / 32), np.float32(2048), 0.98
+_FULL, _LOW, _DIGIT = float(1 << 48), float(1 << 32), float(1 << 16)
+_GROUP, _HEAD = struct.Struct("<4sII"), struct.Struct("<4sIII")
+GROUP_MAGIC, MAGIC = b"IDG2", b"IDB2"
+#: What a cell gains, by 2 * confidence + hit: a hit adds one up to 7, a miss halves; below 2 it loses its id instead.
+_GAIN = np.array([((k < 7) if hit else k // 2 - k) << 16 for k in range(8) for hit in (0, 1)], np.int32)
+
+
+class Shares:
+    """Order 0: the parts of each id (whole numbers that add up to _PARTS), and the id at each part."""
+
+    def __init__(self, parts: np.ndarray):
+        self.size = parts.astype(np.int32)
+        self.start = (np.cumsum(parts) - parts).astype(np.int32)
+        self.at = np.repeat(np.arange(len(parts), dtype=np.int32), parts)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Shares:
+        """In proportion to the ids' counts, every id that occurs having one part at least."""
+        count = np.bincount(ids, minlength=65536)
+        parts = np.where(count > 0, np.maximum(1, count * (_PARTS - np.count_nonzero(count)) // max(1, len(ids))), 0)
+        parts[parts.argmax()] += _PARTS - parts.sum()
+        return cls(parts)
+
+    def pack(self) -> bytes:
+        body = zlib.compress(self.size.astype("<u4").tobytes(), 6)
+        return _GROUP.pack(GROUP_MAGIC, len(body), zlib.crc32(body)) + body
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[Shares, int]:
+        """(shares, place after them). Raises ValueError if they are damaged."""
+        if len(data) - at < _GROUP.size:
+            raise ValueError("group header cut off")
+        magic, size, crc = _GROUP.unpack_from(data, at)
+        body = data[at + _GROUP.size : at + _GROUP.size + size]
+        if magic != GROUP_MAGIC or len(body) != size or zlib.crc32(body) != crc:
+            raise ValueError("not a group of blocks")
+        parts = np.frombuffer(zlib.decompress(body), "<u4").astype(np.int64)
+        if len(parts) != 65536 or parts.sum() != _PARTS:
+            raise ValueError("not a group of blocks")
+        return cls(parts), at + _GROUP.size + size
 
 
 class _Model:
-    """Predictions and weights of ``n`` blocks."""
-
-    def __init__(self, n: int, length: int, used: np.ndarray | None = None):
-        """used: when encoding, the ids that occur; where each is in its block's list is then kept."""
-        self.lane, self.wide = np.arange(n, dtype=np.int32), n
-        self.l1, self.l2, self.l16 = self.lane * _N1, self.lane * _N2, self.lane * 16
-        self.known, self.place = 0, None
-        if used is not None:
-            self.lv = self.lane * len(used)
-            self.number = np.zeros(65536, np.int32)
-            self.number[used] = np.arange(len(used))
-            self.place = np.full(n * len(used), 65535, np.uint16)
-        self.t1, self.t2 = np.zeros(n * _N1, np.int32), np.zeros(n * _N2, np.int32)
-        self.h1, self.h2 = np.full(n * 16, 8192, np.int32), np.full(n * 16, 16384, np.int32)
-        self.e = np.full(n, 16384, np.int32)
+    """The predictions and weights of ``n`` blocks."""
+
+    def __init__(self, n: int, shares: Shares):
+        self.shares = shares
+        lane = np.arange(n, dtype=np.int32)
+        self.l1, self.l2, self.lw = lane * _N1, lane * _N2, lane * 128
+        self.t1, self.t2 = np.zeros(n * _N1, np.int32), np.zeros(n * _N2, np.int32)  # confidence << 16 | id
+        conf1, conf2, same = np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij")
+        first = np.stack([(conf2 + 0.5) / (conf2 + 6), (conf1 + 0.2) / (conf1 + 10) * np.where(same, 0.1, 0.4)])
+        first = first.transpose(0, 2, 1, 3).reshape(2, 128) * (0.9 * _SPACE)  # by confidence of order 2, of order 1, same
+        self.w2, self.w1 = np.tile(first[0].astype(np.float32), n), np.tile(first[1].astype(np.float32), n)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.bounds = np.zeros((5, n), np.int32)  # where the parts of order 2, order 1, order 0 and new ids begin, and the end
-        self.bounds[4] = 65536
-        self.flat = self.bounds.reshape(-1)
-        self.past = np.zeros((length, n), np.uint16)
 
-    def predict(self, n: int):
-        """(order 1's id, order 2's id); the ends of their parts of the code space, and of order 0's, are put in ``bounds``."""
+    def predict(self, n: int) -> None:
+        """What the orders name (c1, c2), their parts of the code space (a1, a2), and the steps of order 0 (s0), for the first n blocks."""
         last, before = self.last[:n], self.before[:n]
-        i1 = self.l1[:n] + (last * 40503 >> 4 & (_N1 - 1))
-        i2 = self.l2[:n] + ((last * 40507 ^ before * 30011) >> 5 & (_N2 - 1))
-        v1, v2 = self.t1[i1], self.t2[i2]
-        s1, s2 = v1 & 65535, v2 & 65535
-        same = s1 == s2
-        k2 = self.l16[:n] + ((v2 >> 16 << 1) + same)
-        k1 = self.l16[:n] + (v1 >> 16)
-        a2, p1 = self.h2[k2], self.h1[k1]
-        rest = 65536 - a2
-        a1 = ((rest >> 1) * (p1 >> 1) >> 14) + 1
-        a1 *= ~same
-        rest -= a1
-        self._at = i1, i2, v1, v2, k1, k2, same, a2, p1
-        b = self.bounds
-        b[1, :n] = a2
-        np.add(a2, a1, out=b[2, :n])
-        b[3, :n] = 65536 - ((rest * (self.e[:n] >> 4) >> 12) + 1 if self.known else rest - 1)
-        return s1, s2
-
-    def part(self, n: int, kind: np.ndarray):
-        """(start, size) of the part of the code space that each block's ``kind`` has, unsigned."""
-        at = kind * self.wide + self.lane[:n]
-        start = self.flat[at]
-        return start.astype(np.uint64), (self.flat[at + self.wide] - start).astype(np.uint64)
-
-    def learn(self, n: int, t: int, ids: np.ndarray, kind: np.ndarray):
-        """ids: the step's ids; kind: 0 order 2, 1 order 1, 2 order 0, 3 new."""
-        i1, i2, v1, v2, k1, k2, same, a2, p1 = self._at
-        hit2, hit1 = kind == 0, (v1 & 65535) == ids
-        self.h2[k2] = a2 + ((hit2 * _RATE + 536 - a2) >> 5)
-        self.h1[k1] = p1 + ((hit1 * _RATE + 536 - p1) * ~(hit2 | same) >> 5)
-        e = self.e[:n]
-        e += (np.where(kind == 3, 64000, 256).astype(np.int32) - e) * (kind >= 2) >> 5
-        fresh = ids + 65536
-        self.t2[i2] = np.where(hit2, v2 + (v2 < 7 << 16) * _ONE, fresh)
-        self.t1[i1] = np.where(hit1, v1 + (v1 < 7 << 16) * _ONE, fresh)
+        self.i1 = self.l1[:n] + ((last * 40503 >> 5) & (_N1 - 1))
+        self.i2 = self.l2[:n] + ((last * 40507 ^ before * 30011) >> 5 & (_N2 - 1))
+        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = self.v1 & 65535, self.v2 & 65535
+        self.case = self.lw[:n] + ((self.v2 >> 16 << 4) + (self.v1 >> 16 << 1) + (self.c1 == self.c2))
+        self.f1, self.f2 = self.w1.take(self.case), self.w2.take(self.case)
+        self.a1, self.a2 = self.f1.astype(np.int32), self.f2.astype(np.int32)
+        self.s0 = (_SPACE - self.a1 - self.a2) >> 16
+
+    def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of each block's id in the code space."""
+        self.hit1, self.hit2 = self.c1 == ids, self.c2 == ids
+        start = self.s0 * self.shares.start.take(ids) + self.a1 * (self.c1 < ids) + self.a2 * (self.c2 < ids)
+        size = self.s0 * self.shares.size.take(ids) + self.a1 * self.hit1 + self.a2 * self.hit2
+        self.size = size
+        return start, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The id whose part holds each block's place in the code space."""
+        c1, c2, a1, a2, s0 = self.c1, self.c2, self.a1, self.a2, self.s0
+        begin1 = s0 * self.shares.start.take(c1) + a2 * (c2 < c1)
+        begin2 = s0 * self.shares.start.take(c2) + a1 * (c1 < c2)
+        same = c1 == c2
+        over1, over2 = place - begin1, place - begin2
+        past1, past2 = over1 >= 0, over2 >= 0
+        in1 = past1 & (over1 < s0 * self.shares.size.take(c1) + a1 + a2 * same)
+        in2 = past2 & (over2 < s0 * self.shares.size.take(c2) + a2 + a1 * same)
+        rest = place - a1 * past1 - a2 * past2
+        x = self.shares.at.take((rest.astype(np.float64) / s0.astype(np.float64)).astype(np.int32), mode="clip")
+        x += (c1 - x) * in1
+        x += (c2 - x) * in2
+        return x
+
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        """After ``part`` of the same ids."""
+        gain = np.float32(_SPACE * _CEILING) * _RATE / self.size.astype(np.float32)
+        keep = np.float32(1) - _RATE
+        self.w1[self.case] = np.maximum(self.f1 * (gain * self.hit1 + keep), _FLOOR)
+        self.w2[self.case] = np.maximum(self.f2 * (gain * self.hit2 + keep), _FLOOR)
+        for table, at, old, hit in ((self.t1, self.i1, self.v1, self.hit1), (self.t2, self.i2, self.v2, self.hit2)):
+            sure = old >> 16
+            new = old + _GAIN.take((sure << 1) + hit)
+            new += (ids - new) * ((sure < 2) > hit)
+            table[at] = new
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
-        self.past[t, :n] = ids
-        if t + 1 >= FIRST and (t + 1) & t == 0:
-            self._rebuild(t + 1)
-
-    def _rebuild(self, t: int):
-        lists = np.sort(np.ascontiguousarray(self.past[:t].T), axis=1, kind="stable")
-        first = np.ones(lists.shape, bool)
-        np.not_equal(lists[:, 1:], lists[:, :-1], out=first[:, 1:])
-        at = np.arange(t, dtype=np.uint16)
-        left = np.maximum.accumulate(np.where(first, at, np.uint16(0)), axis=1)
-        last = np.ones(lists.shape, bool)
-        last[:, :-1] = first[:, 1:]
-        right = np.minimum.accumulate(np.where(last, at + np.uint16(1), np.uint16(65535))[:, ::-1], axis=1)[:, ::-1]
-        self.lists, self.left, self.right, self.known = lists.ravel(), left.ravel(), np.ascontiguousarray(right).ravel(), t
-        if self.place is not None:
-            self.place[(self.lv[:, None] + self.number[lists]).ravel()] = left.ravel()
 
 
 def _even(n: int, parts: int) -> np.ndarray:
@@ -117,67 +145,58 @@ def _even(n: int, parts: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Blocks of ``ids`` (uint16), each with a header: magic, ids, bytes, crc32 of the ids as little-endian 32-bit integers."""
+    """
+    Groups of blocks of ``ids`` (uint16). A group has a header with order 0's shares; a block has one with magic, ids, bytes and the crc32 of the
+    ids as little-endian 32-bit integers. Blocks have BLOCK ids at most, and fewer where that lets more of them be coded in lockstep.
+    """
     return b"".join(_encode_group(ids[lo : lo + BLOCK * LANES]) for lo in range(0, len(ids), BLOCK * LANES))
 
 
 def _encode_group(ids: np.ndarray) -> bytes:
-    lanes = -(-len(ids) // BLOCK)
+    lanes = max(-(-len(ids) // BLOCK), min(LANES, -(-len(ids) // LEAST)))
     sizes = _even(len(ids), lanes)
     length = int(sizes[0])
     starts = np.cumsum(sizes) - sizes
-    model = _Model(lanes, length, np.unique(ids))
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
-    out, at = np.zeros((length + 1024) * lanes, np.uint32), np.zeros(lanes, np.int64)
-    lane = model.lane
-
-    def put(who, start, size, r):
-        """Narrows the ranges of the blocks ``who`` (all of them if a slice) and sends out what is settled."""
-        lo = low[who] + r * start
-        rg = r * size
-        over = np.flatnonzero(lo > _MASK)
-        w = lane[who]
-        if len(over):
-            k = w[over]
-            out[(at[k] - 1) * lanes + k] += np.uint32(1)
-            lo[over] &= _MASK
-        small = np.flatnonzero(rg < _LOW)
-        if len(small):
-            k = w[small]
-            out[at[k] * lanes + k] = (lo[small] >> np.uint64(32)).astype(np.uint32)
-            at[k] += 1
-            lo[small] = lo[small] << np.uint64(16) & _MASK
-            rg[small] <<= np.uint64(16)
-        low[who], rng[who] = lo, rg
-
-    s16 = np.uint64(16)
+    shares = Shares.of(ids)
+    model = _Model(lanes, shares)
+    low, rng = np.zeros(lanes), np.full(lanes, _FULL)
+    room = length + 64
+    out, at = np.zeros(room * lanes, np.uint32), np.arange(lanes)  # digit by digit, those of all blocks side by side
     for t in range(length):
         n = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
-        if t % 256 == 0 and (int(at.max()) + 520) * lanes > len(out):  # two digits an id at most
+        if t % 256 == 0 and int(at.max()) + 600 * lanes > len(out):  # two digits an id at most
             out = np.concatenate([out, np.zeros((length // 2 + 1024) * lanes, np.uint32)])
-        x = ids[starts[:n] + t].astype(np.int32)
-        s1, s2 = model.predict(n)
-        place = model.place[model.lv[:n] + model.number[x]]
-        kind = np.where(x == s2, 0, np.where(x == s1, 1, np.where(place != 65535, 2, 3))).astype(np.int32)
-        put(slice(0, n), *model.part(n, kind), rng[:n] >> s16)
-        more = np.flatnonzero(kind >= 2)
-        if len(more):
-            old = kind[more] == 2
-            left = place[more].astype(np.int64)
-            right = model.right[more * model.known + np.where(old, left, 0)].astype(np.int64) if model.known else left
-            total = np.where(old, model.known, 65536).astype(np.uint64)
-            put(more, np.where(old, left, x[more]).astype(np.uint64), np.where(old, right - left, 1).astype(np.uint64), rng[more] // total)
-        model.learn(n, t, x, kind)
-    for shift in (32, 16, 0):
-        out[at * lanes + lane] = (low >> np.uint64(shift)).astype(np.uint32) & np.uint32(0xFFFF)
-        at += 1
-    digits = out[: int(at.max()) * lanes].reshape(-1, lanes)
-    for k in range(len(digits) - 1, 0, -1):  # what was carried
+        x = ids.take(starts[:n] + t).astype(np.int32)
+        model.predict(n)
+        start, size = model.part(x)
+        r = np.floor(rng[:n] * (1 / _SPACE))
+        low[:n] += r * start.astype(np.float64)
+        rng[:n] = r * size.astype(np.float64)
+        small = np.flatnonzero(rng[:n] < _LOW)
+        while len(small):
+            lo = low[small]
+            digit = np.floor(lo * (1 / _LOW))  # 65536 or more where there is a carry, which is handed on at the end
+            where = at[small]
+            out[where] = digit
+            at[small] = where + lanes
+            low[small] = (lo - digit * _LOW) * _DIGIT
+            wider = rng[small] * _DIGIT
+            rng[small] = wider
+            small = small[wider < _LOW]
+        model.learn(n, x)
+    for _ in range(3):
+        digit = np.floor(low * (1 / _LOW))
+        out[at] = digit
+        at += lanes
+        low = (low - digit * _LOW) * _DIGIT
+    count = (at - np.arange(lanes)) // lanes
+    digits = out[: int(count.max()) * lanes].reshape(-1, lanes)
+    for k in range(len(digits) - 1, 0, -1):
         digits[k - 1] += digits[k] >> np.uint32(16)
     data = np.ascontiguousarray(digits.astype(np.uint16).T).astype(">u2")
-    blocks = []
+    blocks = [shares.pack(), struct.pack("<I", lanes)]
     for k in range(lanes):
-        body = data[k, : at[k]].tobytes()
+        body = data[k, : count[k]].tobytes()
         blocks.append(_HEAD.pack(MAGIC, int(sizes[k]), len(body), _crc(ids[starts[k] : starts[k] + sizes[k]])) + body)
     return b"".join(blocks)
 
@@ -187,75 +206,65 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """All ids of consecutive blocks. Raises ValueError for a block that is damaged."""
-    heads, at = [], 0
+    """All ids of consecutive groups. Raises ValueError for a block or header that is damaged."""
+    parts, at = [], 0
     while at < len(data):
-        if len(data) - at < _HEAD.size:
-            raise ValueError("block header cut off")
-        magic, n, size, crc = _HEAD.unpack_from(data, at)
-        at += _HEAD.size
-        if magic != MAGIC or size % 2 or at + size > len(data) or n > BLOCK:
-            raise ValueError("not a block of ids")
-        heads.append((n, at, size, crc))
-        at += size
-    parts = [_decode_group(data, heads[lo : lo + LANES]) for lo in range(0, len(heads), LANES)]
+        shares, at = Shares.unpack(data, at)
+        if len(data) - at < 4:
+            raise ValueError("group header cut off")
+        (lanes,) = struct.unpack_from("<I", data, at)
+        at += 4
+        heads = []
+        for _ in range(lanes):
+            if len(data) - at < _HEAD.size:
+                raise ValueError("block header cut off")
+            magic, n, size, crc = _HEAD.unpack_from(data, at)
+            at += _HEAD.size
+            if magic != MAGIC or size % 2 or at + size > len(data) or not 0 < n <= BLOCK:
+                raise ValueError("not a block of ids")
+            heads.append((n, at, size, crc))
+            at += size
+        for lo in range(0, lanes, LANES):
+            parts.append(decode_blocks(data, heads[lo : lo + LANES], shares))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _decode_group(data: bytes, heads: list[tuple[int, int, int, int]]) -> np.ndarray:
+def decode_blocks(data: bytes, heads: list[tuple[int, int, int, int]], shares: Shares) -> np.ndarray:
+    """The ids of blocks (ids, place, bytes, crc32), any choice of a group's; the longest are to come first, as the writer puts them."""
     order = sorted(range(len(heads)), key=lambda k: -heads[k][0])
     sizes = np.array([heads[k][0] for k in order])
     lanes, length = len(order), int(sizes[0])
-    ends = np.cumsum([heads[k][2] // 2 + 4 for k in order])
-    stream = np.zeros(int(ends[-1]), np.uint64)  # zeros after each block: reading may run past its end
-    at = ends - np.array([heads[k][2] // 2 + 4 for k in order])
+    held = np.array([heads[k][2] // 2 + 4 for k in order])
+    at = np.cumsum(held) - held
+    stream = np.zeros(int(held.sum()) + 1)  # zeros after each block: reading may run past its end
     for k, a in zip(order, at, strict=True):
         _, lo, size, _ = heads[k]
         stream[a : a + size // 2] = np.frombuffer(data, ">u2", size // 2, lo)
-    model = _Model(lanes, length)
-    s16 = np.uint64(16)
-    off = stream[at] << np.uint64(32) | stream[at + 1] << s16 | stream[at + 2]
-    at, rng, lane = at + 3, np.full(lanes, _FULL, np.uint64), model.lane
-
-    def take(who, start, size, r):
-        of = off[who] - r * start
-        rg = r * size
-        small = np.flatnonzero(rg < _LOW)
-        if len(small):
-            k = lane[who][small]
-            of[small] = of[small] << s16 | stream[np.minimum(at[k], len(stream) - 1)]
-            at[k] += 1
-            rg[small] <<= s16
-        off[who], rng[who] = of, rg
-
+    model = _Model(lanes, shares)
+    off = (stream[at] * _DIGIT + stream[at + 1]) * _DIGIT + stream[at + 2]
+    at, rng = at + 3, np.full(lanes, _FULL)
+    past = np.zeros((length, lanes), np.uint16)
     for t in range(length):
         n = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
-        s1, s2 = model.predict(n)
-        b = model.bounds
-        r = rng[:n] >> s16
-        v = np.minimum(off[:n] // r, np.uint64(65535)).astype(np.int32)
-        kind = (v >= b[1, :n]).astype(np.int32)
-        kind += v >= b[2, :n]
-        kind += v >= b[3, :n]
-        take(slice(0, n), *model.part(n, kind), r)
-        x = np.where(kind == 0, s2, s1)
-        more = np.flatnonzero(kind >= 2)
-        if len(more):
-            old = kind[more] == 2
-            total = np.where(old, model.known, 65536)
-            r = rng[more] // np.maximum(total, 1).astype(np.uint64)
-            v = np.minimum(off[more] // np.maximum(r, np.uint64(1)), (np.maximum(total, 1) - 1).astype(np.uint64)).astype(np.int64)
-            left, right, ids = v, v + 1, v
-            if model.known:
-                cell = more * model.known + np.where(old, v, 0)
-                left, right = np.where(old, model.left[cell], v), np.where(old, model.right[cell], v + 1)
-                ids = np.where(old, model.lists[cell], v)
-            take(more, left.astype(np.uint64), (right - left).astype(np.uint64), r)
-            x[more] = ids
-        model.learn(n, t, x, kind)
+        model.predict(n)
+        r = np.floor(rng[:n] * (1 / _SPACE))
+        x = model.find(np.minimum(off[:n] / r, _SPACE - 1).astype(np.int32))
+        start, size = model.part(x)
+        off[:n] -= r * start.astype(np.float64)
+        rng[:n] = r * size.astype(np.float64)
+        small = np.flatnonzero(rng[:n] < _LOW)
+        while len(small):
+            where = np.minimum(at[small], len(stream) - 1)
+            off[small] = off[small] * _DIGIT + stream.take(where)
+            at[small] = where + 1
+            wider = rng[small] * _DIGIT
+            rng[small] = wider
+            small = small[wider < _LOW]
+        past[t, :n] = x
+        model.learn(n, x)
     parts: list = [None] * lanes
     for row, k in enumerate(order):
-        got = model.past[: sizes[row], row].copy()
+        got = past[: sizes[row], row].copy()
         if _crc(got) != heads[k][3]:
             raise ValueError("block fails its checksum")
         parts[k] = got

@@ -5,8 +5,8 @@ Texts are range-partitioned by doc_id; each task tokenises its documents, adds t
 to the shared folder: groups of coded blocks, then an index of its documents. The manifest, with a row for each file of a
 task that ended, gives the files' order and how many ids lie before each. Files are read in parallel.
 
-The tokenizer splits at white space before anything else, so its ids for a text are those of its words in order;
-each worker keeps a bounded table of the words it has met.
+The tokenizer splits at white space before anything else (``Words`` makes sure), so its ids for a text are those of its words in
+order; each worker keeps a bounded table of the words it has met.
 """
 
 from __future__ import annotations
@@ -21,17 +21,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..shipping import ship
 from . import common, token_codec
 from .warc import open_file
 
 END_ID = 1
-MAGIC = b"RIPTOK01"
+MAGIC = b"RIPTOK02"
 #: Words that a worker remembers.
-WORDS = 500_000
-#: Text bytes of a file, about.
-FILE_BYTES = 48 << 20
+WORDS = 750_000
+#: Text bytes of a file, about, whatever the size of the table: also the most that a task holds, unless one text is longer.
+FILE_BYTES = 32 << 20
+#: Bytes of ids that are coded together.
+HELD_BYTES = 32 << 20
 _TAIL = struct.Struct("<QQ8s")
 
 
@@ -41,8 +44,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word that the tokenizer gives one id of its own, and probes for the property that ``Words`` builds on.
+SEPARATOR = "0"
+_PROBES = ("word", "WORD", "it's", "'s", "a1b22", "#*$%", "\u00e9", "\u0301x", "\u4e2d\u6587", "x\ty", "...", "<|endoftext|>", "\u200b", "\U0001f600")
+
+
 class Words:
-    """Ids of texts (as bytes of little-endian 16-bit integers), word by word."""
+    """
+    Ids of texts (as bytes of little-endian 16-bit integers), word by word. Raises ValueError for a tokenizer whose ids of a text
+    are not those of its words between spaces and line feeds.
+
+    New words are encoded many at a time with ``SEPARATOR`` between them, and words that hold it, one by one.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,20 +66,40 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
+        alone = {w: self._ids(w) for w in (*_PROBES, SEPARATOR)}
+        if len(alone[SEPARATOR]) != 1 or any(self._ids(a + gap + b) != alone[a] + alone[b] for a in alone for b in alone for gap in (" ", "\n", "  ")):
+            raise ValueError("the tokenizer does not split at white space")
+        self.separator = alone[SEPARATOR][0]
         self.table: dict[str, bytes] = {"": b""}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        batch = lambda texts: [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain, odd = [w for w in words if SEPARATOR not in w], [w for w in words if SEPARATOR in w]
+        for lo in range(0, len(plain), 4096):
+            some = plain[lo : lo + 4096]
+            (ids,) = batch([f" {SEPARATOR} ".join(some)])
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(some) - 1:
+                odd += some
+                continue
+            raw = ids.tobytes()
+            for w, a, b in zip(some, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True):
+                self.table[w] = raw[a:b]
+        for lo in range(0, len(odd), 4096):
+            some = odd[lo : lo + 4096]
+            self.table.update(zip(some, [ids.tobytes() for ids in batch(some)], strict=True))
+
     def texts(self, texts: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for r in rows for w in r if w not in self.table})
         if len(self.table) + len(new) > WORDS:
             self.table = {"": b""}
             new = list({w for r in rows for w in r if w})
+        self._learn(new)
         table = self.table
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                table[w] = struct.pack(f"<{len(ids)}H", *ids)
         got = [b"".join([table[w] for w in r]) for r in rows]
         for w in [w for w in new if len(w) > 64]:
             del table[w]
@@ -98,7 +131,7 @@ class Writer:
         self.counts.append(len(ids) // 2)
         self.held.append(ids)
         self.size += len(ids)
-        if self.size >= 2 * token_codec.BLOCK * token_codec.LANES:
+        if self.size >= HELD_BYTES:
             self.flush()
 
     def flush(self) -> None:
@@ -134,10 +167,13 @@ def read_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 def write_tokens(docs: DataFrame, directory: str, files: int, path=tokenizer_path) -> DataFrame:
     """
     Writes doc_id, text as token files below ``directory``. Manifest: file, part (its place among the files), docs,
-    ids, bytes. Null texts are empty: their documents have the end id alone. Null doc_ids come first; rows with
-    equal doc_ids are in one file, in order of their texts' hashes.
+    ids, bytes. Integer doc_ids only (others raise TypeError). Null texts are empty: their documents have the end id alone. Null doc_ids come first; rows with
+    equal doc_ids follow each other in order of their texts' hashes, over as many files as they need.
     """
-    rows = docs.select("doc_id", common.text_of().alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
+    rows = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"), F.monotonically_increasing_id().alias("nth")).withColumn("hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(files, "doc_id", "hash", "nth").sortWithinPartitions("doc_id", "hash", "nth").select("doc_id", "text")
     end = struct.pack("<H", END_ID)
 
     def run(batches):
@@ -182,8 +218,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False
 
 def n_files(docs: DataFrame) -> int:
     """As many files as there are FILE_BYTES of text."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
 
 
 def op8_tokens(spark, sf_dir: str) -> DataFrame:
