@@ -57,6 +57,26 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than 1 / HOT of all rows are hot; such a key's columns may have so many bytes.
+HOT, HOT_BYTES = 1000, 4096
+
+
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """
+    ``rows`` left-joined with ``table`` (one row for each key, without null keys; ``weight``: the key's rows, dropped), where a key may hold any share of the
+    ``total`` rows: those with more than 1 / HOT of them are HOT at most, so they are broadcast, HOT * HOT_BYTES bytes of keys at most.
+    A longer key is left to the shuffled join, which adaptive execution may split. Both inputs are read twice and should be tables.
+    """
+    short = sum((F.octet_length(k) for k in keys), F.lit(0)) <= HOT_BYTES
+    is_hot = (F.col(weight) * HOT > max(1, total)) & short
+    hot, rest = table.where(is_hot).drop(weight), table.where(~is_hot).drop(weight)
+    names = [c for c in table.columns if c not in (*keys, weight)]
+    columns = [*rows.columns, *names]
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    easy = marked.where("_hot").select(*columns)
+    return easy.unionByName(marked.where("_hot is null").select(*rows.columns).join(rest, keys, "left").select(*columns))
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
