@@ -6,7 +6,8 @@ coefficients, transforms them back, upsamples components that are sampled more c
 tensors. Bits of one restart interval can only be read in turn, but intervals do not depend on each other: the
 intervals of all images in a batch are read in lockstep, one numpy operation for one symbol of each.
 
-Encoding here stores given coefficients (three components, one block of each in an MCU) without loss.
+Encoding here stores given coefficients without loss, as images with chroma at half resolution in both directions (4:2:0): an MCU has four blocks of luma
+and one of each chroma component.
 
 The inverse transform uses integer-valued constants in double precision: all sums are exact, so equal images give
 equal tensors wherever and in whatever company they are decoded.
@@ -21,8 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: MCUs of a restart interval, and of an image row, that the encoder makes.
-INTERVAL, ROW = 16, 4096
+#: MCUs of a restart interval, and of an image row, that the encoder makes; blocks of an MCU.
+INTERVAL, ROW, CELLS = 16, 2048, 6
 
 
 def _zigzag() -> np.ndarray:
@@ -181,14 +182,17 @@ def _values(v: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _dc_first(dc: np.ndarray, seg: np.ndarray, al: int):
-    """dc: (MCUs, 3)."""
+    """dc: (MCUs, CELLS), four of luma first. Each is told by its difference from the component's last one in the segment."""
     v = dc >> al
-    before = np.zeros_like(v)
-    before[1:] = np.where((seg[1:] == seg[:-1])[:, None], v[:-1], 0)
-    d = (v - before).ravel()
+    d = v.copy()
+    same = seg[1:] == seg[:-1]
+    d[1:, 0] -= np.where(same, v[:-1, 3], 0)
+    d[:, 1:4] -= v[:, :3]
+    d[1:, 4:] -= np.where(same[:, None], v[:-1, 4:], 0)
+    d = d.ravel()
     size = bit_sizes(d)
     code, bits = codes(DC_TABLE)
-    return np.repeat(seg, 3), code[size] << size.astype(np.uint64) | _values(d, size) * (size > 0), bits[size] + size
+    return np.repeat(seg, CELLS), code[size] << size.astype(np.uint64) | _values(d, size) * (size > 0), bits[size] + size
 
 
 def _ac_first(c: np.ndarray, seg: np.ndarray, al: int):
@@ -264,43 +268,72 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def encode(mcus: np.ndarray, counts: np.ndarray) -> list[bytes]:
+class _Layout:
+    """Where the blocks of many images are: each image's luma row by row, then both chroma components."""
+
+    def __init__(self, counts: np.ndarray):
+        mcus = -(-counts // CELLS)
+        self.wide = np.minimum(mcus, ROW)
+        self.rows = -(-mcus // self.wide)
+        self.full = self.wide * self.rows
+        self.start = np.cumsum(self.full) - self.full
+        self.image, self.nth = self._each(self.full)
+        first = CELLS * self.start[self.image]
+        luma, within = self._each(4 * self.full)
+        self.planes = (CELLS * self.start[luma] + within, first + 4 * self.full[self.image] + self.nth, first + 5 * self.full[self.image] + self.nth)
+        self.segments = {plane: self._segments(times * self.full) for plane, times in ((0, 4), (1, 1))}
+        y, x = np.divmod(self.nth, self.wide[self.image])
+        across = 2 * self.wide[self.image]
+        corners = [first + (2 * y + j) * across + 2 * x + i for j in (0, 1) for i in (0, 1)]
+        self.mcus = np.stack([*corners, *self.planes[1:]], 1)
+
+    @staticmethod
+    def _each(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(image, place in the image) of every item, images having ``sizes`` items."""
+        image = np.repeat(np.arange(len(sizes)), sizes)
+        return image, np.arange(len(image)) - (np.cumsum(sizes) - sizes)[image]
+
+    def _segments(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment of every item, first segment of every image, its segments)"""
+        n = -(-sizes // INTERVAL)
+        first = np.cumsum(n) - n
+        image, nth = self._each(sizes)
+        return first[image] + nth // INTERVAL, first, n
+
+
+def encode(blocks: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """
-    mcus: (all MCUs, 3, 64) coefficients in zigzag order, -1023 to 1023; counts: MCUs of each image (1 at least). An image has rows
-    of ROW MCUs, the last filled up with zeros; a comment holds its count.
+    blocks: (all blocks, 64) coefficients in zigzag order, -1023 to 1023; counts: blocks of each image (1 at least). They fill the image's luma row by row, then
+    its chroma components; rows have ROW MCUs, and what is left of the image is zero. A comment holds the count.
     """
-    wide = np.minimum(counts, ROW)
-    rows = -(-counts // wide)
-    full = wide * rows
-    start = np.cumsum(full) - full
-    c = np.zeros((int(full.sum()), 3, 64), np.int32)
-    c[np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(mcus))] = mcus
-    n_seg = -(-full // INTERVAL)
-    seg_start = np.cumsum(n_seg) - n_seg
-    image = np.repeat(np.arange(len(counts)), full)
-    seg = seg_start[image] + (np.arange(len(c)) - start[image]) // INTERVAL
-    total = int(n_seg.sum())
+    lay = _Layout(counts)
+    c = np.zeros((CELLS * int(lay.full.sum()), 64), np.int32)
+    image, nth = lay._each(counts)
+    c[CELLS * lay.start[image] + nth] = blocks
     parts = []
     for comps, ss, se, ah, al in SCANS:
+        plane = min(comps[0], 1) if len(comps) == 1 else 1
+        seg, first, n_seg = lay.segments[plane]
         if se == 0:
-            dc = c[:, :, 0]
-            items = _dc_first(dc, seg, al) if not ah else (np.repeat(seg, 3), (dc.ravel() >> al & 1).astype(np.uint64), np.ones(dc.size, np.int64))
+            dc = c[:, 0][lay.mcus]
+            items = _dc_first(dc, seg, al) if not ah else (np.repeat(seg, CELLS), (dc.ravel() >> al & 1).astype(np.uint64), np.ones(dc.size, np.int64))
         else:
-            band = c[:, comps[0], ss : se + 1]
+            band = c[lay.planes[comps[0]], ss : se + 1]
             items = _ac_refine(band, seg, al) if ah else _ac_first(band, seg, al)
-        parts.append(pack(*items, total))
+        parts.append((pack(*items, int(n_seg.sum())), first, n_seg))
     tables = _segment(0xDB, b"\0" + bytes([1] * 64)) + _segment(0xC4, b"\x00" + DC_TABLE[0] + DC_TABLE[1] + b"\x10" + AC_TABLE[0] + AC_TABLE[1]) + _segment(0xDD, struct.pack(">H", INTERVAL))
     heads = [_segment(0xDA, bytes([len(comps)]) + b"".join(bytes([k + 1, 0]) for k in comps) + bytes([ss, se, ah << 4 | al])) for comps, ss, se, ah, al in SCANS]
     restart = [bytes([0xFF, 0xD0 + k]) for k in range(8)]
     out = []
     for i in range(len(counts)):
-        data = [b"\xff\xd8", _segment(0xFE, struct.pack(">I", int(counts[i]))), _segment(0xC2, struct.pack(">BHHB", 8, int(rows[i]) * 8, int(wide[i]) * 8, 3) + b"".join(bytes([k, 0x11, 0]) for k in (1, 2, 3))), tables]
-        for head, segs in zip(heads, parts, strict=True):
+        size = struct.pack(">BHHB", 8, int(lay.rows[i]) * 16, int(lay.wide[i]) * 16, 3)
+        data = [b"\xff\xd8", _segment(0xFE, struct.pack(">I", int(counts[i]))), _segment(0xC2, size + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), tables]
+        for head, (segs, first, n_seg) in zip(heads, parts, strict=True):
             data.append(head)
             for k in range(n_seg[i]):
                 if k:
                     data.append(restart[(k - 1) % 8])
-                data.append(segs[seg_start[i] + k])
+                data.append(segs[first[i] + k])
         out.append(b"".join(data) + b"\xff\xd9")
     return out
 
@@ -597,6 +630,11 @@ class Reader:
                 left[over] = np.where(blocks[over] > 0, 64, -1)
                 on = on[at[on] < self.last[on]]
 
+    def stored(self, k: int) -> np.ndarray:
+        """(blocks, 64): the coefficients of image k, component by component, row by row."""
+        parts = list(self.images[k].components.values())
+        return self.coefficients[parts[0].base : parts[-1].base + parts[-1].across * parts[-1].down]
+
     def rgb(self, k: int) -> np.ndarray:
         """(height, width, 3) uint8 of image k."""
         return np.stack(self.channels(k), -1)
@@ -609,7 +647,7 @@ class Reader:
         for c in image.components.values():
             blocks = self.coefficients[c.base : c.base + c.across * c.down] * image.quants[c.quant].astype(np.int32)
             s = samples(blocks).reshape(c.down, c.across, 8, 8).swapaxes(1, 2).reshape(c.down * 8, c.across * 8)
-            planes.append(s.repeat(v // c.v, 0).repeat(h // c.h, 1)[: image.height, : image.width])
+            planes.append(upsampled(s, h // c.h, v // c.v)[: image.height, : image.width])
         if len(planes) == 1:
             return (planes[0],) * 3
         return to_rgb(*planes[:3])
@@ -623,6 +661,14 @@ def samples(blocks: np.ndarray) -> np.ndarray:
     return np.clip(s, 0, 255, out=s).astype(np.uint8)
 
 
+def upsampled(plane: np.ndarray, across: int, down: int) -> np.ndarray:
+    """Each sample repeated, ``across`` times in its row, and each row ``down`` times."""
+    if across == down == 1:
+        return plane
+    h, w = plane.shape
+    return np.broadcast_to(plane[:, None, :, None], (h, down, w, across)).reshape(h * down, w * across)
+
+
 def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Constants with 16 bits after the point, so that results do not depend on the order of sums."""
     y, cb, cr = (y.astype(np.int32) << 16) + (1 << 15), cb.astype(np.int32) - 128, cr.astype(np.int32) - 128

@@ -1,10 +1,10 @@
 """
 Media columns: texts as progressive JPEG images, stored losslessly, read back, decoded to RGB tensors, and described.
 
-A text's bytes, filled up with spaces to whole MCUs of 3 * 64, are the quantised coefficients of an image (the format's own
-unit, one byte each): frequent bytes become small coefficients. The images are a binary column of a Parquet table in the
-shared folder. Reading takes the bytes from that column alone: all scans are accumulated into coefficients, which give the payload
-back, and the inverse transform gives the tensor that features are computed from.
+A text's bytes, filled up with spaces to whole units of three blocks, are the quantised coefficients of an image (the format's own
+unit, one byte each): frequent bytes become small coefficients, luma blocks come first, then chroma at half resolution. The images are a binary column of a
+Parquet table in the shared folder. Reading takes the bytes from that column alone: all scans are accumulated into coefficients, which give the payload
+back; the inverse transform and the upsampling of chroma give the full-resolution tensor, a column of its own, from which features are computed.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ _BYTE[COEFFICIENT + 256] = np.arange(256)
 
 
 def payloads(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(payload bytes of all texts, MCUs of each): filled up with spaces to a positive multiple of UNIT."""
+    """(payload bytes of all texts, units of each): filled up with spaces to a positive multiple of UNIT."""
     sizes = np.diff(off)
     counts = np.maximum(1, -(-sizes // UNIT))
     out = np.full(int(counts.sum()) * UNIT, 32, np.uint8)
@@ -53,7 +53,7 @@ def payloads(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` as row, n_bytes (of the text, without filling) and media, the image. Null texts are empty: one MCU of spaces."""
+    """``keep`` as row, n_bytes (of the text, without filling) and media, the image. Null texts are empty: one unit of spaces."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 
@@ -62,58 +62,71 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             for part in common.steps(batch, most=STEP):
                 data, off = common.array_bytes(part.column("text"))
                 payload, counts = payloads(data, off)
-                images = jpeg.encode(COEFFICIENT[payload].reshape(-1, 3, 64), counts)
+                images = jpeg.encode(COEFFICIENT[payload].reshape(-1, 64), counts * (UNIT // 64))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(off), pa.int64()), pa.array(images, pa.binary())], ["row", "n_bytes", "media"])
 
     return ship(inner).mapInArrow(run, f"{schema}, n_bytes long, media binary")
 
 
 def payload_of(reader: jpeg.Reader, k: int) -> bytes:
-    image = reader.images[k]
-    (n,) = struct.unpack(">I", image.comments[0])
-    blocks = np.stack([reader.coefficients[c.base : c.base + c.across * c.down] for c in image.components.values()], 1)[:n]
-    return _BYTE[blocks + 256].tobytes()
-
-
-def feature(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> str:
-    """Size, mean of each channel (in thousandths) and a histogram of luma in 8 bins, of a tensor's channels."""
-    h, w = red.shape
-    means = [int(c.sum(dtype=np.int64)) * 1000 // (h * w) for c in (red, green, blue)]
-    luma = red.astype(np.uint16) * np.uint16(77)
-    luma += green * np.uint16(150)
-    luma += blue * np.uint16(29)
+    (n,) = struct.unpack(">I", reader.images[k].comments[0])
+    return _BYTE[reader.stored(k)[:n] + 256].tobytes()
+
+
+def feature(rgb: np.ndarray) -> str:
+    """Size, mean of each channel (in thousandths) and a histogram of luma in 8 bins, of a tensor (height, width, 3)."""
+    h, w, _ = rgb.shape
+    means = [int(rgb[..., k].sum(dtype=np.int64)) * 1000 // (h * w) for k in range(3)]
+    luma = rgb[..., 0] * np.uint16(77)
+    luma += rgb[..., 1] * np.uint16(150)
+    luma += rgb[..., 2] * np.uint16(29)
     bins = np.bincount((luma >> np.uint16(13)).ravel(), minlength=8)
     return f"{w}x{h};{','.join(map(str, means))};{','.join(map(str, bins.tolist()))}"
 
 
-def decode_media(table: DataFrame, keep: tuple[str, ...] = ("row", "n_bytes"), tensors: bool = False) -> DataFrame:
+def decode_media(table: DataFrame, keep: tuple[str, ...] = ("row", "n_bytes")) -> DataFrame:
     """
-    ``keep`` of ``table`` (which has media) with payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes,
-    media_sha256 and feature; with ``tensors`` also width, height and rgb (height * width * 3 bytes).
+    ``keep`` of ``table`` (which has media) as kept, with payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes,
+    media_sha256, and the tensor: width, height and rgb (height * width * 3 bytes).
     """
-    inner = table.select(F.struct(*keep).alias("kept"), "media")
+    names = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "width": "int", "height": "int", "rgb": "binary"}
+
+    def rows(part: pa.RecordBatch) -> list[tuple]:
+        media = part.column("media").to_pylist()
+        reader = jpeg.Reader(media)
+        for k, m in enumerate(media):
+            payload, rgb = payload_of(reader, k), reader.rgb(k)
+            yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), rgb.shape[1], rgb.shape[0], rgb.tobytes()
+
+    return _mapped(table.select(F.struct(*keep).alias("kept"), "media"), "media", rows, names, STEP)
+
+
+def described(tensors: DataFrame, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """``keep`` of ``tensors`` (which has width, height and rgb) as kept, with feature."""
+
+    def rows(part: pa.RecordBatch) -> list[tuple]:
+        for w, h, rgb in zip(*(part.column(c).to_pylist() for c in ("width", "height", "rgb")), strict=True):
+            yield (feature(np.frombuffer(rgb, np.uint8).reshape(h, w, 3)),)
+
+    return _mapped(tensors.select(F.struct(*keep).alias("kept"), "width", "height", "rgb"), "rgb", rows, {"feature": "string"}, 4 * STEP)
+
+
+def _mapped(inner: DataFrame, column: str, rows, names: dict[str, str], step: int) -> DataFrame:
+    """kept, and the columns ``names`` of what ``rows`` gives for batches with about ``step`` bytes in ``column``."""
     schema = inner.select("kept").schema.simpleString()[7:-1].replace("kept:", "kept ", 1)
-    names = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-    if tensors:
-        names |= {"width": pa.int32(), "height": pa.int32(), "rgb": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches):
         for batch in batches:
-            for part in common.steps(batch, "media", STEP):
-                media = part.column("media").to_pylist()
-                reader = jpeg.Reader(media)
-                rows = []
-                for k, m in enumerate(media):
-                    payload, channels = payload_of(reader, k), reader.channels(k)
-                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(*channels)]
-                    rows.append(row + [channels[0].shape[1], channels[0].shape[0], np.stack(channels, -1).tobytes()] if tensors else row)
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)]
+            for part in common.steps(batch, column, step):
+                cols = [pa.array(c, types[t]) for c, t in zip(zip(*rows(part), strict=True), names.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("kept"), *cols], ["kept", *names])
 
-    types = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
-    return ship(inner).mapInArrow(run, schema + "".join(f", {n} {types[t]}" for n, t in names.items()))
+    return ship(inner).mapInArrow(run, schema + "".join(f", {n} {t}" for n, t in names.items()))
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
     stored = common.written(encode_texts(common.table(spark, sf_dir, "documents")), "media")
-    return decode_media(stored).select("kept.row.doc_id", "kept.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    got = described(decode_media(stored), keep=("kept.row.doc_id", "kept.n_bytes", *names))
+    return got.select("kept.doc_id", "kept.n_bytes", *(f"kept.{n}" for n in names), "feature")

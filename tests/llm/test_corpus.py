@@ -461,51 +461,46 @@ def test_words(text):
 
 def test_jpeg_round_trip():
     rng = np.random.default_rng(5)
-    counts = np.array([1, 3, 16, 17, 4200])
-    m = rng.integers(-1023, 1024, (counts.sum(), 3, 64)) * (rng.random((counts.sum(), 3, 64)) < 0.3)
-    m[2:6] = 0
-    m[6:40, :, 20:] = 0
+    counts = np.array([1, 3, 16, 17, 6, 100, 14_000])
+    m = rng.integers(-1023, 1024, (counts.sum(), 64)) * (rng.random((counts.sum(), 64)) < 0.3)
+    m[2:12] = 0
+    m[16:40, 20:] = 0
     reader = jpeg.Reader(jpeg.encode(m, counts))
     at = 0
-    for image, n in zip(reader.images, counts, strict=True):
-        got = np.stack([reader.coefficients[c.base : c.base + c.across * c.down] for c in image.components.values()], 1)[:n]
-        assert (got == m[at : at + n]).all()
+    for k, n in enumerate(counts):
+        got = reader.stored(k)
+        assert (got[:n] == m[at : at + n]).all() and not got[n:].any()
+        assert [(c.h, c.v) for c in reader.images[k].components.values()] == [(2, 2), (1, 1), (1, 1)]
         at += n
 
 
 def test_jpeg_against_another_decoder(spark):
-    """The JVM's image library decodes the encoder's files to the same colours, but for rounding."""
+    """The JVM's image library decodes the encoder's files to the same colours, but for rounding. It smooths chroma, so each image has one."""
     jvm = spark._jvm
     rng = np.random.default_rng(8)
-    m = np.zeros((6, 3, 64), np.int64)
-    m[:, :, 0] = rng.integers(-300, 300, (6, 3))
-    m[:, :, 1:20] = rng.integers(-40, 40, (6, 3, 19))
-    (data,) = jpeg.encode(m, np.array([6]))
+    m = np.zeros((36, 64), np.int64)  # 6 MCUs in a row
+    m[:24, 0] = rng.integers(-300, 300, 24)
+    m[:24, 1:20] = rng.integers(-40, 40, (24, 19))
+    m[24:30, 0], m[30:, 0] = 150, -90
+    (data,) = jpeg.encode(m, np.array([36]))
     image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
     rgb = jpeg.Reader([data]).rgb(0)
-    assert (image.getHeight(), image.getWidth(), 3) == rgb.shape
-    other = np.array([[[image.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(48)] for y in range(8)])
+    assert (image.getHeight(), image.getWidth(), 3) == rgb.shape == (16, 96, 3)
+    other = np.array([[[image.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(96)] for y in range(16)])
     assert np.abs(other - rgb.astype(int)).max() <= 3
 
 
 def test_jpeg_upsampling():
-    """A file with chroma at half resolution: its components are repeated to the size of luma."""
-    m = np.zeros((1, 3, 64), np.int64)
-    (data,) = jpeg.encode(m, np.array([1]))
-    at = data.index(b"\xff\xc2")
-    # 4:2:0 frame of 16 x 16 with the same scans: luma has four blocks in an MCU, all of them zero here
-    reader = jpeg.Reader([data])
-    image = reader.images[0]
-    assert reader.rgb(0).shape == (8, 8, 3) and data[at + 11] == 0x11
-    image.width, image.height = 16, 16
-    for k, c in enumerate(image.components.values()):
-        c.h = c.v = 2 if k == 0 else 1
-        c.across = c.down = c.h
-        c.base = 0 if k == 0 else 3 + k
-    reader.coefficients = np.zeros((6, 64), np.int32)
-    reader.coefficients[:, 0] = [0, 80, 160, 240, 80, 0]
-    rgb = reader.rgb(0)
-    assert rgb.shape == (16, 16, 3) and (rgb[:8, :8] == rgb[0, 0]).all() and (rgb[8:, 8:] == rgb[8, 8]).all() and rgb[0, 0, 1] < rgb[8, 8, 1]
+    """Flat blocks: each chroma block covers 16 x 16 pixels, each luma block 8 x 8; colours by the definition of the format."""
+    rng = np.random.default_rng(3)
+    m = np.zeros((2 * 6, 64), np.int64)
+    m[:, 0] = rng.integers(-400, 400, 12)
+    (data,) = jpeg.encode(m, np.array([12]))
+    rgb = jpeg.Reader([data]).rgb(0)
+    assert rgb.shape == (16, 32, 3)
+    y, cb, cr = (m[:8, 0].reshape(2, 4) / 8 + 128).repeat(8, 0).repeat(8, 1), (m[8:10, 0] / 8).repeat(16), (m[10:, 0] / 8).repeat(16)
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
+    assert np.abs(np.clip(want, 0, 255) - rgb).max() <= 2.5
 
 
 def test_inverse_transform():
@@ -534,8 +529,11 @@ def test_op9(spark, sf_dir, docs):
 
 
 def test_media_odd(odd, none):
-    rows = media.decode_media(media.encode_texts(odd), tensors=True).collect()
+    tensors = media.decode_media(media.encode_texts(odd, keep=("*",)))
+    rows = tensors.collect()
     assert len(rows) == 10 and all(len(r["rgb"]) == 3 * r["width"] * r["height"] for r in rows) and media.decode_media(media.encode_texts(none)).count() == 0
+    assert {r["payload_sha256"] for r in rows if not r["kept"]["row"]["text"]} == {hashlib.sha256(b" " * 192).hexdigest()}
+    assert [r["feature"] for r in media.described(tensors).collect()] == [media.feature(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)) for r in rows]
     with pytest.raises(ValueError):
         jpeg.Reader([b"\xff\xd8\xff\xe0"])
 
