@@ -3,20 +3,22 @@ WARC archives: captures are written as request, response or revisit, and metadat
 
 Writing gives each task one archive (gzip members, a record each) in the shared folder; only archives of tasks that ended
 are in the manifest, so a repeated or lost attempt leaves no record behind in the result. Reading parses archives in
-parallel. Requests and metadata find their response through WARC-Concurrent-To, revisits theirs through WARC-Refers-To: joins
-on record ids, which assemble one nested row for each capture wherever its records lie.
+parallel and gives each record's headers and its place. Requests and metadata find their response through WARC-Concurrent-To, revisits theirs through
+WARC-Refers-To: joins on record ids, which assemble one nested row for each capture wherever its records lie. The joins move no payload: it is read from its
+place in the archive into the nested row afterwards, and its size and digest are those of what was read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -27,7 +29,9 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records in one Arrow batch when reading.
 BATCH = 4 << 20
 
-RECORD = "archive string, type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload binary, payload_bytes long, found_digest string, fields map<string,string>"
+RECORD = "archive string, start long, stop long, type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, fields map<string,string>"
+#: Bytes of a url that go into a request, a bound for odd inputs.
+_SAFE = bytes(range(33, 127))
 
 
 def digest(payload: bytes) -> str:
@@ -47,6 +51,16 @@ def record(kind: str, rid: str, block: bytes, headers: list[tuple[str, str | Non
     return z.compress(head + block + b"\r\n\r\n") + z.flush()
 
 
+def request(url: str | None) -> bytes:
+    """The request's head: path and query as target (bytes that are not printable ASCII are percent-encoded), Host if the url has one."""
+    _, found, rest = (url or "").partition("://")
+    rest = rest.partition("#")[0] if found else ""
+    host = re.match(r"[^/?]*", rest)[0]
+    target = "".join(chr(b) if b in _SAFE else f"%{b:02X}" for b in rest[len(host) :].encode("utf-8", "replace"))
+    lines = [f"GET {target if target.startswith('/') else '/' + target} HTTP/1.1", *([f"Host: {''.join(host.split())}"] if host else [])]
+    return "\r\n".join([*lines, "", ""]).encode("utf-8", "replace")
+
+
 def capture(page_id, url: str | None, payload: bytes, occurrence: int, revisit_of) -> bytes:
     """The records of one capture. revisit_of: the page_id of the response that has the payload, for a revisit."""
     d = digest(payload)
@@ -59,7 +73,7 @@ def capture(page_id, url: str | None, payload: bytes, occurrence: int, revisit_o
     else:
         refers = record_id(revisit_of[0], d, 1)
         main = record("revisit", rid, head, [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{d}"), ("WARC-Profile", REVISIT), ("WARC-Refers-To", refers), ("Content-Type", "application/http; msgtype=response")])
-    asked = record("request", related("request"), b"GET / HTTP/1.1\r\n\r\n", [*about, ("Content-Type", "application/http; msgtype=request")])
+    asked = record("request", related("request"), request(url), [*about, ("Content-Type", "application/http; msgtype=request")])
     fields = b"".join(b"%s: %s\r\n" % (k.encode(), str(v).encode()) for k, v in (("page-id", page_id), ("occurrence", occurrence)) if v is not None)
     return asked + main + record("metadata", related("metadata"), fields, [*about, ("Content-Type", "application/warc-fields")])
 
@@ -75,12 +89,21 @@ def open_file(path: str, write: bool = False):
     return system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
 
 
-def members(stream) -> Iterator[bytes]:
-    """The records of an archive, one gzip member after another; the archive is never in memory as a whole."""
-    z, got, data = zlib.decompressobj(31), [], b""
+def random_file(path: str):
+    """A file in the shared folder that can be read at any place."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def members(stream) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, record) for one gzip member after another; the archive is never in memory as a whole."""
+    z, got, data, start, seen = zlib.decompressobj(31), [], b"", 0, 0
     while True:
         if not data:
             data = stream.read(1 << 20)
+            seen += len(data)
             if not data:
                 if got:
                     raise ValueError("archive ends within a record")
@@ -89,23 +112,29 @@ def members(stream) -> Iterator[bytes]:
         data = b""
         if z.eof:
             data = z.unused_data
-            yield b"".join(got)
-            z, got = zlib.decompressobj(31), []
+            stop = seen - len(data)
+            yield start, stop, b"".join(got)
+            z, got, start = zlib.decompressobj(31), [], stop
 
 
-def parsed(archive: str, data: bytes) -> dict:
-    """A record's columns; payload is what follows the HTTP header of a response."""
+def split_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers by lower-case name, block). Raises ValueError where the block is cut off."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    h = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(h["content-length"])]
+    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    size = int(headers["content-length"])
+    if size > len(rest):
+        raise ValueError("record is cut off")
+    return headers, rest[:size]
+
+
+def parsed(data: bytes) -> dict:
+    """A record's columns but its place."""
+    h, block = split_record(data)
     kind = h.get("warc-type", "")
-    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
     fields = dict((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if k) if kind == "metadata" else {}
     return {
-        "archive": archive, "type": kind, "record_id": h.get("warc-record-id"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"),
-        "date": h.get("warc-date"), "payload_digest": (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "payload": payload, "payload_bytes": None if payload is None else len(payload),
-        "found_digest": None if payload is None else digest(payload), "fields": fields,
+        "type": kind, "record_id": h.get("warc-record-id"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"),
+        "date": h.get("warc-date"), "payload_digest": (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "fields": fields,
     }
 
 
@@ -118,9 +147,10 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     # pk: the id without nulls, so that the join and the numbering below share one exchange of the payloads
     rows = pages.select("page_id", "url", payload.alias("payload"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("pk")).withColumn("key", F.sha1("payload"))
-    narrow = rows.groupBy("key", "pk", "page_id").agg(F.max(F.octet_length("payload")).alias("bytes"))
-    heads = narrow.groupBy("key").agg(F.max("page_id").alias("head"))
-    roles = common.written(narrow.join(heads, "key"), "roles", pages.count()).select("key", "pk", "head", "bytes")
+    n = pages.count()
+    narrow = common.written(rows.groupBy("key", "pk", "page_id").agg(F.max(F.octet_length("payload")).alias("bytes")), "narrow", n)
+    heads = narrow.groupBy("key").agg(F.max("page_id").alias("head"), F.count("*").alias("pages"))
+    roles = common.written(common.join_split(narrow, heads, ["key"], "pages", n), "roles", n).select("key", "pk", "head", "bytes")
     # joined by (payload, page): a payload that a third of all pages share is many keys here
     joined = rows.join(roles, ["key", "pk"])
     nth = F.row_number().over(Window.partitionBy("key", "pk").orderBy(F.col("url").asc_nulls_last()))
@@ -149,63 +179,92 @@ def write_archives(roles: DataFrame, directory: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """All records of the manifest's archives."""
+    """All records of the manifest's archives: their headers, the fields of metadata, and their places (archive, start, stop)."""
     files = manifest.count()
+    strings = ("type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest")
+    schema = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), *((n, pa.string()) for n in strings), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def run(batches):
         rows: list[dict] = []
-        size = 0
-        schema = pa.schema([
-            *((n, pa.string()) for n in ("archive", "type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest")),
-            ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("found_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())),
-        ])
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 with open_file(archive) as stream:
-                    for data in members(stream):
-                        rows.append(parsed(archive, data))
-                        size += len(data)
-                        if size >= BATCH:
+                    for start, stop, data in members(stream):
+                        rows.append({"archive": archive, "start": start, "stop": stop} | parsed(data))
+                        if len(rows) >= 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, size = [], 0
+                            rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return ship(manifest).select("archive").repartition(max(1, files)).mapInArrow(run, RECORD)
 
 
-def transactions(records: DataFrame, payloads: bool = True) -> DataFrame:
+def transactions(records: DataFrame) -> DataFrame:
     """
-    One row for each response or revisit: capture (its own columns), request and metadata (structs of the records that are
-    concurrent to it, null where missing), original (of a revisit: record_id and payload_bytes of the response).
-    Records of other types, and those concurrent to nothing that exists, are in no capture. Without ``payloads`` the payload
-    itself, which would be moved by the joins, is left out; its size and digest stay.
+    One row for each response or revisit: record_id, capture (its own columns and its place), request and metadata (structs of the records that are
+    concurrent to it, null where missing). Records of other types, and those concurrent to nothing that exists, are in no capture.
     """
-    light = ("record_id", "target_uri", "date", "fields")
-    part = lambda kind: records.where(F.col("type") == kind).groupBy("concurrent_to").agg(F.min_by(F.struct(*light[:3], F.map_entries("fields").alias("fields")), "record_id").alias(kind))
-    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "record_id", "refers_to", "target_uri", "date", "payload_digest", *["payload"][: payloads], "payload_bytes", "found_digest", "archive").alias("capture"))
-    got = main
+    part = lambda kind: records.where(F.col("type") == kind).groupBy("concurrent_to").agg(F.min_by(F.struct("record_id", "target_uri", "date", F.map_entries("fields").alias("fields")), "record_id").alias(kind))
+    got = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "archive", "start", "stop").alias("capture"))
     for kind in ("request", "metadata"):
         got = got.join(part(kind).withColumnRenamed("concurrent_to", "record_id"), "record_id", "left")
     return got
 
 
-def page_of(entries: Column) -> Column:
-    return F.element_at(F.map_from_entries(entries), "page-id").cast("long")
+def with_payloads(captures: DataFrame, archives: int) -> DataFrame:
+    """
+    ``captures`` of ``transactions`` with response: payload (what follows the HTTP header), payload_bytes and found_digest of what the archive has, and
+    http, that header; null for a revisit. Rows are dealt out by their places, so each task reads parts of archives in order, 4 MB of payloads a batch.
+    """
+    dealt = captures.withColumn("place", F.struct("capture.archive", "capture.start", "capture.stop", (F.col("capture.type") == "response").alias("has")))
+    dealt = dealt.repartitionByRange(max(1, archives), "place").sortWithinPartitions("place")
+    schema = pa.struct([("payload", pa.binary()), ("payload_bytes", pa.int64()), ("found_digest", pa.string()), ("http", pa.string())])
+
+    def fetch(stream, start: int, stop: int) -> dict:
+        stream.seek(start)
+        head, _, payload = split_record(zlib.decompress(stream.read(stop - start), 31))[1].partition(b"\r\n\r\n")
+        return {"payload": payload, "payload_bytes": len(payload), "found_digest": digest(payload), "http": head.decode("utf-8", "replace")}
+
+    def run(batches):
+        name, stream = None, None
+        for batch in batches:
+            held, size, lo = [], 0, 0
+            for k, place in enumerate(batch.column("place").to_pylist()):
+                if place["has"] and place["archive"] != name:
+                    if stream is not None:
+                        stream.close()
+                    name, stream = place["archive"], random_file(place["archive"])
+                held.append(fetch(stream, place["start"], place["stop"]) if place["has"] else None)
+                size += held[-1]["payload_bytes"] if place["has"] else 0
+                if size >= BATCH or k + 1 == batch.num_rows:
+                    part = batch.slice(lo, k + 1 - lo).drop_columns(["place"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, schema)], [*part.schema.names, "response"])
+                    held, size, lo = [], 0, k + 1
+        if stream is not None:
+            stream.close()
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema)
+    return ship(dealt).mapInArrow(run, names + ", response struct<payload:binary,payload_bytes:bigint,found_digest:string,http:string>")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     manifest = write_archives(with_roles(pages), common.new_path(spark, "archives"))
     # archives are parsed once, not once for each kind of record
-    records = common.written(read_archives(spark, manifest).drop("payload"), "records")
-    got = transactions(records, payloads=False).select("record_id", "capture.type", "capture.refers_to", "capture.payload_digest", "capture.payload_bytes", page_of(F.col("metadata.fields")).alias("page_id"))
-    got = common.written(got, "captures")
-    # a revisit has no payload: its size and page come from the response that it refers to; only responses that are referred to matter
-    asked = got.where("type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct()
-    original = got.where("type = 'response'").join(asked, "record_id").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("page_id").alias("of_page"))
-    out = got.join(original, "refers_to", "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.col("of_page").alias("refers_to"))
+    records = common.written(read_archives(spark, manifest), "records")
+    nested = with_payloads(transactions(records), manifest.count())
+    page = F.element_at(F.map_from_entries("metadata.fields"), "page-id").cast("long")
+    got = common.written(nested.select("record_id", "capture.type", "capture.refers_to", "response.payload_bytes", "response.found_digest", page.alias("page_id")), "captures")
+    # a revisit has no payload: size, digest and page are those of the response that it refers to; many may refer to one
+    responses, revisits = got.where("type = 'response'"), got.where("type = 'revisit'").select("page_id", "refers_to")
+    asked = revisits.groupBy("refers_to").agg(F.count("*").alias("n"))
+    original = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "found_digest", F.col("page_id").alias("of_page")).join(asked, "refers_to")
+    found = common.join_split(revisits, original, ["refers_to"], "n", revisits.count())
+    columns = ["page_id", "payload_bytes", F.col("found_digest").alias("payload_digest")]
+    return responses.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
+        found.select(*columns, F.lit("revisit").alias("record_type"), F.col("of_page").alias("refers_to"))
+    )
 
 
 #: The same rows in DuckDB: base32 by groups of five hexadecimal digits.

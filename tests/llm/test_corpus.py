@@ -557,15 +557,27 @@ def test_warc_transactions(spark):
     records = warc.read_archives(spark, manifest)
     kinds = Counter(r["type"] for r in records.select("type").collect())
     assert kinds["request"] == kinds["metadata"] == kinds["response"] + kinds["revisit"] == 7 and kinds["response"] == 3
-    got = warc.transactions(records).collect()
+    assert sorted(a["start"] for a in records.collect() if a["type"] == "warcinfo") == [0] * manifest.count()
+    nested = warc.with_payloads(warc.transactions(records), 3)
+    got = nested.collect()
     assert len(got) == 7 and all(r["request"] and r["metadata"] for r in got)
-    bodies = sorted(bytes(r["capture"]["payload"]).decode() for r in got if r["capture"]["type"] == "response")
-    assert bodies == sorted(["same", "", "é" * 100_000]) and all(r["capture"]["found_digest"] == r["capture"]["payload_digest"] for r in got if r["capture"]["type"] == "response")
+    bodies = sorted(bytes(r["response"]["payload"]).decode() for r in got if r["capture"]["type"] == "response")
+    assert bodies == sorted(["same", "", "é" * 100_000]) and all(r["response"]["found_digest"] == r["capture"]["payload_digest"] for r in got if r["capture"]["type"] == "response")
+    assert all(r["response"] is None for r in got if r["capture"]["type"] == "revisit") and warc.with_payloads(warc.transactions(records.where("false")), 0).count() == 0
+    damaged = warc.with_payloads(warc.transactions(records.where("type != 'response'").unionByName(records.where("type = 'response'").withColumn("payload_digest", F.lit("X")))), 2)
+    assert {r["response"]["found_digest"] for r in damaged.collect() if r["response"]} == {r["capture"]["payload_digest"] for r in got if r["capture"]["type"] == "response"}
     assert warc.read_archives(spark, warc.write_archives(warc.with_roles(pages.where("false")), common.new_path(spark, "w"))).count() == 0
     small = warc.with_roles(pages, least_bytes=5).where("is_response").count()
     assert small == 7
 
 
+def test_warc_request():
+    assert warc.request("http://A.b/p/q?x=1#f") == b"GET /p/q?x=1 HTTP/1.1\r\nHost: A.b\r\n\r\n"
+    assert warc.request("http://a?x") == b"GET /?x HTTP/1.1\r\nHost: a\r\n\r\n"
+    assert warc.request(None) == warc.request("no scheme") == b"GET / HTTP/1.1\r\n\r\n"
+    assert warc.request("http://a/\r\nX: \u00e9") == b"GET /%0D%0AX:%20%C3%A9 HTTP/1.1\r\nHost: a\r\n\r\n"
+
+
 # the pipeline
 
 
