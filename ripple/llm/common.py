@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +30,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local session that names none (tests) gets a temporary one; on a cluster that would be lost."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="ripple-")
     return _own_dir["dir"]
 
 
+_kept = threading.local()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ripple/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ripple/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_kept, "made", [])[-1:]:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """
+    Removes, at its end, all folders that ``new_path`` names in it. Results that are read lazily have to be written before, and outside:
+    ``with scratch(spark): near_duplicates(docs).write.parquet(path)``.
+    """
+    stack = _kept.made = getattr(_kept, "made", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
 
 
 #: Rows of a narrow table in one file.
 FILE_ROWS = 200_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None) -> DataFrame:
     """
     ``df`` written to the shared folder and read again: short lineage, and lost executors lose nothing. ``rows``: a bound on
-    a narrow table's rows; it is then written as few files, not as one for each shuffle partition.
+    a narrow table's rows; it is then written as few files, not as one for each shuffle partition. ``path``: of ``new_path``, if not a new one.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
@@ -121,30 +152,37 @@ def array_bytes(column: pa.Array):
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: Column, max_bytes: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: Column) -> DataFrame:
     """
-    At most ``bound`` documents of each label value with a text of at most ``max_bytes`` bytes,
-    as columns doc_id, text, label.
+    About ``bound`` documents of each label value, whatever the length of their texts, as columns doc_id, text, label.
 
     The labels come first: candidates are the ``1.25 * bound`` smallest of xxhash64(doc_id) for each value,
     so the sample is the same at every partitioning and its size never depends on the corpus.
-    A doc_id with several labels takes the largest; null ids or labels are no examples.
+    A doc_id with several labels takes the largest, one with several texts the least; null ids or labels are no examples.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("label = 1").orderBy(*order).limit(bound + bound // 4).unionByName(known.where("label = 0").orderBy(*order).limit(bound + bound // 4))
     # at most 2.5 * bound ids: a proven size for the broadcast
-    texts = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= max_bytes)
-    got = texts.join(F.broadcast(some), "doc_id")
+    got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id")
     return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
-def take_bound(rows, bound: int):
-    """Of collected (doc_id, ..., label) rows, the first ``bound`` of each label in an order that depends on the id alone."""
-    import zlib
+def collected_features(sample: DataFrame, make: Callable[[pa.Array], list[bytes]], bound: int) -> list:
+    """
+    Rows (doc_id, label, features) of a ``labelled_sample``, ``bound`` of each label at most. Features are made by the tasks, so the driver never
+    sees a text; ``make`` gives the bytes of each text's, and bounds them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(make(part.column("text")), pa.binary())], ["doc_id", "label", "features"])
 
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = ship(sample).mapInArrow(run, f"doc_id {kind}, label int, features binary").collect()  # 2.5 * bound rows at most, each of bounded size
     kept: list = []
     for value in (0, 1):
-        mine = sorted((r for r in rows if r["label"] == value), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+        mine = sorted((r for r in rows if r["label"] == value), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
         kept += mine[:bound]
-    return sorted(kept, key=lambda r: (zlib.crc32(b"x%d" % r["doc_id"]), r["doc_id"]))
+    return sorted(kept, key=lambda r: (zlib.crc32(f"x{r['doc_id']}".encode()), str(r["doc_id"])))

@@ -1,7 +1,7 @@
 """
 Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages (``PASSAGE`` bytes each). A passage is encoded by a layer over its hashed character
+A document is a bag of passages (whole words, about ``PASSAGE`` bytes). A passage is encoded by a layer over its hashed character
 pairs, character classes and word repetitions. Gated attention, softmax(w . (tanh(V h) * sigmoid(U h))), learned
 from document labels alone, weighs the passages; a logistic layer scores the weighted passage representation.
 
@@ -20,23 +20,36 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
+#: Bytes of a passage, about: it ends with the word in which they are reached.
 PASSAGE = 512
 PAIRS = 128
 FEATURES = PAIRS + textvec.CLASSES + 4
 HIDDEN, ATTENTION = 32, 16
-#: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
-BOUND, MAX_BYTES = 2500, 30_000
+#: Labelled rows of each label that the model is fitted on, at most, and passages of each, evenly spaced over the whole text if it has more.
+BOUND, MOST = 2500, 128
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage of each byte, number of passages of each text): cut at the first white space at or after every PASSAGE bytes; a text has one at least."""
+    n, sizes = len(off) - 1, np.diff(off)
+    text = np.repeat(np.arange(n), sizes)
+    space = np.append(np.flatnonzero(textvec.SPACE[data]), len(data))
+    marks = np.arange(len(data)) - off[text]
+    at = np.flatnonzero((marks % PASSAGE == 0) & (marks > 0))
+    to = np.minimum(space[np.searchsorted(space, at)], off[text[at] + 1]) if len(at) else at
+    begins = np.zeros(len(data) + 1, bool)
+    begins[to] = True
+    begins[off] = True  # an empty text begins where the next one does
+    counts = np.maximum(1, np.add.reduceat(np.append(begins[:-1], False), np.minimum(off[:-1], len(data))) * (sizes > 0)) if n else np.zeros(0, np.int64)
+    first = np.cumsum(counts) - counts
+    within = np.cumsum(begins[:-1])
+    return (first[text] + within - within[off[text]]) if len(data) else text, counts
 
 
 def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features of each passage, number of passages of each text); a text without bytes has one passage of zeros."""
-    n = len(off) - 1
-    sizes = np.diff(off)
-    counts = np.maximum(1, -(-sizes // PASSAGE))
+    at, counts = cuts(data, off)
     total = int(counts.sum())
-    first = np.cumsum(counts) - counts
-    text = np.repeat(np.arange(n), sizes)
-    at = first[text] + (np.arange(len(data)) - off[text]) // PASSAGE
     low = textvec.LOWER[data]
     size = np.maximum(1, np.bincount(at, minlength=total)).astype(np.float32)[:, None]
     x = np.zeros((total, FEATURES), np.float32)
@@ -131,22 +144,24 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 40, batc
     return m
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
-    rows = common.take_bound(rows, bound)
-    xs, cs = [np.zeros((0, FEATURES), np.float32)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(rows), 200):
-        x, c = passages(*common.array_bytes(pa.array([r["text"] for r in rows[lo : lo + 200]], pa.large_string())))
-        xs.append(x)
-        cs.append(c)
-    return fit(np.concatenate(xs), np.concatenate(cs), np.array([r["label"] for r in rows], np.float32))
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, most: int = MOST) -> Model:
+    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0, with ``most`` passages of each at most."""
+
+    def make(texts) -> list[bytes]:
+        x, counts = passages(*common.array_bytes(texts))
+        first = np.cumsum(counts) - counts
+        return [x[f + np.unique(np.linspace(0, c - 1, min(c, most)).astype(np.int64))].tobytes() for f, c in zip(first, counts, strict=True)]
+
+    rows = common.collected_features(common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0), make, bound)
+    xs = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in rows]
+    return fit(np.concatenate([np.zeros((0, FEATURES), np.float32), *xs]), np.array([len(x) for x in xs], np.int64), np.array([r["label"] for r in rows], np.float32))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """
     Every row of ``docs`` (its columns ``keep`` as ``row``) with score, predicted (1 if score >= threshold), n_passages, and top_passage, the
-    number of the passage with the most attention. A null or empty text is one empty passage, and is scored as such.
+    number of the passage with the most attention (the first of several). A null or empty text is one empty passage, and is scored as such. Rows
+    are scored one by one: repeated rows have equal results, and an empty table gives no rows.
     """
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)

@@ -20,10 +20,10 @@ from . import common, textvec
 
 CHARS, WORDS = 1024, 1024
 FEATURES = CHARS + WORDS
-#: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
-BOUND, MAX_BYTES = 2500, 30_000
-#: Probability of good quality from which a row that passes the base rules is kept.
-KEEP = 0.05
+#: Labelled rows of each label that the model is fitted on, at most.
+BOUND = 2500
+#: Calibrated probability of good quality from which a row that passes the base rules is kept: rows that are more likely bad than good go.
+KEEP = 0.5
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
@@ -93,9 +93,9 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss, labels weighted to equal parts."""
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Adam on the log loss, examples counting by ``weight``."""
+    weight = weight / weight.sum()
     x, w, b = x.astype(np.float32), np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for step in range(1, rounds + 1):
@@ -107,25 +107,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, decay: flo
     return w, float(b)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Every fifth example is kept for the calibration. With one label only, or none, everything is kept by the model."""
+def fit(x: np.ndarray, y: np.ndarray, share: float | None = None) -> Model:
+    """
+    Weights from four fifths of the examples, both labels counting equally; the calibration (a logistic curve over the score) from the other fifth, which
+    counts as the labels are met: ``share`` is that of label 1 among all labelled rows, if the examples are not in that proportion.
+    With one label only, or none, nothing can be held back and the score is that label's.
+    """
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(FEATURES), 0.0, 1.0, 8.0 if len(y) == 0 or y[0] else -8.0)
     held = np.arange(len(y)) % 5 == 4
     if y[~held].min() == y[~held].max() or y[held].size == 0 or y[held].min() == y[held].max():
         held[:] = False
-    w, b = _logistic(x[~held], y[~held], 300, 0.3, 1e-5)
-    z = (x[held] @ w + b if held.any() else x @ w + b)[:, None]
-    slope, shift = _logistic(z / 10, y[held] if held.any() else y, 300, 0.1, 1e-4)
+    rest, test = ~held, held if held.any() else ~held
+    as_met = lambda of, p: np.where(of == 1, p / of.mean(), (1 - p) / (1 - of.mean()))
+    w, b = _logistic(x[rest], y[rest], as_met(y[rest], 0.5), 300, 0.3, 1e-5)
+    z = (x[test] @ w + b)[:, None]
+    slope, shift = _logistic(z / 10, y[test], as_met(y[test], min(max(share or y.mean(), 1e-6), 1 - 1e-6)), 600, 0.1, 1e-4)
     return Model(w, b, float(slope[0]) / 10, shift)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0, which leaves rows to test it on."""
-    rows = common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
-    rows = common.take_bound(rows, bound)
-    parts = [vectors(*common.array_bytes(pa.array([r["text"] for r in rows[lo : lo + 200]], pa.large_string()))) for lo in range(0, len(rows), 200)]
-    return fit(np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32), np.array([r["label"] for r in rows], np.float64))
+    fold = common.fold_of("doc_id", 5) != 0
+    rows = common.collected_features(common.labelled_sample(docs, labels, "quality", bound, fold), lambda texts: [x.tobytes() for x in vectors(*common.array_bytes(texts))], bound)
+    x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
+    share = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & fold).groupBy("doc_id").agg(F.max("quality").alias("q")).agg(F.avg("q")).first()[0]
+    return fit(x, np.array([r["label"] for r in rows], np.float64), share)
+
+
+def reliability(scored: DataFrame, labels: DataFrame, bins: int = 10) -> DataFrame:
+    """Of rows that fitting has not seen: for each tenth of the score how many there are, their mean score, and the share that is good."""
+    truth = labels.where(common.fold_of("doc_id", 5) == 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    seen = scored.join(truth, "doc_id").where("quality is not null and not base_failed")
+    return seen.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("quality").alias("good")).orderBy("bin")
 
 
 def judge_documents(docs: DataFrame, model: Model, keep_at: float = KEEP, keep: tuple[str, ...] = ("*",)) -> DataFrame:
@@ -133,7 +147,8 @@ def judge_documents(docs: DataFrame, model: Model, keep_at: float = KEEP, keep:
     Every row of ``docs`` (its columns ``keep`` as ``row``) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     score (the model's probability of good quality), base_failed and kept.
 
-    base_failed: n_words < 10, or more than 20 % of the words repeated. Null texts have no words, so they fail.
+    base_failed: n_words < 10, or more than 20 % of the words repeated. Null and empty texts have no words, so they fail. Rows are judged one by
+    one: repeated rows have equal results, a score of exactly ``keep_at`` is kept, an empty table gives no rows.
     """
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)

@@ -26,8 +26,8 @@ from . import common
 BITS = 18
 #: Words of a sentence; what is longer is cut into several.
 SENTENCE_WORDS = 40
-#: Labelled rows of each label that the model is fitted on, at most, and the longest text among them.
-BOUND, MAX_BYTES = 2000, 20_000
+#: Labelled rows of each label that the model is fitted on, at most.
+BOUND = 2000
 #: Log-odds of a sentence without offending words, at most: thousands of them must not add up to a toxic document.
 HARMLESS = -9.0
 #: Distinct words whose weights a task remembers.
@@ -59,9 +59,15 @@ class Model:
     bias: float
 
 
+def bag(text: str) -> bytes:
+    """The sentences of a text, a number each: its features' buckets, each once and in order, then -1. Sentences that a text repeats are one of its bag."""
+    sents = dict.fromkeys(tuple(sorted({k for w in set(words) for k in features(w)})) for words in sentences(text))
+    return np.array([k for ids in sents for k in (*ids, -1)], np.int32).tobytes()
+
+
 def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Model:
     """
-    rows: (text, label). Adam on the bags' log loss under the noisy-or, with an L1 step in the
+    rows: (bag, label). Adam on the bags' log loss under the noisy-or, with an L1 step in the
     first half, which chooses features, and none in the second, which fits those kept; weights
     are at least 0, so no number of harmless words makes up for an offending one, and the bias carries what is usual. Features in fewer than
     1 % of the toxic bags (and fewer than 3) have no weight: they could only learn single documents by heart.
@@ -71,16 +77,16 @@ def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Mode
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(1 << BITS, np.float32), 10.0 if share else -30.0)
-    # features once a sentence; sentences in order of their bags; 4 bytes each, and no text is kept in pieces
     parts, per_sentence, per_bag = [], [], []
-    for text, _ in rows:
-        sents = [{k for w in set(words) for k in features(w)} for words in sentences(text)]
-        parts.append(np.fromiter((k for ids in sents for k in ids), np.int32))
-        per_sentence.append(np.array([len(ids) for ids in sents], np.int32))
-        per_bag.append(len(sents))
+    for data, _ in rows:
+        ids = np.frombuffer(data, np.int32)
+        ends = np.flatnonzero(ids < 0)
+        parts.append(ids[ids >= 0])
+        per_sentence.append(np.diff(np.r_[-1, ends]) - 1)
+        per_bag.append(len(ends))
     cols = np.concatenate(parts)
     bag_of = np.repeat(np.arange(len(rows)), per_bag)
-    sent = np.repeat(np.arange(len(bag_of), dtype=np.int32), np.concatenate(per_sentence))
+    sent = np.repeat(np.arange(len(bag_of), dtype=np.int32), np.concatenate(per_sentence).astype(np.int64))
     pairs = np.unique(bag_of[sent] << BITS | cols)  # (bag, feature)
     seen = np.bincount(pairs & ((1 << BITS) - 1), labels[pairs >> BITS], 1 << BITS)
     least = max(3, 0.01 * labels.sum())
@@ -145,7 +151,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, keep:
     with the highest probability (its number from 0, probability and words; null without words), and
     n_offending, the number of sentences that alone reach the threshold.
 
-    Null and empty texts, and those without words, score 0.
+    Null and empty texts, and those without words, score 0. Of equally bad sentences the first is the worst. Rows are scored one by one: repeated
+    rows have equal results, and an empty table gives no rows.
     """
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
@@ -169,10 +176,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, keep:
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, max_bytes: int = MAX_BYTES) -> Model:
-    """Fits on the labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
-    rows = common.labelled_sample(docs, labels, "toxic", bound, common.fold_of("doc_id", 3) != 1, max_bytes).collect()  # 2.5 * bound rows of max_bytes at most
-    return fit([(r["text"], r["label"]) for r in common.take_bound(rows, bound)])
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
+    """Fits on whole labelled texts whose crc32(doc_id as text) mod 3 is not 1."""
+    sample = common.labelled_sample(docs, labels, "toxic", bound, common.fold_of("doc_id", 3) != 1)
+    rows = common.collected_features(sample, lambda texts: [bag(t) for t in texts.to_pylist()], bound)
+    return fit([(r["features"], r["label"]) for r in rows])
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_toxic_sentences():
     clean = [(f"calm words number {k} go on. and then more of them come", 0) for k in range(60)]
     # only one word is common to the offending sentences
     toxic = [(f"calm words number {k} go on. q{k * 7919:x} grumblefoot z{k * 104729:x}. and then more of them come", 1) for k in range(60)]
-    model = toxicity.fit(clean + toxic)
+    model = toxicity.fit([(toxicity.bag(t), y) for t, y in clean + toxic])
     total, p, sents = toxicity.scorer(model)("first it is calm. what a grumblefoot he is. and then more")
     assert total > 0.7 and int(p.argmax()) == 1 and b"grumblefoot" in sents[1]
     assert toxicity.scorer(model)("it is calm. " * 2000)[0] < 0.7
