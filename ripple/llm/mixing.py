@@ -3,12 +3,12 @@ Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue that is served at a rate in proportion to its target. A shuffled document has
 the virtual finish time (tokens of its source up to and with it) / target; pass p of a source follows
-pass p - 1. All events, sorted by finish time over all sources, are cut at the total budget.
+pass p - 1. All events are range-sorted by finish time over all sources and truncated at the total budget.
 
 Scale: a source's queue is cut into hash ranges, so that no task ever holds a whole source. Each range is
-summed, the sums are added up over the ranges of a source, and only rows of one range are sorted together.
-The cut needs no sort of all events either: they are counted in ranges of finish time, and only the range
-in which the budget runs out is looked at more closely.
+summed, the sums are added up over the ranges of a block and over the blocks of a source, and only rows of one range are sorted together.
+The sorted events are narrow (size, time) and dealt out by time; sums of the parts say in which the budget runs out, and only this
+part is added up event by event.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of one hash range that are sorted together, about.
-RANGE_ROWS = 2048
-#: Ranges of finish time counted at once (what the driver sees of them).
-SLICES = 1024
+#: Rows of one hash range that are sorted together, about, and ranges (as a power of two) of a block.
+RANGE_ROWS, BLOCK_BITS = 256, 10
+#: Events of one part of the sorted queue, about.
+PART_EVENTS = 1 << 20
 SEED = 17
 
 
@@ -38,7 +38,8 @@ class Mix:
 
 
 def shuffle_key(seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+    """By id and text, so that a much repeated id is spread over all ranges."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -106,49 +107,41 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     budget = total * share[0] / share[1]
     sources = common.written(with_targets(sources, budget, passes), "targets", n)
-    # Joined by source and range: a hot source's rows are many small groups here, so no side is broadcast.
-    before = Window.partitionBy(*source).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).join(sources.select(*source, "source_size", "target"), source).drop("range_size")
+    # Sums come first, of ranges, then of blocks of ranges; a hot source's rows are many small groups here, so no side is broadcast.
+    ranges = ranges.withColumn("block", F.shiftright("range", BLOCK_BITS))
+    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ranges.groupBy(*source, "block").agg(F.sum("range_size").alias("block_size")).withColumn("base", F.coalesce(F.sum("block_size").over(upto(source, "block")), F.lit(0)))
+    blocks = blocks.join(sources.select(*source, "source_size", "target"), source).drop("block_size")
+    before = F.coalesce(F.sum("range_size").over(upto([*source, "block"], "range")), F.lit(0))
+    ranges = ranges.withColumn("before", before).join(blocks, [*source, "block"]).withColumn("before", F.col("before") + F.col("base")).drop("range_size", "block", "base")
     order = Window.partitionBy(*source, "range").orderBy("h", "id", "h2", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = narrow.join(ranges, [*source, "range"]).withColumn("until", F.col("before") + F.sum("size").over(order))
     finish = [F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("until") + p * F.col("source_size")) / F.col("target")) for p in range(passes)]
     queue = queue.select("row", "size", "source_size", "target", F.array(*finish).alias("finish"))
-    # only sizes and times are written for the cut: the rows themselves may hold texts
-    times = common.written(queue.select("size", "finish"), "times", n)
-    cut = budget_cut(times.select("size", F.explode("finish").alias("f")).where("f is not null"), budget)
+    # only sizes and times are sorted for the cut: the rows themselves may hold texts
+    cut = budget_cut(queue.select("size", F.explode("finish").alias("f")).where("f is not null"), budget, passes * n)
     taken = F.aggregate("finish", F.lit(0).cast("long"), lambda n, f: n + F.when(f <= cut, F.col("size")).otherwise(0))
     out = queue.select("row", "size", "source_size", "target", taken.alias("taken"), "finish")
     return Mix(out, budget, cut)
 
 
-def budget_cut(events: DataFrame, budget: float) -> float:
+def budget_cut(events: DataFrame, budget: float, n: int) -> float:
     """
-    The largest finish time ``f`` up to which the sizes of all ``events`` (size, f) add up to at most ``budget``; events
-    with equal times are taken together. 0 if not even the first fits.
+    The finish time at which ``events`` (size, f; ``n`` at most), range-sorted by ``f``, are truncated: the largest up to which the sizes add up to at most
+    ``budget``. Events with equal times are taken together. 0 if not even the first fits.
     """
-    low, spent = 0.0, 0  # all events up to low fit and add up to spent
-    high = events.agg(F.max("f")).first()[0]
-    if high is None:
-        return 0.0
-    for _ in range(60):
-        inside = events.where((F.col("f") > low) & (F.col("f") <= high))
-        width = (high - low) / SLICES
-        if width <= 0 or low + width <= low:
-            break
-        at = F.least(F.floor((F.col("f") - F.lit(low)) / F.lit(width)), F.lit(SLICES - 1))
-        slices = inside.groupBy(at.alias("at")).agg(F.sum("size").alias("size"), F.max("f").alias("last"), F.min("f").alias("first")).orderBy("at").collect()  # SLICES rows at most
-        over = None
-        for s in slices:
-            if spent + s["size"] > budget:
-                over = s
-                break
-            low, spent = s["last"], spent + s["size"]
-        if over is None or over["first"] == over["last"]:
-            break
-        # the cut lies in this slice: look again at it alone, from just below its first event
-        high = over["last"]
-        low = max(low, math.nextafter(over["first"], 0.0)) if over["first"] > low else low
-    return low
+    parts = max(1, -(-n // PART_EVENTS))
+    queue = events.repartitionByRange(parts, "f").sortWithinPartitions("f").withColumn("part", F.spark_partition_id())
+    queue = common.written(queue, "queue")
+    spent, last = 0, 0.0
+    for part in sorted(queue.groupBy("part").agg(F.sum("size").alias("size"), F.max("f").alias("last")).collect()):  # a row for each part
+        if spent + part["size"] > budget:
+            times = queue.where(F.col("part") == part["part"]).groupBy("f").agg(F.sum("size").alias("size"))
+            until = times.withColumn("until", F.sum("size").over(Window.orderBy("f")))  # one part's times in one task
+            fits = until.where(F.col("until") <= F.lit(float(budget - spent))).agg(F.max("f")).first()[0]
+            return last if fits is None else fits
+        spent, last = spent + part["size"], part["last"]
+    return last
 
 
 def in_order(mix: Mix, columns: list[str]) -> DataFrame:

@@ -95,18 +95,19 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def banded(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` as row and bands over shingles of ``words`` words."""
+    """``keep`` as row, bands over shingles of ``words`` words, and fp, the fingerprint of the set of shingles (each once)."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = pa.array([bands(_hashes(t, words)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column("row"), keys], ["row", "bands"])
+            hashes = [np.unique(_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            fp = np.array([_majority(h) if len(h) else 0 for h in hashes], np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([bands(h) for h in hashes], pa.list_(pa.int64())), pa.array(fp.view(np.int64))], ["row", "bands", "fp"])
 
         return run
 
-    return common.map_texts(inner, make, f"{schema}, bands array<long>")
+    return common.map_texts(inner, make, f"{schema}, bands array<long>, fp long")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -228,30 +229,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the edges (a, b) of a minimum spanning forest by ``d``: every component takes its least edge until none is left."""
-    order = np.lexsort((b, a, d))
-    rank = np.empty(len(a), np.int64)
-    rank[order] = np.arange(len(a))
-    root, taken = np.arange(n), np.zeros(len(a), bool)
-    on = np.arange(len(a))
-    while True:
-        on = on[root[a[on]] != root[b[on]]]
-        if not len(on):
-            return np.flatnonzero(taken)
-        best = np.full(n, len(a), np.int64)
-        np.minimum.at(best, root[a[on]], rank[on])
-        np.minimum.at(best, root[b[on]], rank[on])
-        chosen = order[np.unique(best[best < len(a)])]
-        taken[chosen] = True
-        root = _roots(n, root[a[chosen]], root[b[chosen]])[root]
-
-
-def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """
     Links within each group of sorted ``group``, as places (a, b): for each row that has another in its local component
-    the component's first row, or, with ``nearest``, the edges of a minimum spanning forest by distance. Rows with side 1 are
-    queries only against rows with side 0 (pairs of chunks); with side 0 alone, all are compared.
+    the component's first row. Rows with side 1 are queries only against rows with side 0 (pairs of chunks); with side 0 alone, all are compared.
     """
     n = len(fp)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -277,7 +258,6 @@ def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
     from_word = np.where(crossed[queries], 0, rank[queries] // BITS)
     n_words = words_of[which[queries]] - from_word
     roots = np.arange(n)
-    near_a, near_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(n_words)
     at = 0
     while at < len(queries):
@@ -292,20 +272,11 @@ def group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
             p = pair[lo : lo + (1 << 14)][k]
             a, b = q[p], row_of[w[p] * BITS + ln]
             on = a != b
-            if nearest:
-                near_a, near_b = np.r_[near_a, a[on]], np.r_[near_b, b[on]]
-                if len(near_a) > n + (1 << 20):  # a forest of parts of the edges and the rest is one of all
-                    kept = _nearest_forest(n, near_a, near_b, np.bitwise_count(fp[near_a] ^ fp[near_b]))
-                    near_a, near_b = near_a[kept], near_b[kept]
-                continue
             a, b = roots[a[on]], roots[b[on]]
             if len(a):
                 more = _roots(n, a, b)
                 roots = more[roots]
         at = to
-    if nearest:
-        kept = _nearest_forest(n, near_a, near_b, np.bitwise_count(fp[near_a] ^ fp[near_b]))
-        return near_a[kept], near_b[kept]
     linked = np.flatnonzero(roots != np.arange(n))
     return linked, roots[linked]
 
@@ -378,15 +349,19 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     node, label: the smallest node of its component, for every node of ``edges`` (a, b). Each round takes the least label
     among neighbours, then the label's label; it ends when nothing changes. Counts are all that the driver sees.
     """
-    n = 2 * edges.count()
+    spark, n = edges.sparkSession, 2 * edges.count()
+    path = common.new_path(spark, name)
     both = common.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", n)
-    now = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name, n)
+    now = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name, n, path)
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = now.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = now.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        step = common.written(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) != F.col("label")).alias("changed")), name, n)
+        step = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) != F.col("label")).alias("changed"))
+        old, path = path, common.new_path(spark, name)
+        step = common.written(step, name, n, path)
         now = step.select("node", "label")
+        common.remove(spark, old)  # a round is all that the next one needs
         if step.where("changed").isEmpty():
             return now
 
@@ -476,23 +451,27 @@ def unjoined(held: DataFrame, label: DataFrame, sets: DataFrame, least: float) -
     return ship(dealt).mapInArrow(run, "a long, b long")
 
 
-def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """
     One row of each group of near-duplicates: texts whose sets of ``words``-word shingles have a similarity of ``least`` or more,
     and what is reached over such texts. The first by doc_id (null last), then by the text's hash, stays; repeated rows become one.
 
-    Such texts differ in more bits of a SimHash than a table of whole blocks could find, so candidates share a MinHash band, with no bound
-    on bits: their whole sets of shingles decide. First come each text and the first of its band's group; then all pairs of a group
-    that links have not joined, so none is left out but those within a component. Equal texts are one node, so copies cost nothing.
+    Candidates are the links of ``radius`` bits that the bit-sliced comparison finds between the texts' fingerprints. Texts of similarity ``least`` may
+    differ in more bits than tables of whole blocks could find, so those that share a MinHash band are candidates as well, with no bound
+    on bits. The whole sets of shingles decide. First come the links, and each text with the first of its band's group; then all pairs of a group
+    that these have not joined, so none is left out but those within a component. Equal texts are one node, so copies cost nothing.
     """
     key = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(common.text_of()).alias("_hash"))
     printed = common.written(banded(key, words, ("doc_id", "_hash")), "printed")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
-    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("bands").alias("bands")), "nodes", 4 * printed.count())  # the bands are as wide as some rows
+    nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")), "nodes", 4 * printed.count())  # the bands are as wide as some rows
     n = nodes.count()
     held = common.written(band_groups(nodes), "bands")
-    pairs = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    texts = key.select(F.col("_hash").alias("id"), common.text_of().alias("text")).join(held.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    linked = links(nodes.select("id", "fp"), n, radius).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+    pairs = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(linked.repartition(max(8, n // common.FILE_ROWS)))
+    pairs = common.written(pairs.distinct(), "pairs", n)
+    asked = held.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    texts = key.select(F.col("_hash").alias("id"), common.text_of().alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
     sets = common.written(shingle_sets(texts, words), "sets")
     edges = common.written(alike(pairs, sets, least), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
@@ -510,17 +489,17 @@ def _near_duplicates(docs: DataFrame, words: int, radius: int, keep: tuple[str,
     keep = tuple(dict.fromkeys(("doc_id", *keep)))
     printed = common.written(fingerprints(docs, words, keep), "fingerprints")
     first = F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"))
-    distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first")), "distinct", printed.count())
+    total = printed.count()
+    distinct = common.written(printed.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("rows")), "distinct", total)
     n = distinct.count()
     # the comparison keeps its own tasks; its few links are dealt out anew for few files
     edges = common.written(links(distinct.select(F.col("fp").alias("id"), "fp"), n, radius).repartition(max(8, n // common.FILE_ROWS)), "links")
     label = components(edges)
-    joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
-    least = joined.groupBy("label").agg(F.min("first").alias("least"))
-    linked = joined.join(least, "label").select("fp", "least")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
-    # a large group of copies shares one fingerprint: its rows are many on one side of this join only, which adaptive execution splits
-    return printed.join(ids, "fp")
+    joined = distinct.select("fp", "first").join(label.withColumnRenamed("node", "fp"), "fp")
+    least = joined.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("fps"))
+    linked = common.join_split(joined.select("fp", "label"), least, ["label"], "fps", n).select("fp", "least")
+    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"), "rows")
+    return common.join_split(printed, common.written(ids, "ids", n), ["fp"], "rows", total)
 
 
 def hexadecimal(fp: Column) -> Column:
