@@ -215,15 +215,6 @@ def test_bit_sliced_links(seed, radius, n):
     a, b = simhash.group_links(np.zeros(len(fp), np.int64), fp, np.zeros(len(fp), np.int64), radius)
     root = dict(zip(a.tolist(), b.tolist(), strict=True))
     assert [root.get(k, k) for k in range(len(fp))] == want
-    a, b = simhash.group_links(np.zeros(len(fp), np.int64), fp, np.zeros(len(fp), np.int64), radius, nearest=True)
-    assert len(a) == len(fp) - len(set(want)) and (np.bitwise_count(fp[a] ^ fp[b]) <= radius).all()
-    forest = simhash._roots(len(fp), a, b).tolist()
-    assert forest == want
-    for k in range(len(fp)):  # the nearest neighbour's distance is that of one of its edges
-        d = np.bitwise_count(fp ^ fp[k])
-        d[k] = 64
-        mine = np.bitwise_count(fp[a] ^ fp[b])[(a == k) | (b == k)]
-        assert d.min() > radius or mine.min() == d.min()
 
 
 def test_chunks_and_blocks(spark, monkeypatch):
