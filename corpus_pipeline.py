@@ -59,8 +59,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    """All stages over documents; each one's rows are written to the shared folder and read again, and what else it wrote there is removed."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = common.new_path(spark, f"stage-{name}")
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), name, path=path)
     return STAGES[-1][1](spark, docs, sf_dir)
