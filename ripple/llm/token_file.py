@@ -11,10 +11,14 @@ order; each worker keeps a bounded table of the words it has met.
 
 from __future__ import annotations
 
+import codecs
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from .warc import open_file
 END_ID = 1
 MAGIC = b"RIPTOK02"
 #: Words that a worker remembers.
-WORDS = 750_000
+WORDS = 1_500_000
 #: Text bytes of a file, about, whatever the size of the table: also the most that a task holds, unless one text is longer.
 FILE_BYTES = 32 << 20
 #: Bytes of ids that are coded together.
@@ -44,66 +48,113 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word that the tokenizer gives one id of its own, and probes for the property that ``Words`` builds on.
+#: A word that the tokenizer gives one id of its own, and probes for the properties that ``Words`` builds on.
 SEPARATOR = "0"
-_PROBES = ("word", "WORD", "it's", "'s", "a1b22", "#*$%", "\u00e9", "\u0301x", "\u4e2d\u6587", "x\ty", "...", "<|endoftext|>", "\u200b", "\U0001f600")
+_PROBES = ("word", "WORD", "it's", "'s", "a1b22", "#*$%", "é", "\u0301x", "中文", "x\ty", "...", "<|endoftext|>", "\u200b", "\U0001f600")
+_SIMPLE_PROBES = ("word", "straße", "niño", "garçon", "übermäßig", "ÿ", "señor", "l", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "xqzjkv")
+#: Marks that end a word, and words of lower-case letters only, which no normalisation changes.
+_MARKS = b".,;:!?"
+_simple = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def _byte_letters() -> str:
+    """The character by which byte-level vocabularies write each byte: itself if it is printable, else the next one from 256 on. A space stays."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(b) if b in shown or b == 32 else chr(256 + hidden.index(b)) for b in range(256))
 
 
 class Words:
     """
-    Ids of texts (as bytes of little-endian 16-bit integers), word by word. Raises ValueError for a tokenizer whose ids of a text
-    are not those of its words between spaces and line feeds.
+    Ids of texts (UTF-8) as bytes of little-endian 16-bit integers, word by word. Raises ValueError for a tokenizer whose ids of a text
+    are not those of its words between spaces and line feeds, in any case of A to Z.
 
-    New words are encoded many at a time with ``SEPARATOR`` between them, and words that hold it, one by one.
+    New words are encoded many at a time with ``SEPARATOR`` between them, and words that hold it, one by one. If the tokenizer's ids of a simple word
+    and of the marks after it are their ids side by side (which is tried), marks are split off first; if they are those that its model alone
+    gives, the steps before the model are left out for simple words.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
-        alone = {w: self._ids(w) for w in (*_PROBES, SEPARATOR)}
+        alone = {w: self._ids(w) for w in (*_PROBES, *_SIMPLE_PROBES, SEPARATOR)}
         if len(alone[SEPARATOR]) != 1 or any(self._ids(a + gap + b) != alone[a] + alone[b] for a in alone for b in alone for gap in (" ", "\n", "  ")):
             raise ValueError("the tokenizer does not split at white space")
+        if any(self._ids(w.upper()) != self._ids(w.lower()) for w in ("word", "xqzjkv", "mississippi")):
+            raise ValueError("the tokenizer tells A to Z from a to z")
         self.separator = alone[SEPARATOR][0]
-        self.table: dict[str, bytes] = {"": b""}
+        marks = ("." , "?!", "...", ",;:", "!")
+        self.splits = all(self._ids(w + m) == alone[w] + self._ids(m) for w in _SIMPLE_PROBES for m in marks)
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
+        joined = f" {SEPARATOR} ".join(_SIMPLE_PROBES)
+        if self._lean(joined).tolist() != self._ids(joined):
+            self.lean = None
+        self.table: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        batch = lambda texts: [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain, odd = [w for w in words if SEPARATOR not in w], [w for w in words if SEPARATOR in w]
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            (ids,) = batch([f" {SEPARATOR} ".join(some)])
-            cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) != len(some) - 1:
-                odd += some
-                continue
-            raw = ids.tobytes()
-            for w, a, b in zip(some, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True):
-                self.table[w] = raw[a:b]
-        for lo in range(0, len(odd), 4096):
-            some = odd[lo : lo + 4096]
-            self.table.update(zip(some, [ids.tobytes() for ids in batch(some)], strict=True))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for r in rows for w in r if w not in self.table})
-        if len(self.table) + len(new) > WORDS:
-            self.table = {"": b""}
-            new = list({w for r in rows for w in r if w})
-        self._learn(new)
-        table = self.table
-        got = [b"".join([table[w] for w in r]) for r in rows]
-        for w in [w for w in new if len(w) > 64]:
-            del table[w]
-        return got
+    def _full(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def _lean(self, text: str) -> np.ndarray:
+        written = codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
+        return np.array(self.lean.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
+
+    def _learn(self, words) -> None:
+        """Puts words that the table does not have into it."""
+        table, whole = self.table, {}
+        simple, plain, odd, ends = [], [], [], []
+        if self.splits:
+            for w in words:
+                stem = w.rstrip(_MARKS)
+                if len(stem) < len(w) and _simple(stem.decode()):
+                    ends.append((w, stem, w[len(stem) :]))
+                    whole[stem] = whole[ends[-1][2]] = None
+                else:
+                    whole[w] = None
+        for w in [w for w in whole if w not in table] if self.splits else words:
+            text = w.decode()
+            (simple if self.lean and _simple(text) else odd if SEPARATOR in text else plain).append(text)
+        for texts, encode in ((simple, self._lean), (plain, self._full)):
+            for lo in range(0, len(texts), 4096):
+                some = texts[lo : lo + 4096]
+                ids = encode(f" {SEPARATOR} ".join(some))
+                cuts = np.flatnonzero(ids == self.separator)
+                if len(cuts) != len(some) - 1:
+                    odd += some
+                    continue
+                raw = ids.tobytes()
+                table.update((w.encode(), raw[a:b]) for w, a, b in zip(some, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True))
+        for w in odd:
+            table[w.encode()] = self._full(w).tobytes()
+        for w, stem, end in ends:
+            table[w] = table[stem] + table[end]
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        # the tokenizer looks for the names of special ids before it lowers letters
+        rows = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
+        words = list(chain.from_iterable(rows))
+        got = list(map(self.table.get, words))
+        if None in got:
+            missing = [k for k, ids in enumerate(got) if ids is None]
+            new = {words[k] for k in missing}
+            if len(self.table) + len(new) > WORDS:
+                self.table = {b"": b""}
+            self._learn(new)
+            for k in missing:
+                got[k] = self.table[words[k]]
+            for w in [w for w in new if len(w) > 64]:
+                del self.table[w]
+        ends = list(accumulate(map(len, rows)))
+        return [b"".join(got[b - len(r) : b]) for r, b in zip(rows, ends, strict=True)]
 
 
 _of_worker: dict[str, Words] = {}
@@ -182,7 +233,7 @@ def write_tokens(docs: DataFrame, directory: str, files: int, path=tokenizer_pat
             for part in common.steps(batch):
                 if writer is None:
                     writer = Writer(name)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text").cast(pa.large_binary()).to_pylist()), strict=True):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             size, ids = writer.close()

@@ -444,7 +444,7 @@ def test_words(text):
     from tokenizers import Tokenizer
 
     w = token_file.worker_words(token_file.tokenizer_path())
-    assert np.frombuffer(w.texts([text])[0], "<u2").tolist() == Tokenizer.from_file(token_file.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(w.texts([text.encode()])[0], "<u2").tolist() == Tokenizer.from_file(token_file.tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
 # 9: media
