@@ -26,7 +26,9 @@ BLOCK, LANES = 1 << 16, 2048
 #: Ids of a block from which more lanes are worth their empty contexts.
 LEAST = 4096
 #: Cells of the tables of order 1 and order 2 in a block.
-_N1, _N2 = 1024, 2048
+_N1, _N2 = 512, 1024
+#: Confidences that a cell may have, from 0.
+_SURE = 4
 #: Order 0's parts, the steps of its weight, and the parts of the code space.
 _PARTS, _STEPS = 1 << 16, 256
 _SPACE = _PARTS * _STEPS
@@ -35,8 +37,8 @@ _RATE, _FLOOR, _CEILING = np.float32(1 / 32), np.float32(2048), 0.98
 _FULL, _LOW, _DIGIT = float(1 << 48), float(1 << 32), float(1 << 16)
 _GROUP, _HEAD = struct.Struct("<4sII"), struct.Struct("<4sIII")
 GROUP_MAGIC, MAGIC = b"IDG2", b"IDB2"
-#: What a cell gains, by 2 * confidence + hit: a hit adds one up to 7, a miss halves; below 2 it loses its id instead.
-_GAIN = np.array([((k < 7) if hit else k // 2 - k) << 16 for k in range(8) for hit in (0, 1)], np.int32)
+#: What a cell gains, by 2 * confidence + hit: a hit adds one up to the highest, a miss halves; below 2 it loses its id instead.
+_GAIN = np.array([((k + 1 < _SURE) if hit else k // 2 - k) << 16 for k in range(_SURE) for hit in (0, 1)], np.int32)
 
 
 class Shares:
@@ -79,13 +81,13 @@ class _Model:
 
     def __init__(self, n: int, shares: Shares):
         self.shares = shares
-        lane = np.arange(n, dtype=np.int32)
-        self.l1, self.l2, self.lw = lane * _N1, lane * _N2, lane * 128
+        lane = np.arange(n)
+        self.l1, self.l2, self.lw = lane * _N1, lane * _N2, lane * (2 * _SURE * _SURE)
         self.t1, self.t2 = np.zeros(n * _N1, np.int32), np.zeros(n * _N2, np.int32)  # confidence << 16 | id
-        conf1, conf2, same = np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij")
-        first = np.stack([(conf2 + 0.5) / (conf2 + 6), (conf1 + 0.2) / (conf1 + 10) * np.where(same, 0.1, 0.4)])
-        first = first.transpose(0, 2, 1, 3).reshape(2, 128) * (0.9 * _SPACE)  # by confidence of order 2, of order 1, same
-        self.w2, self.w1 = np.tile(first[0].astype(np.float32), n), np.tile(first[1].astype(np.float32), n)
+        conf2, conf1, same = np.meshgrid(np.arange(_SURE), np.arange(_SURE), np.arange(2), indexing="ij")
+        first = np.stack([(conf1 + 0.2) / (conf1 + 10) * np.where(same, 0.1, 0.4), (conf2 + 0.5) / (conf2 + 6)], -1) * (0.9 * _SPACE)
+        # weights of order 1 and order 2 by case, side by side: one look-up, as a number of 8 bytes, for both
+        self.weights = np.tile(first.astype(np.float32).reshape(-1, 2).view(np.int64).ravel(), n)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
 
     def predict(self, n: int) -> None:
@@ -95,16 +97,18 @@ class _Model:
         self.i2 = self.l2[:n] + ((last * 40507 ^ before * 30011) >> 5 & (_N2 - 1))
         self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.c1, self.c2 = self.v1 & 65535, self.v2 & 65535
-        self.case = self.lw[:n] + ((self.v2 >> 16 << 4) + (self.v1 >> 16 << 1) + (self.c1 == self.c2))
-        self.f1, self.f2 = self.w1.take(self.case), self.w2.take(self.case)
-        self.a1, self.a2 = self.f1.astype(np.int32), self.f2.astype(np.int32)
+        self.case = self.lw[:n] + (((self.v2 >> 16) * _SURE + (self.v1 >> 16) << 1) + (self.c1 == self.c2))
+        self.both = self.weights.take(self.case).view(np.float32).reshape(-1, 2)
+        parts = self.both.astype(np.int32)
+        self.a1, self.a2 = np.ascontiguousarray(parts[:, 0]), np.ascontiguousarray(parts[:, 1])
         self.s0 = (_SPACE - self.a1 - self.a2) >> 16
 
     def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of each block's id in the code space."""
         self.hit1, self.hit2 = self.c1 == ids, self.c2 == ids
-        start = self.s0 * self.shares.start.take(ids) + self.a1 * (self.c1 < ids) + self.a2 * (self.c2 < ids)
-        size = self.s0 * self.shares.size.take(ids) + self.a1 * self.hit1 + self.a2 * self.hit2
+        at = ids.astype(np.int64)
+        start = self.s0 * self.shares.start.take(at) + self.a1 * (self.c1 < ids) + self.a2 * (self.c2 < ids)
+        size = self.s0 * self.shares.size.take(at) + self.a1 * self.hit1 + self.a2 * self.hit2
         self.size = size
         return start, size
 
@@ -128,8 +132,10 @@ class _Model:
         """After ``part`` of the same ids."""
         gain = np.float32(_SPACE * _CEILING) * _RATE / self.size.astype(np.float32)
         keep = np.float32(1) - _RATE
-        self.w1[self.case] = np.maximum(self.f1 * (gain * self.hit1 + keep), _FLOOR)
-        self.w2[self.case] = np.maximum(self.f2 * (gain * self.hit2 + keep), _FLOOR)
+        both = self.both
+        both[:, 0] *= gain * self.hit1 + keep
+        both[:, 1] *= gain * self.hit2 + keep
+        self.weights[self.case] = np.maximum(both, _FLOOR, out=both).view(np.int64).ravel()
         for table, at, old, hit in ((self.t1, self.i1, self.v1, self.hit1), (self.t2, self.i2, self.v2, self.hit2)):
             sure = old >> 16
             new = old + _GAIN.take((sure << 1) + hit)
@@ -162,11 +168,14 @@ def _encode_group(ids: np.ndarray) -> bytes:
     low, rng = np.zeros(lanes), np.full(lanes, _FULL)
     room = length + 64
     out, at = np.zeros(room * lanes, np.uint32), np.arange(lanes)  # digit by digit, those of all blocks side by side
+    steps = np.zeros((lanes, length), np.uint16)
+    steps[np.arange(length) < sizes[:, None]] = ids
+    steps = np.ascontiguousarray(steps.T)
     for t in range(length):
         n = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % 256 == 0 and int(at.max()) + 600 * lanes > len(out):  # two digits an id at most
             out = np.concatenate([out, np.zeros((length // 2 + 1024) * lanes, np.uint32)])
-        x = ids.take(starts[:n] + t).astype(np.int32)
+        x = steps[t, :n].astype(np.int32)
         model.predict(n)
         start, size = model.part(x)
         r = np.floor(rng[:n] * (1 / _SPACE))
