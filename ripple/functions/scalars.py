@@ -132,11 +132,11 @@ def distance_phrase(hops: Column) -> Column:
     )
 
 
-def path_list(paths: Column | str, most: int = rules.NAMED_IMPORTERS) -> Column:
-    """`a`, `b`, and `c`; beyond ``most`` the rest is counted."""
+def path_list(paths: Column | str, most: int = rules.NAMED_IMPORTERS, n: Column | None = None) -> Column:
+    """`a`, `b`, and `c`; beyond ``most`` the rest is counted. n: how many there are, if ``paths`` has only the first ``most``."""
     p = col(paths)
     quoted = F.transform(p, lambda x: F.concat(F.lit("`"), x, F.lit("`")))
-    n = F.size(p)
+    n = F.size(p) if n is None else n
     head = F.array_join(F.slice(quoted, 1, most), ", ")
     return (
         F.when(n <= 0, "").when(n == 1, F.get(quoted, F.lit(0))).when(n == 2, F.array_join(quoted, " and "))
@@ -146,10 +146,11 @@ def path_list(paths: Column | str, most: int = rules.NAMED_IMPORTERS) -> Column:
 
 
 def hub_reason(importers: Column, changed: bool = False, hops: Column | None = None) -> Column:
-    named, far = path_list(importers), distance_phrase(hops) if hops is not None else F.lit("")
+    """importers: the struct of ``resolve.importers_of``."""
+    named, far = path_list(importers["first"], n=importers["n"]), distance_phrase(hops) if hops is not None else F.lit("")
     if changed:
         return F.when(named != "", F.concat(F.lit("You changed a shared hub — imported directly by "), named, F.lit("."))).otherwise("You changed a shared hub.")
-    count = F.concat(F.lit("Shared hub — "), F.size(importers).cast("string"), F.lit(" other files import it directly"), far, F.lit("."))
+    count = F.concat(F.lit("Shared hub — "), importers["n"].cast("string"), F.lit(" other files import it directly"), far, F.lit("."))
     return F.when(named != "", F.concat(F.lit("Shared hub — imported directly by "), named, far, F.lit("."))).otherwise(count)
 
 

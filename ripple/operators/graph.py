@@ -9,25 +9,33 @@ executor costs one hop at most.
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 KEY = ["repo", "path"]
-#: Frontiers of at most so many rows are broadcast.
-SMALL = 100_000
+#: Frontiers of at most so many bytes are broadcast.
+SMALL = 8 << 20
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of its own only where the session has none."""
-    sc = df.sparkSession.sparkContext
+    """checkpoint() into spark.checkpoint.dir; only a local session (tests) that names none gets a folder of its own."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripple-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="ripple-"))
     return df.checkpoint()
 
 
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of their keys and as much again)"""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length("repo") + F.octet_length("path") + 32)).first()
+    return n, size or 0
+
+
 def prepared(edges: DataFrame, reverse: bool = True) -> DataFrame:
     """(repo, path, next): the steps of a fixpoint, hashed by their start and kept for all hops; several fixpoints may share them."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
@@ -43,13 +51,13 @@ def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hop
     own = steps is None
     steps = prepared(edges, reverse) if own else steps
     frontier = seen = cut_lineage(seeds.select(*KEY).distinct().withColumn("hops", F.lit(0)))
-    n, total, hop = seen.count(), 0, 0
+    (n, size), total, hop = _extent(seen), 0, 0
+    small = lambda df, bytes_: F.broadcast(df) if bytes_ <= SMALL else df
     while n and (max_hops is None or hop < max_hops):
-        hop, total = hop + 1, total + n
-        small = lambda df, rows: F.broadcast(df) if rows <= SMALL else df
-        new = steps.join(small(frontier.select(*KEY), n), KEY).select("repo", F.col("next").alias("path")).distinct()
+        hop, total = hop + 1, total + size
+        new = steps.join(small(frontier.select(*KEY), size), KEY).select("repo", F.col("next").alias("path")).distinct()
         frontier = cut_lineage(new.join(small(seen.select(*KEY), total), KEY, "left_anti").withColumn("hops", F.lit(hop)))
-        n = frontier.count()
+        n, size = _extent(frontier)
         if n:
             seen = seen.unionByName(frontier)
     if own:
@@ -62,16 +70,14 @@ def rings(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     return closure(edges, seeds, max_hops=max_hops).where(F.col("hops") > 0)
 
 
-def reaches_any(edges: DataFrame, sources: DataFrame, targets: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+def reaches_any(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """The ``sources`` (repo, path) from which at least one import path of one or more steps leads to a target: one fixpoint for all."""
-    own = steps is None
-    steps = prepared(edges) if own else steps
+    steps = prepared(edges)
     up = closure(edges, targets, steps=steps)
     # a target counts as a source only over a path that leads back to a target
     first = steps.join(up.select(*KEY), KEY, "left_semi").select("repo", F.col("next").alias("path"))
     out = cut_lineage(sources.join(first, KEY, "left_semi"))
-    if own:
-        steps.unpersist()
+    steps.unpersist()
     return out
 
 
@@ -79,21 +85,28 @@ def filter_rings(ring_rows: DataFrame, edges: DataFrame, proven: DataFrame, any_
     """
     Rings without files that use no changed symbol: hop 1 keeps the ``proven`` files (repo, path); hop n keeps files with an
     import path to a kept file of hop n - 1. No kept file at a level ends it. Without changed symbols nothing is dropped.
+
+    One fixpoint for all levels: its states are (file, level), a file that reaches a kept file of the level; a state whose file is in the ring
+    above is a kept file itself and starts the next level.
     """
     if not any_symbols:
         return ring_rows
+    state = [*KEY, "level"]
     ring_rows = cut_lineage(ring_rows)
-    deepest = ring_rows.agg(F.max("hops")).first()[0] or 0
     steps = prepared(edges)
+    ring = ring_rows.select(*KEY, "hops")
     kept = cut_lineage(ring_rows.where("hops = 1").join(proven.select(*KEY).distinct(), KEY, "left_semi"))
-    levels = [kept]
-    for hop in range(2, deepest + 1):
-        kept = reaches_any(edges, ring_rows.where(F.col("hops") == hop), kept.select(*KEY), steps)
-        if kept.isEmpty():
-            break
-        levels.append(kept)
+    frontier = done = kept.select(*KEY, F.lit(1).alias("level"))
+    while not frontier.isEmpty():
+        reached = steps.join(frontier, KEY).select("repo", F.col("next").alias("path"), "level").distinct()
+        risen = reached.join(ring, KEY).where(F.col("hops") == F.col("level") + 1).select(*KEY, "hops")
+        risen = cut_lineage(risen.join(kept.select(*KEY), KEY, "left_anti"))
+        kept = kept.unionByName(ring_rows.join(risen.select(*KEY), KEY, "left_semi"))
+        new = reached.unionByName(risen.select(*KEY, F.col("hops").alias("level"))).distinct()
+        frontier = cut_lineage(new.join(done, state, "left_anti"))
+        done = done.unionByName(frontier)
     steps.unpersist()
-    return reduce(DataFrame.unionByName, levels)
+    return kept
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

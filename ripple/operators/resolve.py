@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import NAMED_IMPORTERS
 from ..functions.predicates import base_name, col, is_script_path, uses_script_resolution
 from ..functions.rules import SCRIPT_SUFFIXES
 
@@ -105,9 +106,21 @@ def build_edges(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("repo", F.col("path").alias("src"), F.col("target").alias("dst")).agg(ordered.alias("imports"))
 
 
-def importers_of(edges: DataFrame) -> DataFrame:
-    """(repo, path, importers): sorted distinct in-neighbours."""
-    return edges.groupBy("repo", F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("importers"))
+def importers_of(edges: DataFrame, most: int = NAMED_IMPORTERS) -> DataFrame:
+    """
+    (repo, path, importers): a struct of the first ``most`` distinct in-neighbours in path order and n, how many there are. A hub's importers are
+    never one row: the first are kept before the shuffle, the count is combinable.
+    """
+    pairs = edges.select("repo", F.col("dst").alias("path"), "src").distinct()
+    order = Window.partitionBy("repo", "path").orderBy("src")
+    first = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    first = first.groupBy("repo", "path").agg(F.array_sort(F.collect_list("src")).alias("first"))
+    counts = pairs.groupBy("repo", "path").agg(F.count("*").alias("n"))
+    return first.join(counts, ["repo", "path"]).select("repo", "path", F.struct("first", "n").alias("importers"))
+
+
+def importers_or_none(importers: str = "importers") -> Column:
+    return F.coalesce(F.col(importers), F.struct(F.array().cast("array<string>").alias("first"), F.lit(0).cast("long").alias("n")))
 
 
 def edge_evidence(edges: DataFrame, seeds: DataFrame) -> DataFrame:

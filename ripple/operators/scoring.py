@@ -46,7 +46,7 @@ def classify(ring_rows: DataFrame, edges: DataFrame, seeds: DataFrame, fan_out:
     impact rows: repo, path, hops, is_danger, reason, import_evidence (of hop 1: the proofs of its edges into seeds, in seed order).
     seeds: repo, path, ord.
     """
-    from .resolve import edge_evidence, importers_of
+    from .resolve import edge_evidence, importers_of, importers_or_none
 
     proofs = edge_evidence(edges, seeds)
     item = F.struct("ord", "nth", "seed", "line", "module")
@@ -56,7 +56,7 @@ def classify(ring_rows: DataFrame, edges: DataFrame, seeds: DataFrame, fan_out:
     )
     rows = with_danger(ring_rows, edges, fan_out).join(importers_of(edges), KEY, "left").join(listed, KEY, "left")
     none = F.array().cast("array<string>")
-    importers, hit = F.coalesce("importers", none), F.coalesce("hit", none)
+    importers, hit = importers_or_none(), F.coalesce("hit", none)
     evidence = F.when(F.col("hops") == 1, F.transform(F.col("proofs"), lambda x: F.struct(F.col("path").alias("path"), x["line"].alias("line"), x["module"].alias("module"))))
     empty = F.array().cast("array<struct<path:string,line:int,module:string>>")
     reason = F.when(F.col("is_danger"), danger_reason("path", F.col("hops"), importers)).otherwise(downstream_reason(F.col("hops"), hit))

@@ -32,9 +32,13 @@ def symbol_order(path: Column | str = "path", name: Column | str = "name", is_da
 
 
 def select_nodes(nodes: DataFrame, most: int = rules.DIAGRAM_NODES) -> DataFrame:
-    """nodes: repo, path, hops (0 for seeds). Seeds, all of them, then ring order up to ``most``."""
-    w = Window.partitionBy("repo").orderBy("hops", "path")
-    return nodes.withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= most) | (F.col("hops") == 0))
+    """nodes: repo, path, hops (0 for seeds). Seeds, all of them, then ring order up to ``most``. Of the rings only ``most`` are kept before they are shuffled."""
+    order = Window.partitionBy("repo").orderBy("hops", "path")
+    seeds = nodes.where("hops = 0").withColumn("nth", F.row_number().over(order))
+    others = nodes.where("hops != 0").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    before = seeds.groupBy("repo").agg(F.count("*").cast("int").alias("n_seeds"))
+    others = others.join(before, "repo", "left").withColumn("nth", F.col("nth") + F.coalesce("n_seeds", F.lit(0))).drop("n_seeds")
+    return seeds.unionByName(others.where(F.col("nth") <= most))
 
 
 def evidence_rank(kind: Column | str = "kind", confidence: Column | str = "confidence") -> Column:
@@ -70,8 +74,12 @@ def capped_lines(lines: DataFrame, by: list[str], most: int = rules.PACK_LINES,
     return first.withColumn("chars", total).where(F.col("chars") <= chars)
 
 
-def layer_groups(nodes: DataFrame) -> DataFrame:
-    """(repo, layer, paths): nodes of each top folder, sorted."""
+def layer_groups(nodes: DataFrame, most: int = rules.DIAGRAM_NODES) -> DataFrame:
+    """(repo, layer, n, paths): how many nodes each top folder has, and the first ``most`` of them, sorted."""
     from ..functions.scalars import layer
 
-    return nodes.groupBy("repo", layer("path").alias("layer")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    rows = nodes.select("repo", layer("path").alias("layer"), "path").distinct()
+    by = ["repo", "layer"]
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("path"))).where(F.col("nth") <= most)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return first.join(rows.groupBy(*by).agg(F.count("*").alias("n")), by)

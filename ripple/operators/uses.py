@@ -16,29 +16,33 @@ def seed_stem(path: Column | str) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]+$", "")
 
 
-def references_symbol(module: Column, symbols: Column, name: Column, stem: Column) -> Column:
-    """The import names the symbol (or *), and its module has the stem as a dotted part or ends with it, or is empty."""
-    named = F.array_contains(symbols, name) | F.array_contains(symbols, "*")
-    return F.coalesce(named & (F.array_contains(F.split(module, r"\."), stem) | module.endswith(stem) | (module == "")), F.lit(False))
+def from_module(module: Column, stem: Column) -> Column:
+    """The module has the stem as a dotted part or ends with it, or is empty."""
+    return F.coalesce(F.array_contains(F.split(module, r"\."), stem) | module.endswith(stem) | (module == ""), F.lit(False))
 
 
-def calls_symbol(callee: Column, name: Column) -> Column:
-    return (callee == name) | callee.endswith(F.concat(F.lit("."), name))
+def imported_names(imports: DataFrame) -> DataFrame:
+    """imports with a row for each name that they import, in ``symbol``; * is a name."""
+    return imports.withColumn("symbol", F.explode(F.array_distinct("symbols"))).drop("symbols")
 
 
 def symbol_users(symbols: DataFrame, edges: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
     """
     (repo, seed, name, kind, path, import_line, call_lines): importers of ``seed`` that import the symbol (symbols: repo, path, name, kind)
-    and call it; a class needs the import alone. All joins have an equi-key: the edge first, then the importer's path.
+    and call it; a class needs the import alone. The name is part of every key: imports are matched by the names that they list (those of * by the file alone,
+    which are few), calls by the last part of what they call, so a file with many symbols is no product of its lines.
     """
-    s = symbols.select("repo", F.col("path").alias("seed"), "name", "kind").distinct()
-    pair = s.join(edges.select("repo", F.col("dst").alias("seed"), F.col("src").alias("path")), ["repo", "seed"])
-    i = imports.select("repo", "path", "ordinal", "module", "symbols", F.col("line").alias("import_line"))
-    named = pair.join(i, KEY).where(references_symbol(F.col("module"), F.col("symbols"), F.col("name"), seed_stem("seed")))
     key = ["repo", "seed", "name", "kind", "path"]
+    pair = symbols.select("repo", F.col("path").alias("seed"), "name", "kind").distinct().join(edges.select("repo", F.col("dst").alias("seed"), F.col("src").alias("path")).distinct(), ["repo", "seed"])
+    i = imported_names(imports.select("repo", "path", "ordinal", "module", "symbols", F.col("line").alias("import_line")))
+    by_name = pair.join(i.where("symbol != '*'").withColumnRenamed("symbol", "name"), [*KEY, "name"])
+    by_star = pair.join(i.where("symbol = '*'").drop("symbol"), KEY)
+    named = by_name.select(*by_star.columns).unionByName(by_star).where(from_module(F.col("module"), seed_stem("seed")))
     first = named.groupBy(*key).agg(F.min_by("import_line", "ordinal").alias("import_line"))
-    c = calls.select("repo", "path", "callee", F.col("line").alias("call_line"), F.col("ordinal").alias("call_ordinal"))
-    called = first.join(c, KEY).where(calls_symbol(F.col("callee"), F.col("name")))
+    last_part = F.substring_index("callee", ".", -1)
+    # a callee is the name itself or ends with a dot and the name; names have no dots, so the last part is the key
+    c = calls.select("repo", "path", last_part.alias("name"), F.col("line").alias("call_line"), F.col("ordinal").alias("call_ordinal"))
+    called = first.select(*key).join(c, [*KEY, "name"])
     lines = called.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("call_line", "call_ordinal"))), lambda x: x["call_line"]).alias("call_lines"))
     return first.join(lines, key, "left").where(F.col("call_lines").isNotNull() | (F.col("kind") == "class"))
 
@@ -62,7 +66,8 @@ def proven_importers(ring_rows: DataFrame, users: DataFrame) -> DataFrame:
 
 def importers_of_name(names: DataFrame, imports: DataFrame, limit: int = IMPORTER_LIMIT) -> DataFrame:
     """names: repo, changed (path), name. The first files in path order that import the name from the changed module, itself excluded."""
-    hit = names.join(imports, "repo").where((F.col("path") != F.col("changed")) & references_symbol(F.col("module"), F.col("symbols"), F.col("name"), seed_stem("changed")))
+    keyed = names.withColumn("symbol", F.explode(F.array("name", F.lit("*"))))
+    hit = keyed.join(imported_names(imports.select("repo", "path", "module", "symbols")), ["repo", "symbol"]).where((F.col("path") != F.col("changed")) & from_module(F.col("module"), seed_stem("changed")))
     order = Window.partitionBy("repo", "changed", "name").orderBy(F.split("path", "/"))
     return hit.select("repo", "changed", "name", "path").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 

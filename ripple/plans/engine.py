@@ -1,15 +1,15 @@
 """
 The engine: scan, trace, audit and explain over files, or over tables of facts.
 
-Everything up to the report is one set of DataFrames; the driver looks at one row of statistics, takes its branch, and
-collects the rows of that report, which are capped or as many as the change has.
+Everything up to the reports is one set of DataFrames with the repository in every key; the driver looks at a row of statistics for each
+repository, takes its branch, and collects the rows of its report, which are capped or as many as the change has.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
@@ -32,6 +32,7 @@ class Tables:
     calls: DataFrame
     edges: DataFrame
     contents: DataFrame = field(default=None)
+    facts: DataFrame = field(default=None)
 
     @classmethod
     def of(cls, files: DataFrame, cache: str | None = None) -> Tables:
@@ -39,7 +40,7 @@ class Tables:
         imports, definitions, calls = facts_.tables(facts)
         names = facts.select("repo", "path", "language")
         edges = resolve.build_edges(resolve.resolve_imports(imports, names)).persist()
-        return cls(names, imports, definitions, calls, edges, files)
+        return cls(names, imports, definitions, calls, edges, files, facts)
 
 
 class Engine:
@@ -48,13 +49,19 @@ class Engine:
 
     @classmethod
     def from_folder(cls, spark: SparkSession, root: str, fan_out: int | None = None, cache: str | None = None, git: bool = False) -> Engine:
-        """A folder that all executors can read; with ``git`` what git ignores is left out."""
+        """A folder that all executors can read, as the repository ``r``; with ``git`` what git ignores is left out. ``Tables.of`` takes many repositories."""
         from ..sources import config, git as git_
 
         raw = git_.read(spark, root).withColumn("repo", F.lit("r")) if git else None
         files = facts_.from_contents(raw) if git else facts_.read_files(spark, root)
         return cls(spark, Tables.of(files, cache), fan_out if fan_out is not None else config.load(root).fan_out)
 
+    def close(self) -> None:
+        """Gives up the facts and edges that are kept for all reports."""
+        for df in (self.t.edges, self.t.facts):
+            if df is not None:
+                df.unpersist()
+
     # scan
 
     def scan(self) -> DataFrame:
@@ -72,87 +79,131 @@ class Engine:
         """The report of one file: who depends on it, through how many steps."""
         seeds = self._paths([path], repo)
         if self.t.files.join(seeds, KEY, "left_semi").isEmpty():
-            raise ValueError(f"{path} is not a scanned file")
+            raise ValueError(f"{path} is not a scanned file of {repo}")
         rings = graph.rings(self.t.edges, seeds)
         rows = scoring.classify(rings, self.t.edges, seeds, self.fan_out).orderBy("hops", "path").collect()
         if not rows:
             return self._pass(path, f"No files depend on `{path}`.")
         danger, down = self._split(rows)
-        tier = self.spark.range(1).select(scoring.risk_tier(F.lit(len(rows)), F.lit(rows[-1]["hops"]), F.lit(len(danger)))).first()[0]
-        return self._full(path, danger, down, tier, len(rows), rows[-1]["hops"], self._diagram(seeds, rings), [], [], "Traced")
+        tier = self._tiers([(repo, len(rows), rows[-1]["hops"], len(danger))])[repo]
+        return self._full(path, danger, down, tier, len(rows), rows[-1]["hops"], self._diagrams(seeds, rings)[repo], [], [], "Traced")
 
     # audit
 
     def audit(self, changed: DataFrame, spans: DataFrame, overlays: bool = False, repo: str = "r") -> dict:
+        """The report of one repository's change set; see ``audits``."""
+        mine = F.col("repo") == repo
+        return self.audits(changed.where(mine), spans.where(mine), overlays).get(repo) or self._pass("(none)", "No changed files.")
+
+    def audits(self, changed: DataFrame, spans: DataFrame, overlays: bool = False) -> dict[str, dict]:
         """
-        The report of a change set. changed: repo, path of all changed files; spans: changed lines of source files, a deletion as a span that
-        ends before it starts. Branches: nothing changed; no source changed; only comments or blank lines; no scanned file; no diagram due; full.
+        The reports of many repositories' change sets by repository, from one pass over all of them. changed: repo, path of all changed files; spans: changed
+        lines of source files, a deletion as a span that ends before it starts. Branches, for each repository: no source changed; only comments or
+        blank lines; no scanned file; no diagram due; full. Repositories without changed files have no report.
         """
-        spans = spans.where(F.col("repo") == repo)
-        paths = [r["path"] for r in changed.where(F.col("repo") == repo).select("path").distinct().orderBy("path").collect()]
-        if not paths:
-            return self._pass("(none)", "No changed files.")
-        sources = self.spark.createDataFrame([(repo, x) for x in paths], "repo string, path string").where(p.is_source_path("path"))
-        source_paths = [r["path"] for r in sources.collect()]
-        if not source_paths:
-            return self._pass("(non-source)", "Only files that are not source changed: " + ", ".join(f"`{x}`" for x in paths[:5]) + ".")
-        if not overlays and self._quiet(spans):
-            return self._pass(", ".join(source_paths), "Only comments or blank lines changed.")
-        seeds = self.t.files.join(sources, KEY, "left_semi").select(*KEY)
-        seed_paths = [r["path"] for r in seeds.orderBy(F.split("path", "/")).collect()]
-        symbols = intervals.changed_symbols(self.t.definitions, spans).persist()
+        changed, keep = changed.select(*KEY).distinct(), []
+
+        def kept(df: DataFrame) -> DataFrame:
+            keep.append(df.persist())
+            return df
+
+        try:
+            return self._audits(changed, spans, overlays, kept)
+        finally:
+            for df in keep:
+                df.unpersist()
+
+    def _audits(self, changed: DataFrame, spans: DataFrame, overlays: bool, kept) -> dict[str, dict]:
+        out: dict[str, dict] = {}
+        paths = self._by_repo(changed.orderBy("repo", "path"), lambda r: r["path"])
+        sources = kept(changed.where(p.is_source_path("path")))
+        source_paths = self._by_repo(sources.orderBy("repo", "path"), lambda r: r["path"])
+        for repo in paths.keys() - source_paths.keys():
+            out[repo] = self._pass("(non-source)", "Only files that are not source changed: " + ", ".join(f"`{x}`" for x in paths[repo][:5]) + ".")
+        spans = spans.join(sources.select("repo").distinct(), "repo", "left_semi")
+        loud = source_paths.keys() if overlays else {r["repo"] for r in self._loud(spans).collect()}
+        for repo in source_paths.keys() - loud:
+            out[repo] = self._pass(", ".join(source_paths[repo]), "Only comments or blank lines changed.")
+        live = self._names(loud)
+        spans = kept(spans.join(F.broadcast(live), "repo", "left_semi"))  # one name for each repository that has something to report
+        seeds = kept(self.t.files.join(sources.join(live, "repo", "left_semi"), KEY, "left_semi").select(*KEY))
+        seed_paths = self._by_repo(seeds.orderBy("repo", F.split("path", "/")), lambda r: r["path"])
+        lines = self._orphans(spans)
+        for repo in loud - seed_paths.keys():
+            out[repo] = self._pass("(unscanned)", "No changed file is in the graph.") | {"line_explanations": lines.get(repo, [])}
         if not seed_paths:
-            return self._pass("(unscanned)", "No changed file is in the graph.") | {"line_explanations": self._orphans(spans)}
-        ordered = self._paths(seed_paths, repo)
-        users = uses.symbol_users(symbols, self.t.edges, self.t.imports, self.t.calls).persist()
+            return out
+        order = Window.partitionBy("repo").orderBy(F.split("path", "/"))
+        ordered = seeds.withColumn("ord", F.row_number().over(order) - 1)
+        symbols = kept(intervals.changed_symbols(self.t.definitions, spans).join(seeds.select("repo").distinct(), "repo", "left_semi"))
+        users = kept(uses.symbol_users(symbols, self.t.edges, self.t.imports, self.t.calls))
         rings = graph.rings(self.t.edges, seeds)
-        rings = graph.filter_rings(rings, self.t.edges, uses.proven_importers(rings, users), not symbols.isEmpty())
-        impact = scoring.classify(rings, self.t.edges, ordered, self.fan_out).orderBy("hops", "path").collect()
+        with_symbols = symbols.select("repo").distinct()
+        filtered = graph.filter_rings(rings.join(with_symbols, "repo", "left_semi"), self.t.edges, uses.proven_importers(rings, users))
+        rings = filtered.unionByName(rings.join(with_symbols, "repo", "left_anti"))
+        impact = self._by_repo(scoring.classify(rings, self.t.edges, ordered, self.fan_out).orderBy("repo", "hops", "path"), lambda r: r)
         degrees = seeds.join(scoring.in_degree(self.t.edges), KEY, "left")
-        n_lines = intervals.changed_line_count(spans).first()["n_lines"]
-        all_changed = self.spark.createDataFrame([(repo, x) for x in paths], "repo string, path string").join(degrees.withColumn("is_seed", F.lit(True)), KEY, "left").na.fill({"is_seed": False, "in_degree": 0})
-        facts = all_changed.withColumns({"has_downstream": F.lit(bool(impact)), "n_downstream": F.lit(len(impact)), "n_lines": F.lit(n_lines)})
-        seed = ", ".join(seed_paths)
-        if not scoring.trigger(facts).first()["emit"]:
-            tiny = n_lines <= rules.TINY_LINES and impact
-            text = "Tiny change with little downstream." if tiny else "No downstream files use this change."
-            explained = self._symbols(symbols, users, seeds, impact, "LOW")
-            return self._pass(seed, text) | {"isolated": seed_paths, "changed_symbols": explained, "line_explanations": self._orphans(spans)}
-        danger, down = self._split(impact)
+        n_lines = {r["repo"]: r["n_lines"] for r in intervals.changed_line_count(spans, ["repo"]).collect()}
+        counts = self.spark.createDataFrame([(r, bool(impact.get(r)), len(impact.get(r, [])), n_lines.get(r, 0)) for r in seed_paths], "repo string, has_downstream boolean, n_downstream int, n_lines long")
+        facts = changed.join(F.broadcast(counts), "repo").join(degrees.withColumn("is_seed", F.lit(True)), KEY, "left").na.fill({"is_seed": False, "in_degree": 0})
+        emit = {r["repo"] for r in scoring.trigger(facts).where("emit").collect()}
         own = degrees.withColumn("in_degree", F.coalesce("in_degree", F.lit(0))).where(p.is_danger_zone("path", "in_degree", self.fan_out)).join(resolve.importers_of(self.t.edges), KEY, "left")
-        reason = F.when(p.is_danger_path("path"), s.danger_reason("path", F.lit(0), F.coalesce("importers", F.array().cast("array<string>")))).otherwise(s.hub_reason(F.coalesce("importers", F.array().cast("array<string>")), changed=True))
-        mine = own.select("path", reason.alias("reason")).orderBy(F.split("path", "/").desc()).collect()  # put in front one by one: the last comes first
-        danger = [{"path": r["path"], "hops": 0, "reason": r["reason"], "import_evidence": []} for r in mine] + danger
-        d, h = len(impact), max([r["hops"] for r in impact], default=0)
-        d1, h1 = (max(d, 1), max(h, 1)) if danger else (d, h)
-        tier = self.spark.range(1).select(scoring.risk_tier(F.lit(d1), F.lit(h1), F.lit(len(danger)))).first()[0]
-        linked = {r["seed"] for r in resolve.edge_evidence(self.t.edges, ordered).join(rings.where("hops = 1").select("repo", F.col("path").alias("importer")), ["repo", "importer"], "left_semi").select("seed").distinct().collect()}
-        risky = {r["path"] for r in mine}
-        out = self._full(seed, danger, down, tier, d, h, self._diagram(seeds, rings), self._symbols(symbols, users, seeds, impact, tier), self._orphans(spans), "Changed")
-        return out | {"isolated": [x for x in seed_paths if x not in linked and x not in risky]}
+        importers = resolve.importers_or_none()
+        reason = F.when(p.is_danger_path("path"), s.danger_reason("path", F.lit(0), importers)).otherwise(s.hub_reason(importers, changed=True))
+        # put in front one by one: the last comes first
+        mine = self._by_repo(own.select(*KEY, reason.alias("reason")).orderBy("repo", F.split("path", "/").desc()), lambda r: r)
+        zones, sizes = {}, []
+        for repo in seed_paths:
+            danger, down = self._split(impact.get(repo, []))
+            if repo in emit:
+                danger = [{"path": r["path"], "hops": 0, "reason": r["reason"], "import_evidence": []} for r in mine.get(repo, [])] + danger
+            zones[repo] = danger, down
+            d, h = len(impact.get(repo, [])), max([r["hops"] for r in impact.get(repo, [])], default=0)
+            sizes.append((repo, max(d, 1), max(h, 1), len(danger)) if danger else (repo, d, h, 0))
+        tiers = {repo: t if repo in emit else "LOW" for repo, t in self._tiers(sizes).items()}
+        explained = self._symbols(symbols, users, {r: (len(impact.get(r, [])), tiers[r]) for r in seed_paths})
+        linked = self._by_repo(resolve.edge_evidence(self.t.edges, ordered).join(rings.where("hops = 1").select("repo", F.col("path").alias("importer")), ["repo", "importer"], "left_semi").select("repo", "seed").distinct(), lambda r: r["seed"])
+        drawn = self._diagrams(seeds.join(F.broadcast(self._names(emit)), "repo", "left_semi"), rings) if emit else {}
+        for repo, seen in seed_paths.items():
+            (danger, down), rows, seed = zones[repo], impact.get(repo, []), ", ".join(seed_paths[repo])
+            if repo not in emit:
+                tiny = n_lines.get(repo, 0) <= rules.TINY_LINES and rows
+                text = "Tiny change with little downstream." if tiny else "No downstream files use this change."
+                out[repo] = self._pass(seed, text) | {"isolated": seen, "changed_symbols": explained.get(repo, []), "line_explanations": lines.get(repo, [])}
+                continue
+            n, hops = len(rows), max([r["hops"] for r in rows], default=0)
+            risky = {r["path"] for r in mine.get(repo, [])} | set(linked.get(repo, []))
+            out[repo] = self._full(seed, danger, down, tiers[repo], n, hops, drawn.get(repo), explained.get(repo, []), lines.get(repo, []), "Changed") | {"isolated": [x for x in seen if x not in risky]}
+        return out
 
     def explain(self, changed: DataFrame, spans: DataFrame, symbol: str | None = None, path: str | None = None, repo: str = "r") -> list[dict]:
-        """Explanations of changed symbols with their evidence; the filters are applied before captions are made."""
-        spans = spans.where(F.col("repo") == repo)
-        symbols = intervals.changed_symbols(self.t.definitions, spans)
+        """Explanations of one repository's changed symbols with their evidence; the filters are applied before captions are made."""
+        mine = F.col("repo") == repo
+        symbols = intervals.changed_symbols(self.t.definitions, spans.where(mine))
         for column, wanted in (("name", symbol), ("path", path)):
             symbols = symbols if wanted is None else symbols.where(F.col(column) == wanted)
         symbols = symbols.persist()
         users = uses.symbol_users(symbols, self.t.edges, self.t.imports, self.t.calls).persist()
-        seeds = self.t.files.join(changed.select(*KEY).distinct(), KEY, "left_semi").select(*KEY)
-        rings = graph.rings(self.t.edges, seeds)
-        impact = scoring.classify(rings, self.t.edges, self._paths([r["path"] for r in seeds.collect()], repo), self.fan_out).collect()
-        danger, _ = self._split(impact)
-        tier = self.spark.range(1).select(scoring.risk_tier(F.lit(len(impact)), F.lit(max([r["hops"] for r in impact], default=0)), F.lit(len(danger)))).first()[0]
+        seeds = self.t.files.join(changed.where(mine).select(*KEY).distinct(), KEY, "left_semi").select(*KEY)
+        rings = scoring.with_danger(graph.rings(self.t.edges, seeds), self.t.edges, self.fan_out)
+        n, hops, risky = rings.agg(F.count("*"), F.coalesce(F.max("hops"), F.lit(0)), F.count_if("is_danger")).first()
+        tier = self._tiers([(repo, n, hops, risky)])[repo]
         proofs: dict = {}
         for r in uses.user_evidence(users).orderBy("seed", "name", "path").collect():
             proofs.setdefault((r["seed"], r["name"]), []).extend(e.asDict() for e in r["evidence"])
+        named = {(r["path"], r["name"]): r["rule"] for r in symbols.select("path", "name", captions.name_rule().alias("rule")).where("rule is not null").collect()}
         out = []
-        for x in self._symbols(symbols, users, seeds, impact, tier):
-            why = [{"role": "purpose", "text": x["summary"], "evidence": [{"confidence": "proven", "kind": "diff_overlap", "location": f"{x['path']}:{x['line']}", "fact": f"changed lines {', '.join(map(str, x['changed_lines']))}"}]}]
+        for x in self._symbols(symbols, users, {repo: (n, tier)}).get(repo, []):
+            at = x["path"], x["name"]
+            shown = [{"confidence": "proven", "kind": "diff_overlap", "location": f"{x['path']}:{x['line']}", "fact": f"changed lines {', '.join(map(str, x['changed_lines']))}"}]
+            if at in named and x["summary"]:
+                shown.append({"confidence": "heuristic", "kind": "heuristic_name", "location": x["name"], "fact": named[at]})
+            why = [{"role": "purpose", "text": x["summary"], "evidence": shown}]
             if x["explanation"]:
-                why.append({"role": "impact", "text": x["explanation"], "evidence": proofs.get((x["path"], x["name"]), [])})
+                why.append({"role": "impact", "text": x["explanation"], "evidence": proofs.get(at, [])})
             out.append(x | {"text": " ".join(filter(None, (x["summary"], x["explanation"])))[: rules.EXPLANATION_CHARS], "clauses": why})
+        users.unpersist()
+        symbols.unpersist()
         return out
 
     # parts
@@ -160,92 +211,107 @@ class Engine:
     def _paths(self, paths: list[str], repo: str) -> DataFrame:
         return self.spark.createDataFrame([(repo, x, k) for k, x in enumerate(paths)], "repo string, path string, ord int")
 
+    def _names(self, repos) -> DataFrame:
+        return self.spark.createDataFrame([(r,) for r in sorted(repos)], "repo string")
+
+    @staticmethod
+    def _by_repo(rows: DataFrame, value) -> dict[str, list]:
+        """Report rows, in order, by repository: what a report shows has to come to the driver that writes it."""
+        out: dict[str, list] = {}
+        for r in rows.collect():
+            out.setdefault(r["repo"], []).append(value(r))
+        return out
+
+    def _tiers(self, sizes: list[tuple[str, int, int, int]]) -> dict[str, str]:
+        """(repo, files, hops, danger zones) -> risk tier by repo."""
+        rows = self.spark.createDataFrame(sizes, "repo string, d long, h long, z long")
+        return {r["repo"]: r["tier"] for r in rows.select("repo", scoring.risk_tier(F.col("d"), F.col("h"), F.col("z")).alias("tier")).collect()}
+
     def _lines(self, spans: DataFrame) -> DataFrame:
         """repo, path, line, text of the files that have spans."""
         some = self.t.contents.join(spans.select(*KEY).distinct(), KEY, "left_semi")
         return some.select(*KEY, F.posexplode(s.lines_of(F.decode("content", "UTF-8"))).alias("n", "text")).select(*KEY, (F.col("n") + 1).alias("line"), "text")
 
-    def _quiet(self, spans: DataFrame) -> bool:
-        """Every changed line is blank or a comment, and no line was deleted."""
-        if not spans.where("stop < start").isEmpty():
-            return False
-        touched = self._lines(spans).join(intervals.span_lines(spans), [*KEY, "line"], "left_semi")
-        return touched.where(~p.is_comment_or_blank("text")).isEmpty()
+    def _loud(self, spans: DataFrame) -> DataFrame:
+        """Repositories in which a changed line is neither blank nor a comment, or a line was deleted, or no line is known."""
+        touched = self._lines(spans).join(intervals.span_lines(spans), [*KEY, "line"], "left_semi").where(~p.is_comment_or_blank("text"))
+        return spans.where("stop < start").select("repo").unionByName(touched.select("repo")).distinct()
 
-    def _symbols(self, symbols: DataFrame, users: DataFrame, seeds: DataFrame, impact: list, tier: str) -> list[dict]:
+    def _symbols(self, symbols: DataFrame, users: DataFrame, sizes: dict[str, tuple[int, str]]) -> dict[str, list[dict]]:
+        """Explained symbols by repository. sizes: (files downstream, risk tier) of each."""
         key = [*KEY, "name", "kind", "line"]
-        docs = uses.definition_docstrings(symbols, self.t.definitions)
-        used = users.groupBy("repo", F.col("seed").alias("path"), "name", "kind").agg(F.array_sort(F.collect_set("path")).alias("users"))
+        c = F.col
+        scale = F.broadcast(self.spark.createDataFrame([(r, n, t) for r, (n, t) in sizes.items()], "repo string, n_down int, tier string"))
+        docs = uses.definition_docstrings(symbols, self.t.definitions).join(scale, "repo")
+        used = users.groupBy("repo", c("seed").alias("path"), "name", "kind").agg(F.array_sort(F.collect_set("path")).alias("users"))
         local = uses.same_file_callers(symbols, intervals.body_spans(self.t.definitions), self.t.calls)
         internal = uses.has_internal_calls(symbols, self.t.calls).select(*KEY, "name").distinct().withColumn("internal", F.lit(True))
+        helps = facts_.command_helps(self.t.contents, symbols) if self.t.contents is not None else self.spark.createDataFrame([], "repo string, path string, name string, line int, help string")
         degree = scoring.in_degree(self.t.edges)
-        rows = docs.join(used, [*KEY, "name", "kind"], "left").join(resolve.importers_of(self.t.edges), KEY, "left").join(local, [*KEY, "name"], "left").join(internal, [*KEY, "name"], "left").join(degree, KEY, "left")
+        rows = docs.join(used, [*KEY, "name", "kind"], "left").join(resolve.importers_of(self.t.edges), KEY, "left").join(local, [*KEY, "name"], "left").join(internal, [*KEY, "name"], "left").join(degree, KEY, "left").join(helps, [*KEY, "name", "line"], "left")
         none = F.array().cast("array<string>")
-        rows = rows.withColumns({c: F.coalesce(c, none) for c in ("users", "importers", "callers")} | {"internal": F.coalesce("internal", F.lit(False)), "is_danger": p.is_danger_zone("path", "in_degree", self.fan_out)})
-        n = F.lit(len(impact))
-        c = F.col
+        rows = rows.withColumns({x: F.coalesce(x, none) for x in ("users", "callers")} | {"importers": resolve.importers_or_none(), "internal": F.coalesce("internal", F.lit(False)), "is_danger": p.is_danger_zone("path", "in_degree", self.fan_out)})
+        clean = lambda text: captions.without_own_file(s.expand_acronyms(text), c("path"))
         rows = rows.withColumns({
-            "purpose": s.expand_acronyms(captions.purpose()), "impact": captions.impact(c("name"), c("kind"), c("path"), c("users"), c("importers"), c("internal"), c("is_danger"), n, F.lit(tier)),
-            "implication": captions.implication(c("name"), c("path"), c("users"), c("callers"), c("is_danger"), n, F.lit(tier)),
+            "purpose": clean(captions.purpose(help_text=c("help"))), "impact": captions.impact(c("name"), c("kind"), c("path"), c("users"), c("importers"), c("internal"), c("is_danger"), c("n_down"), c("tier")),
+            "implication": captions.implication(c("name"), c("path"), c("users"), c("callers"), c("is_danger"), c("n_down"), c("tier")),
         }).persist()
         # edit blocks: runs of changed lines with their text and the call that each is about
         touched = symbols.select(*key, F.explode("changed_lines").alias("line_no"))
         text = self._lines(symbols).withColumnRenamed("line", "line_no")
-        from pyspark.sql import Window
-
-        island = F.col("line_no") - F.row_number().over(Window.partitionBy(*key).orderBy("line_no"))
+        island = c("line_no") - F.row_number().over(Window.partitionBy(*key).orderBy("line_no"))
         parts = touched.withColumn("hunk", island).join(text, [*KEY, "line_no"])
-        call = uses.primary_call(uses.calls_in_hunks(parts.select(*KEY, F.concat_ws(":", "name", "line", "hunk").alias("hunk"), F.col("name").alias("symbol"), F.col("line_no").alias("line")), self.t.calls))
+        call = uses.primary_call(uses.calls_in_hunks(parts.select(*KEY, F.concat_ws(":", "name", "line", "hunk").alias("hunk"), c("name").alias("symbol"), c("line_no").alias("line")), self.t.calls))
         block = parts.groupBy(*key, "hunk").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
-        block = block.withColumn("tag", F.concat_ws(":", "name", "line", "hunk")).join(call.select(*KEY, F.col("hunk").alias("tag"), "callee"), [*KEY, "tag"], "left")
-        item = F.struct(F.transform("x", lambda y: y["line_no"]).alias("lines"), F.transform("x", lambda y: y["text"]).alias("text"), F.col("callee").alias("call"))
+        block = block.withColumn("tag", F.concat_ws(":", "name", "line", "hunk")).join(call.select(*KEY, c("hunk").alias("tag"), "callee"), [*KEY, "tag"], "left")
+        item = F.struct(F.transform("x", lambda y: y["line_no"]).alias("lines"), F.transform("x", lambda y: y["text"]).alias("text"), c("callee").alias("call"))
         listed = block.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("blocks"))
         details = blocks.symbol_details(rows.select(*key, "purpose").join(listed, key))
-        out = []
-        for r in rows.join(details, key, "left").orderBy("path", "line", "name").collect():
+
+        def explained(r) -> dict:
             hunks = [h.asDict() for h in r["hunk_details"] or []]
             only_blank = bool(hunks) and all(h["detail"].startswith("Added ") for h in hunks)
-            out.append({
-                "path": r["path"], "name": r["name"], "kind": r["kind"], "line": r["line"], "changed_lines": list(r["changed_lines"]), "summary": "" if tier == "LOW" else r["purpose"][: rules.EXPLANATION_CHARS],
-                "detail": hunks[0]["detail"] if hunks else "", "explanation": r["impact"], "implication": "" if only_blank else r["implication"], "hunk_details": hunks,
-                "evidence": [] if only_blank else [{"confidence": "proven", "kind": "diff_overlap", "location": f"{r['path']}:{r['line']}", "fact": f"changed lines {', '.join(map(str, r['changed_lines']))}"}],
-            })
+            overlap = {"confidence": "proven", "kind": "diff_overlap", "location": f"{r['path']}:{r['line']}", "fact": f"changed lines {', '.join(map(str, r['changed_lines']))}"}
+            return {
+                "path": r["path"], "name": r["name"], "kind": r["kind"], "line": r["line"], "changed_lines": list(r["changed_lines"]), "summary": "" if r["tier"] == "LOW" else r["purpose"][: rules.EXPLANATION_CHARS],
+                "detail": hunks[0]["detail"] if hunks else "", "explanation": r["impact"], "implication": "" if only_blank else r["implication"], "hunk_details": hunks, "evidence": [] if only_blank else [overlap],
+            }
+
+        out = self._by_repo(rows.join(details, key, "left").orderBy("repo", "path", "line", "name"), explained)
+        rows.unpersist()
         return out
 
-    def _orphans(self, spans: DataFrame) -> list[dict]:
-        """Captions of changed lines before a file's first definition."""
-        from ..sources import py_parser
-
-        runs = intervals.orphan_runs(self.t.definitions, spans)
+    def _orphans(self, spans: DataFrame) -> dict[str, list[dict]]:
+        """Captions of changed lines before a file's first definition, by repository."""
+        run = [*KEY, "start", "stop"]
+        runs = intervals.orphan_runs(self.t.definitions, spans).select(*run)
         text = self._lines(spans)
-        rows = runs.join(text, KEY).where(F.col("line").between(F.col("start"), F.col("stop"))).groupBy(*KEY, "start", "stop").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"))
-        whole = self.t.contents.select(*KEY, F.decode("content", "UTF-8").alias("source"))
-        found = rows.join(whole, KEY).orderBy("path", "start").collect()
-        scoped: dict = {}
-        for r in found:
-            if r["path"].endswith(".py"):
-                hits = [x for x in py_parser.assignments(r["source"]) if x[2] <= r["stop"] and x[3] >= r["start"]]
-                if hits:
-                    scoped[r["path"], r["start"]] = min(hits, key=lambda x: (x[2], x[0]))
-        names = [("r", path, a[0]) for (path, _), a in scoped.items()]
-        importers: dict = {}
-        if names:
-            asked = self.spark.createDataFrame(sorted(set(names)), "repo string, changed string, name string")
-            for r in uses.importers_of_name(asked, self.t.imports).orderBy("nth").collect():
-                importers.setdefault((r["changed"], r["name"]), []).append(r["path"])
-        out = []
-        for r in found:
-            lines, content = [x["line"] for x in r["x"]], [x["text"] for x in r["x"]]
-            block = blocks.Block(content, lines)
-            a = scoped.get((r["path"], r["start"]))
-            detail = a and blocks.scope_caption(a[0], a[1], [n for n, _ in py_parser.readers(r["source"], a[0])], importers.get((r["path"], a[0]), []))
+        rows = runs.join(text, KEY).where(F.col("line").between(F.col("start"), F.col("stop"))).groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"))
+        # the first assignment that each run overlaps, and who reads or imports it
+        files = self.t.contents.join(runs.select(*KEY).distinct(), KEY, "left_semi")
+        made = facts_.assignments(files).select(*KEY, "name", "rhs", F.col("start").alias("a"), F.col("stop").alias("b"))
+        hit = runs.join(made, KEY).where((F.col("a") <= F.col("stop")) & (F.col("b") >= F.col("start"))).groupBy(*run).agg(F.min(F.struct("a", "name", "rhs")).alias("set")).select(*run, "set.name", "set.rhs")
+        hit = hit.persist()
+        names = hit.select(*KEY, "name").distinct()
+        readers = facts_.readers(files, names).groupBy(*KEY, "name").agg(F.transform(F.array_sort(F.collect_set(F.struct("line", "reader"))), lambda x: x["reader"]).alias("readers"))
+        asked = names.select("repo", F.col("path").alias("changed"), "name")
+        importers = uses.importers_of_name(asked, self.t.imports).groupBy("repo", F.col("changed").alias("path"), "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("importers"))
+        found = rows.join(hit, run, "left").join(readers, [*KEY, "name"], "left").join(importers, [*KEY, "name"], "left")
+
+        def captioned(r) -> dict:
+            lines = [x["line"] for x in r["x"]]
+            block = blocks.Block([x["text"] for x in r["x"]], lines)
+            detail = r["name"] and blocks.scope_caption(r["name"], r["rhs"], r["readers"] or [], r["importers"] or [])
             detail = detail or blocks.caption(block) or blocks.OUTSIDE
-            out.append({"path": r["path"], "line": blocks.anchor(block, detail), "changed_lines": lines, "detail": detail})
+            return {"path": r["path"], "line": blocks.anchor(block, detail), "changed_lines": lines, "detail": detail}
+
+        out = self._by_repo(found.orderBy("repo", "path", "start"), captioned)
+        hit.unpersist()
         return out
 
-    def _diagram(self, seeds: DataFrame, rings: DataFrame) -> str:
-        nodes = seeds.select(*KEY).withColumn("hops", F.lit(0)).unionByName(rings.select(*KEY, "hops"))
-        return report.diagram(nodes, self.t.edges).first()["mermaid"]
+    def _diagrams(self, seeds: DataFrame, rings: DataFrame) -> dict[str, str]:
+        nodes = seeds.select(*KEY).withColumn("hops", F.lit(0)).unionByName(rings.join(seeds.select("repo").distinct(), "repo", "left_semi").select(*KEY, "hops"))
+        return {r["repo"]: r["mermaid"] for r in report.diagram(nodes, self.t.edges).collect()}
 
     @staticmethod
     def _split(rows: list) -> tuple[list[dict], list[dict]]:

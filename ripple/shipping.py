@@ -6,14 +6,13 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
 
-def ship(df: DataFrame) -> DataFrame:
-    """``df``, once its application has this package as a Python file of every task."""
-    spark = df.sparkSession
+def send(spark: SparkSession) -> None:
+    """Makes this package a Python file of every task of the session's application."""
     context = spark.sparkContext
     if context.applicationId not in _sent:
         root = Path(__file__).resolve().parent
@@ -23,4 +22,9 @@ def ship(df: DataFrame) -> DataFrame:
                 z.write(f, f.relative_to(root.parent).as_posix())
         context.addPyFile(str(path))
         _sent.add(context.applicationId)
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """``df``, once its application has this package."""
+    send(df.sparkSession)
     return df

@@ -108,3 +108,15 @@ def readers(files: DataFrame, names: DataFrame) -> DataFrame:
 
     asked = files.where("language = 'python'").select("repo", "path", "content").join(names.select("repo", "path", "name").distinct(), ["repo", "path"])
     return ship(asked).select("repo", "path", "name", "content").mapInPandas(run, "repo string, path string, name string, reader string, line int")
+
+
+def command_helps(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, path, name, line, help) of the ``symbols`` (repo, path, name, line) that are commands of a command line with a help text."""
+
+    def run(batches):
+        for df in batches:
+            found = [(r, p, n, int(k), py_parser.command_help(c.decode("utf-8", "replace"), n, int(k))) for r, p, n, k, c in zip(df["repo"], df["path"], df["name"], df["line"], df["content"], strict=True) if b".command" in c]
+            yield pd.DataFrame([x for x in found if x[4]], columns=["repo", "path", "name", "line", "help"])
+
+    asked = files.where("language = 'python'").select("repo", "path", "content").join(symbols.select("repo", "path", "name", "line").distinct(), ["repo", "path"])
+    return ship(asked).select("repo", "path", "name", "line", "content").mapInPandas(run, "repo string, path string, name string, line int, help string")

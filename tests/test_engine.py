@@ -5,6 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from ripple.functions.expressions import Piece, shown
 from ripple.operators import graph, resolve
 from ripple.plans import blocks, labels, report
 from ripple.plans.engine import Engine, Tables
@@ -158,9 +159,38 @@ def test_ladder(text, expected):
     assert blocks.caption(blocks.Block(text)) == expected
 
 
+@pytest.mark.parametrize(
+    "expr,fit",
+    [
+        ("a + b", True), ("a +", False), ("f(x", False), ("f(x))", False), ("x and", False), ("", False), ("(", False), ("...", False), ("f(g(x))", False), ("[x for x in y]", True),
+        ("[name for name in names if name]", False), ("f'" + "x" * 50 + "'", True), ("'" + "x" * 50 + "'", False), ("a[0]['k']", True), ("f('(')", True), ("user!", True),
+    ],
+)
+def test_shown(expr, fit):
+    assert shown(expr) == fit
+
+
+def test_pieces():
+    assert Piece("from . import x").imported() == "." and Piece("import a.b as c, d").imported() == "a.b" and Piece("from x").imported() is None
+    assert Piece("import * as m from \"./m\";").imported() == "./m" and Piece("x = 1").imported() is None
+    assert Piece("a == b").assigned() is None and Piece("a = b == c;").assigned() == ("a", "b == c") and Piece("a.b = c").assigned() is None
+    assert Piece("self.rows.append(f(x))").calls() == [("rows", "append"), ("", "f")] and Piece("g()(1).h()").calls() == [("", "g"), (".", "h")]
+    head = "async def f(\n    a,  # one\n    b=':',\n) -> int:\n    \"\"\"Text.\"\"\""
+    assert Piece(head).header_of("f") and Piece("def f(a,").header_of("f") and not Piece("def f(): return 1").header_of("f") and not Piece("@x\ndef f():").header_of("f")
+    assert blocks.caption(blocks.Block(["    return (", "        a", "        + b", "    )"])) == "Returns `( a + b )`." and blocks.caption(blocks.Block(["def f(a, b=2):"], name="f")) == blocks.SIGNATURE
+    assert blocks.caption(blocks.Block(["if isinstance(node, ast.ClassDef):"])) == "Records this definition as a class."
+
+
+def test_shown_column(spark):
+    from ripple.functions import predicates
+
+    df = spark.createDataFrame([("a + b",), ("a +",), (None,), ("f(]",)], "e string")
+    assert [tuple(r) for r in df.select(predicates.expression_worth_showing("e"), predicates.brackets_balanced("e")).collect()] == [(True, True), (False, True), (None, None), (False, False)]
+
+
 def test_clip():
     assert blocks.clip("a  b\nc", 10) == "a b c" and blocks.clip("alpha beta gamma delta", 16) == "alpha beta…" and blocks.clip("x" * 20, 10) == "x" * 9 + "…"
-    assert blocks.clip("aaaaaaaa(bbbbbbbbbb", 14) == "aaaaaaaa(…" and blocks.balanced("f([{}])") and not blocks.balanced("f(]") and not blocks.balanced("(")
+    assert blocks.clip("aaaaaaaa(bbbbbbbbbb", 14) == "aaaaaaaa(…" and Piece("f([{}])").closed and not Piece("f(]").closed and not Piece("(").closed and Piece("f('(')").closed
 
 
 def test_clip_column(spark):
