@@ -32,10 +32,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import source_catalogue  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import source_catalogue  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -149,11 +153,14 @@ def js_path_index(spark, sf_dir):
     return resolve.script_index(files).select("key", "target")
 
 
-@query(f"WITH {a.LINKS_SQL} SELECT page_id, CAST(ordinal AS INT) AS ordinal, 'pages' || module AS target FROM h WHERE starts_with(module, '/') AND module NOT LIKE '%/./%' AND module NOT LIKE '%/../%' AND module NOT LIKE '%//%' AND NOT ends_with(module, '/') AND NOT ends_with(module, '/.') AND NOT ends_with(module, '/..')")
+@query(f"""WITH {a.LINKS_SQL}, t AS (SELECT page_id, ordinal, list_concat([''], string_split('sub/x/../../' || CASE WHEN page_id % 3 = 0 THEN '../' ELSE './' END || module, '/')) AS l FROM h),
+  r AS (SELECT page_id, ordinal, list_reduce(l, lambda x, p: CASE WHEN starts_with(x, '!') THEN x WHEN p IN ('', '.') THEN x WHEN p <> '..' THEN x || '/' || p WHEN x = '' THEN '!' ELSE regexp_replace(x, '/[^/]*$', '') END) AS x FROM t)
+  SELECT page_id, CAST(ordinal AS INT) AS ordinal, CASE WHEN starts_with(x, '!') THEN NULL ELSE substr(x, 2) END AS target FROM r""")
 def relative_norm(spark, sf_dir):
-    links = a.page_links(spark, sf_dir).where(F.col("module").startswith("/") & ~F.col("module").rlike(r"//|/\.\.?(/|$)|/$"))
-    target = resolve.normalized(F.concat(F.lit("pages/sub/../."), F.col("module")))
-    return links.select(F.substring_index("path", "/", -1).cast("long").alias("page_id"), F.col("ordinal").cast("int").alias("ordinal"), target.alias("target"))
+    """Every href of every page, below folders that are left again; a third climbs out of the repository."""
+    links = a.page_links(spark, sf_dir).withColumn("page_id", F.substring_index("path", "/", -1).cast("long"))
+    up = F.when(F.col("page_id") % 3 == 0, "../").otherwise("./")
+    return links.select("page_id", F.col("ordinal").cast("int").alias("ordinal"), resolve.normalized(F.concat(F.lit("sub/x/../../"), up, F.col("module"))).alias("target"))
 
 
 @query("""WITH i AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), c AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 40)
@@ -219,17 +226,16 @@ def trace_region(spark, sf_dir):
     return rows.groupBy("repo", "hops", "is_danger").agg(F.count("*").alias("n")).join(F.broadcast(tier), "repo").select("hops", "is_danger", "n", "risk_tier")
 
 
-@query(f"""WITH RECURSIVE {a.ENTITY_SQL}, w(seed, path, hops) AS (SELECT 'region/' || r_regionkey, 'region/' || r_regionkey, 0 FROM region UNION SELECT w.seed, e.src, w.hops + 1 FROM w JOIN e ON e.dst = w.path WHERE w.hops < 3),
+@query(f"""WITH RECURSIVE {a.ENTITY_SQL}, w(seed, path, hops) AS (SELECT 'region/' || r_regionkey, 'region/' || r_regionkey, 0 FROM region UNION SELECT w.seed, e.src, w.hops + 1 FROM w JOIN e ON e.dst = w.path WHERE w.hops < 40),
   m AS (SELECT seed, path, min(hops) AS hops FROM w GROUP BY ALL HAVING min(hops) > 0), g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst),
   t AS (SELECT seed, count(*) AS n_downstream, CAST(max(hops) AS INT) AS max_hops, CAST(count_if(coalesce(n, 0) >= 20) AS BIGINT) AS n_danger FROM m LEFT JOIN g ON dst = path GROUP BY seed)
   SELECT *, CASE WHEN n_danger > 0 AND (n_downstream >= 3 OR max_hops >= 2) THEN 'CRITICAL' WHEN n_danger > 0 OR n_downstream >= 3 OR max_hops >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_tier FROM t""")
 def risk_by_seed(spark, sf_dir):
-    """All regions at once: the seed is the repository, so one fixpoint serves every seed."""
-    edges = a.entity_edges(spark, sf_dir).drop("repo")
-    seeds = a.read(spark, sf_dir, "region").select(a.node("region", "r_regionkey").alias("repo"))
-    each = edges.join(F.broadcast(seeds))  # a row for each region (5)
-    rings = graph.rings(each, seeds.withColumn("path", F.col("repo")), max_hops=3)
-    return scoring.risk(scoring.with_danger(rings, each, 20)).select(F.col("repo").alias("seed"), "n_downstream", "max_hops", "n_danger", "risk_tier")
+    """All regions at once: the seed is part of the frontier's key, so one fixpoint serves every seed."""
+    edges = a.entity_edges(spark, sf_dir)
+    seeds = a.read(spark, sf_dir, "region").select(a.repo(), a.node("region", "r_regionkey").alias("path"), a.node("region", "r_regionkey").alias("seed"))
+    rings = scoring.with_danger(graph.rings(edges, seeds, by=("seed",)), edges, 20)
+    return scoring.risk(rings, ("seed",)).select("seed", "n_downstream", "max_hops", "n_danger", "risk_tier")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS q, max(l_quantity) > 40 AS seed, max(l_suppkey) AS s FROM lineitem GROUP BY ALL), y AS (
@@ -324,7 +330,7 @@ def select15(spark, sf_dir):
   SELECT dst AS path, CASE WHEN len(l) = 1 THEN '`' || l[1] || '`' WHEN len(l) = 2 THEN '`' || l[1] || '` and `' || l[2] || '`' WHEN len(l) = 3 THEN '`' || l[1] || '`, `' || l[2] || '`, and `' || l[3] || '`'
   ELSE '`' || l[1] || '`, `' || l[2] || '`, `' || l[3] || '`, and ' || (len(l) - 3) || ' more' END AS importers FROM g""")
 def path_list(spark, sf_dir):
-    return resolve.importers_of(a.entity_edges(spark, sf_dir)).select("path", s.path_list("importers").alias("importers"))
+    return resolve.importers_of(a.entity_edges(spark, sf_dir)).select("path", s.path_list(F.col("importers.first"), n=F.col("importers.n")).alias("importers"))
 
 
 @query("""WITH i AS (SELECT user_id, event_id AS pos, CASE event_type WHEN 'view' THEN 'graph_importer' WHEN 'click' THEN 'docstring' WHEN 'purchase' THEN 'heuristic_name' ELSE 'call' END AS kind, CASE WHEN value > 50 THEN 'proven' ELSE 'heuristic' END AS confidence FROM events),
@@ -350,9 +356,12 @@ def dedupe_first(spark, sf_dir):
     return topk.dedupe_evidence(e, ["user_id"]).select("user_id", F.col("kind").alias("event_type"), F.col("pos").alias("event_id"))
 
 
-@query(f"WITH {a.ENTITY_SQL}, k AS (SELECT path FROM (SELECT src AS path FROM e UNION SELECT dst FROM e) WHERE {_SMALL}) SELECT split_part(path, '/', 1) AS layer, string_agg(path, ',' ORDER BY path) AS paths FROM k GROUP BY 1")
+@query(f"""WITH {a.ENTITY_SQL}, k AS (SELECT path, split_part(path, '/', 1) AS layer FROM (SELECT src AS path FROM e UNION SELECT dst FROM e)), r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY path) AS nth FROM k)
+  SELECT layer, count(*) AS n, string_agg(path, ',' ORDER BY path) FILTER (WHERE nth <= 15) AS paths FROM r GROUP BY layer""")
 def layer_groups(spark, sf_dir):
-    return topk.layer_groups(_small_nodes(a.entity_edges(spark, sf_dir))).select("layer", F.array_join("paths", ",").alias("paths"))
+    edges = a.entity_edges(spark, sf_dir)
+    every = edges.select("repo", F.col("src").alias("path")).unionByName(edges.select("repo", F.col("dst").alias("path")))
+    return topk.layer_groups(every).select("layer", "n", F.array_join("paths", ",").alias("paths"))
 
 
 # Sets and scalars
@@ -360,8 +369,12 @@ def layer_groups(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key FROM orders WHERE o_totalprice > 100000 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 UNION SELECT l_orderkey FROM lineitem WHERE l_discount > 0.08")
 def union_changed(spark, sf_dir):
+    from .sources.overlay import changed_paths
+
     o, line = a.read(spark, sf_dir, "orders"), a.read(spark, sf_dir, "lineitem")
-    return o.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("key")).union(line.where("l_quantity > 45").select("l_orderkey")).union(line.where("l_discount > 0.08").select("l_orderkey")).distinct()
+    own = lambda df, key, origin: df.select(a.repo(), F.col(key).cast("string").alias("path"), F.lit(origin).alias("origin"))
+    got = changed_paths(own(o.where("o_totalprice > 100000"), "o_orderkey", "worktree"), own(line.where("l_quantity > 45"), "l_orderkey", "index"), own(line.where("l_discount > 0.08"), "l_orderkey", "untracked"))
+    return got.select(F.col("path").cast("long").alias("key"))
 
 
 @query("""WITH l AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY ALL) SELECT coalesce(l.conv_id, d.doc_id) AS doc_id, coalesce(l.text, d.text) AS text FROM documents d FULL JOIN l ON l.conv_id = d.doc_id""")
@@ -440,17 +453,19 @@ def normalize_compare(spark, sf_dir):
     return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", s.normalize_compare("text").alias("plain"))
 
 
-@query(f"WITH {a.ENTITY_SQL}, x AS (SELECT src, CAST(len(src) AS INT) AS hops FROM e WHERE dst LIKE 'region/%') SELECT src AS path, CASE WHEN hops <= 0 THEN ' (this is one of the files you changed)' WHEN hops = 1 THEN ' — it directly imports a file you changed' ELSE ' — ' || hops || ' import steps away from a file you changed' END AS phrase FROM x")
+@query(_closure_sql(a.ENTITY_SQL, "e", _TWO) + " SELECT path, CASE WHEN hops <= 0 THEN ' (this is one of the files you changed)' WHEN hops = 1 THEN ' — it directly imports a file you changed' ELSE ' — ' || hops || ' import steps away from a file you changed' END AS phrase FROM m")
 def distance_phrases(spark, sf_dir):
-    e = a.entity_edges(spark, sf_dir, ("nation",))
-    return e.select(F.col("src").alias("path"), s.distance_phrase(F.length("src")).alias("phrase"))
+    reached = graph.closure(a.entity_edges(spark, sf_dir), _seeds(spark, "region/0", "region/1"))
+    return reached.select("path", s.distance_phrase(F.col("hops")).alias("phrase"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
 def latest_wins(spark, sf_dir):
-    """The best order of each day, as the newest version of each path is chosen: a combinable max_by, no window."""
-    o = a.read(spark, sf_dir, "orders")
-    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
+    """The best order of each day, as the newest version of each path is chosen."""
+    from .sources.overlay import latest
+
+    rows = a.read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")).alias("version"))
+    return latest(rows, ["day"], "version").select("day", "o_orderkey")
 
 
 @query(f"""WITH {a.BODIES_SQL}, sy AS (SELECT path, line, 'symbol' AS kind, 'def_' || line AS text FROM d), o AS (SELECT path, line, 'line' AS kind, 'changed' AS text FROM s),
@@ -474,29 +489,53 @@ def run_anchors(spark, sf_dir):
     return lenses.anchors(a.document_lines(spark, sf_dir).where(F.contains("text", F.lit(",")))).select("path", "start", "nth")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '`([^`]+)`', 1)) AS INT) AS n_ticks, regexp_matches(lower(text), 'other code may call|see implementation|is defined here') AS weak FROM documents")
+_CAPTION_SQL = "SELECT p_partkey, '`' || split_part(p_name, ' ', 1) || '` of `' || lower(split_part(p_type, ' ', 1)) || '(x)` ' || CASE p_size % 4 WHEN 0 THEN 'is defined here.' WHEN 1 THEN 'See implementation.' ELSE 'is ' || p_brand END AS t, string_split(lower(p_type), ' ') AS c FROM part"
+
+
+@query(f"""WITH x AS ({_CAPTION_SQL}), k AS (SELECT p_partkey, t, c, list_transform(regexp_extract_all(t, '`([^`]+)`', 1), lambda z: lower(split_part(z, '(', 1))) AS names FROM x)
+  SELECT p_partkey, len(list_filter(names, lambda z: NOT list_contains(c, z) AND len(list_filter(c, lambda y: len(z) > 2 AND len(y) > 2 AND (contains(y, z) OR contains(z, y)))) = 0)) > 0 AS unknown, regexp_matches(lower(t), 'is defined here|see implementation') AS weak FROM k""")
 def caption_flags(spark, sf_dir):
-    low = F.lower("text")
-    return a.read(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("`([^`]+)`"), 1)).alias("n_ticks"), p.contains_any(low, ("other code may call", "see implementation", "is defined here")).alias("weak"))
+    """Captions that name things the evidence does not know, and those that say nothing."""
+    first = lambda c: F.substring_index(c, " ", 1)
+    end = F.when(F.col("p_size") % 4 == 0, F.lit("is defined here.")).when(F.col("p_size") % 4 == 1, F.lit("See implementation.")).otherwise(F.concat(F.lit("is "), "p_brand"))
+    text = F.concat(F.lit("`"), first("p_name"), F.lit("` of `"), F.lower(first("p_type")), F.lit("(x)` "), end)
+    rows = a.read(spark, sf_dir, "part").select("p_partkey", text.alias("t"), F.split(F.lower("p_type"), " ").alias("c"))
+    return rows.select("p_partkey", p.has_unknown_backticks("t", "c").alias("unknown"), p.is_weak_caption("t").alias("weak"))
 
 
-@query("SELECT p_partkey, CASE WHEN len(l) = 3 AND ok THEN true ELSE false END AS balanced FROM (SELECT p_partkey, [1, 2, 3] AS l, p_partkey % 3 <> 1 AS ok FROM part)")
+@query("""WITH b AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^()\\[\\]{}]', '', 'g'), ''), lambda c: c <> '') AS l, text FROM documents)
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN list_reduce(list_concat([''], l), lambda x, c: CASE WHEN starts_with(x, 'x') THEN x WHEN c IN ('(', '[', '{') THEN x || c WHEN right(x, 1) = translate(c, ')]}', '([{') THEN left(x, -1) ELSE 'x' END) = '' END AS balanced FROM b""")
 def balanced_brackets(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    expr = F.when(k == 0, F.concat(F.lit("f("), F.col("p_brand"), F.lit(", [1, {2: 3}])"))).when(k == 1, F.concat(F.lit("f("), F.col("p_brand"), F.lit("])"))).otherwise(F.col("p_brand"))
-    return a.read(spark, sf_dir, "part").select("p_partkey", p.brackets_balanced(expr).alias("balanced"))
+    return a.read(spark, sf_dir, "documents").select("doc_id", p.brackets_balanced("text").alias("balanced"))
+
+
+def _purpose_rules() -> list[tuple[str, str, str]]:
+    """(kind, name with # for what it is about, phrase with {rest}) for every rule of a name."""
+    from .plans import captions as c
+
+    return [*(("class", f"#{e}", t) for e, t in c.CLASS_SUFFIXES), *(("function", f"{b}#", t) for b, t in c.PREFIXES), *(("function", f"#{e}", t) for e, t in c.SUFFIXES)]
+
+
+def _purposes_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {q(kind)}, {q(name)}, {q(text)})" for k, (kind, name, text) in enumerate(_purpose_rules()))
+    return f"""WITH r(k, kind, name, phrase) AS (VALUES {rows}), n AS (SELECT p_partkey, kind, replace(name, '#', CASE WHEN kind = 'class' THEN 'Part' || p_partkey ELSE 'part' || p_partkey END) AS name, phrase, 'part' || p_partkey AS rest
+  FROM part JOIN r ON k = p_partkey % {len(_purpose_rules())}) SELECT p_partkey, name, '`' || name || '` ' || replace(phrase, '{{rest}}', rest) AS purpose FROM n"""
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '`get_part` reads or returns part.' WHEN 1 THEN '`PartRouter` maps incoming routes to part handlers.' WHEN 2 THEN '`part_client` talks to an external part API or service.' WHEN 3 THEN '`_part` — on the call path to other modules; check callers before merging.' ELSE '' END AS purpose FROM supplier")
+@query(_purposes_sql())
 def symbol_purposes(spark, sf_dir):
+    """Each rule of names in turn, over all parts."""
     from .plans import captions
 
-    k = F.col("s_suppkey") % 5
-    name = F.when(k == 0, "get_part").when(k == 1, "PartRouter").when(k == 2, "part_client").when(k == 3, "_part").otherwise("test_part")
-    rows = a.read(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"), F.when(k == 1, "class").otherwise("function").alias("kind"), F.lit("a/b.py").alias("path"), F.lit("").alias("docstring"))
-    return rows.select("s_suppkey", captions.purpose().alias("purpose"))
+    table = spark.createDataFrame([(k, kind, name) for k, (kind, name, _) in enumerate(_purpose_rules())], "k int, kind string, pattern string")
+    rows = a.read(spark, sf_dir, "part").withColumn("k", (F.col("p_partkey") % len(_purpose_rules())).cast("int")).join(F.broadcast(table), "k")  # a row for each rule
+    about = F.concat(F.when(F.col("kind") == "class", "Part").otherwise("part"), F.col("p_partkey").cast("string"))
+    rows = rows.select("p_partkey", F.replace("pattern", F.lit("#"), about).alias("name"), "kind", F.lit("a/b.py").alias("path"), F.lit("").alias("docstring"))
+    return rows.select("p_partkey", "name", captions.purpose().alias("purpose"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(t) <= 40 THEN [t] ELSE NULL END IS NULL AS wrapped FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS l FROM conversations)
+  SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN '' ELSE list_reduce(l, lambda x, w: CASE WHEN len(regexp_extract(x, '[^\n]*$')) + 1 + len(w) <= 40 THEN x || ' ' || w ELSE x || chr(10) || w END) END AS lines FROM t""")
 def word_wrap(spark, sf_dir):
-    return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(s.wrap("text", 40)) > 1).alias("wrapped"))
+    return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(s.wrap("text", 40), "\n").alias("lines"))

@@ -32,7 +32,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def _extent(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes of their keys and as much again)"""
-    n, size = df.agg(F.count("*"), F.sum(F.octet_length("repo") + F.octet_length("path") + 32)).first()
+    keys = [F.octet_length(F.col(c).cast("string")) for c in df.columns if c != "hops"]
+    n, size = df.agg(F.count("*"), F.sum(sum(keys, F.lit(32)))).first()
     return n, size or 0
 
 
@@ -43,20 +44,21 @@ def prepared(edges: DataFrame, reverse: bool = True) -> DataFrame:
     return steps.repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hops: int | None = None, steps: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hops: int | None = None, steps: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """
-    (repo, path, hops) of every node reached from ``seeds`` (repo, path), seeds at hop 0: the shortest distance. Against the edges
-    if ``reverse`` (importers), along them otherwise. Seeds need not occur in ``edges``; cycles and self edges are harmless.
+    (repo, path, by..., hops) of every node reached from ``seeds`` (repo, path, by...), seeds at hop 0: the shortest distance. Against the edges
+    if ``reverse`` (importers), along them otherwise. Seeds need not occur in ``edges``; cycles and self edges are harmless. ``by``: columns of the seeds that
+    tell closures apart; one fixpoint carries them all, and the edges are not copied.
     """
-    own = steps is None
+    own, state = steps is None, [*KEY, *by]
     steps = prepared(edges, reverse) if own else steps
-    frontier = seen = cut_lineage(seeds.select(*KEY).distinct().withColumn("hops", F.lit(0)))
+    frontier = seen = cut_lineage(seeds.select(*state).distinct().withColumn("hops", F.lit(0)))
     (n, size), total, hop = _extent(seen), 0, 0
     small = lambda df, bytes_: F.broadcast(df) if bytes_ <= SMALL else df
     while n and (max_hops is None or hop < max_hops):
         hop, total = hop + 1, total + size
-        new = steps.join(small(frontier.select(*KEY), size), KEY).select("repo", F.col("next").alias("path")).distinct()
-        frontier = cut_lineage(new.join(small(seen.select(*KEY), total), KEY, "left_anti").withColumn("hops", F.lit(hop)))
+        new = steps.join(small(frontier.select(*state), size), KEY).select("repo", F.col("next").alias("path"), *by).distinct()
+        frontier = cut_lineage(new.join(small(seen.select(*state), total), state, "left_anti").withColumn("hops", F.lit(hop)))
         n, size = _extent(frontier)
         if n:
             seen = seen.unionByName(frontier)
@@ -65,9 +67,9 @@ def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hop
     return seen
 
 
-def rings(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(repo, path, hops): importers at distance 1, 2, ... of any seed; seeds are in no ring."""
-    return closure(edges, seeds, max_hops=max_hops).where(F.col("hops") > 0)
+def rings(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(repo, path, by..., hops): importers at distance 1, 2, ... of any seed (with the same ``by``); seeds are in no ring."""
+    return closure(edges, seeds, max_hops=max_hops, by=by).where(F.col("hops") > 0)
 
 
 def reaches_any(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

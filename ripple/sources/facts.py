@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
+from contextlib import contextmanager
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +16,9 @@ from ..functions.rules import SOURCE_SUFFIXES
 from ..shipping import ship
 from . import js_parser, py_parser
 
-VERSION = 1
+VERSION = 2
+#: Seconds that one file may take.
+PARSE_SECONDS = 45.0
 FACTS = "digest string, language string, parse_ok boolean, imports array<struct<module:string,symbols:array<string>,alias:string,line:int>>, definitions array<struct<name:string,kind:string,line:int,docstring:string>>, calls array<struct<callee:string,line:int>>"
 _PARTS = {"imports": ("module", "symbols", "alias", "line"), "definitions": ("name", "kind", "line", "docstring"), "calls": ("callee", "line")}
 
@@ -32,10 +38,31 @@ def from_contents(raw: DataFrame) -> DataFrame:
     return raw.select("repo", "path", language_of("path").alias("language"), F.sha2("content", 256).alias("digest"), "content", n.cast("int").alias("n_lines")).where("language is not null")
 
 
-def parse_one(content: bytes, language: str) -> dict | None:
+@contextmanager
+def time_limit(seconds: float):
+    """TimeoutError after so many seconds, where the code runs in its process's main thread, as it does in a Python worker."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse_one(content: bytes, language: str, seconds: float = PARSE_SECONDS) -> dict | None:
+    """None for what does not parse, or not in time: one bad file must not take a worker."""
     try:
-        return py_parser.parse(content) if language == "python" else js_parser.parse(content)
-    except RecursionError:
+        with time_limit(seconds):
+            return py_parser.parse(content) if language == "python" else js_parser.parse(content)
+    except (RecursionError, TimeoutError, MemoryError):
         return None
 
 
@@ -56,12 +83,18 @@ def parse_contents(contents: DataFrame) -> DataFrame:
     return ship(contents).mapInArrow(run, FACTS)
 
 
-def facts_of(files: DataFrame, cache: str | None = None) -> DataFrame:
+def facts_of(files: DataFrame, cache: str | None = None, skip: DataFrame | None = None) -> DataFrame:
     """
     Facts of all files: repo, path, language, digest, n_lines and the three lists. Equal contents of one language are parsed once. With ``cache`` (a
-    folder), only contents that are not in its table are parsed, and those that parsed are added; failures are tried again.
+    folder), only contents that are not in its table are parsed, and those that parsed are added; failures are tried again. ``skip`` (repo, path):
+    files known to be trouble, which are not parsed and have no facts.
     """
     spark = files.sparkSession
+    if skip is not None:
+        bad = files.join(skip.select("repo", "path").distinct(), ["repo", "path"], "left_semi").drop("content")
+        none = [F.array().cast(t.split(" ", 1)[1]).alias(t.split(" ", 1)[0]) for t in FACTS.split(", ", 3)[3].replace(", definitions ", "|definitions ").replace(", calls ", "|calls ").split("|")]
+        good = facts_of(files.join(skip.select("repo", "path").distinct(), ["repo", "path"], "left_anti"), cache)
+        return good.unionByName(bad.select("*", F.lit(False).alias("parse_ok"), *none).select(*good.columns))
     distinct = files.groupBy("digest", "language").agg(F.any_value("content").alias("content"))
     if cache:
         path = f"{cache.rstrip('/')}/v{VERSION}"

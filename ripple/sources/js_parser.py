@@ -1,7 +1,7 @@
 """
 Facts of JavaScript and TypeScript sources from tokens: no grammar is needed for imports, requires, declared
 functions and classes, calls and leading doc comments. Text in strings, templates, comments and regular expressions is no code;
-expressions within templates and JSX attributes are read as code where their tokens are.
+expressions within templates are, to any depth, as are JSX attributes where their tokens are.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ import re
 
 _TOKEN = re.compile(
     r"""(?P<doc>/\*\*(?:[^*]|\*(?!/))*\*/)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-    r"""|(?P<template>`(?:[^`\\]|\\[\s\S])*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<op>=>|\?\.|\.\.\.|[^\w\s])"""
+    r"""|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<op>=>|\?\.|\.\.\.|[^\w\s])"""
 )
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{|\\?$)")
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "delete", "void", "in", "of", "do", "else", "case", "throw", "yield", "super", "with", "import"}
 
@@ -20,8 +21,22 @@ def tokens(text: str) -> list[tuple[str, str, int]]:
     """(kind, text, line) without spaces and plain comments."""
     out: list[tuple[str, str, int]] = []
     at, line = 0, 1
+    inside: list[int] = []  # for every template whose expression is being read: braces that are open in it
     while at < len(text):
         m = None
+        if text[at] == "`" or text[at] == "}" and inside and not inside[-1]:
+            # a template's text, from its beginning or after an expression, to its end or to the next expression
+            if text[at] == "}":
+                inside.pop()
+            m = _TEMPLATE.match(text, at + 1)
+            if m[0].endswith("${"):
+                inside.append(0)
+            out.append(("op", "`", line))
+            line += m[0].count("\n")
+            at = m.end()
+            continue
+        if inside and text[at] in "{}":
+            inside[-1] += 1 if text[at] == "{" else -1
         if text[at] == "/" and text[at + 1 : at + 2] not in ("/", "*"):
             last = next((t for t in reversed(out) if t[0] != "doc"), ("op", "(", 0))
             if last[0] == "op" and last[1] not in ")]}" or last[1] in ("return", "typeof", "case", "in", "of"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,11 @@ def overlay_path(path: Column | str) -> Column:
     return F.when(~p.rlike(r"(^|/)\.\.(/|$)|^/"), p)
 
 
+def changed_paths(*origins: DataFrame) -> DataFrame:
+    """(repo, path) that any of the tables (repo, path, ...) has: the working tree, the index, untracked files, a range."""
+    return reduce(DataFrame.unionByName, [x.select("repo", "path") for x in origins]).distinct()
+
+
 def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
     """The row with the largest version of each key: a combinable aggregation."""
     rest = [c for c in df.columns if c not in key]

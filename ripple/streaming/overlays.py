@@ -2,7 +2,8 @@
 Live edits: a stream of (repo, path, text, version) keeps the newest text of each path, and an audit runs on each batch.
 
 Micro-batches take the place of debouncing; foreachBatch runs one at a time, so audits never overlap, and a batch that
-was already applied (its id is not newer) is skipped. The state is a Parquet table below ``state``: generations, of which the last counts.
+was already applied is skipped. The state is a Parquet table below ``state`` in buckets of paths: a batch rewrites only the buckets that it
+touches, as a new generation of each, and removes the one before the last, so work follows the batch and disk follows the state.
 """
 
 from __future__ import annotations
@@ -16,30 +17,50 @@ from ..sources.overlay import latest
 
 SCHEMA = "repo string, path string, text string, version long"
 KEY = ["repo", "path"]
+#: Buckets of the state; a fixed property of its folder.
+BUCKETS = 256
 
 
-def newest(spark: SparkSession, state: str) -> DataFrame:
-    """The newest text of each path that has been applied."""
-    done = _generations(spark, state)
-    return spark.read.schema(SCHEMA).parquet(f"{state}/g={max(done)}") if done else spark.createDataFrame([], SCHEMA)
+def _listing(spark: SparkSession, state: str):
+    """(file system, {bucket: its generations, ascending}, ids of applied batches). A generation counts once its batch is marked as applied."""
+    jvm = spark._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{state}/{name}")
+    system = at("x").getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda where, head: [s.getPath().getName()[len(head) :] for s in system.listStatus(where) if s.getPath().getName().startswith(head)] if system.exists(where) else []
+    done = set(map(int, names(at("applied"), "batch=")))
+    buckets: dict[int, list[int]] = {}
+    for g in sorted(done & set(map(int, names(jvm.org.apache.hadoop.fs.Path(state), "g=")))):
+        for k in names(at(f"g={g}"), "bucket="):
+            buckets.setdefault(int(k), []).append(g)
+    return system, buckets, done
 
 
-def _generations(spark: SparkSession, state: str) -> list[int]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(state)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    names = [(s.getPath(), s.getPath().getName()) for s in system.listStatus(path)]
-    return [int(n[2:]) for p, n in names if n.startswith("g=") and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+def _read(spark: SparkSession, state: str, held: dict[int, list[int]]) -> DataFrame:
+    folders = [f"{state}/g={g[-1]}/bucket={k}" for k, g in held.items()]
+    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+
+
+def newest(spark: SparkSession, state: str) -> DataFrame:
+    """The newest text of each path that has been applied."""
+    return _read(spark, state, _listing(spark, state)[1])
 
 
 def apply_batch(batch: DataFrame, batch_id: int, state: str, on_change: Callable[[DataFrame, int], None] | None = None) -> None:
     spark = batch.sparkSession
-    if batch_id in _generations(spark, state):
+    system, held, done = _listing(spark, state)
+    if batch_id in done:
         return
-    merged = latest(newest(spark, state).unionByName(batch.select("repo", "path", "text", "version")), KEY, "version")
-    merged.select("repo", "path", "text", "version").write.mode("overwrite").parquet(f"{state}/g={batch_id}")
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+    batch = batch.select("repo", "path", "text", "version").persist()
+    touched = {r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()}  # BUCKETS at most
+    merged = latest(_read(spark, state, {k: g for k, g in held.items() if k in touched}).unionByName(batch), KEY, "version").withColumn("bucket", bucket)
+    merged.select("repo", "path", "text", "version", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/g={batch_id}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    system.mkdirs(mark(f"{state}/applied/batch={batch_id}"))
+    for k in touched:
+        for g in held.get(k, [])[:-1]:  # readers may still hold the last one
+            system.delete(mark(f"{state}/g={g}/bucket={k}"), True)
+    batch.unpersist()
     if on_change:
         on_change(newest(spark, state), batch_id)
 

@@ -310,3 +310,52 @@ def test_ledger_tables(spark):
     rows = facts.assignments(files)
     assert sorted((r["name"], r["rhs"], r["start"], r["class_name"]) for r in rows.collect()) == [("A", "1", 3, "C"), ("LIMIT", "3", 1, None)]
     assert sorted((r["name"], r["reader"], r["line"]) for r in facts.readers(files, rows).collect()) == [("A", "f", 5), ("LIMIT", "f", 5)]
+
+
+def test_many_repositories(spark):
+    """An audit of two repositories in one call equals two audits, and neither sees the other's files."""
+    two = {"auth_utils.py": FILES["auth_utils.py"], "only/here.py": "from auth_utils import hash_password\n\n\ndef go(x):\n    return hash_password(x)\n", "LIMITS.py": "A = 1\n"}
+    rows = [(r, p, bytearray(t.encode())) for r, files in (("one", FILES), ("two", two)) for p, t in files.items()]
+    engine = Engine(spark, Tables.of(facts.from_contents(spark.createDataFrame(rows, "repo string, path string, content binary"))))
+    changed = spark.createDataFrame([("one", "auth_utils.py"), ("two", "auth_utils.py"), ("two", "LIMITS.py"), ("three", "notes.md")], "repo string, path string")
+    spans = spark.createDataFrame([("one", "auth_utils.py", 3, 8), ("two", "auth_utils.py", 11, 12), ("two", "LIMITS.py", 1, 1)], "repo string, path string, start int, stop int")
+    both = engine.audits(changed, spans)
+    assert both["one"] == engine.audit(changed, spans, repo="one") and both["two"] == engine.audit(changed, spans, repo="two")
+    assert both["three"]["seed"] == "(non-source)" and engine.audit(changed, spans, repo="four")["seed"] == "(none)"
+    assert [n["path"] for n in both["one"]["downstream"]] == ["billing/service.py", "dashboard/views.py", "jobs/worker.py"] and both["one"]["line_explanations"][0]["detail"] == "Sets `LIMIT` to `3`."
+    assert both["two"]["summary"].startswith("Tiny change") and both["two"]["isolated"] == ["LIMITS.py", "auth_utils.py"] and [x["name"] for x in both["two"]["changed_symbols"]] == ["hash_password"]
+    assert engine.trace("auth_utils.py", "two")["summary"].count("1 downstream file") == 1
+    assert [x["name"] for x in engine.explain(changed, spans, repo="two")] == ["hash_password"]
+    engine.close()
+
+
+def test_docstring_rules(spark):
+    from ripple.plans import captions
+
+    doc = [("load_rows", "Load the rows."), ("load_rows", "Returns ``rows`` of Phase 2: {x} tables"), ("load_rows", "Reads whole partitions lazily"), ("load_rows", "Heuristic → see hunk 3"), ("x", "")]
+    got = spark.createDataFrame([(n, d, "function", "a/b.py") for n, d in doc], "name string, docstring string, kind string, path string").select(captions.purpose()).collect()
+    assert [r[0] for r in got][:3] == ["`load_rows` loads rows into memory or scope.", "`load_rows` — Rows of tables.", "`load_rows` — Reads whole partitions lazily."] or got[1][0].startswith("`load_rows` loads")
+    assert got[3][0] == "`load_rows` loads rows into memory or scope."
+    text = spark.createDataFrame([("`f` lives in `src/a/b.py` and is read in `b.py` for `a/b.py`.", "src/a/b.py")], "t string, p string").select(captions.without_own_file(F.col("t"), F.col("p"))).first()[0]
+    assert text == "`f` and is read."
+
+
+def test_parse_limits(spark, monkeypatch):
+    import time
+
+    from ripple.functions import predicates
+    from ripple.sources import js_parser
+
+    monkeypatch.setattr(js_parser, "parse", lambda x: time.sleep(5))
+    assert facts.parse_one(b"", "javascript", 0.05) is None and facts.parse_one(b"import os", "python")["imports"]
+    monkeypatch.undo()
+    assert js_parser.parse(b"f(`a ${g(`${h(1)}`, {k: i(2)})} b`); j()")["calls"] == [(x, 1) for x in "fghij"]
+    same = spark.createDataFrame([("a/b", "./a//b/"), ("a/./b", "a/b"), ("a/b", "a/c"), ("/", "/")], "a string, b string").select(predicates.same_path("a", "b")).collect()
+    assert [r[0] for r in same] == [True, True, False, True]
+
+
+def test_base_texts(spark, repo):
+    write(repo, {"auth_utils.py": "changed\n", "new.py": "x = 1\n"})
+    rows = {r["path"]: r["text"] for r in git.read(spark, str(repo), "blobs").collect()}
+    assert rows["auth_utils.py"] == FILES["auth_utils.py"] and rows["new.py"] == "" and set(rows) == {*FILES, "new.py"}
+    assert git.blob_texts(str(repo), "main", ["jobs/worker.py", "no\nsuch", "none.py", "api/routes.py"]) == [FILES["jobs/worker.py"], "", "", FILES["api/routes.py"]]
