@@ -7,8 +7,8 @@ pass p - 1. All events are range-sorted by finish time over all sources and trun
 
 Scale: a source's queue is cut into hash ranges, so that no task ever holds a whole source. Each range is
 summed, the sums are added up over the ranges of a block and over the blocks of a source, and only rows of one range are sorted together.
-The sorted events are narrow (size, time) and dealt out by time; sums of the parts say in which the budget runs out, and only this
-part is added up event by event.
+The sorted events are narrow (size, time) and dealt out by time; sums of the parts say in which the budget runs out, only this
+part is sorted into smaller ones, and so on, until one of a fixed size is added up event by event.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from . import common
 
 #: Rows of one hash range that are sorted together, about, and ranges (as a power of two) of a block.
 RANGE_ROWS, BLOCK_BITS = 256, 10
-#: Events of one part of the sorted queue, about.
-PART_EVENTS = 1 << 20
+#: Events that one task adds up one by one, about, and parts that a queue is cut into at once.
+PART_EVENTS, PARTS = 1 << 14, 4096
 SEED = 17
 
 
@@ -38,8 +38,8 @@ class Mix:
 
 
 def shuffle_key(seed: int = SEED) -> Column:
-    """By id and text, so that a much repeated id is spread over all ranges."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    """63 bits by id and text, so that a much repeated id is spread over all ranges."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), 1)
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     narrow = common.written(narrow, "mix")
     n = narrow.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / RANGE_ROWS)))
-    narrow = narrow.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    narrow = narrow.withColumn("range", F.shiftright("h", 63 - bits))
     source = ["no_source", "source_key"]
     ranges = common.written(narrow.groupBy(*source, "range").agg(F.sum("size").alias("range_size")), "ranges", n)
     sources = ranked(ranges.groupBy(*source).agg(F.sum("range_size").alias("source_size")))
@@ -130,18 +130,28 @@ def budget_cut(events: DataFrame, budget: float, n: int) -> float:
     The finish time at which ``events`` (size, f; ``n`` at most), range-sorted by ``f``, are truncated: the largest up to which the sizes add up to at most
     ``budget``. Events with equal times are taken together. 0 if not even the first fits.
     """
-    parts = max(1, -(-n // PART_EVENTS))
-    queue = events.repartitionByRange(parts, "f").sortWithinPartitions("f").withColumn("part", F.spark_partition_id())
-    queue = common.written(queue, "queue")
-    spent, last = 0, 0.0
-    for part in sorted(queue.groupBy("part").agg(F.sum("size").alias("size"), F.max("f").alias("last")).collect()):  # a row for each part
-        if spent + part["size"] > budget:
-            times = queue.where(F.col("part") == part["part"]).groupBy("f").agg(F.sum("size").alias("size"))
-            until = times.withColumn("until", F.sum("size").over(Window.orderBy("f")))  # one part's times in one task
-            fits = until.where(F.col("until") <= F.lit(float(budget - spent))).agg(F.max("f")).first()[0]
-            return last if fits is None else fits
-        spent, last = spent + part["size"], part["last"]
-    return last
+    spent, last = 0, 0.0  # all events up to ``last`` fit, and add up to ``spent``
+    while True:
+        parts = min(PARTS, max(1, -(-n // PART_EVENTS)))
+        queue = events.repartitionByRange(parts, "f").sortWithinPartitions("f").withColumn("part", F.spark_partition_id())
+        queue = common.written(queue, "queue")
+        over = None
+        sums = queue.groupBy("part").agg(F.sum("size").alias("size"), F.min("f").alias("first"), F.max("f").alias("last"), F.count("*").alias("n"))
+        for part in sorted(sums.collect()):  # PARTS rows at most
+            if spent + part["size"] > budget:
+                over = part
+                break
+            spent, last = spent + part["size"], part["last"]
+        if over is None or over["first"] == over["last"]:
+            return last
+        events, stuck = queue.where(F.col("part") == over["part"]).select("size", "f"), over["n"] == n  # a few times that many events share
+        n = over["n"]
+        if n <= 2 * PART_EVENTS or stuck:
+            break
+    times = events.groupBy("f").agg(F.sum("size").alias("size"))
+    until = times.withColumn("until", F.sum("size").over(Window.orderBy("f")))  # 2 * PART_EVENTS rows at most
+    fits = until.where(F.col("until") <= F.lit(float(budget - spent))).agg(F.max("f")).first()[0]
+    return last if fits is None else fits
 
 
 def in_order(mix: Mix, columns: list[str]) -> DataFrame:

@@ -161,6 +161,39 @@ def test_mixing(spark, docs):
     assert mixing.in_order(got, ["doc_id"]).count() == sum(f is not None and f <= cut for r in rows for f in r["finish"])
 
 
+def test_queue(spark, docs):
+    """Finish times by a plain queue for each source, in the order of the seeded hashes."""
+    rows = {r["row"]["doc_id"]: r for r in mixing.fair_mix(docs).docs.collect()}
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    until, source_of = {}, {r["doc_id"]: r["source"] for r in hashed}
+    total = Counter()
+    for r in sorted(hashed, key=lambda r: (r["h"] % 2**64 >> 1, r["doc_id"])):
+        total[r["source"]] += len((r["text"] or "").encode().split())
+        until[r["doc_id"]] = total[r["source"]]
+    for k, r in rows.items():
+        if r["size"]:
+            assert r["finish"] == pytest.approx([(until[k] + p * total[source_of[k]]) / r["target"] for p in (0, 1)], rel=1e-12)
+
+
+@pytest.mark.parametrize("part,parts", [(4, 3), (16, 4096), (1, 2)])
+def test_cut_by_parts(spark, monkeypatch, part, parts):
+    """Queues of several levels of parts, with ties, are truncated where a plain sum says."""
+    monkeypatch.setattr(mixing, "PART_EVENTS", part)
+    monkeypatch.setattr(mixing, "PARTS", parts)
+    rng = np.random.default_rng(part)
+    events = [(int(n), float(f)) for n, f in zip(rng.integers(1, 50, 300), rng.integers(0, 120, 300) / 7 + 1, strict=True)]
+    df = spark.createDataFrame(events, "size long, f double")
+    for budget in (0.0, 30.0, 2500.5, 7000.0, 1e9):
+        total, want = 0, 0.0
+        for f in sorted({f for _, f in events}):
+            total += sum(n for n, g in events if g == f)
+            if total > budget:
+                break
+            want = f
+        assert mixing.budget_cut(df, budget, len(events)) == want
+    assert mixing.budget_cut(df.where("false"), 5.0, 0) == 0.0
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.fair_mix(odd, keep=odd.columns).docs.collect()
     assert len(rows) == 10 and sum(r["taken"] for r in rows) > 0 and mixing.fair_mix(none).docs.count() == 0
