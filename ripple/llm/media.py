@@ -53,7 +53,7 @@ def payloads(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` as row, n_bytes (of the text, without filling) and media, the image. Null texts are empty: one unit of spaces."""
+    """``keep`` as row, n_bytes (of the text, without filling) and media, the image. Null texts are empty: one unit of spaces. Equal texts have equal images, in whatever rows; an empty table gives no rows."""
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)
 

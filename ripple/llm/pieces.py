@@ -34,6 +34,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Texts that a model without normalisation gives back as they are: ligatures, spaces in a row, marks on letters, wide forms.
+_KEPT = ("a ﬁ  b", "x   y", "e\u0301 é", "①Ａ", "tab\tand\nline")
+
+
 class Pieces:
     """Encodes and decodes texts by chunks."""
 
@@ -105,6 +109,7 @@ def encode_documents(docs: DataFrame, path: Callable[[], str] = model_path, keep
     for, or, with ``digest``, with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 instead.
 
     Null and empty texts have no ids. Texts are taken whole.
+    Rows are encoded one by one: repeated rows and ids have equal results, and an empty table gives no rows.
     """
     inner = docs.select(F.struct(*keep).alias("row"), common.text_of().alias("text"))
     schema = inner.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1)

@@ -54,7 +54,7 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     size = np.maximum(1, np.bincount(at, minlength=total)).astype(np.float32)[:, None]
     x = np.zeros((total, FEATURES), np.float32)
     if len(data):
-        x[:, :PAIRS] = np.sqrt(textvec.histogram(at, textvec.chars_hashed(low, 2, PAIRS), total, PAIRS) / size)
+        x[:, :PAIRS] = np.sqrt(textvec.histogram(at, textvec.chars_hashed(low, off, 2, PAIRS), total, PAIRS) / size)
         x[:, PAIRS : PAIRS + textvec.CLASSES] = np.sqrt(textvec.histogram(at, textvec.CLASS[data], total, textvec.CLASSES) / size)
         begin, stop, h, owner = textvec.word_hashes(low, off)
         if len(begin):

@@ -67,7 +67,7 @@ def vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = textvec.LOWER[data]
     sizes = np.diff(off)
     text = np.repeat(np.arange(n), sizes)
-    x[:, :CHARS] = textvec.histogram(text, textvec.chars_hashed(low, 3, CHARS), n, CHARS) / np.maximum(1, sizes)[:, None]
+    x[:, :CHARS] = textvec.histogram(text, textvec.chars_hashed(low, off, 3, CHARS), n, CHARS) / np.maximum(1, sizes)[:, None]
     _, _, h, owner = textvec.word_hashes(low, off)
     if len(h):
         pair = h[1:] * np.uint64(0x9E3779B97F4A7C15) + h[:-1]

@@ -50,12 +50,17 @@ def histogram(group: np.ndarray, value: np.ndarray, groups: int, bins: int) -> n
     return np.bincount(group * bins + value, minlength=groups * bins).reshape(groups, bins).astype(np.float32)
 
 
-def chars_hashed(low: np.ndarray, width: int, bins: int) -> np.ndarray:
-    """For each byte the hash of it and the width - 1 bytes before it, below ``bins`` (a power of two)."""
+def chars_hashed(low: np.ndarray, off: np.ndarray, width: int, bins: int) -> np.ndarray:
+    """For each byte the hash of it and the width - 1 bytes before it in its text, below ``bins`` (a power of two)."""
     h = low.astype(np.uint32) + np.uint32(1)
     out = h.copy()
     for k in range(1, width):
-        out[k:] = out[k:] * np.uint32(0x01000193) + h[:-k] * np.uint32(2 * k + 7)
+        before = np.zeros_like(h)
+        before[k:] = h[:-k]
+        for j in range(k):  # the first bytes of a text have none before them
+            at = off[:-1] + j
+            before[at[at < off[1:]]] = 0
+        out = out * np.uint32(0x01000193) + before * np.uint32(2 * k + 7)
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
     return (out >> np.uint32(12)).astype(np.int64) & (bins - 1)
