@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block at most, and blocks coded in lockstep.
-BLOCK, LANES = 1 << 16, 2048
+BLOCK, LANES = 1 << 16, 3072
 #: Ids of a block from which more lanes are worth their empty contexts.
 LEAST = 4096
 #: Cells of the tables of order 1 and order 2 in a block.

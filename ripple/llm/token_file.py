@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 import zlib
+from contextlib import suppress
 from itertools import accumulate, chain
 
 import numpy as np
@@ -55,7 +56,8 @@ _SIMPLE_PROBES = ("word", "straße", "niño", "garçon", "übermäßig", "ÿ", "
 #: Marks that end a word, and words of lower-case letters only, which no normalisation changes.
 _MARKS = b".,;:!?"
 _simple = re.compile("[a-zß-öø-ÿ]+").fullmatch
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACED = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACED)
 
 
 def _byte_letters() -> str:
@@ -68,7 +70,7 @@ def _byte_letters() -> str:
 class Words:
     """
     Ids of texts (UTF-8) as bytes of little-endian 16-bit integers, word by word. Raises ValueError for a tokenizer whose ids of a text
-    are not those of its words between spaces and line feeds, in any case of A to Z.
+    are not those of its words between ASCII white space, in any case of A to Z.
 
     New words are encoded many at a time with ``SEPARATOR`` between them, and words that hold it, one by one. If the tokenizer's ids of a simple word
     and of the marks after it are their ids side by side (which is tried), marks are split off first; if they are those that its model alone
@@ -83,7 +85,7 @@ class Words:
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
         alone = {w: self._ids(w) for w in (*_PROBES, *_SIMPLE_PROBES, SEPARATOR)}
-        if len(alone[SEPARATOR]) != 1 or any(self._ids(a + gap + b) != alone[a] + alone[b] for a in alone for b in alone for gap in (" ", "\n", "  ")):
+        if len(alone[SEPARATOR]) != 1 or any(self._ids(a + gap + b) != alone[a] + alone[b] for a in alone for b in alone for gap in (" ", "\n", "  ", "\t", "\r", "\x0b", "\x0c")):
             raise ValueError("the tokenizer does not split at white space")
         if any(self._ids(w.upper()) != self._ids(w.lower()) for w in ("word", "xqzjkv", "mississippi")):
             raise ValueError("the tokenizer tells A to Z from a to z")
@@ -94,60 +96,71 @@ class Words:
         self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         joined = f" {SEPARATOR} ".join(_SIMPLE_PROBES)
-        if self._lean(joined).tolist() != self._ids(joined):
+        if self._lean(joined.encode()).tolist() != self._ids(joined):
             self.lean = None
         self.table: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _full(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+    def _full(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u2")
 
-    def _lean(self, text: str) -> np.ndarray:
-        written = codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
+    def _lean(self, text: bytes) -> np.ndarray:
+        written = codecs.charmap_decode(text, "strict", self.letters)[0]
         return np.array(self.lean.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
 
-    def _learn(self, words) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Puts words that the table does not have into it."""
-        table, whole = self.table, {}
-        simple, plain, odd, ends = [], [], [], []
-        if self.splits:
-            for w in words:
-                stem = w.rstrip(_MARKS)
-                if len(stem) < len(w) and _simple(stem.decode()):
-                    ends.append((w, stem, w[len(stem) :]))
-                    whole[stem] = whole[ends[-1][2]] = None
-                else:
-                    whole[w] = None
-        for w in [w for w in whole if w not in table] if self.splits else words:
-            text = w.decode()
-            (simple if self.lean and _simple(text) else odd if SEPARATOR in text else plain).append(text)
-        for texts, encode in ((simple, self._lean), (plain, self._full)):
-            for lo in range(0, len(texts), 4096):
-                some = texts[lo : lo + 4096]
-                ids = encode(f" {SEPARATOR} ".join(some))
+        table = self.table
+        simple, plain, odd, ends, parts = [], [], [], [], set()
+
+        def sort(w: bytes) -> None:
+            (simple if self.lean and (w.isalpha() or _simple(w.decode())) else odd if SEPARATOR.encode() in w else plain).append(w)
+
+        for w in words:
+            if w.isalpha():  # of ASCII letters
+                sort(w)
+                continue
+            stem = w.rstrip(_MARKS)
+            if self.splits and len(stem) < len(w) and (stem.isalpha() or _simple(stem.decode())):
+                ends.append((w, stem, w[len(stem) :]))
+                parts.update(ends[-1][1:])
+            else:
+                sort(w)
+        for w in parts:
+            if w not in table and w not in words:
+                sort(w)
+        for some_words, encode in ((simple, self._lean), (plain, self._full)):
+            for lo in range(0, len(some_words), 4096):
+                some = some_words[lo : lo + 4096]
+                ids = encode(f" {SEPARATOR} ".encode().join(some))
                 cuts = np.flatnonzero(ids == self.separator)
                 if len(cuts) != len(some) - 1:
                     odd += some
                     continue
                 raw = ids.tobytes()
-                table.update((w.encode(), raw[a:b]) for w, a, b in zip(some, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True))
+                table.update(zip(some, [raw[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True)], strict=True))
         for w in odd:
-            table[w.encode()] = self._full(w).tobytes()
+            table[w] = self._full(w).tobytes()
         for w, stem, end in ends:
             table[w] = table[stem] + table[end]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         # the tokenizer looks for the names of special ids before it lowers letters
-        rows = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
+        rows = [t.translate(_SPACED if b"<|" in t else _LOWER).split(b" ") for t in texts]
         words = list(chain.from_iterable(rows))
         got = list(map(self.table.get, words))
-        if None in got:
-            missing = [k for k, ids in enumerate(got) if ids is None]
+        missing, k = [], -1
+        with suppress(ValueError):
+            while True:
+                k = got.index(None, k + 1)
+                missing.append(k)
+        if missing:
             new = {words[k] for k in missing}
             if len(self.table) + len(new) > WORDS:
                 self.table = {b"": b""}
+                new.discard(b"")
             self._learn(new)
             for k in missing:
                 got[k] = self.table[words[k]]
