@@ -77,13 +77,14 @@ class Shares:
 
 
 class _Model:
-    """The predictions and weights of ``n`` blocks."""
+    """The predictions and weights of ``n`` blocks. Arrays of two rows hold order 1 and order 2, so that one operation serves both."""
 
     def __init__(self, n: int, shares: Shares):
         self.shares = shares
         lane = np.arange(n)
-        self.l1, self.l2, self.lw = lane * _N1, lane * _N2, lane * (2 * _SURE * _SURE)
-        self.t1, self.t2 = np.zeros(n * _N1, np.int32), np.zeros(n * _N2, np.int32)  # confidence << 16 | id
+        self.cells, self.mask = np.stack([lane * _N1, n * _N1 + lane * _N2]), np.array([[_N1 - 1], [_N2 - 1]], np.int32)
+        self.lw = lane * (2 * _SURE * _SURE)
+        self.table = np.zeros(n * (_N1 + _N2), np.int32)  # confidence << 16 | id
         conf2, conf1, same = np.meshgrid(np.arange(_SURE), np.arange(_SURE), np.arange(2), indexing="ij")
         first = np.stack([(conf1 + 0.2) / (conf1 + 10) * np.where(same, 0.1, 0.4), (conf2 + 0.5) / (conf2 + 6)], -1) * (0.9 * _SPACE)
         # weights of order 1 and order 2 by case, side by side: one look-up, as a number of 8 bytes, for both
@@ -91,56 +92,54 @@ class _Model:
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
 
     def predict(self, n: int) -> None:
-        """What the orders name (c1, c2), their parts of the code space (a1, a2), and the steps of order 0 (s0), for the first n blocks."""
-        last, before = self.last[:n], self.before[:n]
-        self.i1 = self.l1[:n] + ((last * 40503 >> 5) & (_N1 - 1))
-        self.i2 = self.l2[:n] + ((last * 40507 ^ before * 30011) >> 5 & (_N2 - 1))
-        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = self.v1 & 65535, self.v2 & 65535
-        self.case = self.lw[:n] + (((self.v2 >> 16) * _SURE + (self.v1 >> 16) << 1) + (self.c1 == self.c2))
+        """What the orders name (c), their parts of the code space (a), and the steps of order 0 (s0), for the first n blocks."""
+        last = self.last[:n]
+        hashed = np.empty((2, n), np.int32)
+        np.multiply(last, 40503, out=hashed[0])
+        np.bitwise_xor(last * 40507, self.before[:n] * 30011, out=hashed[1])
+        hashed >>= 5
+        hashed &= self.mask
+        self.at = self.cells[:, :n] + hashed
+        self.held = self.table.take(self.at)
+        self.c, self.sure = self.held & 65535, self.held >> 16
+        self.same = self.c[0] == self.c[1]
+        self.case = self.lw[:n] + ((self.sure[1] * _SURE + self.sure[0] << 1) + self.same)
         self.both = self.weights.take(self.case).view(np.float32).reshape(-1, 2)
-        parts = self.both.astype(np.int32)
-        self.a1, self.a2 = np.ascontiguousarray(parts[:, 0]), np.ascontiguousarray(parts[:, 1])
-        self.s0 = (_SPACE - self.a1 - self.a2) >> 16
+        self.a = self.both.T.astype(np.int32, order="C")
+        self.s0 = (_SPACE - self.a[0] - self.a[1]) >> 16
 
     def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of each block's id in the code space."""
-        self.hit1, self.hit2 = self.c1 == ids, self.c2 == ids
+        self.hit = self.c == ids
         at = ids.astype(np.int64)
-        start = self.s0 * self.shares.start.take(at) + self.a1 * (self.c1 < ids) + self.a2 * (self.c2 < ids)
-        size = self.s0 * self.shares.size.take(at) + self.a1 * self.hit1 + self.a2 * self.hit2
-        self.size = size
-        return start, size
+        below, within = self.a * (self.c < ids), self.a * self.hit
+        start = self.s0 * self.shares.start.take(at) + below[0] + below[1]
+        self.size = self.s0 * self.shares.size.take(at) + within[0] + within[1]
+        return start, self.size
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The id whose part holds each block's place in the code space."""
-        c1, c2, a1, a2, s0 = self.c1, self.c2, self.a1, self.a2, self.s0
-        begin1 = s0 * self.shares.start.take(c1) + a2 * (c2 < c1)
-        begin2 = s0 * self.shares.start.take(c2) + a1 * (c1 < c2)
-        same = c1 == c2
-        over1, over2 = place - begin1, place - begin2
-        past1, past2 = over1 >= 0, over2 >= 0
-        in1 = past1 & (over1 < s0 * self.shares.size.take(c1) + a1 + a2 * same)
-        in2 = past2 & (over2 < s0 * self.shares.size.take(c2) + a2 + a1 * same)
-        rest = place - a1 * past1 - a2 * past2
-        x = self.shares.at.take((rest.astype(np.float64) / s0.astype(np.float64)).astype(np.int32), mode="clip")
-        x += (c1 - x) * in1
-        x += (c2 - x) * in2
+        c, a, s0 = self.c, self.a, self.s0
+        other, at = a[::-1], c.astype(np.int64)
+        over = place - (s0 * self.shares.start.take(at) + other * (c[::-1] < c))
+        past = over >= 0
+        inside = past & (over < s0 * self.shares.size.take(at) + a + other * self.same)
+        before = a * past
+        rest = place - before[0] - before[1]
+        x = self.shares.at.take((rest.astype(np.float64) / s0).astype(np.int64), mode="clip")
+        x += (c[0] - x) * inside[0]
+        x += (c[1] - x) * inside[1]
         return x
 
     def learn(self, n: int, ids: np.ndarray) -> None:
         """After ``part`` of the same ids."""
         gain = np.float32(_SPACE * _CEILING) * _RATE / self.size.astype(np.float32)
-        keep = np.float32(1) - _RATE
         both = self.both
-        both[:, 0] *= gain * self.hit1 + keep
-        both[:, 1] *= gain * self.hit2 + keep
+        both *= (gain * self.hit + (np.float32(1) - _RATE)).T
         self.weights[self.case] = np.maximum(both, _FLOOR, out=both).view(np.int64).ravel()
-        for table, at, old, hit in ((self.t1, self.i1, self.v1, self.hit1), (self.t2, self.i2, self.v2, self.hit2)):
-            sure = old >> 16
-            new = old + _GAIN.take((sure << 1) + hit)
-            new += (ids - new) * ((sure < 2) > hit)
-            table[at] = new
+        new = self.held + _GAIN.take((self.sure << 1) + self.hit)
+        new += (ids - new) * ((self.sure < 2) > self.hit)
+        self.table[self.at] = new
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
