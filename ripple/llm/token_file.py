@@ -74,7 +74,7 @@ class Words:
 
     New words are encoded many at a time with ``SEPARATOR`` between them, and words that hold it, one by one. If the tokenizer's ids of a simple word
     and of the marks after it are their ids side by side (which is tried), marks are split off first; if they are those that its model alone
-    gives, the steps before the model are left out for simple words.
+    gives, and the model has ids of their own for ends of words, the steps before the model and the separators are left out for simple words.
     """
 
     def __init__(self, path: str):
@@ -95,8 +95,11 @@ class Words:
         self.lean = Tokenizer.from_file(path)
         self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
-        joined = f" {SEPARATOR} ".join(_SIMPLE_PROBES)
-        if self._lean(joined.encode()).tolist() != self._ids(joined):
+        suffix, vocabulary = getattr(self.lean.model, "end_of_word_suffix", None), self.lean.get_vocab()
+        self.is_end = np.zeros(65536, bool)
+        self.is_end[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        encoded, cuts = self._lean([w.encode() for w in _SIMPLE_PROBES])
+        if [encoded[a:b] for a, b in cuts] != [np.array(alone[w], "<u2").tobytes() for w in _SIMPLE_PROBES]:
             self.lean = None
         self.table: dict[bytes, bytes] = {b"": b""}
 
@@ -106,9 +109,18 @@ class Words:
     def _full(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u2")
 
-    def _lean(self, text: bytes) -> np.ndarray:
-        written = codecs.charmap_decode(text, "strict", self.letters)[0]
-        return np.array(self.lean.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
+    def _lean(self, words: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
+        """The ids of simple words, and where those of each begin and end."""
+        written = codecs.charmap_decode(b" ".join(words), "strict", self.letters)[0]
+        ids = np.array(self.lean.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
+        ends = (2 * np.flatnonzero(self.is_end.take(ids)) + 2).tolist()
+        return ids.tobytes(), list(zip([0, *ends], ends, strict=False))
+
+    def _apart(self, words: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
+        """The same of words without ``SEPARATOR``."""
+        ids = self._full(f" {SEPARATOR} ".encode().join(words))
+        cuts = 2 * np.flatnonzero(ids == self.separator)
+        return ids.tobytes(), list(zip([0, *(cuts + 2).tolist()], [*cuts.tolist(), 2 * len(ids)], strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
         """Puts words that the table does not have into it."""
@@ -131,16 +143,14 @@ class Words:
         for w in parts:
             if w not in table and w not in words:
                 sort(w)
-        for some_words, encode in ((simple, self._lean), (plain, self._full)):
+        for some_words, encode in ((simple, self._lean), (plain, self._apart)):
             for lo in range(0, len(some_words), 4096):
                 some = some_words[lo : lo + 4096]
-                ids = encode(f" {SEPARATOR} ".encode().join(some))
-                cuts = np.flatnonzero(ids == self.separator)
-                if len(cuts) != len(some) - 1:
+                ids, cuts = encode(some)
+                if len(cuts) != len(some):
                     odd += some
                     continue
-                raw = ids.tobytes()
-                table.update(zip(some, [raw[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True)], strict=True))
+                table.update(zip(some, [ids[a:b] for a, b in cuts], strict=True))
         for w in odd:
             table[w] = self._full(w).tobytes()
         for w, stem, end in ends:
