@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, pieces, quality_mil, quality_rules, simhash, token_file, toxicity, url_filter, warc
+from . import conversations, media, mixing, pieces, quality_mil, quality_rules, simhash, substrings, token_file, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": token_file.op8_tokens,
         "op9_media": media.op9_media,
         "op10_warc": warc.op10_warc,
+        "op11_conversations": conversations.op11_conversations,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_substrings": substrings.op13_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.ORACLE_SQL}
+    return {"op10_warc": warc.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_substrings": substrings.ORACLE_SQL}
