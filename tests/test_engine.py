@@ -145,7 +145,7 @@ def test_cache(spark, tmp_path):
     first = facts.facts_of(files, str(tmp_path / "c")).orderBy("path").collect()
     again = facts.facts_of(files, str(tmp_path / "c")).orderBy("path").collect()
     assert first == again and [len(r["imports"]) for r in first] == [1, 1, 0, 0] and [r["parse_ok"] for r in first] == [True, True, True, False]
-    assert spark.read.parquet(str(tmp_path / "c" / "v1")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "c" / f"v{facts.VERSION}")).count() == 2
 
 
 @pytest.mark.parametrize(
