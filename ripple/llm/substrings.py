@@ -1,13 +1,14 @@
 """
 Substring deduplication by seed and extend.
 
-Seeds are winnowed anchors: of the SEED-word sequences in each window of LENGTH words the one with the least hash. Two equal windows choose the same anchor
-at the same place, so documents that share a window share an anchor. Documents are joined on anchors; each anchor that two documents share is extended
-both ways to the windows that chose it, and equal extensions meet by a 128-bit hash of their words. Matching windows that touch are one
-maximal repeat. An anchor is extended against all its partners at once: the smallest doc_id of equal extensions decides, pairs are never listed.
-
-Scale: anchors are one row in about 13 words and summed before they are shuffled; only windows around shared anchors are shuffled; anchors and windows with
-many copies are hot keys of the joins back, which are split. Texts are shuffled twice, by row.
+Seeds are winnowed anchors: of the SEED-word sequences in each window of LENGTH words the one with the least hash. Two equal windows choose the same anchor,
+so documents that share a window share an anchor. An anchor is extended both ways as far as neighbouring windows choose it: a run. Documents are joined on
+runs and on anchors: all windows of a run that also is in a document with a smaller id are repeats; what remains, the first of each set of equal runs, is
+joined on shared anchors and compared window by window. Equal words meet by a 128-bit hash. Matching windows that touch are one maximal repeat. An anchor is
+extended against all its partners at once: the smallest doc_id decides, pairs are never listed.
+
+Scale: runs are one row in about 13 words and summed before they are shuffled; of equal runs only one is taken further, so copies cost a row for each run;
+runs, anchors and windows with many rows are hot keys of the joins back, which are split. Texts are shuffled twice, by row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,66 +105,105 @@ def row_keys() -> list[Column]:
     return [F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2")]
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """k1, k2, doc_id, anchor: the distinct anchors of each row of ``docs`` (k1, k2, doc_id, text)."""
+def runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """
+    k1, k2, doc_id, anchor, start, n, r1, r2: each anchor of the rows of ``docs`` (k1, k2, doc_id, text), extended both ways as far as neighbouring windows chose it:
+    the first word, the number of windows, and the hash of all their words.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["k1", "k2", "doc_id", "anchor", "start", "n", "r1", "r2"]
 
     def run(batches):
         for batch in batches:
             for part in common.steps(batch, most=STEP_BYTES):
-                text, _, anchor = windows_of(words_of(part.column("text")), length, seed)
-                new = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))[: len(text)]
-                which = pa.array(text[new])
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(which) for c in ("k1", "k2", "doc_id")], pa.array(anchor[new])], ["k1", "k2", "doc_id", "anchor"])
+                words = words_of(part.column("text"))
+                text, at, anchor = windows_of(words, length, seed)
+                first = np.nonzero(np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))[: len(text)])[0]
+                n = np.diff(np.append(first, len(text)))
+                text, at, anchor = text[first], at[first], anchor[first]
+                r1, r2 = word_hashes(words, at, at + n + (length - 1))
+                which = pa.array(text)
+                numbers = [anchor, (at - words.texts[text]).astype(np.int32), n.astype(np.int32), r1, r2]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(which) for c in names[:3]], *map(pa.array, numbers)], names)
 
-    return ship(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, anchor long")
+    return ship(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, anchor long, start int, n int, r1 long, r2 long")
 
 
-def extensions(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """k1, k2, doc_id, start, w1, w2: the windows of each row (k1, k2, doc_id, text, shared) that chose one of its ``shared`` anchors, with the hash of their words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["k1", "k2", "doc_id", "start", "w1", "w2"]
+def word_hashes(words: Words, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of each range."""
+    return _ranges(words.hashes, starts, stops, 2).view(np.int64), _ranges(_mixed(words.hashes), starts, stops, 3).view(np.int64)
+
+
+def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """r1, r2, offset, doc_id, w1, w2: the windows of the ``runs`` (r1, r2, start, n, doc_id) that the rows of ``docs`` (text, runs) list, with the hash of their words."""
+    kind = docs.schema["runs"].dataType.elementType["doc_id"].dataType.simpleString()
+    names = ["r1", "r2", "offset", "doc_id", "w1", "w2"]
 
     def run(batches):
         for batch in batches:
             for part in common.steps(batch, most=STEP_BYTES):
                 words = words_of(part.column("text"))
-                text, at, anchor = windows_of(words, length, seed)
-                lists = part.column("shared")
-                # an anchor hash is shared or not whichever text it is in, so one set serves the whole step
-                chosen = np.isin(anchor, np.unique(np.asarray(lists.flatten())))
-                text, at = text[chosen], at[chosen]
-                w1, w2 = _ranges(words.hashes, at, at + length, 2), _ranges(_mixed(words.hashes), at, at + length, 3)
-                start = at - words.texts[text]
-                for i in range(0, len(text), OUT_ROWS):
-                    j = slice(i, i + OUT_ROWS)
-                    which = pa.array(text[j])
-                    yield pa.RecordBatch.from_arrays(
-                        [*[part.column(c).take(which) for c in names[:3]], pa.array(start[j].astype(np.int32)), pa.array(w1[j].view(np.int64)), pa.array(w2[j].view(np.int64))], names
-                    )
+                lists = part.column("runs")
+                flat = lists.flatten()
+                row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+                start, n = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "n"))
+                ends = np.cumsum(n)
+                for i, j in _groups(ends, OUT_ROWS):
+                    which = np.repeat(np.arange(i, j), n[i:j])
+                    offset = np.arange(len(which)) - np.repeat(ends[i:j] - n[i:j] - (ends[i - 1] if i else 0), n[i:j])
+                    at = words.texts[row[which]] + start[which] + offset
+                    w1, w2 = word_hashes(words, at, at + length)
+                    taken = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([*[flat.field(c).take(taken) for c in ("r1", "r2")], pa.array(offset.astype(np.int32)), flat.field("doc_id").take(taken), pa.array(w1), pa.array(w2)], names)
+
+    return ship(docs).mapInArrow(run, f"r1 long, r2 long, offset int, doc_id {kind}, w1 long, w2 long")
+
+
+def _groups(ends: np.ndarray, most: int):
+    """Ranges of items whose sizes add up to about ``most``; ``ends``: the running sum of the sizes."""
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
 
-    return ship(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, start int, w1 long, w2 long")
+def _least(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Of each key: the smallest id, the number of rows, and whether other ids have it. Null ids are larger than any other."""
+    others = (F.min("doc_id") < F.max("doc_id")) | (F.max(F.col("doc_id").isNull()) & F.min("doc_id").isNotNull())
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.coalesce(others, F.lit(False)).alias("others"), F.count("*").alias("n_rows"), *more)
 
 
-def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of keys that are in documents with different ids: the smallest id, and the number of rows. Null ids are larger than any other."""
-    got = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n"))
-    return got.where("least < most or (nulls and least is not null)").drop("most", "nulls")
+#: A row's id comes after the smallest one of its key.
+_LATER = "least < doc_id or (doc_id is null and least is not null)"
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """
-    k1, k2 and ``starts``: the windows (by first word, ascending) of each row of ``docs`` (k1, k2, doc_id, text) whose words are also in a document with
-    a smaller doc_id. Rows without such windows are left out.
+    k1, k2 and ``spans``: ranges of windows (by first word; start and the one after the last) of each row of ``docs`` (k1, k2, doc_id, text) whose words are also in a
+    document with a smaller doc_id. Rows without such windows are left out.
     """
-    found = common.written(anchors(docs, length, seed), "anchors")
-    shared = common.written(_least(found, ["anchor"]), "shared")
-    marked = common.join_split(found, shared.drop("least").withColumn("both", F.lit(True)), ["anchor"], "n", found.count()).where("both")
-    lists = marked.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("shared"))  # a document's own anchors
-    windows = common.written(extensions(docs.join(lists, ["k1", "k2"]), length, seed), "windows")
-    first = common.written(_least(windows, ["w1", "w2"]), "first")
-    known = common.join_split(windows, first, ["w1", "w2"], "n", windows.count()).where("least < doc_id or (doc_id is null and least is not null)")
-    return known.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("start")).alias("starts"))  # a document's own windows
+    run = ["r1", "r2"]
+    found = common.written(runs(docs, length, seed), "runs")
+    place = F.min_by(F.struct("k1", "k2", "start"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "start")).alias("place")
+    # equal runs: all windows of those with larger ids are repeats, only the first is compared further
+    equal = common.written(_least(found, run, F.any_value("anchor").alias("anchor"), F.any_value("n").alias("n"), place), "equal")
+    heads = equal.select("anchor", *run, "n", F.col("least").alias("doc_id"), "place")
+    shared = common.written(_least(heads, ["anchor"]).where("others").select("anchor", "n_rows"), "shared")
+    marked = common.join_split(heads, shared.withColumn("both", F.lit(True)), ["anchor"], "n_rows", equal.count()).where("both")
+    lists = marked.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct(*run, "place.start", "n", "doc_id")).alias("runs"))  # a text's own runs
+    texts = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "runs")
+    shifted = common.written(windows(texts, length), "windows")
+    known = common.written(_least(shifted, ["w1", "w2"]).where("others").drop("others"), "known")
+    inner = common.join_split(shifted, known, ["w1", "w2"], "n_rows", shifted.count()).where(_LATER)
+    inner = inner.groupBy(*run).agg(F.collect_set("offset").alias("offsets"))  # windows of one run
+    parts = equal.where("others").select(*run, "least", "n_rows").join(inner, run, "full").withColumn("n_rows", F.coalesce("n_rows", F.lit(1)))
+    parts = common.written(parts.withColumn("has", F.lit(True)), "parts")
+    rows = common.join_split(found, parts, run, "n_rows", found.count()).where("has")
+    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("stop")))
+    some = F.transform(F.coalesce("offsets", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + 1).alias("stop")))
+    spans = F.when(F.expr(_LATER), whole).otherwise(some)
+    return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list(spans)).alias("spans"))  # a text's own runs
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
@@ -178,14 +219,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, kee
     base = docs.select(F.struct(*keep).alias("row"), "doc_id", common.text_of().alias("text"))
     narrow = base.select(*row_keys(), "doc_id", "text")
     found = repeats(narrow, length, seed)
-    joined = base.select("row", "text", *row_keys()).join(found, ["k1", "k2"], "left").select("row", "text", "starts")
+    joined = base.select("row", "text", *row_keys()).join(found, ["k1", "k2"], "left").select("row", "text", F.col("spans").alias("repeats"))
     ddl = f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string"
 
     def run(batches):
         for batch in batches:
             for part in common.steps(batch, most=STEP_BYTES):
                 words = words_of(part.column("text"))
-                out = [_cleaned(words, i, s, length) for i, s in enumerate(part.column("starts").to_pylist())]
+                out = [_cleaned(words, i, part.column("repeats")[i].values, length) for i in range(part.num_rows)]
                 n, gone, spans, kept = zip(*out)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "spans", "kept"])
@@ -193,13 +234,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, kee
     return ship(joined).mapInArrow(run, ddl)
 
 
-def _cleaned(words: Words, i: int, starts: list[int] | None, length: int) -> tuple[int, int, list[dict], str]:
+def _cleaned(words: Words, i: int, repeats: pa.StructArray | None, length: int) -> tuple[int, int, list[dict], str]:
     first, last = int(words.texts[i]), int(words.texts[i + 1])
     n = last - first
     change = np.zeros(n + 1, np.int64)
-    at = np.asarray(starts or [], np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + length, -1)
+    if repeats is not None:
+        np.add.at(change, np.asarray(repeats.field("start")), 1)
+        np.add.at(change, np.asarray(repeats.field("stop")) + (length - 1), -1)
     covered = np.cumsum(change)[:n] > 0
     edges = np.nonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))[0].tolist()
     stay = np.nonzero(~covered)[0] + first
