@@ -3,12 +3,13 @@ Substring deduplication by seed and extend.
 
 Seeds are winnowed anchors: of the SEED-word sequences in each window of LENGTH words the one with the least hash. Two equal windows choose the same anchor,
 so documents that share a window share an anchor. An anchor is extended both ways as far as neighbouring windows choose it: a run. Documents are joined on
-runs and on anchors: all windows of a run that also is in a document with a smaller id are repeats; what remains, the first of each set of equal runs, is
-joined on shared anchors and compared window by window. Equal words meet by a 128-bit hash. Matching windows that touch are one maximal repeat. An anchor is
-extended against all its partners at once: the smallest doc_id decides, pairs are never listed.
+runs: all windows of a run that also is in a document with a smaller id are repeats. What remains, the first of each set of equal runs, is joined on anchors; runs
+with a shared anchor are cut into stretches at windows that their words choose, and treated likewise, and what remains of those is compared window by window. Equal
+words meet by a 128-bit hash. Matching windows that touch are one maximal repeat. An anchor is extended against all its partners at once: the smallest doc_id
+decides, pairs are never listed.
 
-Scale: runs are one row in about 13 words and summed before they are shuffled; of equal runs only one is taken further, so copies cost a row for each run;
-runs, anchors and windows with many rows are hot keys of the joins back, which are split. Texts are shuffled twice, by row.
+Scale: runs are one row in about 13 words and summed before they are shuffled; of equal runs and stretches only one is taken further, so copies cost a row for each
+run; what many rows share is a hot key of the joins back, which are split. Texts are shuffled three times, by row, of which two join only those with shared anchors.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from . import common
 
 #: Words of a window, and of a seed in it.
 LENGTH, SEED = 50, 26
+#: Windows of a stretch, on average.
+STRETCH = 6
 #: Bytes of text looked at together; windows of a task that are given away together.
 STEP_BYTES, OUT_ROWS = 1 << 20, 1 << 16
 
@@ -107,11 +110,11 @@ def row_keys() -> list[Column]:
 
 def runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """
-    k1, k2, doc_id, anchor, start, n, r1, r2: each anchor of the rows of ``docs`` (k1, k2, doc_id, text), extended both ways as far as neighbouring windows chose it:
+    k1, k2, doc_id, anchor, start, n, h1, h2: each anchor of the rows of ``docs`` (k1, k2, doc_id, text), extended both ways as far as neighbouring windows chose it:
     the first word, the number of windows, and the hash of all their words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["k1", "k2", "doc_id", "anchor", "start", "n", "r1", "r2"]
+    names = ["k1", "k2", "doc_id", "anchor", "start", "n", "h1", "h2"]
 
     def run(batches):
         for batch in batches:
@@ -121,12 +124,12 @@ def runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
                 first = np.nonzero(np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))[: len(text)])[0]
                 n = np.diff(np.append(first, len(text)))
                 text, at, anchor = text[first], at[first], anchor[first]
-                r1, r2 = word_hashes(words, at, at + n + (length - 1))
+                h1, h2 = word_hashes(words, at, at + n + (length - 1))
                 which = pa.array(text)
-                numbers = [anchor, (at - words.texts[text]).astype(np.int32), n.astype(np.int32), r1, r2]
+                numbers = [anchor, (at - words.texts[text]).astype(np.int32), n.astype(np.int32), h1, h2]
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(which) for c in names[:3]], *map(pa.array, numbers)], names)
 
-    return ship(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, anchor long, start int, n int, r1 long, r2 long")
+    return ship(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, anchor long, start int, n int, h1 long, h2 long")
 
 
 def word_hashes(words: Words, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +137,39 @@ def word_hashes(words: Words, starts: np.ndarray, stops: np.ndarray) -> tuple[np
     return _ranges(words.hashes, starts, stops, 2).view(np.int64), _ranges(_mixed(words.hashes), starts, stops, 3).view(np.int64)
 
 
-def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """r1, r2, offset, doc_id, w1, w2: the windows of the ``runs`` (r1, r2, start, n, doc_id) that the rows of ``docs`` (text, runs) list, with the hash of their words."""
-    kind = docs.schema["runs"].dataType.elementType["doc_id"].dataType.simpleString()
-    names = ["r1", "r2", "offset", "doc_id", "w1", "w2"]
+def pieces(docs: DataFrame, every: int, length: int = LENGTH) -> DataFrame:
+    """
+    p1, p2, start, n, h1, h2, doc_id, k1, k2, at: the ranges (h1, h2, at, n, doc_id) of windows that the rows of ``docs`` (k1, k2, text, ranges) list, cut after each
+    window whose hash divides by ``every``: the hash of the range, the first window in it, windows, the hash of their words, and where they are.
+    """
+    kind = docs.schema["ranges"].dataType.elementType["doc_id"].dataType.simpleString()
+    names = ["p1", "p2", "start", "n", "h1", "h2", "doc_id", "k1", "k2", "at"]
 
     def run(batches):
         for batch in batches:
             for part in common.steps(batch, most=STEP_BYTES):
                 words = words_of(part.column("text"))
-                lists = part.column("runs")
+                lists = part.column("ranges")
                 flat = lists.flatten()
                 row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-                start, n = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "n"))
-                ends = np.cumsum(n)
+                begin, size = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "n"))
+                ends = np.cumsum(size)
                 for i, j in _groups(ends, OUT_ROWS):
-                    which = np.repeat(np.arange(i, j), n[i:j])
-                    offset = np.arange(len(which)) - np.repeat(ends[i:j] - n[i:j] - (ends[i - 1] if i else 0), n[i:j])
-                    at = words.texts[row[which]] + start[which] + offset
-                    w1, w2 = word_hashes(words, at, at + length)
-                    taken = pa.array(which)
-                    yield pa.RecordBatch.from_arrays([*[flat.field(c).take(taken) for c in ("r1", "r2")], pa.array(offset.astype(np.int32)), flat.field("doc_id").take(taken), pa.array(w1), pa.array(w2)], names)
-
-    return ship(docs).mapInArrow(run, f"r1 long, r2 long, offset int, doc_id {kind}, w1 long, w2 long")
+                    which = np.repeat(np.arange(i, j), size[i:j])
+                    offset = np.arange(len(which)) - np.repeat(ends[i:j] - size[i:j] - (ends[i - 1] if i else 0), size[i:j])
+                    at = words.texts[row[which]] + begin[which] + offset
+                    cut = _ranges(words.hashes, at, at + length, 2) % np.uint64(every) == 0
+                    cut |= offset == size[which] - 1
+                    last = np.nonzero(cut)[0]
+                    first = np.append(0, last[:-1] + 1)
+                    h1, h2 = word_hashes(words, at[first], at[last] + length)
+                    item, owner = pa.array(which[first]), pa.array(row[which[first]])
+                    place = (at[first] - words.texts[row[which[first]]]).astype(np.int32)
+                    numbers = [offset[first].astype(np.int32), (last - first + 1).astype(np.int32), h1, h2]
+                    columns = [*[flat.field(c).take(item) for c in ("h1", "h2")], *map(pa.array, numbers), flat.field("doc_id").take(item), *[part.column(c).take(owner) for c in ("k1", "k2")], pa.array(place)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return ship(docs).mapInArrow(run, f"p1 long, p2 long, start int, n int, h1 long, h2 long, doc_id {kind}, k1 long, k2 long, at int")
 
 
 def _groups(ends: np.ndarray, most: int):
@@ -174,8 +187,37 @@ def _least(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.coalesce(others, F.lit(False)).alias("others"), F.count("*").alias("n_rows"), *more)
 
 
-#: A row's id comes after the smallest one of its key.
-_LATER = "least < doc_id or (doc_id is null and least is not null)"
+_WORDS = ["h1", "h2"]
+
+
+def _spans(members: DataFrame, equal: DataFrame, inner: DataFrame | None, by: list[str]) -> DataFrame:
+    """
+    ``by`` and ``spans``, the repeated windows of the ``members`` (``by``, start, n, h1, h2, doc_id): all of a member if equal ones (``equal``: of ``_least``) have
+    a smaller id, else those that ``inner`` (h1, h2, spans) has for its words. Members are of one text, run or stretch, so ``spans`` is bounded by its words.
+    """
+    parts = equal.where("others").select(*_WORDS, "least", "n_rows")
+    if inner is None:
+        parts = parts.withColumn("spans", F.expr("cast(null as array<struct<start:int,stop:int>>)"))
+    else:
+        parts = parts.join(inner, _WORDS, "full").withColumn("n_rows", F.coalesce("n_rows", F.lit(1)))
+    parts = common.written(parts.withColumn("has", F.lit(True)), "parts")
+    rows = common.join_split(members, parts, _WORDS, "n_rows", members.count()).where("has")
+    span = lambda a, b: F.struct((F.col("start") + a).alias("start"), (F.col("start") + b).alias("stop"))
+    later = F.expr("least < doc_id or (doc_id is null and least is not null)")
+    spans = F.when(later, F.array(span(F.lit(0), F.col("n")))).otherwise(F.transform("spans", lambda x: span(x["start"], x["stop"])))
+    return rows.select(*by, spans.alias("spans")).where("size(spans) > 0").groupBy(*by).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _heads(members: DataFrame, *more: Column) -> DataFrame:
+    """``_least`` by words, with n and the place (k1, k2, at) of the first."""
+    place = F.min_by(F.struct("k1", "k2", "at"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "at")).alias("place")
+    return _least(members, _WORDS, F.any_value("n").alias("n"), place, *more)
+
+
+def _cut(docs: DataFrame, heads: DataFrame, every: int, length: int) -> DataFrame:
+    """``pieces`` of ``heads``, each with the smallest id that its words have."""
+    lists = heads.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct(*_WORDS, "place.at", "n", F.col("least").alias("doc_id"))).alias("ranges"))  # a text's own
+    return pieces(docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]), every, length)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -183,27 +225,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     k1, k2 and ``spans``: ranges of windows (by first word; start and the one after the last) of each row of ``docs`` (k1, k2, doc_id, text) whose words are also in a
     document with a smaller doc_id. Rows without such windows are left out.
     """
-    run = ["r1", "r2"]
     found = common.written(runs(docs, length, seed), "runs")
-    place = F.min_by(F.struct("k1", "k2", "start"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "start")).alias("place")
-    # equal runs: all windows of those with larger ids are repeats, only the first is compared further
-    equal = common.written(_least(found, run, F.any_value("anchor").alias("anchor"), F.any_value("n").alias("n"), place), "equal")
-    heads = equal.select("anchor", *run, "n", F.col("least").alias("doc_id"), "place")
-    shared = common.written(_least(heads, ["anchor"]).where("others").select("anchor", "n_rows"), "shared")
-    marked = common.join_split(heads, shared.withColumn("both", F.lit(True)), ["anchor"], "n_rows", equal.count()).where("both")
-    lists = marked.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct(*run, "place.start", "n", "doc_id")).alias("runs"))  # a text's own runs
-    texts = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "runs")
-    shifted = common.written(windows(texts, length), "windows")
-    known = common.written(_least(shifted, ["w1", "w2"]).where("others").drop("others"), "known")
-    inner = common.join_split(shifted, known, ["w1", "w2"], "n_rows", shifted.count()).where(_LATER)
-    inner = inner.groupBy(*run).agg(F.collect_set("offset").alias("offsets"))  # windows of one run
-    parts = equal.where("others").select(*run, "least", "n_rows").join(inner, run, "full").withColumn("n_rows", F.coalesce("n_rows", F.lit(1)))
-    parts = common.written(parts.withColumn("has", F.lit(True)), "parts")
-    rows = common.join_split(found, parts, run, "n_rows", found.count()).where("has")
-    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("stop")))
-    some = F.transform(F.coalesce("offsets", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + 1).alias("stop")))
-    spans = F.when(F.expr(_LATER), whole).otherwise(some)
-    return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list(spans)).alias("spans"))  # a text's own runs
+    equal = common.written(_heads(found.withColumn("at", F.col("start")), F.any_value("anchor").alias("anchor")), "equal-runs")
+    heads = equal.withColumnRenamed("n_rows", "members")
+    shared = common.written(_least(heads.select("anchor", F.col("least").alias("doc_id")), ["anchor"]).where("others").select("anchor", "n_rows"), "anchors")
+    heads = common.join_split(heads, shared.withColumn("both", F.lit(True)), ["anchor"], "n_rows", equal.count()).where("both")
+    stretches = common.written(_cut(docs, heads, STRETCH, length), "stretches")
+    equal_stretches = common.written(_heads(stretches), "equal-stretches")
+    single = common.written(_cut(docs, equal_stretches, 1, length).drop("k1", "k2", "at"), "windows")
+    windows = _spans(single, _least(single, _WORDS), None, ["p1", "p2"])
+    parent = [F.col("p1").alias("h1"), F.col("p2").alias("h2"), "spans"]
+    within = _spans(stretches, equal_stretches, windows.select(*parent), ["p1", "p2"])
+    return _spans(found, equal, within.select(*parent), ["k1", "k2"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:

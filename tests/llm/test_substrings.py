@@ -69,7 +69,7 @@ def test_substrings_odd(spark):
     long = "word " * 30_000 + passage
     rows = [(1, None), (2, ""), (3, " \n\t\x0b\f\r "), (4, passage), (4, passage + " and more"), (5, long), (6, long), (6, long), (7, "x" * 70_000), (None, passage), (None, long), (None, None), (8, "a b " * 60), (9, "a b " * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("row", "k1", "k2", "anchor", "n", "least", "start", "w1", "r1", "runs", "repeats", "kept"):
+    for name in ("row", "k1", "k2", "anchor", "n", "least", "start", "h1", "p1", "at", "ranges", "spans", "repeats", "kept"):
         df = df.withColumn(name, F.lit("x"))
     assert Counter(cleaned(df)) == Counter((d, *x) for (d, _), x in zip(rows, brute(rows, 50)))
     spans = {(r["row"]["doc_id"], r["n_words"]): [tuple(s) for s in r["spans"]] for r in substrings.without_repeats(df).collect()}
