@@ -220,16 +220,21 @@ def _cut(docs: DataFrame, heads: DataFrame, every: int, length: int) -> DataFram
     return pieces(docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]), every, length)
 
 
+def _with_shared(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose anchor has different ids in ``ids`` (anchor, doc_id; a row for each of ``rows``)."""
+    shared = common.written(_least(ids, ["anchor"]).where("others").select("anchor", "n_rows", F.lit(True).alias("both")), "anchors")
+    return common.join_split(rows, shared, ["anchor"], "n_rows", rows.count()).where("both").drop("both")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """
     k1, k2 and ``spans``: ranges of windows (by first word; start and the one after the last) of each row of ``docs`` (k1, k2, doc_id, text) whose words are also in a
     document with a smaller doc_id. Rows without such windows are left out.
     """
-    found = common.written(runs(docs, length, seed), "runs")
+    all_runs = common.written(runs(docs, length, seed), "runs")
+    found = common.written(_with_shared(all_runs, all_runs.select("anchor", "doc_id")), "shared-runs")
     equal = common.written(_heads(found.withColumn("at", F.col("start")), F.any_value("anchor").alias("anchor")), "equal-runs")
-    heads = equal.withColumnRenamed("n_rows", "members")
-    shared = common.written(_least(heads.select("anchor", F.col("least").alias("doc_id")), ["anchor"]).where("others").select("anchor", "n_rows"), "anchors")
-    heads = common.join_split(heads, shared.withColumn("both", F.lit(True)), ["anchor"], "n_rows", equal.count()).where("both")
+    heads = _with_shared(equal.withColumnRenamed("n_rows", "members"), equal.select("anchor", F.col("least").alias("doc_id")))
     stretches = common.written(_cut(docs, heads, STRETCH, length), "stretches")
     equal_stretches = common.written(_heads(stretches), "equal-stretches")
     single = common.written(_cut(docs, equal_stretches, 1, length).drop("k1", "k2", "at"), "windows")
