@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .operators import line_diff
 from .plans import report
 from .plans.engine import Engine, Tables
 from .sources import facts, git, overlay
@@ -73,7 +74,7 @@ def _run(a) -> int:
         raw = spark.read.text(a.overlay_file, wholetext=True)
         texts = overlay.parse_overlays(raw, "value", []).withColumn("path", overlay.overlay_path("path")).where("path is not null").withColumn("repo", F.lit("r"))
         bases = git.read(spark, root, "blobs", base).select(F.lit("r").alias("repo"), "path", F.col("text").alias("base"))
-        new = overlay.text_spans(texts.join(bases, ["repo", "path"], "left"))
+        new = line_diff.text_spans(texts.join(bases, ["repo", "path"], "left"))
         spans = spans.join(texts.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(new)
         changed = changed.unionByName(texts.select("repo", "path")).distinct()
         files = overlay.upsert(files, facts.from_contents(texts.select("repo", "path", F.encode("text", "UTF-8").alias("content"))), ["repo", "path"])

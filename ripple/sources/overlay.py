@@ -1,16 +1,13 @@
-"""Unsaved editor texts laid over files: parsing, the newest for each path, upsert, and changed spans."""
+"""Unsaved editor texts laid over files: parsing, the newest for each path, upsert, and the changed spans of one text (``operators.line_diff`` has those of tables)."""
 
 from __future__ import annotations
 
 import difflib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-
 
 def parse_overlays(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """keep..., path, text: the entries of a JSON object of strings."""
@@ -50,14 +47,3 @@ def changed_spans(base: str, text: str) -> list[tuple[int, int]]:
             else:
                 out.append((start + 1, stop))
     return out
-
-
-def text_spans(pairs: DataFrame) -> DataFrame:
-    """pairs: repo, path, base, text -> spans (repo, path, start, stop). Python compares the lines; a text is one row, so memory is bounded by the largest."""
-
-    def run(batches):
-        for df in batches:
-            rows = [(r, p, x, y) for r, p, b, t in zip(df["repo"], df["path"], df["base"], df["text"], strict=True) for x, y in changed_spans(b or "", t or "")]
-            yield pd.DataFrame(rows, columns=["repo", "path", "start", "stop"])
-
-    return ship(pairs).select("repo", "path", "base", "text").mapInPandas(run, "repo string, path string, start int, stop int")
