@@ -511,7 +511,7 @@ def balanced_brackets(spark, sf_dir):
 
 def _purpose_rules() -> list[tuple[str, str, str]]:
     """(kind, name with # for what it is about, phrase with {rest}) for every rule of a name."""
-    from .plans import captions as c
+    from .functions import phrases as c
 
     return [*(("class", f"#{e}", t) for e, t in c.CLASS_SUFFIXES), *(("function", f"{b}#", t) for b, t in c.PREFIXES), *(("function", f"#{e}", t) for e, t in c.SUFFIXES)]
 
@@ -539,3 +539,27 @@ def symbol_purposes(spark, sf_dir):
   SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN '' ELSE list_reduce(l, lambda x, w: CASE WHEN len(regexp_extract(x, '[^\n]*$')) + 1 + len(w) <= 40 THEN x || ' ' || w ELSE x || chr(10) || w END) END AS lines FROM t""")
 def word_wrap(spark, sf_dir):
     return a.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(s.wrap("text", 40), "\n").alias("lines"))
+
+
+def _docstrings_sql() -> str:
+    from .functions import words as w
+
+    many = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    stem = "lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END"
+    own = ["explain", "symbol", *w.SYNONYMS["explain"], *w.SYNONYMS["symbol"]]
+    follow = [k for k, v in w.INFERABLE.items() if set(v) & set(own)]
+    return f"""WITH d AS (SELECT doc_id, regexp_replace(string_split(trim(text, ' '), chr(10))[1], '\\.+$', '') AS t FROM documents WHERE text IS NOT NULL),
+      x AS (SELECT doc_id, t, list_distinct(list_transform(regexp_extract_all(lower(t), '[a-z0-9]+'), {stem})) AS said FROM d),
+      n AS (SELECT doc_id, t, len(list_filter(said, lambda x: NOT list_contains({many(w.STOP_WORDS)}, x))) AS spoken, len(list_filter(said, lambda x: list_contains({many(own)}, x))) AS named,
+        len(list_filter(said, lambda x: NOT list_contains({many([*w.STOP_WORDS, *w.GENERIC_VERBS, *w.SURFACE_WORDS, *own, *follow])}, x))) AS news FROM x)
+      SELECT doc_id, t <> '' AND (length(t) > {w.TELLING_CHARS} OR regexp_matches(lower(t), '{w.TELLING}') OR regexp_matches(t, '["''`]|[0-9]|::|->')
+        OR (news > 0 AND NOT (named >= {w.OVERLAP} * greatest(spoken, 1) AND length(t) < {w.BRIEF_CHARS}))) AS adds FROM n"""
+
+
+@query(_docstrings_sql())
+def docstrings(spark, sf_dir):
+    """Whether each document's first line, as the docstring of a function explain_symbol, says more than its name."""
+    from .plans import captions
+
+    first = F.split(F.btrim("text"), "\n")[0]
+    return a.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", captions.doc_adds_value(F.lit("explain_symbol"), first).alias("adds"))

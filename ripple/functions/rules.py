@@ -27,7 +27,7 @@ PLUMBING = (
     "append", "extend", "insert", "pop", "get", "items", "keys", "values", "copy", "update", "sort", "add", "remove", "discard", "clear",
     "read", "write", "readline", "readlines", "seek", "tell", "close", "sub", "subn", "search", "match", "findall", "fullmatch",
 )
-PURPOSE_UTILITIES = ("expand_acronyms", "PurePosixPath", "Path", "model_copy", "format", "join", "strip", "lower")
+PURPOSE_UTILITIES = ("Path", "format", "join", "strip", "lower")
 FAMILIES = (("class", "as a class"), ("function", "as a function"))
 WEAK_RETURNS = ("None", "True", "False", "Ellipsis", "...", "NotImplemented", "[]", "{}", "()", "''", '""')
 ACRONYMS = (("AST", "Abstract Syntax Tree"), ("BFS", "breadth-first search"), ("DFS", "depth-first search"), ("HUD", "heads-up display"), ("CLI", "command-line interface"))
