@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import signal
 import threading
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import pandas as pd
@@ -15,6 +16,7 @@ from ..functions.predicates import language_of
 from ..functions.rules import SOURCE_SUFFIXES
 from ..shipping import ship
 from . import js_parser, py_parser
+from .isolation import Isolated
 
 VERSION = 2
 #: Seconds that one file may take.
@@ -66,17 +68,24 @@ def parse_one(content: bytes, language: str, seconds: float = PARSE_SECONDS) ->
         return None
 
 
-def parse_contents(contents: DataFrame) -> DataFrame:
-    """contents: digest, language, content -> FACTS. A source that does not parse has empty facts and parse_ok false."""
+def parse_contents(contents: DataFrame, parse: Callable[[bytes, str], dict | None] = parse_one, seconds: float = 2 * PARSE_SECONDS) -> DataFrame:
+    """
+    contents: digest, language, content -> FACTS. A source that does not parse has empty facts and parse_ok false, and so has one that kills the process of ``parse``
+    or keeps it for ``seconds``: each task parses in a child process.
+    """
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for digest, language, content in zip(*(batch.column(c).to_pylist() for c in ("digest", "language", "content")), strict=True):
-                got = parse_one(content, language)
-                row = {"digest": digest, "language": language, "parse_ok": got is not None}
-                rows.append(row | {k: [dict(zip(names, x, strict=True)) for x in (got or {}).get(k, [])] for k, names in _PARTS.items()})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        with Isolated(parse, seconds) as isolated:
+            for batch in batches:
+                yield parsed(batch, isolated)
+
+    def parsed(batch, isolated):
+        rows = []
+        for digest, language, content in zip(*(batch.column(c).to_pylist() for c in ("digest", "language", "content")), strict=True):
+            got = isolated(content, language)
+            row = {"digest": digest, "language": language, "parse_ok": got is not None}
+            rows.append(row | {k: [dict(zip(names, x, strict=True)) for x in (got or {}).get(k, [])] for k, names in _PARTS.items()})
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = {"line": pa.int32(), "symbols": pa.list_(pa.string())}
     schema = pa.schema([("digest", pa.string()), ("language", pa.string()), ("parse_ok", pa.bool_()), *((k, pa.list_(pa.struct([(n, kinds.get(n, pa.string())) for n in names]))) for k, names in _PARTS.items())])
