@@ -1,9 +1,10 @@
 """
 Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a probability (a logistic model over hashed words and word beginnings);
-the document's is their noisy-or, 1 - prod(1 - p). Only documents have labels: the gradient of the bag's loss
-reaches every sentence through the noisy-or, so the model finds the offending sentences by itself.
+A document is a bag of its distinct sentences. Each sentence has a probability (a logistic model over hashed words and word beginnings, less what the
+model says of any sentence below FLOOR); the document's is their noisy-or, 1 - prod(1 - p). Only documents have labels: the gradient of the bag's loss
+reaches every sentence through the noisy-or, so the model finds the offending sentences by itself. Sentences below the floor add nothing and
+repeated ones count once, in fitting and scoring alike, so a text is not toxic for its length.
 
 Fitting uses a bounded sample of labelled rows (``bound`` of each label, a parameter) in numpy on the driver;
 scoring is one pass over all texts in Arrow batches, with no shuffle.
@@ -30,6 +31,8 @@ SENTENCE_WORDS = 40
 BOUND = 2000
 #: Log-odds of a sentence without offending words, at most: thousands of them must not add up to a toxic document.
 HARMLESS = -9.0
+#: Log-odds up to which a sentence counts as harmless: its probability is 0.
+FLOOR = -1.5
 #: Distinct words whose weights a task remembers.
 MEMO = 250_000
 
@@ -65,10 +68,15 @@ def bag(text: str) -> bytes:
     return np.array([k for ids in sents for k in (*ids, -1)], np.int32).tobytes()
 
 
+def mass(z: np.ndarray) -> np.ndarray:
+    """-log(1 - p) of sentences by log-odds: that of the logistic model less that at the floor, 0 below it."""
+    return np.maximum(0, np.logaddexp(0, z) - np.logaddexp(0, FLOOR))
+
+
 def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Model:
     """
     rows: (bag, label). Adam on the bags' log loss under the noisy-or, with an L1 step in the
-    first half, which chooses features, and none in the second, which fits those kept; weights
+    first half, which chooses features, and none in the second, which fits those kept; the floor holds in the second half, as below it nothing is learnt; weights
     are at least 0, so no number of harmless words makes up for an offending one, and the bias carries what is usual. Features in fewer than
     1 % of the toxic bags (and fewer than 3) have no weight: they could only learn single documents by heart.
     No rows, or one label only: a model that scores every sentence by that label's share.
@@ -99,8 +107,10 @@ def fit(rows, rounds: int = 400, rate: float = 0.3, decay: float = 0.03) -> Mode
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = np.clip(np.bincount(sent, w[inverse], n_sent) + b, -40, 40)
-        p = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(bag_of, -np.logaddexp(0, z), n_bag)  # log prod(1 - p)
+        p = 1 / (1 + np.exp(-z))  # d mass / d z
+        if late := step >= rounds // 2:
+            p *= z > FLOOR
+        log_clean = np.bincount(bag_of, -(mass(z) if late else np.logaddexp(0, z)), n_bag)  # log prod(1 - p)
         clean = np.exp(log_clean)
         # d loss / d z of a sentence: p for clean bags, -p * clean / (1 - clean) for toxic ones
         pull = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-12), 1.0)
@@ -139,8 +149,10 @@ def scorer(model: Model):
         sents = sentences(text)
         if not sents:
             return 0.0, np.zeros(0), sents
-        z = np.array([sum(map(weight, set(s))) for s in sents]) + bias
-        return float(-np.expm1(-np.logaddexp(0, z).sum())), 1 / (1 + np.exp(-np.clip(z, -40, 40))), sents
+        keys = [frozenset(s) for s in sents]
+        known = {k: sum(map(weight, k)) for k in keys}
+        each = dict(zip(known, mass(np.fromiter(known.values(), np.float64, len(known)) + bias)))
+        return float(-np.expm1(-sum(each.values()))), -np.expm1(-np.array([each[k] for k in keys])), sents
 
     return score
 

@@ -77,6 +77,20 @@ def test_toxic_sentences():
     assert toxicity.scorer(toxicity.fit([]))("some text")[0] < 0.7 and toxicity.scorer(model)("")[0] == 0
 
 
+def test_toxic_length(spark):
+    """Length alone makes nothing toxic: clean documents joined to one of tens of thousands of sentences, and one line many times; one offending sentence among them still counts."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, big, "documents"), common.table(spark, big, "labels")
+    score = toxicity.scorer(toxicity.fit_on(docs, labels))
+    marked = [(r["text"] or "", r["toxic"]) for r in docs.join(labels.where("toxic is not null"), "doc_id").orderBy("doc_id").collect()]
+    clean = [t for t, y in marked if not y and score(t)[0] < 0.3]
+    joined = "\n".join(clean)
+    assert len(toxicity.sentences(joined)) > 20_000 and score(joined)[0] < 0.7
+    assert score("it is a calm day. " * 50_000)[0] < 0.7 and score(clean[0] * 1000)[0] == pytest.approx(score(clean[0])[0], abs=0.05)
+    toxic = next(t for t, y in marked if y and score(t)[0] > 0.95)
+    assert score(joined + "\n" + toxic)[0] > 0.7
+
+
 def test_attention_gradient():
     """One step of fitting lowers the loss, and attention weights of a text sum to 1."""
     rng = np.random.default_rng(0)
@@ -766,12 +780,11 @@ def test_warc_request():
 
 
 def brute_toxic(model, text):
-    """Noisy-or over sentences, sentence by sentence."""
     clean = 1.0
-    for words in toxicity.sentences(text):
-        z = model.bias + sum(float(model.weights[k]) for w in set(words) for k in toxicity.features(w))
-        clean *= 1 / (1 + math.exp(min(40, z)))
-    return 1 - clean if toxicity.sentences(text) else 0.0
+    for words in {frozenset(x) for x in toxicity.sentences(text)}:
+        z = model.bias + sum(float(model.weights[k]) for w in words for k in toxicity.features(w))
+        clean *= min(1.0, (1 + math.exp(toxicity.FLOOR)) / (1 + math.exp(min(z, 700))))
+    return 1 - clean
 
 
 def brute_quality(m, text):
