@@ -168,10 +168,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
-def collected_features(sample: DataFrame, make: Callable[[pa.Array], list[bytes]], bound: int) -> list:
+def collected_features(sample: DataFrame, make: Callable[[pa.Array], list[bytes]], bound: int, most_bytes: int | None = None) -> list:
     """
     Rows (doc_id, label, features) of a ``labelled_sample``, ``bound`` of each label at most. Features are made by the tasks, so the driver never
-    sees a text; ``make`` gives the bytes of each text's, and bounds them.
+    sees a text.
+
+    Features that grow with their text need ``most_bytes``, the bytes of each label's together: rows are taken whole, in the order of a hash of
+    doc_id, and one that no longer fits is left out of the sample, never shortened. The features are then a table of the shared folder, of which
+    the driver reads the sizes, and then the rows chosen. Without ``most_bytes`` each row's are of a fixed size.
     """
 
     def run(batches):
@@ -180,9 +184,26 @@ def collected_features(sample: DataFrame, make: Callable[[pa.Array], list[bytes]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(make(part.column("text")), pa.binary())], ["doc_id", "label", "features"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = ship(sample).mapInArrow(run, f"doc_id {kind}, label int, features binary").collect()  # 2.5 * bound rows at most, each of bounded size
+    made = ship(sample).mapInArrow(run, f"doc_id {kind}, label int, features binary")
+    if most_bytes is None:
+        chosen = _first(made.collect(), bound)  # 2.5 * bound rows at most, each of a fixed size
+    else:
+        made = written(made, "features")
+        sizes = made.select("doc_id", "label", F.octet_length("features").alias("size")).collect()  # 2.5 * bound rows at most
+        ids = [(r["doc_id"],) for r in _first(sizes, bound, most_bytes)]
+        chosen = made.join(F.broadcast(made.sparkSession.createDataFrame(ids, f"doc_id {kind}")), "doc_id").collect()  # 2 * most_bytes at most
+    return sorted(chosen, key=lambda r: (zlib.crc32(f"x{r['doc_id']}".encode()), str(r["doc_id"])))
+
+
+def _first(rows: list, bound: int, most_bytes: int | None = None) -> list:
+    """Of each label the first ``bound`` rows in the order of a hash of doc_id; with ``most_bytes``, of those whose sizes still fit."""
     kept: list = []
     for value in (0, 1):
-        mine = sorted((r for r in rows if r["label"] == value), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-        kept += mine[:bound]
-    return sorted(kept, key=lambda r: (zlib.crc32(f"x{r['doc_id']}".encode()), str(r["doc_id"])))
+        mine, left = sorted((r for r in rows if r["label"] == value), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]))), most_bytes
+        for r in mine[:bound]:
+            if left is not None:
+                if r["size"] > left:
+                    continue
+                left -= r["size"]
+            kept.append(r)
+    return kept

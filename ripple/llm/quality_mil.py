@@ -25,8 +25,8 @@ PASSAGE = 512
 PAIRS = 128
 FEATURES = PAIRS + textvec.CLASSES + 4
 HIDDEN, ATTENTION = 32, 16
-#: Labelled rows of each label that the model is fitted on, at most, and passages of each, evenly spaced over the whole text if it has more.
-BOUND, MOST = 2500, 128
+#: Labelled rows of each label that the model is fitted on, at most, and bytes of the features of all their passages (about 110 MB of text).
+BOUND, MOST_BYTES = 2500, 128 << 20
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +144,17 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 40, batc
     return m
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, most: int = MOST) -> Model:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0, with ``most`` passages of each at most."""
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, most_bytes: int = MOST_BYTES) -> Model:
+    """
+    Fits on all passages of labelled rows whose crc32(doc_id as text) mod 5 is not 0: ``bound`` rows of each label at most, and as many as have
+    ``most_bytes`` of features together. A row is in the sample with its whole text, or not at all.
+    """
 
     def make(texts) -> list[bytes]:
         x, counts = passages(*common.array_bytes(texts))
-        first = np.cumsum(counts) - counts
-        return [x[f + np.unique(np.linspace(0, c - 1, min(c, most)).astype(np.int64))].tobytes() for f, c in zip(first, counts, strict=True)]
+        return [part.tobytes() for part in np.split(x, np.cumsum(counts)[:-1])][: len(counts)]
 
-    rows = common.collected_features(common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0), make, bound)
+    rows = common.collected_features(common.labelled_sample(docs, labels, "quality", bound, common.fold_of("doc_id", 5) != 0), make, bound, most_bytes)
     xs = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in rows]
     return fit(np.concatenate([np.zeros((0, FEATURES), np.float32), *xs]), np.array([len(x) for x in xs], np.int64), np.array([r["label"] for r in rows], np.float32))
 

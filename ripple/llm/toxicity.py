@@ -27,8 +27,8 @@ from . import common
 BITS = 18
 #: Words of a sentence; what is longer is cut into several.
 SENTENCE_WORDS = 40
-#: Labelled rows of each label that the model is fitted on, at most.
-BOUND = 2000
+#: Labelled rows of each label that the model is fitted on, at most, and bytes of all their bags.
+BOUND, MOST_BYTES = 2000, 128 << 20
 #: Log-odds of a sentence without offending words, at most: thousands of them must not add up to a toxic document.
 HARMLESS = -9.0
 #: Log-odds up to which a sentence counts as harmless: its probability is 0.
@@ -188,10 +188,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, keep:
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    """Fits on whole labelled texts whose crc32(doc_id as text) mod 3 is not 1."""
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = BOUND, most_bytes: int = MOST_BYTES) -> Model:
+    """
+    Fits on whole labelled texts whose crc32(doc_id as text) mod 3 is not 1: ``bound`` of each label at most, and as many as have ``most_bytes``
+    of bags together. A text that does not fit is left out of the sample, never shortened.
+    """
     sample = common.labelled_sample(docs, labels, "toxic", bound, common.fold_of("doc_id", 3) != 1)
-    rows = common.collected_features(sample, lambda texts: [bag(t) for t in texts.to_pylist()], bound)
+    rows = common.collected_features(sample, lambda texts: [bag(t) for t in texts.to_pylist()], bound, most_bytes)
     return fit([(r["features"], r["label"]) for r in rows])
 
 

@@ -149,6 +149,63 @@ def test_quality_rules_odd(odd, none, labels):
     assert [r["base_failed"] for r in rows if r["row"]["doc_id"] == 4] == [True]  # one word 30,000 times
 
 
+def brute_rules(model, text):
+    """The score of op7: byte trigrams, words and pairs of words, hashed and counted one by one."""
+    b = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    x = np.zeros(quality_rules.FEATURES)
+    for i in range(len(b)):
+        at = [b[i - k] + 1 if i >= k else 0 for k in range(3)]
+        h = at[0]
+        for k in (1, 2):
+            h = (h * 0x01000193 + at[k] * (2 * k + 7)) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        x[(h >> 12) % quality_rules.CHARS] += 1 / len(b)
+    words = []
+    for w in b.split():
+        h = sum((c + 1) * pow(0x9E3779B97F4A7C15, j, 2**64) for j, c in enumerate(w)) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        words.append(h ^ h >> 32)
+    pairs = [(v * 0x9E3779B97F4A7C15 + u) % 2**64 for u, v in zip(words, words[1:])]
+    grams = words + [p ^ p >> 31 for p in pairs]
+    for h in grams:
+        x[quality_rules.CHARS + (h >> 40) % quality_rules.WORDS] += 1 / len(grams)
+    z = model.slope * (np.sqrt(x) @ model.w + model.b) + model.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_rules_by_brute_force(spark, sf_dir, docs, labels):
+    """Score and verdict of op7's table, row by row from the definition."""
+    model, t = quality_rules.fit_on(docs, labels), texts(docs)
+    rows = [r for r in queries.queries()["op7_quality_rules"](spark, sf_dir).collect() if len(t[r["doc_id"]]) < 3000]
+    assert len(rows) > 100
+    for r in rows:
+        want = brute_rules(model, t[r["doc_id"]])
+        assert r["score"] == pytest.approx(want, abs=1e-4)
+        assert r["kept"] == (not r["base_failed"] and want >= quality_rules.KEEP) or abs(want - quality_rules.KEEP) < 1e-4
+
+
+def test_whole_rows_fit(spark):
+    """The sample's features are those of whole texts, of any number of passages; a row beyond the bytes is left out, not cut."""
+    long, short = "some words of a long text go on. " * 9000, "a short text"
+    docs = spark.createDataFrame([(k, long if k == 0 else f"{short} {k}", "en", "s", 0) for k in range(12)], DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    sample = common.labelled_sample(docs, labels, "quality", 100, F.lit(True))
+    _, counts = quality_mil.passages(*common.array_bytes(pa.array([long], pa.large_string())))
+    assert counts[0] > 500
+    seen = []
+    make = lambda t: [x.encode() for x in t.to_pylist()]
+    for most in (1 << 20, 1000):
+        rows = common.collected_features(sample, make, 100, most)
+        seen.append({r["doc_id"]: len(r["features"]) for r in rows})
+    assert seen[0][0] == len(long) and len(seen[0]) == 12
+    assert seen[1] == {k: n for k, n in seen[0].items() if k}
+    small = common.collected_features(sample, make, 100, 30)
+    assert {r["label"]: sum(len(x["features"]) for x in small if x["label"] == r["label"]) <= 30 for r in small} == {0: True, 1: True}
+    assert common.collected_features(sample.where("false"), make, 100, 30) == []
+    every = quality_mil.fit_on(docs, labels)
+    assert not np.allclose(every.mean, quality_mil.fit_on(docs, labels, most_bytes=100 * 4 * quality_mil.FEATURES).mean)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="a \né", max_size=1500), min_size=1, max_size=4))
 def test_passages(texts_):
@@ -465,6 +522,20 @@ def model():
     return pieces.Pieces(pieces.model_path())
 
 
+def test_normalising_model_is_refused(monkeypatch):
+    import unicodedata
+
+    import sentencepiece
+
+    class Normalising(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, **kw):
+            return super().encode(unicodedata.normalize("NFKC", text) if isinstance(text, str) else text, **kw)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Normalising)
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.Pieces(pieces.model_path())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" ▁\n\r\t\x00ab.é\u0301ﬁＡ\xa0\u3000日😀<s>0xA,;(){}", max_size=24))
 def test_pieces(model, text):
@@ -901,6 +972,17 @@ def test_pipeline(spark, sf_dir, docs):
     assert Counter(json.dumps(r.asDict(), sort_keys=True) for r in run.collect()) == Counter(json.dumps(r.asDict(), sort_keys=True) for r in now.collect())
 
 
+def test_pieces_stage_odd(spark, odd, none, sf_dir):
+    """The last stage: each row once, null and empty texts without ids, the others' texts given back."""
+    import corpus_pipeline as cp
+
+    stage = cp.STAGES[4][1]
+    want = Counter((r["doc_id"], (r["text"] or "").replace("▁", " ")) for r in odd.select("doc_id", "text").collect())
+    rows = stage(spark, odd, sf_dir).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in rows) == want
+    assert all(bool(r["ids"]) == bool(r["decoded"]) for r in rows) and stage(spark, none, sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages_odd(spark, odd, none, sf_dir, k):
     import corpus_pipeline as cp
