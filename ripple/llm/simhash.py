@@ -29,6 +29,8 @@ from . import common
 BITS = 64
 #: Fingerprints of a group that one task compares with each other at once.
 CHUNK = 2048
+#: Bytes of the sets of shingles in one chunk, about; pairs of one set that are dealt to one salt, about.
+CHUNK_BYTES, STAR = 32 << 20, 1024
 #: Distinct fingerprints up to which blocks are of the least number (fewer, larger groups); then blocks are added.
 DENSE = 1 << 22
 #: MinHash bands and the least values in each: of pairs with similarity 0.8, all but (1 - 0.8**7)**48 = 1.3e-5 share a band, whatever the number of texts.
@@ -124,10 +126,23 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more, counted in full; two empty sets are alike."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(least) * (total - both)).select("a", "b")
+    """
+    The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more, counted in full; two empty sets are alike.
+    ``sets``: id, shingles, size.
+
+    An end may be the centre of a family of any size: its pairs are dealt to salts of about STAR, and its set goes to each salt once, not to each
+    pair. ``pairs`` should be a table.
+    """
+    total, dealt, copied = pairs.count(), pairs, {}
+    for end, other in (("a", "b"), ("b", "a")):
+        stars = common.written(pairs.groupBy(end).agg(F.count("*").alias("n"), F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "stars", total)
+        dealt = common.join_split(dealt, stars, [end], "n", total).withColumn(f"{end}_salt", F.pmod(F.xxhash64(other, F.lit(11)), F.col("salts")).cast("int")).drop("salts")
+        copies = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set")).join(stars.select(end, "salts"), end)
+        copied[end] = copies.withColumn(f"{end}_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    both, size = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    for end in ("b", "a"):
+        dealt = dealt.join(copied[end], [end, f"{end}_salt"])
+    return dealt.where(both >= F.lit(least) * (size - both)).select("a", "b")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -377,31 +392,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     return _near_duplicates(docs, words, radius, keep).select("row", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def band_groups(nodes: DataFrame) -> DataFrame:
+def band_groups(nodes: DataFrame, n: int) -> DataFrame:
     """
-    t, key, id, centre (the least id) and n for every group of two or more that share a band, over ``nodes`` (id, bands). Groups of
-    the same members in several bands are one.
+    t, key, id, centre (the least id) and n for every group of two or more that share a band, over ``nodes`` (id, bands), a table of ``n`` rows.
+    Groups of the same members in several bands are one. A band that many share is joined apart.
     """
     keyed = nodes.select("id", F.posexplode("bands").alias("t", "key"))
     mark = F.xxhash64("id", F.lit(3))
     groups = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.max("id").alias("last"), F.bit_xor(mark).alias("mark")).where("n > 1")
     once = groups.groupBy("n", "centre", "last", "mark").agg(F.min(F.struct("t", "key")).alias("at")).select("at.*", "n", "centre")
-    return keyed.join(once, ["t", "key"])
+    once = common.written(once.withColumn("rows", F.col("n")), "groups", BANDS * n)
+    return common.join_split(keyed, once, ["t", "key"], "rows", BANDS * n).where("n is not null")
 
 
 def unjoined(held: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     a, b: links that join the labels within each group of ``held`` (see ``band_groups``). Each pair of a group whose texts are not yet
     joined is compared (by sketches, and in full from ``SCREEN`` on); those of ``least`` or more that join something are given, so a
-    group gives fewer links than rows. Groups of two were compared already. Large groups are compared as pairs of chunks.
+    group gives fewer links than rows. Groups of two were compared already. Large groups are compared as pairs of chunks, which have
+    CHUNK rows and CHUNK_BYTES of shingles, about, so that a task's two fit into memory however long the texts are. ``sets``: id, shingles, size.
     """
     group = ["t", "key", "c1", "c2"]
     named = held.where("n > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("t", "key")
-    some = named.join(mixed, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    chunks = F.ceil(F.greatest(F.max("n") / CHUNK, F.sum("size") * 8 / CHUNK_BYTES)).cast("int").alias("chunks")
+    mixed = named.join(sets.select("id", "size"), "id").groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), chunks).where("lo != hi").select("t", "key", "chunks")
+    some = named.join(mixed, ["t", "key"])
     some = some.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     some = some.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "id", "label")
-    dealt = some.join(sets, "id").repartition(*group).sortWithinPartitions(*group)
+    dealt = some.join(sets.drop("size"), "id").repartition(*group).sortWithinPartitions(*group)
 
     def joins(ids, side, label, sets):
         label, sketches, sizes = label.copy(), np.stack([sketch(x) for x in sets]), np.array([len(x) for x in sets])
@@ -466,13 +484,13 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: i
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("null_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._hash").alias("h")))
     nodes = common.written(printed.groupBy(F.col("row._hash").alias("id")).agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")), "nodes", 4 * printed.count())  # the bands are as wide as some rows
     n = nodes.count()
-    held = common.written(band_groups(nodes), "bands")
+    held = common.written(band_groups(nodes, n), "bands")
     linked = links(nodes.select("id", "fp"), n, radius).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
     pairs = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(linked.repartition(max(8, n // common.FILE_ROWS)))
     pairs = common.written(pairs.distinct(), "pairs", n)
     asked = held.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     texts = key.select(F.col("_hash").alias("id"), common.text_of().alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = common.written(shingle_sets(texts, words), "sets")
+    sets = common.written(shingle_sets(texts, words).withColumn("size", F.size("shingles")), "sets")
     edges = common.written(alike(pairs, sets, least), "alike", n)
     label = components(edges).withColumnRenamed("node", "id")
     more = common.written(unjoined(held, label, sets, least), "joins", n)

@@ -487,6 +487,37 @@ def test_first_of_each_threshold(spark):
     assert sorted(r["doc_id"] for r in left) == want
 
 
+def test_first_of_each_split(spark, monkeypatch):
+    """A family around one text, another of long texts, and single ones: the same rows when centres are salted and chunks are cut by bytes."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for size, copies in ((200, 90), (3000, 25), (80, 1), (120, 1)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            w, at = list(base), int(rng.integers(0, size - size // 14))
+            w[at : at + size // 15] = [word() for _ in range(size // 15)]
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    want = brute_first(texts)
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(df).collect()) == want
+    monkeypatch.setattr(simhash, "STAR", 7)
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 1 << 16)
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(df).collect()) == want
+
+
+def test_alike_salted(spark, monkeypatch):
+    """Pairs of one centre at either end, over several salts, and empty sets."""
+    monkeypatch.setattr(simhash, "STAR", 5)
+    sets = {k: sorted({(k * 7 + j * (1 + k % 3)) % 40 for j in range(k % 30)}) for k in range(60)}
+    pairs = [(0, k) for k in range(1, 60)] + [(k, 59) for k in range(1, 59)] + [(29, 28), (30, 60)]
+    sets[60] = []
+    table = spark.createDataFrame([(k, v, len(v)) for k, v in sets.items()], "id long, shingles array<long>, size int")
+    got = simhash.alike(spark.createDataFrame(pairs, "a long, b long"), table, 0.5)
+    same = lambda x, y: len(x & y) >= 0.5 * len(x | y)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(p for p in pairs if same(set(sets[p[0]]), set(sets[p[1]])))
+
+
 @pytest.mark.parametrize("chunk", [2048, 8])
 def test_first_of_each_families(spark, monkeypatch, chunk):
     """Families of many edited copies: every pair of 0.8 or more links, whatever lies between."""
