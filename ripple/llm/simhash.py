@@ -419,7 +419,9 @@ def unjoined(held: DataFrame, label: DataFrame, sets: DataFrame, least: float) -
     some = named.join(mixed, ["t", "key"])
     some = some.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     some = some.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "id", "label")
-    dealt = some.join(sets.drop("size"), "id").repartition(*group).sortWithinPartitions(*group)
+    # a given number of tasks: adaptive execution would merge them by bytes, but their work goes with the square of a group's rows
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = some.join(sets.drop("size"), "id").repartition(tasks, *group).sortWithinPartitions(*group)
 
     def joins(ids, side, label, sets):
         label, sketches, sizes = label.copy(), np.stack([sketch(x) for x in sets]), np.array([len(x) for x in sets])
