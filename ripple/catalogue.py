@@ -15,7 +15,7 @@ from . import adapters as a
 from .functions import predicates as p
 from .functions import rules
 from .functions import scalars as s
-from .operators import graph, intervals, resolve, scoring, topk, uses
+from .operators import graph, grounding, intervals, resolve, scoring, topk, uses
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -563,3 +563,20 @@ def docstrings(spark, sf_dir):
 
     first = F.split(F.btrim("text"), "\n")[0]
     return a.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", captions.doc_adds_value(F.lit("explain_symbol"), first).alias("adds"))
+
+
+_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT lower(x) AS e FROM (SELECT p_name AS x FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '{_NAME}')) FROM benchmark) WHERE x IS NOT NULL),
+  d AS (SELECT DISTINCT doc_id, lower(w) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAME}')) AS w FROM documents)), t AS (SELECT DISTINCT t FROM d),
+  s AS (SELECT DISTINCT t FROM t JOIN e ON t = e OR (length(t) > 2 AND length(e) > 2 AND (contains(t, e) OR contains(e, t))))
+  SELECT doc_id, count(*) AS n_names, count(*) FILTER (WHERE s.t IS NULL) AS n_unsupported, min(d.t) FILTER (WHERE s.t IS NULL) AS first_unsupported FROM d LEFT JOIN s ON s.t = d.t GROUP BY doc_id""")
+def grounded_names(spark, sf_dir):
+    """Of each document's names those that neither the parts' names nor the benchmark's words support."""
+    entries = a.read(spark, sf_dir, "part").select(F.col("p_name").alias("entry"))
+    entries = entries.unionByName(a.read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_NAME), 0)).alias("entry")))
+    names = a.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_NAME), 0)).alias("name")).select("doc_id", F.lower("name").alias("name")).distinct()
+    told = names.join(grounding.supported(names.select("name"), entries), "name")
+    lacking = F.when(~F.col("supported"), F.col("name"))
+    return told.groupBy("doc_id").agg(F.count("*").alias("n_names"), F.count(lacking).alias("n_unsupported"), F.min(lacking).alias("first_unsupported"))
