@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .operators import line_diff
-from .plans import report
+from .plans import clients, report
 from .plans.engine import Engine, Tables
-from .sources import facts, git, overlay
+from .sources import comments, facts, git, overlay
 
 
 def session() -> SparkSession:
@@ -37,6 +37,8 @@ def main(argv: list[str] | None = None) -> int:
             one.add_argument("--base", default="main")
             one.add_argument("--local", action="store_true")
             one.add_argument("--overlay-file")
+        if name == "audit":
+            one.add_argument("--comment", action="store_true", help="also make or replace the report's comment on the pull request of this workflow run")
         if name == "explain":
             one.add_argument("--symbol")
             one.add_argument("--file")
@@ -80,7 +82,11 @@ def _run(a) -> int:
         files = overlay.upsert(files, facts.from_contents(texts.select("repo", "path", F.encode("text", "UTF-8").alias("content"))), ["repo", "path"])
     engine = Engine(spark, Tables.of(files, a.cache))
     if a.command == "audit":
-        return _emit(a, engine.audit(changed, spans, overlays=texts is not None))
+        to = clients.PullRequestComments.from_env() if a.comment else None  # before the work, so that what is not set is told at once
+        got = engine.audit(changed, spans, overlays=texts is not None)
+        if to:
+            comments.write(spark.createDataFrame([(to.repository, to.number, report.markdown(got))], comments.SCHEMA), to.api, to.token)
+        return _emit(a, got)
     found = engine.explain(changed, spans, a.symbol, a.file)
     if not found and (a.symbol or a.file):
         raise ValueError("no changed symbol matches")

@@ -69,7 +69,7 @@ class PullRequestComments:
 
     def __init__(self, api: str, token: str, repository: str, number: int, send: Send = send):
         self.base, self.repository, self.number, self.send = f"{api.rstrip('/')}/repos/{repository}", repository, number, send
-        self.headers = {"Authorization": f"Bearer {token}"}
+        self.api, self.token, self.headers = api, token, {"Authorization": f"Bearer {token}"}
 
     def list(self) -> list[dict]:
         """All pages, so that an old report is found among many comments."""
@@ -87,6 +87,14 @@ class PullRequestComments:
     def update(self, comment: int, body: str) -> None:
         self.send("PATCH", f"{self.base}/issues/comments/{comment}", self.headers, {"body": body}, 60)
 
+    def delete(self, comment: int) -> None:
+        """One that another attempt has deleted is no error."""
+        try:
+            self.send("DELETE", f"{self.base}/issues/comments/{comment}", self.headers, None, 60)
+        except urllib.error.HTTPError as e:
+            if e.code != 404:
+                raise
+
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None, send: Send = send) -> PullRequestComments:
         """Token, repository and number from the variables of a workflow run; the number also from its event file."""

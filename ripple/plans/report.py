@@ -92,11 +92,23 @@ def pull_request_comment(text: str) -> str:
 
 
 def upsert_comment(client, text: str) -> str:
-    """client: list() -> [{id, body}], create(body), update(id, body). Updates the comment with the marker, else makes one."""
-    body = pull_request_comment(text)
-    for c in client.list():
-        if MARKER in c["body"]:
-            client.update(c["id"], body)
-            return "updated"
+    """client: list() -> [{id, body}], create(body), update(id, body). Updates the oldest comment with the marker, else makes one."""
+    body, found = pull_request_comment(text), marked_comments(client)
+    if found:
+        client.update(found[0], body)
+        return "updated"
     client.create(body)
     return "created"
+
+
+def marked_comments(client) -> list[int]:
+    """Ids of the comments with the marker, the oldest first."""
+    return sorted(c["id"] for c in client.list() if MARKER in c["body"])
+
+
+def keep_oldest(client) -> int:
+    """Deletes all comments with the marker but the oldest, as attempts side by side may each have made one. Every attempt keeps the same one."""
+    late = marked_comments(client)[1:]
+    for comment in late:
+        client.delete(comment)
+    return len(late)
