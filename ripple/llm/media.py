@@ -4,7 +4,8 @@ Media columns: texts as progressive JPEG images, stored losslessly, read back, d
 A text's bytes, filled up with spaces to whole units of three blocks, are the quantised coefficients of an image (the format's own
 unit, one byte each): frequent bytes become small coefficients, luma blocks come first, then chroma at half resolution. The images are a binary column of a
 Parquet table in the shared folder. Reading takes the bytes from that column alone: all scans are accumulated into coefficients, which give the payload
-back; the inverse transform and the upsampling of chroma give the full-resolution tensor, a column of its own, from which features are computed.
+back; the inverse transform and the upsampling of chroma give the full-resolution tensor. Tensors are stored as columns of a second table, two bytes for
+each byte of text before Parquet's compression, and features are computed from that table alone.
 """
 
 from __future__ import annotations
@@ -101,6 +102,11 @@ def decode_media(table: DataFrame, keep: tuple[str, ...] = ("row", "n_bytes")) -
     return _mapped(table.select(F.struct(*keep).alias("kept"), "media"), "media", rows, names, STEP)
 
 
+def stored_tensors(table: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``decode_media`` written to the shared folder (to ``path``, of ``common.new_path``, if given) and read again: a table of tensors, each beside the facts of its image."""
+    return common.written(decode_media(table), "tensors", path=path)
+
+
 def described(tensors: DataFrame, keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """``keep`` of ``tensors`` (which has width, height and rgb) as kept, with feature."""
 
@@ -126,7 +132,11 @@ def _mapped(inner: DataFrame, column: str, rows, names: dict[str, str], step: in
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
+    """
+    Every whole text of ``documents`` as an image: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Two tables are
+    written, of images and of their tensors; the first five columns after n_bytes come from the images read back, the feature from the tensors read back.
+    """
     stored = common.written(encode_texts(common.table(spark, sf_dir, "documents")), "media")
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
-    got = described(decode_media(stored), keep=("kept.row.doc_id", "kept.n_bytes", *names))
+    got = described(stored_tensors(stored), keep=("kept.row.doc_id", "kept.n_bytes", *names))
     return got.select("kept.doc_id", "kept.n_bytes", *(f"kept.{n}" for n in names), "feature")
