@@ -75,16 +75,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 FILE_ROWS = 200_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None, codec: str | None = None) -> DataFrame:
     """
     ``df`` written to the shared folder and read again: short lineage, and lost executors lose nothing. ``rows``: a bound on
     a narrow table's rows; it is then written as few files, not as one for each shuffle partition. ``path``: of ``new_path``, if not a new one.
+    ``codec``: of Parquet, if not the session's.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -104,7 +104,7 @@ def decode_media(table: DataFrame, keep: tuple[str, ...] = ("row", "n_bytes")) -
 
 def stored_tensors(table: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of ``decode_media`` written to the shared folder (to ``path``, of ``common.new_path``, if given) and read again: a table of tensors, each beside the facts of its image."""
-    return common.written(decode_media(table), "tensors", path=path)
+    return common.written(decode_media(table), "tensors", path=path, codec="zstd")
 
 
 def described(tensors: DataFrame, keep: tuple[str, ...] = ("*",)) -> DataFrame:
