@@ -1,15 +1,15 @@
 """
 The engine: scan, trace, audit and explain over files, or over tables of facts.
 
-Everything up to the reports is one set of DataFrames with the repository in every key; the driver looks at a row of statistics for each
-repository, takes its branch, and collects the rows of its report, which are capped or as many as the change has.
+Everything up to the reports, and these too, is one set of DataFrames with the repository in every key: each repository's branch is a column. Only
+``trace``, ``audit`` and ``explain``, which answer for one repository, bring that one's rows to the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
@@ -81,100 +81,82 @@ class Engine:
         if self.t.files.join(seeds, KEY, "left_semi").isEmpty():
             raise ValueError(f"{path} is not a scanned file of {repo}")
         rings = graph.rings(self.t.edges, seeds)
-        rows = scoring.classify(rings, self.t.edges, seeds, self.fan_out).orderBy("hops", "path").collect()
-        if not rows:
-            return self._pass(path, f"No files depend on `{path}`.")
-        danger, down = self._split(rows)
-        tier = self._tiers([(repo, len(rows), rows[-1]["hops"], len(danger))])[repo]
-        return self._full(path, danger, down, tier, len(rows), rows[-1]["hops"], self._diagrams(seeds, rings)[repo], [], [], "Traced")
+        impact = scoring.classify(rings, self.t.edges, seeds, self.fan_out).persist()
+        sized = seeds.select("repo", F.col("path").alias("seed")).join(self._sizes(impact), "repo", "left")
+        all_ = sized.join(report.first_zones(impact), "repo", "left").join(self._diagrams(seeds, rings), "repo", "left").withColumn("full", F.col("n").isNotNull())
+        tier = scoring.risk_tier(F.col("n"), F.col("hops"), F.col("n_danger"))
+        text = F.when(F.col("full"), report.full_summary("Traced", F.col("seed"), tier)).otherwise(F.concat(F.lit("No files depend on `"), F.col("seed"), F.lit("`.")))
+        with report.Reports(self._heads(all_, text, tier), impact, kept=[impact]) as got:
+            return got[repo]
 
     # audit
 
     def audit(self, changed: DataFrame, spans: DataFrame, overlays: bool = False, repo: str = "r") -> dict:
         """The report of one repository's change set; see ``audits``."""
         mine = F.col("repo") == repo
-        return self.audits(changed.where(mine), spans.where(mine), overlays).get(repo) or self._pass("(none)", "No changed files.")
+        return self.audits(changed.where(mine), spans.where(mine), overlays).get(repo) or report.nothing("(none)", "No changed files.")
 
-    def audits(self, changed: DataFrame, spans: DataFrame, overlays: bool = False) -> dict[str, dict]:
+    def audits(self, changed: DataFrame, spans: DataFrame, overlays: bool = False) -> report.Reports:
         """
-        The reports of many repositories' change sets by repository, from one pass over all of them. changed: repo, path of all changed files; spans: changed
-        lines of source files, a deletion as a span that ends before it starts. Branches, for each repository: no source changed; only comments or
-        blank lines; no scanned file; no diagram due; full. Repositories without changed files have no report.
+        The reports of many repositories' change sets as tables with the repository in every key, from one pass over all of them; none of their rows comes
+        to the driver. changed: repo, path of all changed files; spans: changed lines of source files, a deletion as a span that ends before it starts.
+        Branches, for each repository: no source changed; only comments or blank lines; no scanned file; no diagram due; full. Repositories
+        without changed files have no report.
         """
-        changed, keep = changed.select(*KEY).distinct(), []
-
-        def kept(df: DataFrame) -> DataFrame:
-            keep.append(df.persist())
-            return df
-
-        try:
-            return self._audits(changed, spans, overlays, kept)
-        finally:
-            for df in keep:
-                df.unpersist()
-
-    def _audits(self, changed: DataFrame, spans: DataFrame, overlays: bool, kept) -> dict[str, dict]:
-        out: dict[str, dict] = {}
-        paths = self._by_repo(changed.orderBy("repo", "path"), lambda r: r["path"])
-        sources = kept(changed.where(p.is_source_path("path")))
-        source_paths = self._by_repo(sources.orderBy("repo", "path"), lambda r: r["path"])
-        for repo in paths.keys() - source_paths.keys():
-            out[repo] = self._pass("(non-source)", "Only files that are not source changed: " + ", ".join(f"`{x}`" for x in paths[repo][:5]) + ".")
-        spans = spans.join(sources.select("repo").distinct(), "repo", "left_semi")
-        loud = source_paths.keys() if overlays else {r["repo"] for r in self._loud(spans).collect()}
-        for repo in source_paths.keys() - loud:
-            out[repo] = self._pass(", ".join(source_paths[repo]), "Only comments or blank lines changed.")
-        live = self._names(loud)
-        spans = kept(spans.join(F.broadcast(live), "repo", "left_semi"))  # one name for each repository that has something to report
-        seeds = kept(self.t.files.join(sources.join(live, "repo", "left_semi"), KEY, "left_semi").select(*KEY))
-        seed_paths = self._by_repo(seeds.orderBy("repo", F.split("path", "/")), lambda r: r["path"])
-        lines = self._orphans(spans)
-        for repo in loud - seed_paths.keys():
-            out[repo] = self._pass("(unscanned)", "No changed file is in the graph.") | {"line_explanations": lines.get(repo, [])}
-        if not seed_paths:
-            return out
-        order = Window.partitionBy("repo").orderBy(F.split("path", "/"))
-        ordered = seeds.withColumn("ord", F.row_number().over(order) - 1)
+        # plans are cut where a table is read more than once: each report's table has a short plan, and a lost executor costs one step
+        kept, changed = graph.cut_lineage, changed.select(*KEY).distinct()
+        c = F.col
+        sources = changed.where(p.is_source_path("path"))
+        with_source = sources.select("repo").distinct()
+        spans = spans.join(with_source, "repo", "left_semi")
+        loud = kept(with_source if overlays else self._loud(spans))
+        spans = kept(spans.join(loud, "repo", "left_semi"))
+        seeds = kept(self.t.files.join(sources.join(loud, "repo", "left_semi"), KEY, "left_semi").select(*KEY))
+        ordered = seeds.withColumn("ord", F.row_number().over(Window.partitionBy("repo").orderBy(F.split("path", "/"))) - 1)
         symbols = kept(intervals.changed_symbols(self.t.definitions, spans).join(seeds.select("repo").distinct(), "repo", "left_semi"))
         users = kept(uses.symbol_users(symbols, self.t.edges, self.t.imports, self.t.calls))
         rings = graph.rings(self.t.edges, seeds)
         with_symbols = symbols.select("repo").distinct()
         filtered = graph.filter_rings(rings.join(with_symbols, "repo", "left_semi"), self.t.edges, uses.proven_importers(rings, users))
-        rings = filtered.unionByName(rings.join(with_symbols, "repo", "left_anti"))
-        impact = self._by_repo(scoring.classify(rings, self.t.edges, ordered, self.fan_out).orderBy("repo", "hops", "path"), lambda r: r)
+        rings = kept(filtered.unionByName(rings.join(with_symbols, "repo", "left_anti")))
+        impact = kept(scoring.classify(rings, self.t.edges, ordered, self.fan_out))
+        # what each repository's branch and risk depend on
+        size = seeds.select("repo").distinct().join(self._sizes(impact), "repo", "left").join(intervals.changed_line_count(spans, ["repo"]), "repo", "left").na.fill(0)
+        size = kept(size.select("repo", "n", "hops", "n_danger", "n_lines"))
         degrees = seeds.join(scoring.in_degree(self.t.edges), KEY, "left")
-        n_lines = {r["repo"]: r["n_lines"] for r in intervals.changed_line_count(spans, ["repo"]).collect()}
-        counts = self.spark.createDataFrame([(r, bool(impact.get(r)), len(impact.get(r, [])), n_lines.get(r, 0)) for r in seed_paths], "repo string, has_downstream boolean, n_downstream int, n_lines long")
-        facts = changed.join(F.broadcast(counts), "repo").join(degrees.withColumn("is_seed", F.lit(True)), KEY, "left").na.fill({"is_seed": False, "in_degree": 0})
-        emit = {r["repo"] for r in scoring.trigger(facts).where("emit").collect()}
-        own = degrees.withColumn("in_degree", F.coalesce("in_degree", F.lit(0))).where(p.is_danger_zone("path", "in_degree", self.fan_out)).join(resolve.importers_of(self.t.edges), KEY, "left")
+        asked = changed.join(size.select("repo", (c("n") > 0).alias("has_downstream"), c("n").alias("n_downstream"), "n_lines"), "repo")
+        asked = asked.join(degrees.withColumn("is_seed", F.lit(True)), KEY, "left").na.fill({"is_seed": False, "in_degree": 0})
+        emit = kept(scoring.trigger(asked).where("emit").select("repo"))
+        own = degrees.join(emit, "repo", "left_semi").withColumn("in_degree", F.coalesce("in_degree", F.lit(0))).where(p.is_danger_zone("path", "in_degree", self.fan_out)).join(resolve.importers_of(self.t.edges), KEY, "left")
         importers = resolve.importers_or_none()
         reason = F.when(p.is_danger_path("path"), s.danger_reason("path", F.lit(0), importers)).otherwise(s.hub_reason(importers, changed=True))
-        # put in front one by one: the last comes first
-        mine = self._by_repo(own.select(*KEY, reason.alias("reason")).orderBy("repo", F.split("path", "/").desc()), lambda r: r)
-        zones, sizes = {}, []
-        for repo in seed_paths:
-            danger, down = self._split(impact.get(repo, []))
-            if repo in emit:
-                danger = [{"path": r["path"], "hops": 0, "reason": r["reason"], "import_evidence": []} for r in mine.get(repo, [])] + danger
-            zones[repo] = danger, down
-            d, h = len(impact.get(repo, [])), max([r["hops"] for r in impact.get(repo, [])], default=0)
-            sizes.append((repo, max(d, 1), max(h, 1), len(danger)) if danger else (repo, d, h, 0))
-        tiers = {repo: t if repo in emit else "LOW" for repo, t in self._tiers(sizes).items()}
-        explained = self._symbols(symbols, users, {r: (len(impact.get(r, [])), tiers[r]) for r in seed_paths})
-        linked = self._by_repo(resolve.edge_evidence(self.t.edges, ordered).join(rings.where("hops = 1").select("repo", F.col("path").alias("importer")), ["repo", "importer"], "left_semi").select("repo", "seed").distinct(), lambda r: r["seed"])
-        drawn = self._diagrams(seeds.join(F.broadcast(self._names(emit)), "repo", "left_semi"), rings) if emit else {}
-        for repo, seen in seed_paths.items():
-            (danger, down), rows, seed = zones[repo], impact.get(repo, []), ", ".join(seed_paths[repo])
-            if repo not in emit:
-                tiny = n_lines.get(repo, 0) <= rules.TINY_LINES and rows
-                text = "Tiny change with little downstream." if tiny else "No downstream files use this change."
-                out[repo] = self._pass(seed, text) | {"isolated": seen, "changed_symbols": explained.get(repo, []), "line_explanations": lines.get(repo, [])}
-                continue
-            n, hops = len(rows), max([r["hops"] for r in rows], default=0)
-            risky = {r["path"] for r in mine.get(repo, [])} | set(linked.get(repo, []))
-            out[repo] = self._full(seed, danger, down, tiers[repo], n, hops, drawn.get(repo), explained.get(repo, []), lines.get(repo, []), "Changed") | {"isolated": [x for x in seen if x not in risky]}
-        return out
+        none = F.array().cast(impact.schema["import_evidence"].dataType)
+        own = kept(own.select(*KEY, F.lit(0).alias("hops"), F.lit(True).alias("is_danger"), reason.alias("reason"), none.alias("import_evidence")))
+        nodes = own.unionByName(impact.join(emit, "repo", "left_semi").drop("in_degree"))
+        linked = resolve.edge_evidence(self.t.edges, ordered).join(rings.where("hops = 1").select("repo", c("path").alias("importer")), ["repo", "importer"], "left_semi").select("repo", c("seed").alias("path"))
+        isolated = seeds.join(own.select(*KEY).unionByName(linked.join(emit, "repo", "left_semi")), KEY, "left_anti")
+        # one row for each repository
+        flag = lambda df, name: df.select("repo", F.lit(True).alias(name))
+        base = report.change_sets(changed).join(flag(loud, "loud"), "repo", "left").join(report.titles(seeds), "repo", "left").join(size, "repo", "left").join(flag(emit, "full"), "repo", "left")
+        base = base.join(own.groupBy("repo").agg(F.count("*").alias("n_own")), "repo", "left").na.fill(0, ["n_own"]).na.fill(False, ["loud", "full"])
+        zones = c("n_danger") + c("n_own")
+        least = lambda x: F.when(zones > 0, F.greatest(c(x), F.lit(1))).otherwise(c(x))
+        base = kept(base.withColumn("tier", F.when(c("full"), scoring.risk_tier(least("n"), least("hops"), zones)).otherwise("LOW")))
+        drawn = self._diagrams(seeds.join(emit, "repo", "left_semi"), rings)
+        joined = lambda x: F.array_join(x, ", ")
+        texts = [
+            (F.size("sources") == 0, F.lit("(non-source)"), F.concat(F.lit("Only files that are not source changed: "), joined(F.transform("first", lambda x: F.concat(F.lit("`"), x, F.lit("`")))), F.lit("."))),
+            (~c("loud"), joined("sources"), F.lit("Only comments or blank lines changed.")),
+            (c("seeds").isNull(), F.lit("(unscanned)"), F.lit("No changed file is in the graph.")),
+            (c("full"), joined("seeds"), report.full_summary("Changed", joined("seeds"), c("tier"))),
+            ((c("n_lines") <= rules.TINY_LINES) & (c("n") > 0), joined("seeds"), F.lit("Tiny change with little downstream.")),
+            (F.lit(True), joined("seeds"), F.lit("No downstream files use this change.")),
+        ]
+        seed, text = (F.coalesce(*[F.when(t[0], t[k]) for t in texts]) for k in (1, 2))
+        whole = base.join(report.first_zones(nodes), "repo", "left").join(drawn, "repo", "left")
+        heads = self._heads(whole.withColumns({"seed": seed, "text": text}), c("text"), c("tier"))
+        explained = self._symbols(symbols, users, base.where("seeds is not null").select("repo", c("n").cast("int").alias("n_down"), "tier"), kept)
+        return report.Reports(heads, nodes, isolated, explained, self._orphans(spans, kept))
 
     def explain(self, changed: DataFrame, spans: DataFrame, symbol: str | None = None, path: str | None = None, repo: str = "r") -> list[dict]:
         """Explanations of one repository's changed symbols with their evidence; the filters are applied before captions are made."""
@@ -186,14 +168,15 @@ class Engine:
         users = uses.symbol_users(symbols, self.t.edges, self.t.imports, self.t.calls).persist()
         seeds = self.t.files.join(changed.where(mine).select(*KEY).distinct(), KEY, "left_semi").select(*KEY)
         rings = scoring.with_danger(graph.rings(self.t.edges, seeds), self.t.edges, self.fan_out)
-        n, hops, risky = rings.agg(F.count("*"), F.coalesce(F.max("hops"), F.lit(0)), F.count_if("is_danger")).first()
-        tier = self._tiers([(repo, n, hops, risky)])[repo]
+        total = rings.agg(F.count("*").alias("n"), F.coalesce(F.max("hops"), F.lit(0)).alias("hops"), F.count_if("is_danger").alias("z"))
+        scale = total.select(F.lit(repo).alias("repo"), F.col("n").cast("int").alias("n_down"), scoring.risk_tier(F.col("n"), F.col("hops"), F.col("z")).alias("tier"))
         proofs: dict = {}
         for r in uses.user_evidence(users).orderBy("seed", "name", "path").collect():
             proofs.setdefault((r["seed"], r["name"]), []).extend(e.asDict() for e in r["evidence"])
         named = {(r["path"], r["name"]): r["rule"] for r in symbols.select("path", "name", captions.name_rule().alias("rule")).where("rule is not null").collect()}
         out = []
-        for x in self._symbols(symbols, users, {repo: (n, tier)}).get(repo, []):
+        made: list[DataFrame] = []
+        for x in report.symbol_rows(self._symbols(symbols, users, scale, lambda df: made.append(df.persist()) or df)):
             at = x["path"], x["name"]
             shown = [{"confidence": "proven", "kind": "diff_overlap", "location": f"{x['path']}:{x['line']}", "fact": f"changed lines {', '.join(map(str, x['changed_lines']))}"}]
             if at in named and x["summary"]:
@@ -202,8 +185,8 @@ class Engine:
             if x["explanation"]:
                 why.append({"role": "impact", "text": x["explanation"], "evidence": proofs.get(at, [])})
             out.append(x | {"text": " ".join(filter(None, (x["summary"], x["explanation"])))[: rules.EXPLANATION_CHARS], "clauses": why})
-        users.unpersist()
-        symbols.unpersist()
+        for df in (*made, users, symbols):
+            df.unpersist()
         return out
 
     # parts
@@ -211,21 +194,16 @@ class Engine:
     def _paths(self, paths: list[str], repo: str) -> DataFrame:
         return self.spark.createDataFrame([(repo, x, k) for k, x in enumerate(paths)], "repo string, path string, ord int")
 
-    def _names(self, repos) -> DataFrame:
-        return self.spark.createDataFrame([(r,) for r in sorted(repos)], "repo string")
-
     @staticmethod
-    def _by_repo(rows: DataFrame, value) -> dict[str, list]:
-        """Report rows, in order, by repository: what a report shows has to come to the driver that writes it."""
-        out: dict[str, list] = {}
-        for r in rows.collect():
-            out.setdefault(r["repo"], []).append(value(r))
-        return out
+    def _sizes(impact: DataFrame) -> DataFrame:
+        """repo, n, hops, n_danger of impact rows."""
+        return impact.groupBy("repo").agg(F.count("*").alias("n"), F.max("hops").alias("hops"), F.count_if("is_danger").alias("n_danger"))
 
-    def _tiers(self, sizes: list[tuple[str, int, int, int]]) -> dict[str, str]:
-        """(repo, files, hops, danger zones) -> risk tier by repo."""
-        rows = self.spark.createDataFrame(sizes, "repo string, d long, h long, z long")
-        return {r["repo"]: r["tier"] for r in rows.select("repo", scoring.risk_tier(F.col("d"), F.col("h"), F.col("z")).alias("tier")).collect()}
+    @staticmethod
+    def _heads(rows: DataFrame, text: Column, tier: Column) -> DataFrame:
+        """rows: repo, full, seed, mermaid and what ``text`` and ``tier`` read."""
+        full = F.col("full")
+        return rows.select("repo", F.when(full, "full").otherwise("pass_through").alias("mode"), "seed", text.alias("summary"), F.when(full, tier).otherwise("LOW").alias("risk_tier"), F.when(full, F.col("mermaid")).alias("mermaid"))
 
     def _lines(self, spans: DataFrame) -> DataFrame:
         """repo, path, line, text of the files that have spans."""
@@ -237,11 +215,10 @@ class Engine:
         touched = self._lines(spans).join(intervals.span_lines(spans), [*KEY, "line"], "left_semi").where(~p.is_comment_or_blank("text"))
         return spans.where("stop < start").select("repo").unionByName(touched.select("repo")).distinct()
 
-    def _symbols(self, symbols: DataFrame, users: DataFrame, sizes: dict[str, tuple[int, str]]) -> dict[str, list[dict]]:
-        """Explained symbols by repository. sizes: (files downstream, risk tier) of each."""
+    def _symbols(self, symbols: DataFrame, users: DataFrame, scale: DataFrame, kept=lambda df: df) -> DataFrame:
+        """Explained symbols. scale: repo, n_down (files downstream), tier. ``kept`` may persist what is read twice."""
         key = [*KEY, "name", "kind", "line"]
         c = F.col
-        scale = F.broadcast(self.spark.createDataFrame([(r, n, t) for r, (n, t) in sizes.items()], "repo string, n_down int, tier string"))
         docs = uses.definition_docstrings(symbols, self.t.definitions).join(scale, "repo")
         used = users.groupBy("repo", c("seed").alias("path"), "name", "kind").agg(F.array_sort(F.collect_set("path")).alias("users"))
         local = uses.same_file_callers(symbols, intervals.body_spans(self.t.definitions), self.t.calls)
@@ -252,10 +229,10 @@ class Engine:
         none = F.array().cast("array<string>")
         rows = rows.withColumns({x: F.coalesce(x, none) for x in ("users", "callers")} | {"importers": resolve.importers_or_none(), "internal": F.coalesce("internal", F.lit(False)), "is_danger": p.is_danger_zone("path", "in_degree", self.fan_out)})
         clean = lambda text: captions.without_own_file(s.expand_acronyms(text), c("path"))
-        rows = rows.withColumns({
+        rows = kept(rows.withColumns({
             "purpose": clean(captions.purpose(help_text=c("help"))), "impact": captions.impact(c("name"), c("kind"), c("path"), c("users"), c("importers"), c("internal"), c("is_danger"), c("n_down"), c("tier")),
             "implication": captions.implication(c("name"), c("path"), c("users"), c("callers"), c("is_danger"), c("n_down"), c("tier")),
-        }).persist()
+        }))
         # edit blocks: runs of changed lines with their text and the call that each is about
         touched = symbols.select(*key, F.explode("changed_lines").alias("line_no"))
         text = self._lines(symbols).withColumnRenamed("line", "line_no")
@@ -268,62 +245,36 @@ class Engine:
         listed = block.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("blocks"))
         details = blocks.symbol_details(rows.select(*key, "purpose").join(listed, key))
 
-        def explained(r) -> dict:
-            hunks = [h.asDict() for h in r["hunk_details"] or []]
-            only_blank = bool(hunks) and all(h["detail"].startswith("Added ") for h in hunks)
-            overlap = {"confidence": "proven", "kind": "diff_overlap", "location": f"{r['path']}:{r['line']}", "fact": f"changed lines {', '.join(map(str, r['changed_lines']))}"}
-            return {
-                "path": r["path"], "name": r["name"], "kind": r["kind"], "line": r["line"], "changed_lines": list(r["changed_lines"]), "summary": "" if r["tier"] == "LOW" else r["purpose"][: rules.EXPLANATION_CHARS],
-                "detail": hunks[0]["detail"] if hunks else "", "explanation": r["impact"], "implication": "" if only_blank else r["implication"], "hunk_details": hunks, "evidence": [] if only_blank else [overlap],
-            }
-
-        out = self._by_repo(rows.join(details, key, "left").orderBy("repo", "path", "line", "name"), explained)
-        rows.unpersist()
-        return out
-
-    def _orphans(self, spans: DataFrame) -> dict[str, list[dict]]:
-        """Captions of changed lines before a file's first definition, by repository."""
+        rows = rows.join(details, key, "left")
+        hunks = F.coalesce("hunk_details", F.array().cast(details.schema["hunk_details"].dataType))
+        only_blank = (F.size(hunks) > 0) & F.forall(hunks, lambda h: h["detail"].startswith("Added "))
+        shown = {"confidence": F.lit("proven"), "kind": F.lit("diff_overlap"), "location": F.concat("path", F.lit(":"), "line"), "fact": F.concat(F.lit("changed lines "), F.array_join(c("changed_lines").cast("array<string>"), ", "))}
+        overlap = F.array(F.struct(*[x.alias(n) for n, x in shown.items()]))
+        return rows.select(
+            *key, "changed_lines", F.when(c("tier") == "LOW", "").otherwise(F.substring("purpose", 1, rules.EXPLANATION_CHARS)).alias("summary"), F.coalesce(F.get(hunks, F.lit(0))["detail"], F.lit("")).alias("detail"),
+            c("impact").alias("explanation"), F.when(only_blank, "").otherwise(c("implication")).alias("implication"), hunks.alias("hunk_details"), F.filter(overlap, lambda _: ~only_blank).alias("evidence"),
+        )
+
+    def _orphans(self, spans: DataFrame, kept=lambda df: df) -> DataFrame:
+        """repo, path, line, changed_lines, detail: captions of changed lines outside a file's definitions."""
         run = [*KEY, "start", "stop"]
         runs = intervals.orphan_runs(self.t.definitions, spans).select(*run)
         text = self._lines(spans)
-        rows = runs.join(text, KEY).where(F.col("line").between(F.col("start"), F.col("stop"))).groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"))
+        numbered = runs.withColumn("line", F.explode(F.sequence("start", "stop")))  # a line number is a key, a range is none
+        rows = numbered.join(text, [*KEY, "line"]).groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"))
         # the first assignment that each run overlaps, and who reads or imports it
         files = self.t.contents.join(runs.select(*KEY).distinct(), KEY, "left_semi")
         made = facts_.assignments(files).select(*KEY, "name", "rhs", F.col("start").alias("a"), F.col("stop").alias("b"))
         hit = runs.join(made, KEY).where((F.col("a") <= F.col("stop")) & (F.col("b") >= F.col("start"))).groupBy(*run).agg(F.min(F.struct("a", "name", "rhs")).alias("set")).select(*run, "set.name", "set.rhs")
-        hit = hit.persist()
+        hit = kept(hit)
         names = hit.select(*KEY, "name").distinct()
         readers = facts_.readers(files, names).groupBy(*KEY, "name").agg(F.transform(F.array_sort(F.collect_set(F.struct("line", "reader"))), lambda x: x["reader"]).alias("readers"))
         asked = names.select("repo", F.col("path").alias("changed"), "name")
         importers = uses.importers_of_name(asked, self.t.imports).groupBy("repo", F.col("changed").alias("path"), "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("importers"))
         found = rows.join(hit, run, "left").join(readers, [*KEY, "name"], "left").join(importers, [*KEY, "name"], "left")
 
-        def captioned(r) -> dict:
-            lines = [x["line"] for x in r["x"]]
-            block = blocks.Block([x["text"] for x in r["x"]], lines)
-            detail = r["name"] and blocks.scope_caption(r["name"], r["rhs"], r["readers"] or [], r["importers"] or [])
-            detail = detail or blocks.caption(block) or blocks.OUTSIDE
-            return {"path": r["path"], "line": blocks.anchor(block, detail), "changed_lines": lines, "detail": detail}
-
-        out = self._by_repo(found.orderBy("repo", "path", "start"), captioned)
-        hit.unpersist()
-        return out
+        return blocks.orphan_details(found)
 
-    def _diagrams(self, seeds: DataFrame, rings: DataFrame) -> dict[str, str]:
+    def _diagrams(self, seeds: DataFrame, rings: DataFrame) -> DataFrame:
         nodes = seeds.select(*KEY).withColumn("hops", F.lit(0)).unionByName(rings.join(seeds.select("repo").distinct(), "repo", "left_semi").select(*KEY, "hops"))
-        return {r["repo"]: r["mermaid"] for r in report.diagram(nodes, self.t.edges).collect()}
-
-    @staticmethod
-    def _split(rows: list) -> tuple[list[dict], list[dict]]:
-        node = lambda r: {"path": r["path"], "hops": r["hops"], "reason": r["reason"], "import_evidence": [e.asDict() for e in r["import_evidence"]]}
-        return [node(r) for r in rows if r["is_danger"]], [node(r) for r in rows if not r["is_danger"]]
-
-    @staticmethod
-    def _pass(seed: str, summary: str) -> dict:
-        return {"mode": "pass_through", "seed": seed, "summary": summary, "risk_tier": "LOW", "mermaid": None, "danger_zones": [], "downstream": [], "isolated": [], "changed_symbols": [], "line_explanations": [], "caveat": None}
-
-    @classmethod
-    def _full(cls, seed, danger, down, tier, n, hops, mermaid, symbols, lines, verb) -> dict:
-        zones = f" Danger Zones: {', '.join(f'`{x["path"]}`' for x in danger[:3])}." if danger else ""
-        text = f"{verb} `{seed}`. **{tier}** risk — {n} downstream {'file' if n == 1 else 'files'}, up to {hops} {'hop' if hops == 1 else 'hops'} away.{zones}"
-        return cls._pass(seed, text) | {"mode": "full", "risk_tier": tier, "mermaid": mermaid, "danger_zones": danger, "downstream": down, "changed_symbols": symbols, "line_explanations": lines}
+        return report.diagram(nodes, self.t.edges)

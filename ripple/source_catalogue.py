@@ -286,5 +286,7 @@ def audits(spark, sf_dir):
     changed = hubs.select("repo", "path")
     spans = changed.select("repo", "path", F.lit(2).alias("start"), F.lit(2).alias("stop"))
     reports = Engine(spark, Tables.of(files)).audits(changed, spans)
-    rows = [(r, x["mode"], x["risk_tier"], len(x["downstream"]) + sum(z["hops"] > 0 for z in x["danger_zones"]), sum(z["hops"] == 0 for z in x["danger_zones"]), x["changed_symbols"][0]["detail"]) for r, x in reports.items()]
-    return spark.createDataFrame(rows, "repo string, mode string, risk_tier string, n_downstream long, n_danger int, detail string")
+    nodes = reports.nodes.groupBy("repo").agg(F.count_if(F.col("hops") > 0).alias("n_downstream"), F.count_if(F.col("hops") == 0).cast("int").alias("n_danger"))
+    details = reports.symbols.groupBy("repo").agg(F.min_by("detail", F.struct("path", "line", "name")).alias("detail"))
+    rows = reports.heads.select("repo", "mode", "risk_tier").join(nodes, "repo", "left").join(details, "repo", "left")
+    return rows.select("repo", "mode", "risk_tier", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_downstream", "n_danger")], "detail")

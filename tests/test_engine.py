@@ -320,6 +320,8 @@ def test_many_repositories(spark):
     changed = spark.createDataFrame([("one", "auth_utils.py"), ("two", "auth_utils.py"), ("two", "LIMITS.py"), ("three", "notes.md")], "repo string, path string")
     spans = spark.createDataFrame([("one", "auth_utils.py", 3, 8), ("two", "auth_utils.py", 11, 12), ("two", "LIMITS.py", 1, 1)], "repo string, path string, start int, stop int")
     both = engine.audits(changed, spans)
+    texts = {r["repo"]: r["text"] for r in report.markdowns(both).collect()}
+    assert texts == {x: report.markdown(both[x]) for x in ("one", "two", "three")} and texts["one"].count("\n- ") == 1 + 2 + 3 + 1 and both.get("four") is None
     assert both["one"] == engine.audit(changed, spans, repo="one") and both["two"] == engine.audit(changed, spans, repo="two")
     assert both["three"]["seed"] == "(non-source)" and engine.audit(changed, spans, repo="four")["seed"] == "(none)"
     assert [n["path"] for n in both["one"]["downstream"]] == ["billing/service.py", "dashboard/views.py", "jobs/worker.py"] and both["one"]["line_explanations"][0]["detail"] == "Sets `LIMIT` to `3`."
