@@ -30,14 +30,13 @@ KEYS = (
 
 
 def entity_edges(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None = None) -> DataFrame:
-    """Distinct (repo, src, dst): an entity imports the one that its foreign key names."""
+    """(repo, src, dst): an entity imports the one that its foreign key names. Lines that a table repeats repeat their edges, which every operator allows."""
     out = None
     for kind, table, key, to, foreign in KEYS:
         if tables is not None and table not in tables:
             continue
         src = node(kind, key) if key else F.concat(F.lit("line/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
         some = read(spark, sf_dir, table).select(repo(), src.alias("src"), node(to, foreign).alias("dst"))
-        some = some.distinct() if key is None else some
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -1,9 +1,10 @@
 """
 Reachability over edges (repo, src, dst), where src imports dst.
 
-The fixpoint keeps three things small: each hop joins only the frontier with the edges, which were hashed once (a frontier of a
+The fixpoint keeps three things small: each hop joins only the frontier with the edges, which were hashed and sorted once (a frontier of a
 few rows, which the last hop has counted, is broadcast instead); what was seen is dropped by an anti join; and every hop is checkpointed to the session's shared folder, so plans do not grow with the depth and a lost
-executor costs one hop at most.
+executor costs one hop at most. A closure that is still open after DEEP hops goes on along chains, nodes with one step each, whose jumps are doubled: a chain costs the
+logarithm of its length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.storagelevel import StorageLevel
 KEY = ["repo", "path"]
 #: Frontiers of at most so many bytes are broadcast.
 SMALL = 8 << 20
+#: Hops after which a closure goes on along chains.
+DEEP = 12
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -38,10 +41,10 @@ def _extent(df: DataFrame) -> tuple[int, int]:
 
 
 def prepared(edges: DataFrame, reverse: bool = True) -> DataFrame:
-    """(repo, path, next): the steps of a fixpoint, hashed by their start and kept for all hops; several fixpoints may share them."""
+    """(repo, path, next): the steps of a fixpoint, hashed and sorted by their start and kept so for all hops; several fixpoints may share them. Edges may be repeated."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select("repo", F.col(near).alias("path"), F.col(far).alias("next")).where(F.col("path") != F.col("next"))
-    return steps.repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    return steps.repartition(*KEY).sortWithinPartitions(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hops: int | None = None, steps: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -54,19 +57,72 @@ def closure(edges: DataFrame, seeds: DataFrame, *, reverse: bool = True, max_hop
     steps = prepared(edges, reverse) if own else steps
     frontier = seen = cut_lineage(seeds.select(*state).distinct().withColumn("hops", F.lit(0)))
     (n, size), total, hop = _extent(seen), 0, 0
-    small = lambda df, bytes_: F.broadcast(df) if bytes_ <= SMALL else df
-    while n and (max_hops is None or hop < max_hops):
+    while n and hop < DEEP and (max_hops is None or hop < max_hops):
         hop, total = hop + 1, total + size
-        new = steps.join(small(frontier.select(*state), size), KEY).select("repo", F.col("next").alias("path"), *by).distinct()
-        frontier = cut_lineage(new.join(small(seen.select(*state), total), state, "left_anti").withColumn("hops", F.lit(hop)))
+        new = steps.join(_small(frontier.select(*state), size), KEY).select("repo", F.col("next").alias("path"), *by).distinct()
+        frontier = cut_lineage(new.join(_small(seen.select(*state), total), state, "left_anti").withColumn("hops", F.lit(hop)))
         n, size = _extent(frontier)
         if n:
             seen = seen.unionByName(frontier)
+    if n and (max_hops is None or hop < max_hops):
+        seen = _along_chains(steps, seen, frontier, max_hops, state)
     if own:
         steps.unpersist()
     return seen
 
 
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SMALL else df
+
+
+def _along_chains(steps: DataFrame, seen: DataFrame, changed: DataFrame, max_hops: int | None, state: list[str]) -> DataFrame:
+    """
+    ``seen`` (state, hops), complete up to the hops of ``changed``, its last hop, with all that is reached from there. Each round labels the chains after what the last one changed, then
+    the nodes one step after those with several steps; labels that are no improvement are dropped, so it ends with the shortest distances.
+
+    Labels along chains: those of fewer than 2^k steps and a jump of 2^k steps give those of fewer than 2^(k+1). When a doubling improves nothing, no later one does.
+    """
+    single = F.min("next") == F.max("next")
+    one = steps.groupBy(*KEY).agg(F.min("next").alias("end"), single.alias("single")).where("single").drop("single")
+    forks = steps.join(one, KEY, "left_anti")
+    jumps = [cut_lineage(one)]
+    fewest = lambda df: df.groupBy(*state).agg(F.min("hops").alias("hops"))
+
+    def better(new: DataFrame, old: DataFrame, size: int) -> DataFrame:
+        if max_hops is not None:
+            new = new.where(F.col("hops") <= max_hops)
+        known = _small(old.withColumnRenamed("hops", "known"), size)
+        return cut_lineage(fewest(new).join(known, state, "left").where("known is null or hops < known").select(*state, "hops"))
+
+    seen = cut_lineage(fewest(seen))
+    n, size = _extent(changed)
+    total = _extent(seen)[1]
+    while n:
+        ahead, last, k = changed, changed, 0
+        while n:
+            if k == len(jumps):
+                far = jumps[-1].select("repo", F.col("path").alias("end"), F.col("end").alias("further"))
+                jumps.append(cut_lineage(jumps[-1].join(far, ["repo", "end"]).select(*KEY, F.col("further").alias("end"))))
+            moved = jumps[k].join(_small(ahead, size), KEY).select("repo", F.col("end").alias("path"), *state[2:], (F.col("hops") + (1 << k)).alias("hops"))
+            new = better(moved, ahead, size)
+            n = _extent(new)[0]
+            if n:
+                ahead, k = cut_lineage(fewest(ahead.unionByName(new))), k + 1
+                size = _extent(ahead)[1]
+        # those that the round began with are in seen already, but their steps are not taken yet
+        chained = better(ahead, seen, total)
+        seen = cut_lineage(fewest(seen.unionByName(chained)))
+        from_ = chained.unionByName(last).join(seen, [*state, "hops"], "left_semi").distinct()
+        total = _extent(seen)[1]
+        stepped = forks.join(_small(from_, total), KEY).select("repo", F.col("next").alias("path"), *state[2:], (F.col("hops") + 1).alias("hops"))
+        changed = better(stepped, seen, total)
+        n, size = _extent(changed)
+        if n:
+            seen = cut_lineage(fewest(seen.unionByName(changed)))
+            total = _extent(seen)[1]
+    return seen
+
+
 def rings(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(repo, path, by..., hops): importers at distance 1, 2, ... of any seed (with the same ``by``); seeds are in no ring."""
     return closure(edges, seeds, max_hops=max_hops, by=by).where(F.col("hops") > 0)
