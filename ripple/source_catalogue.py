@@ -63,7 +63,8 @@ def _files(spark, sf_dir) -> DataFrame:
 
 
 def _tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return facts.tables(facts.facts_of(_files(spark, sf_dir)))
+    """imports, definitions, calls: the facts are kept, so that each file is parsed once however many of them are read, and how often."""
+    return facts.tables(facts.facts_of(_files(spark, sf_dir)).persist())
 
 
 _P = "'customer/' || c_custkey || '.py'"
@@ -109,7 +110,7 @@ def scan_sources(spark, sf_dir):
 def source_edges(spark, sf_dir):
     """Scripts import their nation's module, which is no script: they have no edge."""
     files = _files(spark, sf_dir)
-    imports, _, _ = facts.tables(facts.facts_of(files))
+    imports, _, _ = _tables(spark, sf_dir)
     edges = resolve.build_edges(resolve.resolve_imports(imports, files.select("repo", "path", "language")))
     return edges.select("src", "dst", F.array_join(F.transform("imports", lambda x: F.concat_ws(":", x["line"].cast("string"), x["module"])), ",").alias("proofs"))
 
@@ -120,7 +121,7 @@ def source_edges(spark, sf_dir):
 @query(f"SELECT {_P} AS path, 'nation_' || c_nationkey || '.py' AS seed, 'find' AS name, 1 AS import_line, '8' AS call_lines FROM customer")
 def source_users(spark, sf_dir):
     files = _files(spark, sf_dir)
-    imports, definitions, calls = facts.tables(facts.facts_of(files))
+    imports, definitions, calls = _tables(spark, sf_dir)
     edges = resolve.build_edges(resolve.resolve_imports(imports, files.select("repo", "path", "language")))
     users = uses.symbol_users(definitions.where("name = 'find'"), edges, imports, calls)
     return users.select("path", "seed", "name", "import_line", F.array_join(F.col("call_lines").cast("array<string>"), ",").alias("call_lines"))
@@ -130,7 +131,7 @@ def source_users(spark, sf_dir):
   SELECT path, 'graph_importer' AS kind, path AS location, 'imports `' || seed || '`' AS fact FROM u UNION ALL SELECT path, 'import', path || ':1', 'imports `find`' FROM u UNION ALL SELECT path, 'call', path || ':8', 'calls `find`' FROM u""")
 def source_evidence(spark, sf_dir):
     files = _files(spark, sf_dir)
-    imports, definitions, calls = facts.tables(facts.facts_of(files))
+    imports, definitions, calls = _tables(spark, sf_dir)
     edges = resolve.build_edges(resolve.resolve_imports(imports, files.select("repo", "path", "language")))
     found = uses.user_evidence(uses.symbol_users(definitions.where("name = 'find'"), edges, imports, calls))
     return found.select("path", F.explode("evidence").alias("e")).select("path", "e.kind", "e.location", "e.fact")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import signal
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -21,6 +21,8 @@ from .isolation import Isolated
 VERSION = 2
 #: Seconds that one file may take.
 PARSE_SECONDS = 45.0
+#: Contents that are sent to a parser at once: so many, or so many bytes and one more.
+CALLS, CALL_BYTES = 64, 1 << 20
 FACTS = "digest string, language string, parse_ok boolean, imports array<struct<module:string,symbols:array<string>,alias:string,line:int>>, definitions array<struct<name:string,kind:string,line:int,docstring:string>>, calls array<struct<callee:string,line:int>>"
 _PARTS = {"imports": ("module", "symbols", "alias", "line"), "definitions": ("name", "kind", "line", "docstring"), "calls": ("callee", "line")}
 
@@ -68,11 +70,26 @@ def parse_one(content: bytes, language: str, seconds: float = PARSE_SECONDS) ->
         return None
 
 
+def portions(calls: list[tuple[bytes, str]]) -> Iterator[list[tuple[bytes, str]]]:
+    """``calls`` in portions of CALLS or of CALL_BYTES, whichever comes first."""
+    part, size = [], 0
+    for call in calls:
+        part.append(call)
+        size += len(call[0] or b"")
+        if len(part) >= CALLS or size >= CALL_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def parse_contents(contents: DataFrame, parse: Callable[[bytes, str], dict | None] = parse_one, seconds: float = 2 * PARSE_SECONDS) -> DataFrame:
     """
     contents: digest, language, content -> FACTS. A source that does not parse has empty facts and parse_ok false, and so has one that kills the process of ``parse``
-    or keeps it for ``seconds``: each task parses in a child process.
+    or keeps it for ``seconds``: each task parses in a child process. Contents are few bytes and much work, so they are dealt over as many tasks as a shuffle has
+    rather than over as few as their bytes would fill.
     """
+    contents = contents.repartition(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "language")
 
     def run(batches):
         with Isolated(parse, seconds) as isolated:
@@ -80,9 +97,9 @@ def parse_contents(contents: DataFrame, parse: Callable[[bytes, str], dict | Non
                 yield parsed(batch, isolated)
 
     def parsed(batch, isolated):
-        rows = []
-        for digest, language, content in zip(*(batch.column(c).to_pylist() for c in ("digest", "language", "content")), strict=True):
-            got = isolated(content, language)
+        rows, (digests, languages, contents) = [], (batch.column(c).to_pylist() for c in ("digest", "language", "content"))
+        answers = [got for calls in portions(list(zip(contents, languages, strict=True))) for got in isolated.each(calls)]
+        for digest, language, got in zip(digests, languages, answers, strict=True):
             row = {"digest": digest, "language": language, "parse_ok": got is not None}
             rows.append(row | {k: [dict(zip(names, x, strict=True)) for x in (got or {}).get(k, [])] for k, names in _PARTS.items()})
         return pa.RecordBatch.from_pylist(rows, schema)

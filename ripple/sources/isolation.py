@@ -16,10 +16,11 @@ _FORK = multiprocessing.get_context("fork")
 def _serve(f: Callable, end: Connection) -> None:
     while True:
         try:
-            args = end.recv()
+            args: list[tuple] = end.recv()
         except EOFError:
             return
-        end.send(f(*args))
+        for each in args:
+            end.send(f(*each))
 
 
 class Isolated:
@@ -29,20 +30,28 @@ class Isolated:
         self.f, self.seconds, self.child, self.end, self.started = f, seconds, None, None, 0
 
     def __call__(self, *args) -> Any:
-        if self.child is None:
-            self.end, other = _FORK.Pipe()
-            self.child = _FORK.Process(target=_serve, args=(self.f, other), daemon=True)
-            self.child.start()
-            other.close()  # the child's death then ends the connection
-            self.started += 1
-        try:
-            self.end.send(args)
-            if self.end.poll(self.seconds):
-                return self.end.recv()
-        except (EOFError, OSError):
-            pass
-        self.close()
-        return None
+        return self.each([args])[0]
+
+    def each(self, calls: list[tuple]) -> list:
+        """The answers of many calls, which are sent at once; each has ``seconds`` of its own, and a call that ends the child costs its own answer only."""
+        out: list = []
+        while len(out) < len(calls):
+            if self.child is None:
+                self.end, other = _FORK.Pipe()
+                self.child = _FORK.Process(target=_serve, args=(self.f, other), daemon=True)
+                self.child.start()
+                other.close()  # the child's death then ends the connection
+                self.started += 1
+            try:
+                self.end.send(calls[len(out) :])
+                while len(out) < len(calls) and self.end.poll(self.seconds):
+                    out.append(self.end.recv())
+            except (EOFError, OSError):
+                pass
+            if len(out) < len(calls):
+                self.close()
+                out.append(None)
+        return out
 
     def close(self) -> None:
         if self.child is not None:

@@ -35,3 +35,16 @@ def test_parse_contents(spark):
     got = {r["digest"]: r for r in facts.parse_contents(df, parse).collect()}
     assert len(got) == len(rows) and {k for k, r in got.items() if not r["parse_ok"]} == {"3", "13", "23", "33", "43", "bad"}
     assert all(r["imports"][0]["module"] == "os" and r["calls"][0]["callee"] == "g" for k, r in got.items() if r["parse_ok"] and k != "none")
+
+
+def test_many_calls():
+    """Calls that are sent at once: each death or time limit costs its own answer, and the rest go to a new child."""
+    with Isolated(_odd, 1.0) as f:
+        assert f.each([(x,) for x in ("a", "die", "b", "hang", "c", "raise")]) == ["aa", None, "bb", None, "cc", None]
+        assert f.started == 3 and f.each([]) == [] and f.each([(b"x" * 3_000_000,)] * 3) == [b"x" * 6_000_000] * 3
+
+
+def test_parsing_is_dealt(spark):
+    """Small sources are not merged into one task by their bytes, and facts that are read several times are parsed once."""
+    df = spark.range(64).selectExpr("cast(id AS string) AS digest", "'python' AS language", "cast('import os' AS binary) AS content")
+    assert facts.parse_contents(df.groupBy("digest", "language").agg({"content": "any_value"}).toDF("digest", "language", "content")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
