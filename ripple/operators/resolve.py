@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import NAMED_IMPORTERS
-from ..functions.predicates import base_name, col, is_script_path, uses_script_resolution
+from ..functions.predicates import base_name, col, is_script_path, let, uses_script_resolution
 from ..functions.rules import SCRIPT_SUFFIXES
 
 KEY = ["repo", "path"]
@@ -81,8 +81,9 @@ def candidates(imports: DataFrame) -> DataFrame:
     modules = F.array_distinct(F.filter(F.concat(F.array(base), F.transform(symbols, lambda s: F.when(base == "", s).otherwise(F.concat_ws(".", base, s)))), lambda k: k.isNotNull() & (k != "")))
     where = normalized(F.concat_ws("/", parent("path"), F.col("module")))
     relative = F.col("module").startswith("./") | F.col("module").startswith("../")
-    tries = [where, *[F.concat(where, F.lit(s)) for s in SCRIPT_SUFFIXES], *[F.concat(where, F.lit(f"/index{s}")) for s in SCRIPT_SUFFIXES]]
-    paths = F.when(relative & where.isNotNull(), F.array(*tries)).otherwise(F.array().cast("array<string>"))
+    tries = lambda w: F.array(w, *[F.concat(w, F.lit(s)) for s in SCRIPT_SUFFIXES], *[F.concat(w, F.lit(f"/index{s}")) for s in SCRIPT_SUFFIXES])
+    none = F.array().cast("array<string>")
+    paths = F.when(relative, let(where, lambda w: F.when(w.isNotNull(), tries(w)).otherwise(none))).otherwise(none)  # normalized once, not for each try
     return i.select("*", F.posexplode(F.when(F.col("script"), paths).otherwise(modules)).alias("rank", "key"))
 
 
