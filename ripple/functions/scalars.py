@@ -190,11 +190,10 @@ def fingerprint(pack: Column, model: Column | str, revision: str = "1") -> Colum
 
 def identifiers(text: Column | str) -> Column:
     """Distinct identifiers (also within backticks) and the last part of dotted ones, sorted, without keywords."""
-    found = F.regexp_extract_all(col(text), F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), 0)
-    found = F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", ""))
-    last = F.transform(found, bare_callee)
+    found = F.array_distinct(F.regexp_extract_all(col(text), F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), 0))  # the distinct ones only are worked on
+    both = F.flatten(F.transform(found, lambda x: let(F.rtrim(x, F.lit(".")), lambda y: F.array(y, bare_callee(y)))))
     keywords = F.array(*[F.lit(k) for k in ("if", "else", "for", "return", "def", "class")])
-    return F.array_sort(F.array_except(F.array_distinct(F.concat(found, last)), keywords))
+    return F.array_sort(F.array_except(both, keywords))
 
 
 def backtick_bares(text: Column | str) -> Column:
