@@ -190,9 +190,7 @@ def in_degree(spark, sf_dir):
 
 @query(f"WITH {a.ENTITY_SQL}, g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT path, CAST(coalesce(n, 0) AS BIGINT) AS in_degree, coalesce(n, 0) >= 20 AS is_danger FROM (SELECT src AS path FROM e UNION SELECT dst FROM e) LEFT JOIN g ON dst = path")
 def hub_flag(spark, sf_dir):
-    edges = a.entity_edges(spark, sf_dir)
-    nodes = edges.select("repo", F.col("src").alias("path")).unionByName(edges.select("repo", F.col("dst").alias("path"))).distinct()
-    return scoring.with_danger(nodes, edges, 20).select("path", "in_degree", "is_danger")
+    return scoring.marked(scoring.degrees(a.entity_edges(spark, sf_dir)), 20).select("path", "in_degree", "is_danger")
 
 
 _PAGE_PATH = "regexp_replace(url, '^[a-z]+://[^/]*/', '')"
@@ -401,7 +399,8 @@ def secrets(spark, sf_dir):
 @query("""SELECT doc_id, string_agg(w, ',' ORDER BY w) AS ids FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*')), '[.]+$', '') AS x FROM documents) t, (VALUES (0), (1)) k(i), LATERAL (SELECT CASE WHEN i = 0 THEN x ELSE regexp_extract(x, '[^.]*$') END AS w) WHERE w NOT IN ('if', 'else', 'for', 'return', 'def', 'class')) GROUP BY doc_id""")
 def identifiers(spark, sf_dir):
     ids = s.identifiers("text")
-    return a.read(spark, sf_dir, "documents").select("doc_id", F.array_join(ids, ",").alias("ids")).where("ids != ''")
+    some = F.filter(F.array(F.array_join(ids, ",")), lambda x: x != "")  # exploded: a condition on the column would compute it twice
+    return a.read(spark, sf_dir, "documents").select("doc_id", F.explode(some).alias("ids"))
 
 
 @query("SELECT conv_id, turn, CAST(greatest(1, len(regexp_extract_all(trim(text), '[.!?](\\s+|$)'))) AS INT) AS n_sentences FROM conversations")
