@@ -41,6 +41,43 @@ def entity_edges(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | Non
     return out
 
 
+#: Kinds of entities, in the lowest bits of their ids.
+KINDS = ("region", "nation", "customer", "supplier", "order", "line")
+#: Bits of a line's number in its id, before its order's key.
+LINE_BITS = 16
+
+
+def entity_id(kind: str, key: Column | str, line: Column | str | None = None) -> Column:
+    """A node of the entity graph as a whole number, no two alike: null for a null key, an error for one beyond its bits."""
+    col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+    n, bits = col(key), 60 if line is None else 60 - LINE_BITS
+    fits = n.between(-(1 << bits), (1 << bits) - 1)
+    if line is not None:
+        fits = fits & col(line).between(0, (1 << LINE_BITS) - 1)
+        n = F.shiftleft(n, LINE_BITS) + col(line)
+    given = F.shiftleft(n, 3) + KINDS.index(kind)
+    return F.when(fits, given).when(~fits, F.raise_error(F.lit(f"a {kind}'s key is beyond its bits")).cast("long"))
+
+
+def entity_path(entity: Column | str) -> Column:
+    """The path that an id stands for."""
+    x = F.col(entity) if isinstance(entity, str) else entity
+    kind, n = x.bitwiseAND(7), F.shiftright(x, 3)
+    names = F.element_at(F.array(*[F.lit(f"{k}/") for k in KINDS]), (kind + 1).cast("int"))
+    line = F.concat(F.lit("line/"), F.shiftright(n, LINE_BITS).cast("string"), F.lit("-"), n.bitwiseAND((1 << LINE_BITS) - 1).cast("string"))
+    return F.when(kind == KINDS.index("line"), line).otherwise(F.concat(names, n.cast("string")))
+
+
+def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_edges`` with ids for paths: a fixpoint moves and sorts whole numbers, its result is named by ``entity_path``."""
+    out = None
+    for kind, table, key, to, foreign in KEYS:
+        src = entity_id(kind, key) if key else entity_id(kind, "l_orderkey", "l_linenumber")
+        some = read(spark, sf_dir, table).select(repo(), src.alias("src"), entity_id(to, foreign).alias("dst"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 ENTITY_SQL = """e AS (
   SELECT 'nation/' || n_nationkey AS src, 'region/' || n_regionkey AS dst FROM nation
   UNION SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer

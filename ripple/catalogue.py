@@ -47,6 +47,16 @@ def _seeds(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.createDataFrame([("r", x, k) for k, x in enumerate(paths)], "repo string, path string, ord int")
 
 
+def _ids(spark: SparkSession, *seeds: tuple[str, int]) -> DataFrame:
+    """Seeds of ``entity_ids``."""
+    rows = spark.createDataFrame([("r", kind, key) for kind, key in seeds], "repo string, kind string, key long")
+    return rows.select("repo", F.coalesce(*[F.when(F.col("kind") == k, a.entity_id(k, "key")) for k in a.KINDS[:-1]]).alias("path"))
+
+
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("path", a.entity_path("path"))
+
+
 def _closure_sql(view: str, name: str, seeds: str, extra: str = "", hops: int = 40) -> str:
     """Rings by a recursive union that is cut off at ``hops``; the least hop of each node."""
     return f"""WITH RECURSIVE {extra} {view}, w(path, hops) AS (SELECT path, 0 FROM ({seeds}) UNION SELECT e.src, w.hops + 1 FROM w JOIN {name} e ON e.dst = w.path WHERE w.hops < {hops}),
@@ -61,12 +71,12 @@ _TWO = "SELECT 'region/0' AS path UNION SELECT 'region/1'"
 
 @query(_closure_sql(a.ENTITY_SQL, "e", "SELECT 'region/0' AS path") + " SELECT path, hops FROM m WHERE hops > 0")
 def rings_single(spark, sf_dir):
-    return graph.rings(a.entity_edges(spark, sf_dir), _seeds(spark, "region/0")).select("path", "hops")
+    return _named(graph.rings(a.entity_ids(spark, sf_dir), _ids(spark, ("region", 0)))).select("path", "hops")
 
 
 @query(_closure_sql(a.ENTITY_SQL, "e", _TWO) + " SELECT path, hops FROM m WHERE hops > 0")
 def rings_multi(spark, sf_dir):
-    return graph.rings(a.entity_edges(spark, sf_dir), _seeds(spark, "region/0", "region/1")).select("path", "hops")
+    return _named(graph.rings(a.entity_ids(spark, sf_dir), _ids(spark, ("region", 0), ("region", 1)))).select("path", "hops")
 
 
 @query(_closure_sql(a.CYCLIC_SQL, "c", "SELECT 'c/10' AS path", hops=200) + " SELECT path, hops FROM m WHERE hops > 0")
@@ -84,18 +94,21 @@ def _kept_sql() -> str:
 
 @query(_kept_sql())
 def rings_minus_seeds_filtered(spark, sf_dir):
-    edges = a.entity_edges(spark, sf_dir)
-    rings = graph.rings(edges, _seeds(spark, "region/0"))
-    rich = a.read(spark, sf_dir, "customer").where("c_acctbal > 9900").select(a.repo(), a.node("nation", "c_nationkey").alias("path"))
-    proven = rings.where("hops = 1").join(rich, ["repo", "path"], "left_semi")
-    return graph.filter_rings(rings, edges, proven).select("path", "hops")
+    edges = a.entity_ids(spark, sf_dir)
+    steps = graph.prepared(edges)
+    rings = graph.rings(edges, _ids(spark, ("region", 0)), steps=steps)
+    rich = a.read(spark, sf_dir, "customer").where("c_acctbal > 9900").select(a.repo(), a.entity_id("nation", "c_nationkey").alias("path"))
+    proven = rings.where("hops = 1").join(rich.distinct(), graph.ON, "left_semi")
+    kept = graph.filter_rings(rings, edges, proven, steps=steps)
+    steps.unpersist()
+    return _named(kept).select("path", "hops")
 
 
 @query(_closure_sql(a.ENTITY_SQL, "e", "SELECT 'nation/3' AS path UNION SELECT 'nation/7'") + " SELECT path FROM m WHERE hops > 0 AND path LIKE 'order/%'")
 def reach_any(spark, sf_dir):
-    edges = a.entity_edges(spark, sf_dir)
-    orders = edges.where(F.col("src").startswith("order/")).select("repo", F.col("src").alias("path")).distinct()
-    return graph.reaches_any(edges, orders, _seeds(spark, "nation/3", "nation/7")).select("path")
+    edges = a.entity_ids(spark, sf_dir)
+    orders = a.read(spark, sf_dir, "orders").select(a.repo(), a.entity_id("order", "o_orderkey").alias("path")).distinct()
+    return _named(graph.reaches_any(edges, orders, _ids(spark, ("nation", 3), ("nation", 7)))).select("path")
 
 
 _SMALL = "path LIKE 'region/%' OR path LIKE 'nation/%' OR path LIKE 'supplier/%'"
@@ -210,6 +223,15 @@ def classify_split(spark, sf_dir):
     return scoring.classify(rings, edges, _seeds(spark, "region/0")).groupBy("hops", "is_danger").agg(F.count("*").alias("n"))
 
 
+def _with_danger(edges: DataFrame, seeds: DataFrame, fan_out: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rings over ``entity_ids`` with is_danger; the steps of the fixpoint give the in-degrees as well, of which only those of hubs matter."""
+    steps = graph.prepared(edges)
+    rings = graph.rings(edges, seeds, by=by, steps=steps)
+    hubs = graph.cut_lineage(scoring.hubs(steps, fan_out))
+    steps.unpersist()
+    return scoring.marked(_named(rings.join(graph.small(hubs), graph.ON, "left")), fan_out)
+
+
 _TRACE_SQL = _closure_sql(a.ENTITY_SQL, "e", "SELECT 'region/0' AS path") + """, g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst),
   f AS (SELECT hops, coalesce(n, 0) >= 3 AS is_danger FROM m LEFT JOIN g ON dst = path WHERE hops > 0), t AS (SELECT count(*) AS d, max(hops) AS h, count_if(is_danger) AS z FROM f)
   SELECT hops, is_danger, count(*) AS n, CASE WHEN d = 0 AND z = 0 THEN 'LOW' WHEN z > 0 AND (d >= 3 OR h >= 2) THEN 'CRITICAL' WHEN z > 0 OR d >= 3 OR h >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_tier FROM f, t GROUP BY hops, is_danger, d, h, z"""
@@ -218,8 +240,7 @@ _TRACE_SQL = _closure_sql(a.ENTITY_SQL, "e", "SELECT 'region/0' AS path") + """,
 @query(_TRACE_SQL)
 def trace_region(spark, sf_dir):
     """Rings of a region, danger zones among them, and the risk: the flagship query."""
-    edges = a.entity_edges(spark, sf_dir).persist()
-    rows = scoring.with_danger(graph.rings(edges, _seeds(spark, "region/0")), edges).persist()
+    rows = _with_danger(a.entity_ids(spark, sf_dir), _ids(spark, ("region", 0)), rules.FAN_OUT).persist()
     tier = scoring.risk(rows).select("repo", "risk_tier")
     return rows.groupBy("repo", "hops", "is_danger").agg(F.count("*").alias("n")).join(F.broadcast(tier), "repo").select("hops", "is_danger", "n", "risk_tier")
 
@@ -230,10 +251,10 @@ def trace_region(spark, sf_dir):
   SELECT *, CASE WHEN n_danger > 0 AND (n_downstream >= 3 OR max_hops >= 2) THEN 'CRITICAL' WHEN n_danger > 0 OR n_downstream >= 3 OR max_hops >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_tier FROM t""")
 def risk_by_seed(spark, sf_dir):
     """All regions at once: the seed is part of the frontier's key, so one fixpoint serves every seed."""
-    edges = a.entity_edges(spark, sf_dir)
-    seeds = a.read(spark, sf_dir, "region").select(a.repo(), a.node("region", "r_regionkey").alias("path"), a.node("region", "r_regionkey").alias("seed"))
-    rings = scoring.with_danger(graph.rings(edges, seeds, by=("seed",)), edges, 20)
-    return scoring.risk(rings, ("seed",)).select("seed", "n_downstream", "max_hops", "n_danger", "risk_tier")
+    region = a.entity_id("region", "r_regionkey")
+    seeds = a.read(spark, sf_dir, "region").select(a.repo(), region.alias("path"), region.alias("seed"))
+    rings = _with_danger(a.entity_ids(spark, sf_dir), seeds, 20, ("seed",))
+    return scoring.risk(rings, ("seed",)).select(a.entity_path("seed").alias("seed"), "n_downstream", "max_hops", "n_danger", "risk_tier")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS q, max(l_quantity) > 40 AS seed, max(l_suppkey) AS s FROM lineitem GROUP BY ALL), y AS (
@@ -320,8 +341,8 @@ def top8_overflow(spark, sf_dir):
 
 @query(_closure_sql(a.ENTITY_SQL, "e", _TWO) + ", k AS (SELECT path, hops, row_number() OVER (ORDER BY hops, path) AS nth FROM m) SELECT path, hops, CAST(nth AS INT) AS nth FROM k WHERE nth <= 15 OR hops = 0")
 def select15(spark, sf_dir):
-    reached = graph.closure(a.entity_edges(spark, sf_dir), _seeds(spark, "region/0", "region/1"))
-    return topk.select_nodes(reached).select("path", "hops", "nth")
+    reached = graph.closure(a.entity_ids(spark, sf_dir), _ids(spark, ("region", 0), ("region", 1)))
+    return topk.select_nodes(_named(reached)).select("path", "hops", "nth")
 
 
 @query(f"""WITH {a.ENTITY_SQL}, g AS (SELECT dst, list_sort(list(src)) AS l FROM e GROUP BY dst)
