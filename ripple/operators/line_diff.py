@@ -23,7 +23,8 @@ from .graph import cut_lineage
 from .intervals import line_runs
 
 FILE = ["repo", "path"]
-SEGMENT = [*FILE, "segment"]
+#: In the order that sorts look at: a repository's rows share its name.
+SEGMENT = ["path", "segment", "repo"]
 #: Rows of a batch that a task gives away.
 ROWS = 1 << 14
 
@@ -54,29 +55,35 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _anchors(candidates: DataFrame) -> DataFrame:
     """(repo, path, segment, base, new): the chain of each segment's candidates (..., rank, base, new) of least rank."""
     names = [*SEGMENT, "base", "new"]
+    schema = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))))
 
     def run(batches):
-        key, rank, pairs = None, 0, []
+        key, rank, pairs, out = None, 0, [], []
 
-        def rows():
-            got = chain(pairs)
-            for i in range(0, len(got), ROWS):
-                part = got[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays([*[pa.array([x] * len(part), t) for x, t in zip(key, (pa.string(), pa.string(), pa.int32()))], pa.array([b for _, b in part], pa.int32()), pa.array([n for n, _ in part], pa.int32())], names)
+        def given(least: int):
+            """Rows of many segments go into one batch: a batch of a few rows costs as much as one of thousands."""
+            nonlocal out
+            if len(out) >= least:
+                yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema).to_batches(ROWS)
+                out = []
 
         for batch in batches:
             for *mine, level, base, new in zip(*(batch.column(c).to_pylist() for c in (*SEGMENT, "rank", "base", "new"))):
                 if mine != key:
                     if key:
-                        yield from rows()
+                        out += [(*key, b, n) for n, b in chain(pairs)]
+                        yield from given(ROWS)
                     key, rank, pairs = mine, level, []
                 if level == rank:
                     pairs.append((new, base))
         if key:
-            yield from rows()
+            out += [(*key, b, n) for n, b in chain(pairs)]
+        yield from given(1)
 
-    ordered = candidates.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "rank", "new")
-    return ship(ordered).mapInArrow(run, "repo string, path string, segment int, base int, new int")
+    # a number of tasks, which are not merged by their few bytes: the time goes by rows
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = candidates.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, "rank", "new")
+    return ship(ordered).mapInArrow(run, "path string, segment int, repo string, base int, new int")
 
 
 def unmatched(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def unmatched(base: DataFrame, new: DataFrame) -> DataFrame:
     open_ = cut_lineage(side(base, 0).unionByName(side(new, 1)))
     done: list[DataFrame] = []
     while True:
-        same = [*SEGMENT, "h"]
+        same = ["h", *SEGMENT]
         rows = open_.repartition(*same)  # serves all three
         nth = F.row_number().over(Window.partitionBy(*same, "side").orderBy("line"))
         counts = Window.partitionBy(*same)
@@ -102,7 +109,7 @@ def unmatched(base: DataFrame, new: DataFrame) -> DataFrame:
         marks = found.select(*SEGMENT, F.lit(0).alias("side"), F.col("base").alias("line"), F.col("new").alias("anchor"))
         marks = marks.unionByName(found.select(*SEGMENT, F.lit(1).alias("side"), F.col("new").alias("line"), F.col("new").alias("anchor")))
         gap = F.max("anchor").over(Window.partitionBy(*SEGMENT, "side").orderBy("line"))
-        left = open_.join(marks, [*SEGMENT, "side", "line"], "left").withColumn("gap", F.coalesce(gap, F.col("segment")))
+        left = open_.join(marks, ["path", "line", "segment", "side", "repo"], "left").withColumn("gap", F.coalesce(gap, F.col("segment")))
         hit = F.max(F.col("anchor").isNotNull()).over(Window.partitionBy(*SEGMENT))  # an anchor is on both sides
         left = cut_lineage(left.withColumn("hit", hit).where("anchor is null").select(*FILE, F.col("gap").alias("segment"), "side", "line", "h", "hit"))
         both = left.where("hit").groupBy(*SEGMENT).agg(F.countDistinct("side").alias("sides"))

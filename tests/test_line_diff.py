@@ -92,3 +92,17 @@ def test_many_rounds_and_equal_lines(spark):
     rows = [("r", "same", "a\n" * n, "a\n" * (n + 7)), ("r", "swap", "\n".join(swapped), "\n".join(swapped[n // 3 :] + swapped[: n // 3]))]
     df = spark.createDataFrame(rows, "repo string, path string, base string, text string")
     assert sorted(map(tuple, line_diff.text_spans(df).select("path", "start", "stop").collect())) == [("same", n + 1, n + 7), ("swap", n - n // 3 + 1, n)]
+
+
+def test_anchors_of_many_segments(spark):
+    """Segments are dealt over all tasks of a shuffle, and many share a batch; each gave a batch of its own before, in one or two tasks."""
+    rows = spark.range(3000).selectExpr("'r' AS repo", "concat('f', id % 1000) AS path", "0 AS segment", "0 AS rank", "CAST(id div 1000 AS int) + 1 AS base", "CAST(id div 1000 AS int) + 1 AS new")
+    got = line_diff._anchors(rows)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.selectExpr("count(*)", "count(distinct path)", "sum(base)", "sum(new)").first() == (3000, 1000, 6000, 6000)
+    count = lambda batches: (b.slice(0, 1).select(["repo"]) for b in batches)  # noqa: E731  a row for each batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        assert got.mapInArrow(count, "repo string").count() <= 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
