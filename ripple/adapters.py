@@ -126,14 +126,26 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPANS_SQL = "v AS (SELECT 'user/' || user_id AS path, CAST(hour(ts) + 1 AS INT) AS start, CAST(hour(ts) + 1 + CAST(floor(value) AS BIGINT) % 3 AS INT) AS stop FROM events)"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table dealt by ``keys`` over tasks in proportion to its splits, so that a task's share does not grow with the table."""
+    return df.repartition(PER_SPLIT * df.rdd.getNumPartitions(), *keys)
+
+
+#: Tasks for each split of an input.
+PER_SPLIT = 8
+
+
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
-    return line.select(repo(), node("order", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), "flag", "quantity")
+    """Aggregates of fixed size: the greatest flag is R if there is an R and none above."""
+    line = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_orderkey", "l_linenumber")
+    is_r = F.bool_or(F.col("l_returnflag") == "R") & ~F.bool_or(F.col("l_returnflag") > "R")
+    line = line.groupBy("l_orderkey", "l_linenumber").agg(is_r.alias("is_r"), F.max("l_quantity").alias("quantity"))
+    return line.select(repo(), node("order", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), "is_r", "quantity")
 
 
 def order_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order with flag R stand for definitions."""
-    rows = _order_lines(spark, sf_dir).where("flag = 'R'")
+    rows = _order_lines(spark, sf_dir).where("is_r")
     return rows.select("repo", "path", F.col("line").alias("ordinal"), F.concat(F.lit("def_"), F.col("line").cast("string")).alias("name"), F.lit("function").alias("kind"), "line", F.lit(None).cast("string").alias("docstring"))
 
 

@@ -499,7 +499,8 @@ def line_annotations(spark, sf_dir):
     spans = a.order_spans(spark, sf_dir)
     impact = a.read(spark, sf_dir, "orders").select(a.repo(), a.node("order", "o_orderkey").alias("path"), (F.col("o_totalprice") > 200000).alias("is_danger"), F.col("o_orderpriority").alias("reason"))
     orphans = spans.select("repo", "path", F.col("start").alias("line"), F.lit("changed").alias("detail"))
-    return lenses.annotations(symbols, orphans, spans.select("repo", "path").distinct(), impact).select("path", "line", "kind", "text")
+    tasks = a.PER_SPLIT * a.read(spark, sf_dir, "lineitem").rdd.getNumPartitions()
+    return lenses.annotations(symbols, orphans, spans.select("repo", "path").distinct(), impact, tasks).select("path", "line", "kind", "text")
 
 
 @query(f"WITH {a.LINES_SQL}, k AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM n WHERE contains(text, ',')), r AS (SELECT path, min(line) AS start FROM k GROUP BY path, i) SELECT path, CAST(start AS INT) AS start, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start) AS nth FROM r) WHERE nth <= 6")

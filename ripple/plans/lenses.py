@@ -27,9 +27,9 @@ def title(detail: Column | str, implication: Column | str) -> Column:
     return F.concat_ws(" · ", *[F.when(strip_markdown(x) != "", strip_markdown(x)) for x in (implication, detail)])
 
 
-def annotations(symbols: DataFrame, orphans: DataFrame, seeds: DataFrame, impact: DataFrame) -> DataFrame:
+def annotations(symbols: DataFrame, orphans: DataFrame, seeds: DataFrame, impact: DataFrame, tasks: int | None = None) -> DataFrame:
     """
-    (repo, path, line, kind, text): one annotation for each line. Symbols (repo, path, line, detail) and orphan lines come before what is said of the whole
+    (repo, path, line, kind, text): one annotation for each line, chosen by so many ``tasks`` (the session's shuffle partitions if none are given). Symbols (repo, path, line, detail) and orphan lines come before what is said of the whole
     file on its first line: a changed file before a danger zone before one that is only downstream (impact: repo, path, hops, is_danger, reason).
     """
     part = lambda df, rank, kind, line, text: df.select(*KEY, line.cast("int").alias("line"), F.lit(rank).alias("rank"), kind.alias("kind"), text.alias("text"))
@@ -38,7 +38,9 @@ def annotations(symbols: DataFrame, orphans: DataFrame, seeds: DataFrame, impact
     every = every.unionByName(part(seeds, 2, F.lit("seed"), first, F.lit("You changed this file.")))
     every = every.unionByName(part(impact.where("is_danger"), 3, F.lit("danger"), first, F.col("reason"))).unionByName(part(impact.where("not is_danger"), 4, F.lit("downstream"), first, F.col("reason")))
     best = F.min_by(F.struct("kind", "text"), F.struct("rank", "text")).alias("best")
-    return every.where("text != ''").groupBy(*KEY, "line").agg(best).select(*KEY, "line", "best.*")
+    every, on = every.where("text != ''"), ["path", "line", "repo"]
+    every = every.repartition(tasks, *on) if tasks else every.repartition(*on)  # rows of a line are few: aggregating before the shuffle would sort all of a task's rows for little
+    return every.groupBy(*on).agg(best).select(*KEY, "line", "best.*")
 
 
 def anchors(lines: DataFrame, most: int = ANCHORS) -> DataFrame:
