@@ -18,7 +18,7 @@ def seed_stem(path: Column | str) -> Column:
 
 def from_module(module: Column, stem: Column) -> Column:
     """The module has the stem as a dotted part or ends with it, or is empty."""
-    return F.coalesce(F.array_contains(F.split(module, r"\."), stem) | module.endswith(stem) | (module == ""), F.lit(False))
+    return F.coalesce(module.endswith(stem) | (module == "") | F.array_contains(F.split(module, r"\."), stem), F.lit(False))
 
 
 def imported_names(imports: DataFrame) -> DataFrame:
@@ -32,19 +32,21 @@ def symbol_users(symbols: DataFrame, edges: DataFrame, imports: DataFrame, calls
     and call it; a class needs the import alone. The name is part of every key: imports are matched by the names that they list (those of * by the file alone,
     which are few), calls by the last part of what they call, so a file with many symbols is no product of its lines.
     """
-    key = ["repo", "seed", "name", "kind", "path"]
-    pair = symbols.select("repo", F.col("path").alias("seed"), "name", "kind").distinct().join(edges.select("repo", F.col("dst").alias("seed"), F.col("src").alias("path")).distinct(), ["repo", "seed"])
+    key = ["path", "name", "seed", "kind", "repo"]  # joins sort by the first column before all else, and a repository's rows share theirs
+    asked = symbols.select("repo", F.col("path").alias("seed"), "name", "kind").distinct().withColumn("stem", seed_stem("seed"))  # once a symbol, not once an import
+    pair = asked.join(edges.select("repo", F.col("dst").alias("seed"), F.col("src").alias("path")).distinct(), ["seed", "repo"])
     i = imported_names(imports.select("repo", "path", "ordinal", "module", "symbols", F.col("line").alias("import_line")))
-    by_name = pair.join(i.where("symbol != '*'").withColumnRenamed("symbol", "name"), [*KEY, "name"])
-    by_star = pair.join(i.where("symbol = '*'").drop("symbol"), KEY)
-    named = by_name.select(*by_star.columns).unionByName(by_star).where(from_module(F.col("module"), seed_stem("seed")))
+    by_name = pair.join(i.where("symbol != '*'").withColumnRenamed("symbol", "name"), ["path", "name", "repo"])
+    by_star = pair.join(i.where("symbol = '*'").drop("symbol"), ["path", "repo"])
+    named = by_name.select(*by_star.columns).unionByName(by_star).where(from_module(F.col("module"), F.col("stem")))
     first = named.groupBy(*key).agg(F.min_by("import_line", "ordinal").alias("import_line"))
     last_part = F.substring_index("callee", ".", -1)
     # a callee is the name itself or ends with a dot and the name; names have no dots, so the last part is the key
     c = calls.select("repo", "path", last_part.alias("name"), F.col("line").alias("call_line"), F.col("ordinal").alias("call_ordinal"))
-    called = first.select(*key).join(c, [*KEY, "name"])
+    called = first.select(*key).join(c, ["path", "name", "repo"])
     lines = called.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("call_line", "call_ordinal"))), lambda x: x["call_line"]).alias("call_lines"))
-    return first.join(lines, key, "left").where(F.col("call_lines").isNotNull() | (F.col("kind") == "class"))
+    users = first.join(lines, key, "left").where(F.col("call_lines").isNotNull() | (F.col("kind") == "class"))
+    return users.select("repo", "seed", "name", "kind", "path", "import_line", "call_lines")
 
 
 def user_evidence(users: DataFrame) -> DataFrame:
