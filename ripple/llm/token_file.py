@@ -18,8 +18,7 @@ import re
 import struct
 import uuid
 import zlib
-from contextlib import suppress
-from itertools import accumulate, chain
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ WORDS = 1_500_000
 FILE_BYTES = 32 << 20
 #: Bytes of ids that are coded together.
 HELD_BYTES = 32 << 20
+#: Text bytes whose words are looked up together.
+STEP = 4 << 20
 _TAIL = struct.Struct("<QQ8s")
 
 
@@ -60,6 +61,13 @@ _SPACED = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACED)
 
 
+def _lowered(text: bytes) -> bytes:
+    """Spaces for white space, a to z for A to Z, but in words that may hold the name of a special id: the tokenizer looks for these before it lowers letters."""
+    if b"<|" not in text:
+        return text.translate(_LOWER)
+    return b" ".join(w if b"<|" in w else w.translate(_LOWER) for w in text.translate(_SPACED).split(b" "))
+
+
 def _byte_letters() -> str:
     """The character by which byte-level vocabularies write each byte: itself if it is printable, else the next one from 256 on. A space stays."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -125,24 +133,27 @@ class Words:
     def _learn(self, words: set[bytes]) -> None:
         """Puts words that the table does not have into it."""
         table = self.table
-        simple, plain, odd, ends, parts = [], [], [], [], set()
+        simple, plain, odd, ends = [], [], [], []
 
         def sort(w: bytes) -> None:
             (simple if self.lean and (w.isalpha() or _simple(w.decode())) else odd if SEPARATOR.encode() in w else plain).append(w)
 
-        for w in words:
-            if w.isalpha():  # of ASCII letters
+        letters = [w for w in words if w.isalpha()]  # of ASCII
+        if self.lean:
+            simple += letters
+        else:
+            for w in letters:
                 sort(w)
-                continue
+        for w in words.difference(letters):
             stem = w.rstrip(_MARKS)
             if self.splits and len(stem) < len(w) and (stem.isalpha() or _simple(stem.decode())):
                 ends.append((w, stem, w[len(stem) :]))
-                parts.update(ends[-1][1:])
             else:
                 sort(w)
-        for w in parts:
-            if w not in table and w not in words:
-                sort(w)
+        for k in (1, 2):
+            for w in {x[k] for x in ends}.difference(words):
+                if w not in table:
+                    sort(w)
         for some_words, encode in ((simple, self._lean), (plain, self._apart)):
             for lo in range(0, len(some_words), 4096):
                 some = some_words[lo : lo + 4096]
@@ -156,16 +167,10 @@ class Words:
         for w, stem, end in ends:
             table[w] = table[stem] + table[end]
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        # the tokenizer looks for the names of special ids before it lowers letters
-        rows = [t.translate(_SPACED if b"<|" in t else _LOWER).split(b" ") for t in texts]
-        words = list(chain.from_iterable(rows))
+    def _distinct(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words without white space."""
         got = list(map(self.table.get, words))
-        missing, k = [], -1
-        with suppress(ValueError):
-            while True:
-                k = got.index(None, k + 1)
-                missing.append(k)
+        missing = [k for k, ids in enumerate(got) if ids is None]
         if missing:
             new = {words[k] for k in missing}
             if len(self.table) + len(new) > WORDS:
@@ -176,8 +181,24 @@ class Words:
                 got[k] = self.table[words[k]]
             for w in [w for w in new if len(w) > 64]:
                 del self.table[w]
-        ends = list(accumulate(map(len, rows)))
-        return [b"".join(got[b - len(r) : b]) for r, b in zip(rows, ends, strict=True)]
+        return got
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        rows = [_lowered(t) for t in texts]
+        data, bounds = b" ".join([*rows, b""]), np.array([0, *accumulate(len(r) + 1 for r in rows)], np.int64)
+        # a cell is a word and the space after it; each distinct cell is looked up once
+        offsets = np.flatnonzero(np.frombuffer(b" " + data, np.uint8) == 32).astype(np.int32)
+        cells = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        got = self._distinct(cells.dictionary.buffers()[2].to_pybytes().rstrip(b"\0").split(b" ")[:-1])  # the last is a space, zeros may follow
+        size = np.fromiter(map(len, got), np.int64, len(got)) >> 1
+        which = cells.indices.to_numpy()
+        sizes = size.take(which)
+        ends = np.cumsum(sizes)
+        at = np.repeat((np.cumsum(size) - size).take(which) - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(got), "<u2").take(at).tobytes()
+        stops = (2 * np.r_[0, ends].take(np.searchsorted(offsets, bounds))).tolist()
+        return [ids[a:b] for a, b in pairwise(stops)]
 
 
 _of_worker: dict[str, Words] = {}
@@ -253,7 +274,7 @@ def write_tokens(docs: DataFrame, directory: str, files: int, path=tokenizer_pat
     def run(batches):
         words, writer, name = worker_words(path()), None, f"{directory}/part-{uuid.uuid4().hex}.tok"
         for batch in batches:
-            for part in common.steps(batch):
+            for part in common.steps(batch, most=STEP):
                 if writer is None:
                     writer = Writer(name)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text").cast(pa.large_binary()).to_pylist()), strict=True):
