@@ -597,7 +597,14 @@ def grounded_names(spark, sf_dir):
     """Of each document's names those that neither the parts' names nor the benchmark's words support."""
     entries = a.read(spark, sf_dir, "part").select(F.col("p_name").alias("entry"))
     entries = entries.unionByName(a.read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_NAME), 0)).alias("entry")))
-    names = a.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_NAME), 0)).alias("name")).select("doc_id", F.lower("name").alias("name")).distinct()
-    told = names.join(grounding.supported(names.select("name"), entries), "name")
-    lacking = F.when(~F.col("supported"), F.col("name"))
-    return told.groupBy("doc_id").agg(F.count("*").alias("n_names"), F.count(lacking).alias("n_unsupported"), F.min(lacking).alias("first_unsupported"))
+    docs = a.read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = graph.cut_lineage(grounding.name_set(docs))
+    # a name's rank has the order of names: the least is found among whole numbers, without sorting all names of all documents
+    told = grounding.supported(known, graph.cut_lineage(entries.distinct()))
+    told = graph.cut_lineage(told.orderBy("name").withColumn("rank", F.monotonically_increasing_id()))
+    names = grounding.names_of(docs, "doc_id").repartition("name")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # several texts of one document may have a name in common
+        names = names.distinct()
+    lacking = F.when(~F.col("supported"), F.col("rank"))
+    found = names.join(told.hint("shuffle_hash"), "name").groupBy("doc_id").agg(F.count("*").alias("n_names"), F.count(lacking).alias("n_unsupported"), F.min(lacking).alias("rank"))
+    return found.join(told.select("rank", F.col("name").alias("first_unsupported")), "rank", "left").select("doc_id", "n_names", "n_unsupported", "first_unsupported")

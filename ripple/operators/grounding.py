@@ -7,13 +7,54 @@ found goes under its rarest part only, what is searched under all of its parts,
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+#: A name, lower-cased, in the bytes of a text; names that a task remembers as given already.
+NAME, REMEMBERED = rb"[a-z_][a-z0-9_]*", 500_000
 #: Characters of a part; names and entries of fewer are only equal or not.
 GRAM = 3
 
 
+def names_of(texts: DataFrame, key: str) -> DataFrame:
+    """``key`` and name: the distinct lower-cased names (letters A to Z, digits and _) of each row's text. Null texts have none."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        find = re.compile(NAME).findall
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                found = [set(find(t.lower())) for t in part.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()]
+                at = pa.array(chain.from_iterable([k] * len(x) for k, x in enumerate(found)), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(chain.from_iterable(found), pa.binary()).cast(pa.string())], [key, "name"])
+
+    return ship(texts.select(key, F.col("text").cast("string"))).mapInArrow(run, f"{key} {kind}, name string")
+
+
+def name_set(texts: DataFrame) -> DataFrame:
+    """name: the distinct names of all texts; see ``names_of``. A task does not give a name again that it remembers."""
+
+    def run(batches):
+        find, seen = re.compile(NAME).findall, set()
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                texts = batch.column(0).slice(lo, 256).cast(pa.large_binary()).fill_null(b"").to_pylist()
+                found = set(chain.from_iterable(find(t.lower()) for t in texts)) - seen
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen |= found
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string())], ["name"])
+
+    return ship(texts.select(F.col("text").cast("string"))).mapInArrow(run, "name string").distinct()
+
+
 def grams(text: Column) -> Column:
     """Each part of GRAM characters once."""
     last = F.length(text) - (GRAM - 1)
