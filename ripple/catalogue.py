@@ -349,7 +349,7 @@ def select15(spark, sf_dir):
   SELECT dst AS path, CASE WHEN len(l) = 1 THEN '`' || l[1] || '`' WHEN len(l) = 2 THEN '`' || l[1] || '` and `' || l[2] || '`' WHEN len(l) = 3 THEN '`' || l[1] || '`, `' || l[2] || '`, and `' || l[3] || '`'
   ELSE '`' || l[1] || '`, `' || l[2] || '`, `' || l[3] || '`, and ' || (len(l) - 3) || ' more' END AS importers FROM g""")
 def path_list(spark, sf_dir):
-    return resolve.importers_of(a.entity_edges(spark, sf_dir)).select("path", s.path_list(F.col("importers.first"), n=F.col("importers.n")).alias("importers"))
+    return resolve.listed_importers(a.entity_ids(spark, sf_dir), name=a.entity_path).select(a.entity_path("path").alias("path"), s.path_list(F.col("importers.first"), n=F.col("importers.n")).alias("importers"))
 
 
 @query("""WITH i AS (SELECT user_id, event_id AS pos, CASE event_type WHEN 'view' THEN 'graph_importer' WHEN 'click' THEN 'docstring' WHEN 'purchase' THEN 'heuristic_name' ELSE 'call' END AS kind, CASE WHEN value > 50 THEN 'proven' ELSE 'heuristic' END AS confidence FROM events),

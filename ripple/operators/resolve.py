@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions.predicates import base_name, col, is_script_path, let, uses_scr
 from ..functions.rules import SCRIPT_SUFFIXES
 
 KEY = ["repo", "path"]
+#: Edges of a node from which its importers are not sorted by one task.
+HUB = 100_000
 _SUFFIX = r"\.[^./]+$"
 
 
@@ -107,17 +111,32 @@ def build_edges(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("repo", F.col("path").alias("src"), F.col("target").alias("dst")).agg(ordered.alias("imports"))
 
 
-def importers_of(edges: DataFrame, most: int = NAMED_IMPORTERS) -> DataFrame:
+def importers_of(edges: DataFrame, most: int = NAMED_IMPORTERS, name: Callable[[str], Column] = F.col) -> DataFrame:
     """
     (repo, path, importers): a struct of the first ``most`` distinct in-neighbours in path order and n, how many there are. A hub's importers are
-    never one row: the first are kept before the shuffle, the count is combinable.
+    never one row: the first are kept before the shuffle, the count is combinable. ``name``: the path that a src stands for, if edges have ids.
     """
     pairs = edges.select("repo", F.col("dst").alias("path"), "src").distinct()
-    order = Window.partitionBy("repo", "path").orderBy("src")
-    first = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-    first = first.groupBy("repo", "path").agg(F.array_sort(F.collect_list("src")).alias("first"))
-    counts = pairs.groupBy("repo", "path").agg(F.count("*").alias("n"))
-    return first.join(counts, ["repo", "path"]).select("repo", "path", F.struct("first", "n").alias("importers"))
+    order = Window.partitionBy("path", "repo").orderBy("named")
+    first = pairs.select("repo", "path", name("src").alias("named")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    first = first.groupBy("path", "repo").agg(F.array_sort(F.collect_list("named")).alias("first"))
+    counts = pairs.groupBy("path", "repo").agg(F.count("*").alias("n"))
+    return first.join(counts, ["path", "repo"]).select("repo", "path", F.struct("first", "n").alias("importers"))
+
+
+def listed_importers(edges: DataFrame, most: int = NAMED_IMPORTERS, name: Callable[[str], Column] = F.col) -> DataFrame:
+    """
+    ``importers_of`` for tables in which few nodes are hubs: a node's edges meet in one shuffle and repeats are told by their rank. Nodes with more than HUB
+    edges, of which there is one for HUB edges at most, are left to ``importers_of``.
+    """
+    e = edges.select("repo", F.col("dst").alias("path"), "src", "dst")
+    hubs = F.broadcast(e.groupBy("path", "repo").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("path", "repo"))
+    order = Window.partitionBy("path", "repo").orderBy(name("src"))
+    ranked = e.join(hubs, ["path", "repo"], "left_anti").withColumn("nth", F.dense_rank().over(order))
+    firsts = [F.min(F.when(F.col("nth") == k, F.col("src"))).alias(f"first_{k}") for k in range(1, most + 1)]
+    few = ranked.groupBy("path", "repo").agg(*firsts, F.max("nth").cast("long").alias("n"))
+    first = F.filter(F.array(*[name(f"first_{k}") for k in range(1, most + 1)]), lambda x: x.isNotNull()).alias("first")
+    return few.select("repo", "path", F.struct(first, "n").alias("importers")).unionByName(importers_of(e.join(hubs, ["path", "repo"], "left_semi"), most, name))
 
 
 def importers_or_none(importers: str = "importers") -> Column:
