@@ -36,7 +36,9 @@ class Tables:
 
     @classmethod
     def of(cls, files: DataFrame, cache: str | None = None) -> Tables:
-        facts = facts_.facts_of(files, cache).persist()
+        # dealt by file: the files of one input split, or of one content, would else stay in one task
+        tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        facts = facts_.facts_of(files, cache).repartition(tasks, "path", "repo").persist()
         imports, definitions, calls = facts_.tables(facts)
         names = facts.select("repo", "path", "language")
         edges = resolve.build_edges(resolve.resolve_imports(imports, names)).persist()

@@ -109,6 +109,10 @@ def parse_contents(contents: DataFrame, parse: Callable[[bytes, str], dict | Non
     return ship(contents).mapInArrow(run, FACTS)
 
 
+#: Files of one content that meet its facts in one task.
+COPIES = 10_000
+
+
 def facts_of(files: DataFrame, cache: str | None = None, skip: DataFrame | None = None) -> DataFrame:
     """
     Facts of all files: repo, path, language, digest, n_lines and the three lists. Equal contents of one language are parsed once. With ``cache`` (a
@@ -136,7 +140,13 @@ def facts_of(files: DataFrame, cache: str | None = None, skip: DataFrame | None
         facts = known.unionByName(parse_contents(distinct.join(known, ["digest", "language"], "left_anti")))
     else:
         facts = parse_contents(distinct)
-    return files.drop("content").join(facts, ["digest", "language"])
+    # a content with very many files is joined in parts; there is one for COPIES files at most, so these are broadcast
+    key = ["digest", "language"]
+    many = F.broadcast(files.groupBy(*key).agg(F.ceil(F.count("*") / COPIES).alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = files.drop("content").join(many, key, "left").withColumn("part", F.pmod(F.xxhash64("repo", "path"), parts)).drop("parts")
+    copied = facts.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(copied, [*key, "part"]).drop("part")
 
 
 def tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
