@@ -51,6 +51,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of each data file of a table that ``written`` wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return [(f.getPath().toString(), f.getLen()) for f in found if f.getPath().getName().startswith("part-")]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -75,17 +82,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 FILE_ROWS = 200_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None, codec: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None, codec: str | None = None, group_bytes: int | None = None) -> DataFrame:
     """
     ``df`` written to the shared folder and read again: short lineage, and lost executors lose nothing. ``rows``: a bound on
     a narrow table's rows; it is then written as few files, not as one for each shuffle partition. ``path``: of ``new_path``, if not a new one.
-    ``codec``: of Parquet, if not the session's.
+    ``codec``: of Parquet, if not the session's. ``group_bytes``: of its row groups, which are what readers may split a file into.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
-    df.write.parquet(path, compression=codec)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

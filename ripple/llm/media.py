@@ -5,7 +5,8 @@ A text's bytes, filled up with spaces to whole units of three blocks, are the qu
 unit, one byte each): frequent bytes become small coefficients, luma blocks come first, then chroma at half resolution. The images are a binary column of a
 Parquet table in the shared folder. Reading takes the bytes from that column alone: all scans are accumulated into coefficients, which give the payload
 back; the inverse transform and the upsampling of chroma give the full-resolution tensor. Tensors are stored as columns of a second table, two bytes for
-each byte of text before Parquet's compression, and features are computed from that table alone.
+each byte of text before Parquet's compression, and features are computed from that table alone. All tensors of a table can be kept (``stored_tensors``); where only
+their features are wanted (``described_in_waves``), the images' files are dealt over waves, and a wave's tensors are removed when their features are written.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -25,6 +26,8 @@ from . import common, jpeg
 UNIT = 192
 #: Text bytes whose images are coded together.
 STEP = 2 << 20
+#: Waves at most, bytes of images from which one more is worth its jobs, and bytes of a row group of images, the least that a task of a wave reads.
+WAVES, WAVE_BYTES, GROUP_BYTES = 16, 32 << 20, 8 << 20
 
 # Bytes that are frequent in prose, most frequent first; the others follow in order of their numbers.
 _FREQUENT = b" etanoihrsdlucmgfpwyb.,v\n" + bytes([0xC3]) + b"kSEATONIHRD!|#$%&*xjqz"
@@ -107,6 +110,11 @@ def stored_tensors(table: DataFrame, path: str | None = None) -> DataFrame:
     return common.written(decode_media(table), "tensors", path=path, codec="zstd")
 
 
+def stored_images(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of ``encode_texts`` written to ``path`` (of ``common.new_path``) and read again."""
+    return common.written(encode_texts(docs, keep), "media", path=path, codec="zstd", group_bytes=GROUP_BYTES)
+
+
 def described(tensors: DataFrame, keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """``keep`` of ``tensors`` (which has width, height and rgb) as kept, with feature."""
 
@@ -117,6 +125,32 @@ def described(tensors: DataFrame, keep: tuple[str, ...] = ("*",)) -> DataFrame:
     return _mapped(tensors.select(F.struct(*keep).alias("kept"), "width", "height", "rgb"), "rgb", rows, {"feature": "string"}, 4 * STEP)
 
 
+def waves(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of the table at ``path`` in WAVES parts at most, of WAVE_BYTES or more, as even as whole files allow."""
+    files = common.files(spark, path)
+    parts = max(1, min(WAVES, len(files), sum(size for _, size in files) // WAVE_BYTES))
+    dealt, held = [[] for _ in range(parts)], [0] * parts
+    for name, size in sorted(files, key=lambda f: (-f[1], f[0])):
+        least = held.index(min(held))
+        dealt[least].append(name)
+        held[least] += size
+    return dealt
+
+
+def described_in_waves(images: DataFrame, path: str, keep: tuple[str, ...]) -> DataFrame:
+    """
+    ``described`` of the tensors of all ``images``, which are the table at ``path``. The tensors of one wave are stored at a time, read back, and removed when their features are
+    in a table of the shared folder. An image's tensor is some 2.7 times its size as compressed, so that all of them would need far more room than the images.
+    """
+    spark = images.sparkSession
+    out = common.new_path(spark, "features")
+    for files in waves(spark, path):
+        with common.scratch(spark):
+            got = described(stored_tensors(spark.read.schema(images.schema).parquet(*files)), keep)
+            got.write.mode("append").parquet(out)
+    return spark.read.schema(got.schema).parquet(out)
+
+
 def _mapped(inner: DataFrame, column: str, rows, names: dict[str, str], step: int) -> DataFrame:
     """kept, and the columns ``names`` of what ``rows`` gives for batches with about ``step`` bytes in ``column``."""
     schema = inner.select("kept").schema.simpleString()[7:-1].replace("kept:", "kept ", 1)
@@ -134,9 +168,10 @@ def _mapped(inner: DataFrame, column: str, rows, names: dict[str, str], step: in
 def op9_media(spark, sf_dir: str) -> DataFrame:
     """
     Every whole text of ``documents`` as an image: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Two tables are
-    written, of images and of their tensors; the first five columns after n_bytes come from the images read back, the feature from the tensors read back.
+    written, of images and (in waves) of their tensors; the first five columns after n_bytes come from the images read back, the feature from the tensors read back.
     """
-    stored = common.written(encode_texts(common.table(spark, sf_dir, "documents")), "media")
+    path = common.new_path(spark, "media")
+    images = stored_images(common.table(spark, sf_dir, "documents"), path)
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
-    got = described(stored_tensors(stored), keep=("kept.row.doc_id", "kept.n_bytes", *names))
+    got = described_in_waves(images, path, keep=("kept.row.doc_id", "kept.n_bytes", *names))
     return got.select("kept.doc_id", "kept.n_bytes", *(f"kept.{n}" for n in names), "feature")

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -842,6 +843,32 @@ def test_media_odd(spark, odd, none):
         jpeg.Reader([b"\xff\xd8\xff\xe0"])
 
 
+def test_media_in_waves(spark, sf_dir, docs, monkeypatch):
+    """Never are more tensors stored than a wave's, none are left; the images stay, and the rows are those of all tensors at once."""
+    monkeypatch.setattr(media, "WAVE_BYTES", 1, raising=False)
+    shared = Path(common.shared_dir(spark).removeprefix("file://"), "ripple")
+    tensors, seen, describe = lambda: {*shared.glob("tensors-*")}, [], media.described
+    before, images = tensors(), {*shared.glob("media-*")}
+
+    def described(table, *args, **kw):
+        seen.append([spark.read.parquet(str(p)).count() for p in tensors() - before])
+        return describe(table, *args, **kw)
+
+    monkeypatch.setattr(media, "described", described)
+    rows = queries.queries()["op9_media"](spark, sf_dir).collect()
+    assert tensors() == before and len({*shared.glob("media-*")} - images) == 1 and sorted(r["doc_id"] for r in rows) == sorted(texts(docs))
+    path, seen[:] = common.new_path(spark, "media"), []
+    stored = media.stored_images(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5), path)
+    got = media.described_in_waves(stored, path, ("kept.row.doc_id", "media_sha256"))
+    assert len(seen) == 5 and all(len(s) == 1 and s[0] for s in seen) and sum(s[0] for s in seen) == len(rows) and tensors() == before
+    assert {(r["kept"]["doc_id"], r["kept"]["media_sha256"], r["feature"]) for r in got.collect()} == {(r["doc_id"], r["media_sha256"], r["feature"]) for r in rows}
+
+
+def test_media_in_waves_empty(spark, none):
+    path = common.new_path(spark, "media")
+    assert media.described_in_waves(media.stored_images(none, path), path, ("kept.row.doc_id", "media_sha256")).collect() == []
+
+
 # 10: WARC
 
 PAGES = "page_id long, url string, html string, type string"
