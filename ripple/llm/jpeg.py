@@ -19,6 +19,7 @@ import heapq
 import re
 import struct
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -351,12 +352,14 @@ class Component:
     across: int = 0
     down: int = 0
     base: int = 0  # its first block among all images' blocks
+    shape: tuple = ()  # all that the order of its blocks in a scan depends on, counted from the image's first block
 
 
 @dataclass
 class Image:
     width: int = 0
     height: int = 0
+    base: int = 0  # its first block among all images' blocks
     components: dict[int, Component] = field(default_factory=dict)
     quants: dict[int, np.ndarray] = field(default_factory=dict)
     comments: list[bytes] = field(default_factory=list)
@@ -383,6 +386,7 @@ class Reader:
         self.blocks = 0
         self.tables: dict[tuple[bytes, bytes], int] = {}
         self.steps: list[list] = []  # the n-th scans of all images
+        self.orders: dict[tuple, tuple] = {}  # images of one size share what their scans' order is
         self.images = [self._parse(x) for x in images]
         self.coefficients = np.zeros((self.blocks, 64), np.int32)
         luts = [_cached(_lookups, t, lookup) for t in self.tables]
@@ -448,10 +452,12 @@ class Reader:
             image.components[i] = Component(hv >> 4, hv & 15, q)
         h, v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
         mw, mh = -(-image.width // (8 * h)), -(-image.height // (8 * v))
+        image.base = self.blocks
         for c in image.components.values():
             c.across, c.down = mw * c.h, mh * c.v
             c.wide, c.high = -(-(-(-image.width * c.h // h)) // 8), -(-(-(-image.height * c.v // v)) // 8)
             c.base = self.blocks
+            c.shape = (c.h, c.v, c.wide, c.high, c.across, c.down, c.base - image.base)
             self.blocks += c.across * c.down
 
     def _scan(self, image: Image, body: bytes, huff: dict, interval: int, parts: list[bytes]):
@@ -460,21 +466,30 @@ class Reader:
         comps = [image.components[body[1 + 2 * k]] for k in range(n)]
         chosen = [body[2 + 2 * k] for k in range(n)]
         ss, se, hl = body[1 + 2 * n : 4 + 2 * n]
-        if n == 1:
-            c = comps[0]
-            blocks = (c.base + np.arange(c.high)[:, None] * c.across + np.arange(c.wide)).ravel()
+        key = (interval, *(c.shape for c in comps))
+        if key not in self.orders:
+            self.orders[key] = self._order(interval, comps, image.base)
+        blocks, which, first = self.orders[key]
+        if image.base:
+            blocks = blocks + image.base
+        if len(parts) < len(first):
+            raise ValueError("restart intervals are missing")
+        tables = [huff.get((chosen[k] >> 4) if ss == 0 else 0x10 | (chosen[k] & 15), 0) for k in range(n)]
+        return blocks, which, first, parts[: len(first)], tables, ss, se, hl >> 4, hl & 15
+
+    @staticmethod
+    def _order(interval: int, comps: list[Component], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(blocks in coded order, from ``base``; component of each; lanes' first blocks) of a scan."""
+        c = comps[0]
+        if len(comps) == 1:
+            blocks = (c.base - base + np.arange(c.high)[:, None] * c.across + np.arange(c.wide)).ravel()
             which, per = np.zeros(len(blocks), np.int64), 1
         else:
-            c = comps[0]
             mw, mh = c.across // c.h, c.down // c.v
             y, x = np.divmod(np.arange(mw * mh), mw)
-            cells = [(k, (c.base + (y * c.v + j) * c.across + x * c.h + i)) for k, c in enumerate(comps) for j in range(c.v) for i in range(c.h)]
+            cells = [(k, (c.base - base + (y * c.v + j) * c.across + x * c.h + i)) for k, c in enumerate(comps) for j in range(c.v) for i in range(c.h)]
             blocks, which, per = np.stack([b for _, b in cells], 1).ravel(), np.tile(np.array([k for k, _ in cells]), mw * mh), len(cells)
-        first = np.arange(0, len(blocks), interval * per) if interval else np.zeros(1, np.int64)
-        if len(parts) < len(first):
-            raise ValueError("restart intervals are missing")
-        tables = [huff.get((chosen[k] >> 4) if ss == 0 else 0x10 | (chosen[k] & 15), 0) for k in range(n)]
-        return blocks, which, first, parts[: len(first)], tables, ss, se, hl >> 4, hl & 15
+        return blocks, which, np.arange(0, len(blocks), interval * per) if interval else np.zeros(1, np.int64)
 
     def _decode(self, scans: list) -> None:
         for dc in (True, False):
@@ -588,53 +603,81 @@ class Reader:
         k[i] = np.where(some, k[i] + run + 1, 128)
 
     def _ac_refine(self) -> None:
-        """One action of each lane a step: read a symbol, or go over one coefficient."""
+        """
+        One symbol of each lane a step. Zeros and others are known before the scan, so a symbol's run leads to its place at once; the bits of the
+        coefficients that it goes over follow it in their order, and are only noted: they are read together at the end.
+        """
         flat = self.coefficients.reshape(-1)
-        n = len(self.pos)
-        pos, at, k = self.pos.copy(), self.first.copy(), self.ss.copy()
-        left = np.full(n, -1)  # zeros still to skip; -1: a symbol is due; 64: none, the block ends here
-        value, blocks = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the new coefficient; blocks that an EOB run still covers
-        on = np.arange(n)
-        while len(on):
-            due = left[on] < 0
-            i = on[due]
-            if len(i):
-                peek = self._peek(pos[i]) & 0xFFFFFFFF
-                code = self.luts[self.tables_of[i, 0] + (peek >> 16)].astype(np.int64)
-                if (code == 0).any() or (pos[i] > self.limit[i]).any():
+        lane = np.repeat(np.arange(len(self.first)), self.last - self.first)
+        held, places = self.coefficients[self.order] != 0, np.arange(64)
+        band = (places >= self.ss[lane, None]) & (places <= self.se[lane, None])
+        old, zero = held & band, ~held & band
+        # by block: zeros before each place, the place of each zero (64: none), others before each place, and others in all blocks before
+        zeros, others = np.zeros((len(lane), 65), np.uint8), np.zeros((len(lane), 65), np.uint8)
+        np.cumsum(zero, axis=1, out=zeros[:, 1:])
+        np.cumsum(old, axis=1, out=others[:, 1:])
+        b, c = np.nonzero(zero)
+        nth = np.full((len(lane), 65), 64, np.uint8)
+        nth[b, zeros[b, c]] = c
+        zeros, others, nth = zeros.ravel(), others.ravel(), nth.ravel()
+        before = np.r_[0, np.cumsum(others[64::65], dtype=np.int64)]
+        b, c = np.nonzero(old)
+        cells, shift = (self.order[b] << 6) + c, self.al[lane[b]]
+        noted = []  # (first of the coefficients gone over, their number, place of their bits)
+        pos, at, k, last, ss, se, al, table, limit = self.pos.copy(), self.first.copy(), self.ss.copy(), self.last, self.ss, self.se, self.al, self.tables_of[:, 0], self.limit
+        while len(pos):
+            code = self.luts[table + (self._peek(pos) >> 16 & 0xFFFF)].astype(np.int64)
+            if (code == 0).any() or (pos > limit).any():
+                raise ValueError("damaged scan")
+            pos += code >> 8
+            run, size = code >> 4 & 15, code & 15
+            peek = self._peek(pos) & 0xFFFFFFFF
+            new, ends = size > 0, (size == 0) & (run < 15)
+            i = at * 65 + k
+            place = nth[at * 65 + np.minimum(zeros[i] + run, 64)].astype(np.int64)
+            inside = ~ends & (place <= se)
+            to = np.where(inside, place, se + 1)
+            start = before[at] + others[i]
+            next_at = np.where(ends, np.minimum(at + (1 << run) + (peek >> (32 - run)) * (run > 0), last), at)
+            pos += np.where(ends, run, new)
+            count = np.where(ends, before[next_at] - start, others[at * 65 + to].astype(np.int64) - others[i])
+            some = np.flatnonzero(count)
+            noted.append((start[some], count[some], pos[some]))
+            pos += count
+            put = np.flatnonzero(new & inside)
+            flat[(self.order[at[put]] << 6) + place[put]] = np.where(peek[put] >> 31 > 0, 1, -1) << al[put]
+            over = ~ends & (to >= se)
+            at = next_at + over
+            k = np.where(over | ends, ss, to + 1)
+            live = at < last
+            if not live.all():
+                if (pos > limit).any():
                     raise ValueError("damaged scan")
-                pos[i] += code >> 8
-                run, size = code >> 4 & 15, code & 15
-                peek = self._peek(pos[i]) & 0xFFFFFFFF
-                value[i] = np.where(size > 0, np.where(peek >> 31 > 0, 1, -1), 0) << self.al[i]
-                pos[i] += size > 0
-                eob = (size == 0) & (run < 15)
-                blocks[i] = np.where(eob, (1 << run) + (peek >> (32 - run)) * (run > 0), 0)
-                pos[i] += np.where(eob, run, 0)
-                left[i] = np.where(eob, 64, run)
-            i = on[~due]
-            if len(i):
-                cell = (self.order[at[i]] << 6) + k[i]
-                c = flat[cell]
-                old = c != 0
-                bit = (self._peek(pos[i]) >> 31 & 1) * old
-                pos[i] += old
-                place = ~old & (left[i] == 0)
-                flat[cell] = np.where(old, c + np.sign(c) * (bit << self.al[i]), np.where(place, value[i], 0))
-                left[i] = np.where(old | (left[i] == 64), left[i], left[i] - 1)  # after the last zero: -1, a symbol is due
-                k[i] += 1
-                over = i[k[i] > self.se[i]]
-                at[over] += 1
-                k[over] = self.ss[over]
-                blocks[over] = np.maximum(0, blocks[over] - 1)
-                left[over] = np.where(blocks[over] > 0, 64, -1)
-                on = on[at[on] < self.last[on]]
+                pos, at, k, last, ss, se, al, table, limit = (x[live] for x in (pos, at, k, last, ss, se, al, table, limit))
+        start, count, pos = (np.concatenate(x) for x in zip(*noted, strict=True))
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        which, bits = np.repeat(start, count) + within, self._peek(np.repeat(pos, count) + within) >> 31 & 1
+        cell = cells[which]
+        flat[cell] += (np.sign(flat[cell]) * (bits << shift[which])).astype(np.int32)
 
     def stored(self, k: int) -> np.ndarray:
         """(blocks, 64): the coefficients of image k, component by component, row by row."""
         parts = list(self.images[k].components.values())
         return self.coefficients[parts[0].base : parts[-1].base + parts[-1].across * parts[-1].down]
 
+    @cached_property
+    def sampled(self) -> np.ndarray:
+        """(blocks, 64) samples of all images' blocks."""
+        parts = [(c, image.quants[c.quant]) for image in self.images for c in image.components.values()]
+        kinds: dict[bytes, int] = {}
+        kind = np.repeat([kinds.setdefault(q.tobytes(), len(kinds)) for _, q in parts], [c.across * c.down for c, _ in parts])
+        tables = np.stack([np.frombuffer(q, np.int64) for q in kinds]).astype(np.int32)
+        out = np.empty((self.blocks, 64), np.uint8)
+        for lo in range(0, self.blocks, 4096):
+            some = slice(lo, lo + 4096)
+            out[some] = samples(self.coefficients[some] * (tables if len(tables) == 1 else tables[kind[some]]))
+        return out
+
     def rgb(self, k: int) -> np.ndarray:
         """(height, width, 3) uint8 of image k."""
         return np.stack(self.channels(k), -1)
@@ -645,8 +688,7 @@ class Reader:
         h, v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
         planes = []
         for c in image.components.values():
-            blocks = self.coefficients[c.base : c.base + c.across * c.down] * image.quants[c.quant].astype(np.int32)
-            s = samples(blocks).reshape(c.down, c.across, 8, 8).swapaxes(1, 2).reshape(c.down * 8, c.across * 8)
+            s = self.sampled[c.base : c.base + c.across * c.down].reshape(c.down, c.across, 8, 8).swapaxes(1, 2).reshape(c.down * 8, c.across * 8)
             planes.append(upsampled(s, h // c.h, v // c.v)[: image.height, : image.width])
         if len(planes) == 1:
             return (planes[0],) * 3

@@ -791,6 +791,48 @@ def test_jpeg_against_another_decoder(spark):
     assert np.abs(other - rgb.astype(int)).max() <= 3
 
 
+def test_jpeg_of_another_encoder(spark):
+    """A progressive grey image by the JVM's library (whose AC refinements have runs of ended blocks, and no restart intervals) gives that library's pixels, but for rounding."""
+    jvm, rng = spark._jvm, np.random.default_rng(4)
+    h, w = 40, 56
+    grey = np.zeros((h, w), int) + 90
+    grey[:24, :24] = rng.integers(0, 256, (24, 24))
+    grey[24:, 30:] = np.add.outer(np.arange(16) * 3, np.arange(26) * 4)
+    image = jvm.java.awt.image.BufferedImage(w, h, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+    for y in range(h):
+        for x in range(w):
+            image.getRaster().setSample(x, y, 0, int(grey[y, x]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    writer.getOutput().flush()
+    data = bytes(out.toByteArray())
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data)).getRaster()
+    want = np.array([[raster.getSample(x, y, 0) for x in range(w)] for y in range(h)])
+    got = jpeg.Reader([data, data])
+    assert data.count(b"\xff\xda") > 3 and any(s[7] and s[5] for scans in got.steps for s in scans)
+    assert all(np.abs(got.rgb(k)[..., 0].astype(int) - want).max() <= 2 for k in (0, 1))
+
+
+def test_jpeg_refinement_by_symbols(monkeypatch):
+    """A refining scan takes a step for each symbol of a lane, not for each coefficient; images of one size share the order of their blocks."""
+    m = np.zeros((2 * 96, 64), np.int64)  # 16 MCUs: Cr is one lane of 16 blocks
+    m[:, 60] = 3
+    steps, peek, refine = [], jpeg.Reader._peek, jpeg.Reader._ac_refine
+
+    def refined(self):
+        monkeypatch.setattr(jpeg.Reader, "_peek", lambda self, pos: steps.append(1) or peek(self, pos))
+        refine(self)
+        monkeypatch.setattr(jpeg.Reader, "_peek", peek)
+
+    monkeypatch.setattr(jpeg.Reader, "_ac_refine", refined)
+    reader = jpeg.Reader(jpeg.encode(m, np.array([96, 96])))
+    assert (reader.coefficients == m).all() and 0 < len(steps) <= 2 * 16 + 1 and len(reader.orders) == 4
+
+
 def test_jpeg_upsampling():
     """Flat blocks: each chroma block covers 16 x 16 pixels, each luma block 8 x 8; colours by the definition of the format."""
     rng = np.random.default_rng(3)
