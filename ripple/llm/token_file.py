@@ -55,8 +55,8 @@ SEPARATOR = "0"
 _PROBES = ("word", "WORD", "it's", "'s", "a1b22", "#*$%", "é", "\u0301x", "中文", "x\ty", "...", "<|endoftext|>", "\u200b", "\U0001f600")
 _SIMPLE_PROBES = ("word", "straße", "niño", "garçon", "übermäßig", "ÿ", "señor", "l", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "xqzjkv")
 #: Marks that end a word, and words of lower-case letters only, which no normalisation changes.
-_MARKS = b".,;:!?"
-_simple = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_MARKS = b".,;:!?#$%&*|"
+_simple = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch  # a to z, ß to ö, ø to ÿ
 _SPACED = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACED)
 
@@ -98,7 +98,7 @@ class Words:
         if any(self._ids(w.upper()) != self._ids(w.lower()) for w in ("word", "xqzjkv", "mississippi")):
             raise ValueError("the tokenizer tells A to Z from a to z")
         self.separator = alone[SEPARATOR][0]
-        marks = ("." , "?!", "...", ",;:", "!")
+        marks = (".", "?!", "...", ",;:", "!", "###", "$", "%%%.", "&&&", "***", "|", "#$%&*|", *(chr(c) for c in _MARKS))
         self.splits = all(self._ids(w + m) == alone[w] + self._ids(m) for w in _SIMPLE_PROBES for m in marks)
         self.lean = Tokenizer.from_file(path)
         self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
@@ -136,7 +136,7 @@ class Words:
         simple, plain, odd, ends = [], [], [], []
 
         def sort(w: bytes) -> None:
-            (simple if self.lean and (w.isalpha() or _simple(w.decode())) else odd if SEPARATOR.encode() in w else plain).append(w)
+            (simple if self.lean and (w.isalpha() or _simple(w)) else odd if SEPARATOR.encode() in w else plain).append(w)
 
         letters = [w for w in words if w.isalpha()]  # of ASCII
         if self.lean:
@@ -146,7 +146,7 @@ class Words:
                 sort(w)
         for w in words.difference(letters):
             stem = w.rstrip(_MARKS)
-            if self.splits and len(stem) < len(w) and (stem.isalpha() or _simple(stem.decode())):
+            if self.splits and len(stem) < len(w) and (stem.isalpha() or _simple(stem)):
                 ends.append((w, stem, w[len(stem) :]))
             else:
                 sort(w)
@@ -172,7 +172,7 @@ class Words:
         got = list(map(self.table.get, words))
         missing = [k for k, ids in enumerate(got) if ids is None]
         if missing:
-            new = {words[k] for k in missing}
+            new = set(map(words.__getitem__, missing))
             if len(self.table) + len(new) > WORDS:
                 self.table = {b"": b""}
                 new.discard(b"")

@@ -757,6 +757,24 @@ def test_words(text):
     assert np.frombuffer(w.texts([text.encode()])[0], "<u2").tolist() == Tokenizer.from_file(token_file.tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
+def test_words_end_marks():
+    """Marks of any kind at the end of a simple word are learnt apart, and the word once; ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    words, plain = token_file.Words(token_file.tokenizer_path()), Tokenizer.from_file(token_file.tokenizer_path())
+    text = "lichzube&&& Lichzube*** lichzube### | xqzñ%%%. xqzñ$ wo|rd #tag& élan<| it's* a0#b% ÷# × &|\n" + " ".join(f"zqk{m}" for m in "#$%&*|.,;:!?")
+    assert np.frombuffer(words.texts([text.encode()])[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert words.splits and {b"lichzube", b"&&&", "xqzñ".encode(), b"%%%.", b"zqk"} <= words.table.keys()
+
+
+def test_codec_cells_side_by_side():
+    """Blocks that have met the same ids look up neighbouring cells."""
+    model = token_codec._Model(8, token_codec.Shares.of(np.arange(4, dtype=np.uint16)))
+    model.last[:], model.before[:] = 2, 3
+    model.predict(8)
+    assert (np.diff(model.at, axis=1) == 1).all() and (np.diff(model.case) == 1).all()
+
+
 # 9: media
 
 
