@@ -10,6 +10,7 @@ logarithm of its length.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +25,30 @@ SMALL = 8 << 20
 DEEP = 12
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; only a local session (tests) that names none gets a folder of its own."""
+def _shared(df: DataFrame) -> str:
+    """The session's folder of checkpoints; only a local session (tests) that names none gets a folder of its own."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="ripple-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into spark.checkpoint.dir"""
+    _shared(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in spark.checkpoint.dir: a checkpoint whose rows take a fraction of the bytes."""
+    path = f"{_shared(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _extent(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes of their keys and as much again)"""
     keys = [F.octet_length(c) if kind == "string" else F.lit(8) for c, kind in df.dtypes if c != "hops"]

@@ -1,12 +1,13 @@
 """
-Line comparison of many texts as joins: lines are rows, no row or task holds a text.
+Line comparison of many texts: lines are rows, grouped and ordered by windows, no row or task holds a text besides the row that it came in.
 
-Lines that are unique on both sides of a segment meet by a join and are its candidates; of those the longest chain that ascends on both sides are its anchors, and the
+Lines that are unique on both sides of a segment are paired and are its candidates; of those the longest chain that ascends on both sides are its anchors, and the
 gaps between anchors are the segments of the next round. Where no unique line is common, lines that occur equally often are paired in order, and where there are none,
-the first occurrences. A segment without common lines is finished, so each round either matches a line of a segment or ends it.
+the first occurrences. A segment without common lines is finished, and so is one whose sides are equal, so each round either matches a line of a segment or ends it.
 
-Scale: the occurrences of a line are counted by segment and line, so a file's lines spread over all tasks; the chain of a segment is found in a stream of its
-candidates in order, which keeps numbers only; each round is checkpointed and carries only lines of segments that are still open.
+Scale: a round deals its rows once, by a hash of their file, and each of its windows and groups keeps to that, in sorts that may spill; what comes back from Python are
+the numbers of anchors, a row for each segment. The first round's lines are read from the texts, which are what is shuffled; a round keeps only lines of segments that are still
+open and those found unmatched, as Parquet.
 """
 
 from __future__ import annotations
@@ -19,20 +20,32 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..shipping import ship
-from .graph import cut_lineage
+from .graph import written
 from .intervals import line_runs
 
 FILE = ["repo", "path"]
-#: In the order that sorts look at: a repository's rows share its name.
-SEGMENT = ["path", "segment", "repo"]
-#: Rows of a batch that a task gives away.
-ROWS = 1 << 14
+#: A segment: the hash of its file, by which rows are dealt, then what sorts should look at first. A repository's rows share its name.
+DEALT = ["file", "segment", "path", "repo"]
+#: Lines that a task should have, of both sides: callers that know how many there are ask for so many tasks.
+TASK_LINES = 1 << 19
 
 
-def lines(texts: DataFrame, column: str) -> DataFrame:
-    """(repo, path, line, h): the lines of ``column`` from 1 and 128 bits of each. A null text has none."""
-    rows = texts.select(*FILE, F.posexplode(s.lines_of(column)).alias("at", "text"))
-    return rows.select(*FILE, (F.col("at") + 1).alias("line"), F.substring(F.sha2("text", 256), 1, 32).alias("h"))
+def _tasks(df: DataFrame, tasks: int | None) -> int:
+    """At least those of a shuffle, which are not merged by their few bytes: the time goes by rows."""
+    return max(tasks or 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _dealt(df: DataFrame, tasks: int) -> DataFrame:
+    return df.where("repo is not null and path is not null").withColumn("file", F.xxhash64(*FILE)).repartition(tasks, "file")
+
+
+def lines(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(file, repo, path, side, line, h): the lines of ``base`` (side 0) and ``text`` (1) from 1 and 128 bits of each, dealt by file. A null text has none."""
+    side = lambda k, column: F.struct(F.lit(k).alias("side"), F.col(column).alias("text"))
+    texts = _dealt(pairs.select(*FILE, "base", "text"), tasks).select("file", *FILE, F.explode(F.array(side(0, "base"), side(1, "text"))).alias("x"))
+    # without outer, what is empty is looked for before, which splits each text again
+    rows = texts.select("file", *FILE, "x.side", F.posexplode_outer(s.lines_of("x.text")).alias("at", "text")).where("at is not null")
+    return rows.select("file", *FILE, "side", (F.col("at") + 1).alias("line"), F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("h"))
 
 
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -52,71 +65,89 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _anchors(candidates: DataFrame) -> DataFrame:
-    """(repo, path, segment, base, new): the chain of each segment's candidates (..., rank, base, new) of least rank."""
-    names = [*SEGMENT, "base", "new"]
-    schema = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))))
-
-    def run(batches):
-        key, rank, pairs, out = None, 0, [], []
-
-        def given(least: int):
-            """Rows of many segments go into one batch: a batch of a few rows costs as much as one of thousands."""
-            nonlocal out
-            if len(out) >= least:
-                yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema).to_batches(ROWS)
-                out = []
-
-        for batch in batches:
-            for *mine, level, base, new in zip(*(batch.column(c).to_pylist() for c in (*SEGMENT, "rank", "base", "new"))):
-                if mine != key:
-                    if key:
-                        out += [(*key, b, n) for n, b in chain(pairs)]
-                        yield from given(ROWS)
-                    key, rank, pairs = mine, level, []
-                if level == rank:
-                    pairs.append((new, base))
-        if key:
-            out += [(*key, b, n) for n, b in chain(pairs)]
-        yield from given(1)
-
-    # a number of tasks, which are not merged by their few bytes: the time goes by rows
-    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = candidates.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, "rank", "new")
-    return ship(ordered).mapInArrow(run, "path string, segment int, repo string, base int, new int")
-
-
-def unmatched(base: DataFrame, new: DataFrame) -> DataFrame:
+def _anchors(candidates: DataFrame, tasks: int | None = None) -> DataFrame:
+    """
+    (DEALT, at, base, new): the chain of each segment's candidates (..., rank, base, new) of least rank, its pairs numbered from 0, dealt by file. Candidates that tell no ``file`` are
+    dealt before. Segments go to Python and back as rows of numbers, many to a batch.
     """
-    (repo, path, line): the lines of ``new`` (repo, path, line, h) that the comparison with ``base`` finds inserted or replaced. Paths that only one side has are all
-    new, or have no such line. Line numbers are unique in a file and ascend; rows with null keys are left out.
+
+    @F.arrow_udf("array<struct<base:int,new:int>>")
+    def chained(base: pa.Array, new: pa.Array) -> pa.Array:
+        pairs = list(zip(new.flatten().to_pylist(), base.flatten().to_pylist()))
+        at, found, ends = 0, [], [0]
+        for size in base.value_lengths().to_pylist():
+            found += chain(pairs[at : at + size])
+            at += size
+            ends.append(len(found))
+        numbers = pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int32()) for k in (1, 0)], ["base", "new"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers)
+
+    tasks = _tasks(candidates, tasks)
+    if "file" not in candidates.columns:
+        candidates = _dealt(candidates, tasks)
+    pairs = candidates.groupBy(*DEALT).agg(F.array_sort(F.collect_list(F.struct("rank", "new", "base"))).alias("x"))
+    least = pairs.select(*DEALT, F.filter("x", lambda y: y["rank"] == F.col("x")[0]["rank"]).alias("x"))
+    found = ship(least).select(*DEALT, chained(F.col("x.base"), F.col("x.new")).alias("found"))
+    # a chain has a pair; posexplode() would look for empty ones, which calls the function twice
+    dealt = found.repartition(tasks, "file").select(*DEALT, F.posexplode_outer("found").alias("at", "pair"))
+    return dealt.select(*DEALT, "at", "pair.base", "pair.new")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(DEALT, rank, base, new): the equal lines of both sides of a segment, paired in order."""
+    same = [*DEALT, "h"]
+    nth = F.row_number().over(Window.partitionBy(*same, "side").orderBy("line"))
+    counts = Window.partitionBy(*same)
+    rows = rows.withColumn("nth", nth).withColumn("n", F.sum("side").over(counts)).withColumn("b", F.count("*").over(counts) - F.col("n"))
+    rank = F.when((F.col("b") == 1) & (F.col("n") == 1), 0).when(F.col("b") == F.col("n"), 1).otherwise(2)
+    rows = rows.where("b > 0 and n > 0 and nth <= b and nth <= n").withColumn("rank", rank)
+    number = lambda k: F.max(F.when(F.col("side") == k, F.col("line")))
+    return rows.groupBy(*same, "nth", "rank").agg(number(0).alias("base"), number(1).alias("new")).select(*DEALT, "rank", "base", "new")
+
+
+def _left(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """
-    side = lambda df, k: df.select(*FILE, F.lit(0).alias("segment"), F.lit(k).alias("side"), "line", "h").where("repo is not null and path is not null")
-    open_ = cut_lineage(side(base, 0).unionByName(side(new, 1)))
+    The lines that are not matched or may still be: ``rows`` without anchors, each in its gap as segment. ``open``: its gap has both sides, which are not equal; the others are
+    new and unmatched.
+    """
+    # a gap is named by the anchor before it: its number on the new side is the same for no other gap of the file. The first keeps the segment's name, by marks before all lines
+    mark = lambda k, line, gap: F.struct(F.lit(k).alias("side"), line.alias("line"), gap.alias("gap"))
+    both = F.array(mark(0, F.col("base"), F.col("new")), mark(1, F.col("new"), F.col("new")))
+    start = F.array(*[mark(k, F.lit(0), F.col("segment")) for k in (0, 1)])
+    marks = anchors.select(*DEALT, F.inline(F.when(F.col("at") == 0, F.concat(start, both)).otherwise(both)))
+    left = rows.withColumn("gap", F.lit(None).cast("int")).unionByName(marks.withColumn("h", F.lit(None).cast("binary")))
+    so_far = Window.partitionBy(*DEALT, "side").orderBy("line")  # the range of equal lines: a line and its mark
+    is_mark = F.col("gap").isNotNull()
+    left = left.withColumns({"mark": F.max(F.when(is_mark, F.col("line"))).over(so_far), "first": F.min(F.when(~is_mark, F.col("line"))).over(so_far), "in": F.max("gap").over(so_far)})
+    left = left.where("gap is null and (mark is null or mark < line)")
+    # lines without marks are of a segment without common lines; ``nth``: a line's place in its gap
+    left = left.select("file", *FILE, F.coalesce("in", "segment").alias("segment"), "side", "line", "h", F.col("in").isNotNull().alias("hit"), (F.col("line") - F.greatest("mark", F.col("first") - 1)).alias("nth"))
+    # sides are equal if as many lines are on both, and each of side 1 has an equal one in its place
+    gap = Window.partitionBy(*DEALT)
+    place = gap.orderBy("nth", "side")
+    same = (F.lag("side").over(place) == 0) & (F.lag("nth").over(place) == F.col("nth")) & (F.lag("h").over(place) == F.col("h"))
+    left = left.withColumn("same", F.when(F.col("side") == 1, F.coalesce(same, F.lit(False))))
+    left = left.withColumns({"n": F.sum("side").over(gap), "all": F.count("*").over(gap), "equal": F.min("same").over(gap)})
+    equal = F.col("hit") & F.col("equal") & (2 * F.col("n") == F.col("all"))
+    # a gap with one side only has nothing to compare
+    left = left.where(~F.coalesce(equal, F.lit(False))).withColumn("open", F.col("hit") & F.col("n").between(1, F.col("all") - 1)).where("open or side = 1")
+    return left.select(*FILE, "segment", "side", "line", F.when(F.col("open"), F.col("h")).alias("h"), "open")
+
+
+def unmatched(rows: DataFrame, tasks: int) -> DataFrame:
+    """
+    (repo, path, line): of ``lines`` those of side 1 that the comparison with side 0 finds inserted or replaced. Paths that only one side has are all
+    new, or have no such line. Line numbers are unique on a side and ascend; rows with null keys are left out.
+    """
+    rows = rows.withColumn("segment", F.lit(0))
     done: list[DataFrame] = []
     while True:
-        same = ["h", *SEGMENT]
-        rows = open_.repartition(*same)  # serves all three
-        nth = F.row_number().over(Window.partitionBy(*same, "side").orderBy("line"))
-        counts = Window.partitionBy(*same)
-        rows = rows.withColumn("nth", nth).withColumn("b", F.count_if(F.col("side") == 0).over(counts)).withColumn("n", F.count_if(F.col("side") == 1).over(counts)).where("b > 0 and n > 0")
-        rank = F.when((F.col("b") == 1) & (F.col("n") == 1), 0).when(F.col("b") == F.col("n"), 1).otherwise(2)
-        pair = rows.groupBy(*same, "nth").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("base"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("new"), F.first(rank).alias("rank"))
-        found = cut_lineage(_anchors(pair.where("base is not null and new is not null").select(*SEGMENT, "rank", "base", "new")))
-        if found.isEmpty():
-            return _union([*done, open_.where("side = 1").select(*FILE, "line")])
-        # a gap is named by the anchor before it: its number on the new side is the same for no other gap of the file
-        marks = found.select(*SEGMENT, F.lit(0).alias("side"), F.col("base").alias("line"), F.col("new").alias("anchor"))
-        marks = marks.unionByName(found.select(*SEGMENT, F.lit(1).alias("side"), F.col("new").alias("line"), F.col("new").alias("anchor")))
-        gap = F.max("anchor").over(Window.partitionBy(*SEGMENT, "side").orderBy("line"))
-        left = open_.join(marks, ["path", "line", "segment", "side", "repo"], "left").withColumn("gap", F.coalesce(gap, F.col("segment")))
-        hit = F.max(F.col("anchor").isNotNull()).over(Window.partitionBy(*SEGMENT))  # an anchor is on both sides
-        left = cut_lineage(left.withColumn("hit", hit).where("anchor is null").select(*FILE, F.col("gap").alias("segment"), "side", "line", "h", "hit"))
-        both = left.where("hit").groupBy(*SEGMENT).agg(F.countDistinct("side").alias("sides"))
-        left = left.join(both, SEGMENT, "left")
-        # a segment without anchors has no common lines, and a gap with one side only has nothing to compare
-        done.append(left.where("side = 1 and not (hit and sides = 2)").select(*FILE, "line"))
-        open_ = cut_lineage(left.where("hit and sides = 2").select(*SEGMENT, "side", "line", "h"))
+        left = written(_left(rows, _anchors(_candidates(rows), tasks)), "lines")
+        done.append(left.where("not open").select(*FILE, "line"))
+        open_ = left.where("open").drop("open")
+        if open_.isEmpty():
+            return _union(done)
+        rows = _dealt(open_, tasks)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -126,6 +157,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def text_spans(pairs: DataFrame) -> DataFrame:
-    """pairs: repo, path, base, text -> spans (repo, path, start, stop) of the lines of ``text`` that are inserted or replaced, merged where they touch."""
-    return line_runs(unmatched(lines(pairs, "base"), lines(pairs, "text"))).select(*FILE, "start", "stop")
+def text_spans(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """
+    pairs: repo, path, base, text -> spans (repo, path, start, stop) of the lines of ``text`` that are inserted or replaced, merged where they touch. ``tasks``: if
+    more than those of a shuffle are wanted.
+    """
+    tasks = _tasks(pairs, tasks)
+    return line_runs(unmatched(lines(pairs, tasks), tasks)).select(*FILE, "start", "stop")

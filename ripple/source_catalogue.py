@@ -197,7 +197,7 @@ def text_spans(spark, sf_dir):
     d = a.read(spark, sf_dir, "documents")
     new = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n%% new\n%% newer"))).otherwise(F.concat("text", F.lit(" %% other\n%% newer")))
     pairs = d.select(a.repo(), a.node("doc", "doc_id").alias("path"), F.col("text").alias("base"), new.alias("text"))
-    return line_diff.text_spans(pairs).select("path", "start", "stop")
+    return line_diff.text_spans(pairs, a.PER_SPLIT * d.rdd.getNumPartitions()).select("path", "start", "stop")
 
 
 @query("""SELECT 'customer/' || o_custkey AS path, CAST(4 * count(*) - 3 AS INT) AS start, CAST(4 * count(*) AS INT) AS stop FROM orders GROUP BY o_custkey HAVING count(*) >= 3
@@ -205,13 +205,13 @@ def text_spans(spark, sf_dir):
 def moved_blocks(spark, sf_dir):
     """Each customer's orders as blocks of four lines, two of which all blocks share; the first block is moved to the end and a line of the second replaced."""
     o = a.read(spark, sf_dir, "orders")
-    block = F.struct("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey"), F.lit("\n{\nof "), F.col("o_orderkey"), F.lit("\n}\n")).alias("x"))
-    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(block)).alias("blocks")).where("size(blocks) >= 3")
-    text = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["x"]), "")
+    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("blocks")).where("size(blocks) >= 3")
+    block = lambda b: F.concat(F.lit("order "), b["o_orderkey"], F.lit("\n{\nof "), b["o_orderkey"], F.lit("\n}\n"))
+    text = lambda blocks: F.array_join(F.transform(blocks, block), "")
     moved = text(F.concat(F.slice("blocks", F.lit(2), F.size("blocks") - 1), F.slice("blocks", 1, 1)))
     edited = F.regexp_replace(moved, r"^(order \d+\n)\{", "$1(")
     pairs = rows.select(a.repo(), a.node("customer", "o_custkey").alias("path"), text(F.col("blocks")).alias("base"), edited.alias("text"))
-    return line_diff.text_spans(pairs).select("path", "start", "stop")
+    return line_diff.text_spans(pairs, 8 * o.count() // line_diff.TASK_LINES).select("path", "start", "stop")
 
 
 # Captions and labels

@@ -106,3 +106,26 @@ def test_anchors_of_many_segments(spark):
         assert got.mapInArrow(count, "repo string").count() <= 8
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_disk(spark):
+    """Moved blocks leave little on disk: a round keeps what is open or unmatched, and gaps with equal sides are neither."""
+    from pathlib import Path
+
+    n, k = 1000, 20
+    block = lambda f, b: f"order {f} {b}\n{{\nof {f} {b}\n}}\n"
+    rows = [("r", f"f{f}", "".join(block(f, b) for b in range(k)), "".join(block(f, b) for b in [*range(1, k), 0]).replace("{", "(", 1)) for f in range(n)]
+    df = spark.createDataFrame(rows, "repo string, path string, base string, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(x.stat().st_size for x in shared.rglob("*") if x.is_file())
+    before = size()
+    got = line_diff.text_spans(df)
+    assert size() - before < 4 * 2 * 4 * k * n  # bytes for each line of both sides
+    assert got.selectExpr("count(*)", "sum(start)", "sum(stop)").first() == (2 * n, n * (2 + 4 * k - 3), n * (2 + 4 * k))
+
+
+def test_paths_of_many_repositories(spark):
+    """Equal paths are dealt by repository, and keys that are null are left out."""
+    rows = [(f"r{k}", "a.py", "x\ny\nz", "x\nz\n" + "n\n" * (k % 3)) for k in range(50)] + [(None, "a.py", "x", "y"), ("r", None, "x", "y")]
+    df = spark.createDataFrame(rows, "repo string, path string, base string, text string")
+    assert sorted(map(tuple, line_diff.text_spans(df).select("repo", "path", "start", "stop").collect())) == sorted((f"r{k}", "a.py", 3, 2 + k % 3) for k in range(50) if k % 3)
