@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,14 +74,13 @@ def _anchors(candidates: DataFrame, tasks: int | None = None) -> DataFrame:
 
     @F.arrow_udf("array<struct<base:int,new:int>>")
     def chained(base: pa.Array, new: pa.Array) -> pa.Array:
-        pairs = list(zip(new.flatten().to_pylist(), base.flatten().to_pylist()))
-        at, found, ends = 0, [], [0]
-        for size in base.value_lengths().to_pylist():
-            found += chain(pairs[at : at + size])
+        old, to, at, found, ends = base.flatten().to_numpy(), new.flatten().to_numpy(), 0, [np.zeros((0, 2), np.int32)], [0]
+        for size in base.value_lengths().to_pylist():  # a segment's numbers at a time are Python's
+            found.append(np.array(chain(list(zip(to[at : at + size].tolist(), old[at : at + size].tolist()))), np.int32).reshape(-1, 2))
             at += size
-            ends.append(len(found))
-        numbers = pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int32()) for k in (1, 0)], ["base", "new"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers)
+            ends.append(ends[-1] + len(found[-1]))
+        numbers = np.concatenate(found)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(numbers[:, k]) for k in (1, 0)], ["base", "new"]))
 
     tasks = _tasks(candidates, tasks)
     if "file" not in candidates.columns:
@@ -145,8 +145,10 @@ def unmatched(rows: DataFrame, tasks: int) -> DataFrame:
         left = written(_left(rows, _anchors(_candidates(rows), tasks)), "lines")
         done.append(left.where("not open").select(*FILE, "line"))
         open_ = left.where("open").drop("open")
-        if open_.isEmpty():
+        n = open_.count()
+        if not n:
             return _union(done)
+        tasks = _tasks(open_, n // TASK_LINES)
         rows = _dealt(open_, tasks)
 
 
